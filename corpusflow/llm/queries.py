@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op10_flow_mix
+from .packing import op7_nnls_packing
 from .secrets import op5_linked_secrets
 from .sharding import op4_feistel_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_feistel_shards": op4_feistel_shards,
     "op5_linked_secrets": op5_linked_secrets,
+    "op7_nnls_packing": op7_nnls_packing,
+    "op10_flow_mix": op10_flow_mix,
 }
 
 ORACLES: dict[str, str] = {}
