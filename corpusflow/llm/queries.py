@@ -10,11 +10,15 @@ from .mixing import op10_flow_mix
 from .packing import op7_nnls_packing
 from .secrets import op5_linked_secrets
 from .sharding import op4_feistel_shards
+from .toxicity import op3_toxic_segments
+from .unit_dedup import op9_repeated_units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxic_segments": op3_toxic_segments,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_linked_secrets": op5_linked_secrets,
     "op7_nnls_packing": op7_nnls_packing,
+    "op9_repeated_units": op9_repeated_units,
     "op10_flow_mix": op10_flow_mix,
 }
 
