@@ -12,12 +12,15 @@ from .secrets import op5_linked_secrets
 from .sharding import op4_feistel_shards
 from .toxicity import op3_toxic_segments
 from .unit_dedup import op9_repeated_units
+from .vectors import op6_collision_neighbours, op8_rotated_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxic_segments": op3_toxic_segments,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_linked_secrets": op5_linked_secrets,
+    "op6_collision_neighbours": op6_collision_neighbours,
     "op7_nnls_packing": op7_nnls_packing,
+    "op8_rotated_codes": op8_rotated_codes,
     "op9_repeated_units": op9_repeated_units,
     "op10_flow_mix": op10_flow_mix,
 }
