@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op2_jaccard_join
+from .line_runs import OP1_SQL, op1_line_runs
 from .mixing import op10_flow_mix
 from .packing import op7_nnls_packing
 from .secrets import op5_linked_secrets
@@ -15,6 +17,8 @@ from .unit_dedup import op9_repeated_units
 from .vectors import op6_collision_neighbours, op8_rotated_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_runs": op1_line_runs,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_toxic_segments": op3_toxic_segments,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_linked_secrets": op5_linked_secrets,
@@ -25,4 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_flow_mix": op10_flow_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_runs": OP1_SQL,
+}
