@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import ascii_lower, documents, mix, segment_hashes, text_buffers, word_bounds
 
@@ -23,7 +24,8 @@ SIGNIFICANT = 20.0
 #: Strength of a prior in documents; what every token loses, so that neutral text drifts down; fold learnt from and not.
 PRIOR, DRIFT, FOLDS, HELD_OUT, CALIBRATION = 6.0, 0.2, 4, 2, 3
 LEAST = 0.3
-OUT = "doc_id long, held_out boolean, top double, total double, n_tokens long, spans array<struct<start: long, end: long, score: double>>"
+#: What scoring adds to a document's columns.
+OUT = "_top double, _n_tokens long, _spans array<struct<start: long, end: long, score: double>>"
 
 
 def fold(doc_id) -> F.Column:
@@ -130,9 +132,9 @@ def maximal_segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, r - lft) for s, e, lft, r, _ in stack]
 
 
-def scored(docs: DataFrame, model, least: float = 0.0) -> DataFrame:
-    """Per document: its highest segment score, the sum of significant ones, its tokens and the significant segments in code points.
-    ``model`` is a broadcast. A segment is significant if chance brings one as high in a text of its length with odds below 1 in 100."""
+def scored(docs: DataFrame, model) -> DataFrame:
+    """``docs`` with each text's highest segment score, its tokens and the significant segments in code points, as _top, _n_tokens and
+    _spans; all columns pass through the one map. ``model`` is a broadcast. A segment is significant if chance brings one as high in a text of its length with odds below 1 in 100."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -140,8 +142,8 @@ def scored(docs: DataFrame, model, least: float = 0.0) -> DataFrame:
         m: Model = model.value
         for batch in batches:
             n_rows = batch.num_rows
-            top, total, count, spans = np.zeros(n_rows), np.zeros(n_rows), np.zeros(n_rows, np.int64), [[] for _ in range(n_rows)]
-            for first, buf, offsets in text_buffers(batch.column(2)):
+            top, count, spans = np.zeros(n_rows), np.zeros(n_rows, np.int64), [[] for _ in range(n_rows)]
+            for first, buf, offsets in text_buffers(batch.column(text_at)):
                 starts, ends, rows, features = tokens(buf, offsets)
                 if not len(rows):
                     continue
@@ -164,12 +166,12 @@ def scored(docs: DataFrame, model, least: float = 0.0) -> DataFrame:
                     cutoff = m.location + m.scale * (math.log(b - a) + math.log(100.0))
                     for s, e, score in found:
                         if score >= cutoff:
-                            total[first + k] += score - cutoff
                             spans[first + k].append({"start": int(points[starts[a + s]] - points[offsets[k]]), "end": int(points[ends[a + e - 1]] - points[offsets[k]]), "score": float(score)})
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(top), pa.array(total), pa.array(count), pa.array(spans, kind)], names=["doc_id", "held_out", "top", "total", "n_tokens", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top), pa.array(count), pa.array(spans, kind)], names=[*batch.schema.names, "_top", "_n_tokens", "_spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), (F.coalesce(fold(F.col("doc_id")), F.lit(0)) == HELD_OUT).alias("held_out"), "text").mapInArrow(scan, OUT)
+    text_at = docs.columns.index("text")
+    return docs.mapInArrow(scan, StructType([*docs.schema.fields, *StructType.fromDDL(OUT).fields]))
 
 
 def excess(top: F.Column, n_tokens: F.Column, location: float, scale: float) -> F.Column:
@@ -198,8 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     model = Model(keys, np.zeros(len(keys)), toxic["n"].to_numpy(float)[order], sizes.get(0, 0), sizes.get(1, 0))
     clean = counted(learn.filter("toxic = 0"), spark.sparkContext.broadcast(keys)).toPandas()
     model.clean[at(keys, clean["key"].to_numpy(np.int64).view(np.uint64))] = clean["n"]
-    raw = scored(train.filter(F.col("fold") == CALIBRATION), spark.sparkContext.broadcast(model))
-    raw = raw.join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select("toxic", "top", "n_tokens").persist()
+    raw = scored(train.filter(F.col("fold") == CALIBRATION).select("text", "toxic"), spark.sparkContext.broadcast(model))
+    raw = raw.select("toxic", F.col("_top").alias("top"), F.col("_n_tokens").alias("n_tokens")).persist()
     # maxima of clean texts less log length are extreme-value distributed: location and scale by moments
     centred = F.col("top") - F.log(F.greatest("n_tokens", F.lit(1)))
     clean = raw.filter("toxic = 0 and top > 0").agg(F.avg("top").alias("mean"), F.stddev_pop("top").alias("sd"), F.avg(F.log(F.greatest("n_tokens", F.lit(1)))).alias("length"), F.count(centred).alias("n")).first()
@@ -230,18 +232,22 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """One row per document: doc_id, held_out, score (0 to 1), predicted (1 from 0.3 on), spans of the significant toxic passages.
+    """``docs`` with score (0 to 1), predicted (1 from 0.3 on) and spans of the significant toxic passages (start, end, score), as
+    _score, _predicted and _spans.
 
     Scores read the text alone. Without labels of a kind every score stays at the prior's level. Null and empty texts, and texts
-    without a token of weight, score as the cleanest; null doc_id is not held out; repeated rows are scored each.
+    without a token of weight, score 0; repeated rows are scored each; columns of other names pass through.
     """
     model = fit(docs, labels, max_labelled)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    x = excess(F.col("top"), F.col("n_tokens"), model.location, model.scale)
+    x = excess(F.col("_top"), F.col("_n_tokens"), model.location, model.scale)
     z = F.least(F.lit(30.0), F.greatest(F.lit(-30.0), x * model.slope + model.shift))
-    score = F.when(F.col("top") <= 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-z)))
-    return scored(docs, shared).withColumn("score", score).select("doc_id", "held_out", "score", (F.col("score") >= LEAST).cast("int").alias("predicted"), "spans")
+    found = scored(docs, shared).withColumn("_score", F.when(F.col("_top") <= 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-z))))
+    return found.withColumn("_predicted", (F.col("_score") >= LEAST).cast("int")).drop("_top", "_n_tokens")
 
 
 def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Null doc_id is not held out."""
+    found = score_toxicity(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"), F.col("_spans").alias("spans"))
