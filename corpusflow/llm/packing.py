@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ from .common import documents, stage
 WINDOW, END_ID = 4096, 2
 #: Lengths count in steps of this many tokens, rounded up, where combinations are solved.
 STEP = 16
-#: Words a task keeps the ids of; later ones are encoded anew each time.
-CACHE = 400_000
+#: Words a worker keeps the ids of; later ones are encoded anew each time.
+CACHE = 700_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Python's split() also takes these for white space, the tokenizer doesn't.
 ODD = re.compile("[\x1c-\x1fΣ]")
@@ -31,10 +32,24 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Of words of letters alone: each is one run of ids, and only its last id ends a word, so one call does for all."""
+        if not words:
+            return []
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            return self._encode(words)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
     def _core(self, word: str) -> tuple[str, str]:
         core = word.rstrip(".,")
         return (core, word[len(core) :]) if core and core.isalpha() else (word, "")
@@ -47,8 +62,9 @@ class WordEncoder:
         if None in ids:
             missing = {w for w, x in zip(words, ids, strict=True) if x is None}
             parts = {w: self._core(w) for w in missing}
-            new = list({p for pair in parts.values() for p in pair if p and p not in kept})
-            found = dict(zip(new, self._encode(new), strict=True))
+            new = {p for pair in parts.values() for p in pair if p and p not in kept}
+            letters, others = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
+            found = dict(zip(letters + others, self._encode_letters(letters) + self._encode(others), strict=True))
             whole = {w: b"".join(kept[p] if p in kept else found[p] for p in pair if p) for w, pair in parts.items()}
             ids = [whole[w] if x is None else x for w, x in zip(words, ids, strict=True)]
             if len(kept) < CACHE:
@@ -57,6 +73,12 @@ class WordEncoder:
         return b"".join(ids)
 
 
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker, so that words are learnt once."""
+    return WordEncoder(path)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece of at most ``window`` ids; only documents longer than a window are cut."""
 
@@ -67,7 +89,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = WordEncoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encode, end = encoder_for(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -190,7 +212,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, step: int = STEP, per_group: i
             intervals.append((b, used[b], used[b] + times, base - used[b], slot))
             used[b] += times
         base += times
-    parts = max(1, total // 50_000)
+    parts = max(1, total // 2_000)
     salted = binned.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int"))
     by_part = salted.groupBy("bin", "part").count()
     before = by_part.withColumn("before", F.sum("count").over(W.partitionBy("bin").orderBy("part")) - F.col("count")).drop("count")
