@@ -1,4 +1,9 @@
 """All queries of the reference's own operators."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import array_jobs, check_jobs, search_jobs, source_jobs
+
+_MODULES = (array_jobs, search_jobs, check_jobs, source_jobs)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
