@@ -46,6 +46,7 @@ class _Scan(HTMLParser):
         elif self.open and tag == "tr":
             self.open[-1]["rows"].append([])
         elif self.open and tag in ("td", "th"):
+            self.open[-1]["text"].append(" ")
             if not self.open[-1]["rows"]:
                 self.open[-1]["rows"].append([])
             self.open[-1]["rows"][-1].append("")
