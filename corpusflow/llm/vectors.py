@@ -31,9 +31,9 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 # -- nearest neighbours ------------------------------------------------------------------------------------------------------------
 
 #: Projections; window half-width over search radius; standard deviations below the expected collisions at which a vector still counts.
-PROJECTIONS, REACH, SLACK = 96, 1.2, 1.9
-#: Search radii grow by this factor until the k nearest verified lie inside.
-GROWTH, FIRST_RADIUS = 1.15, 0.05
+PROJECTIONS, REACH, SLACK = 48, 0.8, 1.9
+#: Search radii: a few for close neighbours, then in small steps up to where every unit vector lies.
+RADII = np.array([0.12, 0.3, 0.55, *(0.8 * 1.08 ** np.arange(13))])
 
 
 def within(x: float) -> float:
@@ -50,48 +50,44 @@ def search_block(vectors: np.ndarray, queries: np.ndarray, skip: np.ndarray, k:
     """
     n, dim = vectors.shape
     lines = np.random.default_rng([seed, dim]).standard_normal((dim, PROJECTIONS))
-    projected = vectors @ lines
-    order = np.argsort(projected, axis=0).astype(np.int32)
-    keys = np.take_along_axis(projected, order, axis=0)
-    order, keys = np.ascontiguousarray(order.T), np.ascontiguousarray(keys.T)
+    projected, asked = vectors @ lines, queries @ lines
+    order = np.ascontiguousarray(np.argsort(projected, axis=0).T)
+    # where each window of each query begins and ends in each projection's order
+    begins, ends = (np.empty((len(queries), len(RADII), PROJECTIONS), np.int32) for _ in range(2))
+    for j in range(PROJECTIONS):
+        keys = projected[order[j], j]
+        begins[:, :, j] = np.searchsorted(keys, asked[:, j, None] - REACH * RADII)
+        ends[:, :, j] = np.searchsorted(keys, asked[:, j, None] + REACH * RADII, "right")
     share = within(REACH)
     threshold = PROJECTIONS * share - SLACK * math.sqrt(PROJECTIONS * share * (1 - share))
     out = []
-    for q, own, at in zip(queries, skip, queries @ lines, strict=True):
-        counts = np.zeros(n, np.int32)
-        scores = np.full(n, -np.inf)
-        todo = np.ones(n, bool)
+    narrow = vectors.astype(np.float32)
+    for i, (short, own) in enumerate(zip(queries.astype(np.float32), skip, strict=True)):
+        counts, new = np.zeros(n, np.int64), np.ones(n, bool)
         if own >= 0:
-            todo[own] = False
-        lo = np.array([np.searchsorted(row, x) for row, x in zip(keys, at, strict=True)])
-        hi = lo.copy()
-        radius, best = FIRST_RADIUS, np.zeros(0, np.int64)
-        while todo.any():
-            left = [int(np.searchsorted(row, x - REACH * radius)) for row, x in zip(keys, at, strict=True)]
-            right = [int(np.searchsorted(row, x + REACH * radius, "right")) for row, x in zip(keys, at, strict=True)]
-            fresh = [p for j in range(PROJECTIONS) for p in (order[j, left[j] : lo[j]], order[j, hi[j] : right[j]]) if len(p)]
+            new[own] = False
+        best, scores = np.zeros(0, np.int64), np.zeros(0)
+        for level, radius in enumerate(RADII):
+            left, right = begins[i, level].tolist(), ends[i, level].tolist()
+            if level:
+                fresh = [row[a:b] for row, a, b in zip(order, left, begins[i, level - 1].tolist(), strict=True) if a < b]
+                fresh += [row[a:b] for row, a, b in zip(order, ends[i, level - 1].tolist(), right, strict=True) if a < b]
+            else:
+                fresh = [row[a:b] for row, a, b in zip(order, left, right, strict=True) if a < b]
             if fresh:
-                counts += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-            lo, hi = np.minimum(lo, left), np.maximum(hi, right)
-            found = np.flatnonzero(todo & (counts >= threshold))
+                counts += np.bincount(np.concatenate(fresh), minlength=n)
+            found = np.flatnonzero(new & (counts >= threshold)) if radius < 2 else np.flatnonzero(new)
             if len(found):
-                scores[found] = vectors[found] @ q
-                todo[found] = False
-                known = np.flatnonzero(scores > -np.inf)
-                best = known[np.argpartition(-scores[known], k - 1)[:k]] if len(known) > k else known
-            if len(best) >= k and math.sqrt(max(0.0, 2 - 2 * float(scores[best].min()))) <= radius:
+                new[found] = False
+                # many rows are cheaper to multiply where they lie than to gather
+                value = (narrow @ short)[found] if 16 * len(found) > n else narrow[found] @ short
+                best, scores = np.concatenate((best, found)), np.concatenate((scores, value))
+                if len(best) > k:  # what single precision can't tell from the k-th stays, for the exact measure to rank
+                    stay = scores >= np.partition(scores, -k)[-k] - 1e-5
+                    best, scores = best[stay], scores[stay]
+            if len(best) >= k and math.sqrt(max(0.0, 2 - 2 * float(scores.min()))) <= radius:
                 break
-            if radius > 2:  # no unit vector lies further
-                found = np.flatnonzero(todo)
-                scores[found] = vectors[found] @ q
-                known = np.flatnonzero(scores > -np.inf)
-                best = known[np.argpartition(-scores[known], k - 1)[:k]] if len(known) > k else known
-                break
-            radius *= GROWTH
-        # ties at the k-th place are all handed on
-        if len(best):
-            best = np.flatnonzero(scores >= scores[best].min() - 1e-12)
-        out.append((best, scores[best]))
+        out.append((best, scores))
     return out
 
 
