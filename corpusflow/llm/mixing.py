@@ -15,6 +15,8 @@ WEIGHTS, MOST = (5, 2, 1), 3
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash ranges per source in which whole documents are taken before the one range that is ordered.
 RANGES = 4096
+#: No source, where null is one.
+_NONE = object()
 
 
 def targets(sizes: list[int], weights: list[int], most: int = MOST) -> list[Fraction]:
@@ -52,10 +54,10 @@ def min_cost_flow(patterns: dict[tuple, int], quotas: dict, most: int = MOST) ->
                 if room[p] > 0:
                     for s in p:
                         if s not in seen:
-                            seen[s] = (p, n, None)
+                            seen[s] = (p, n, _NONE)
                             front.append(s)
-            end = None
-            while front and end is None:
+            end = _NONE
+            while front and end is _NONE:
                 s = front.pop(0)
                 if need.get(s, 0) > 0:
                     end = s
@@ -66,19 +68,19 @@ def min_cost_flow(patterns: dict[tuple, int], quotas: dict, most: int = MOST) ->
                             if other not in seen:
                                 seen[other] = (p, m, s)
                                 front.append(other)
-            if end is None:
+            if end is _NONE:
                 break
             steps, s = [], end
             while True:
                 p, m, via = seen[s]
                 steps.append((p, m, s, via))
-                if via is None:
+                if via is _NONE:
                     break
                 s = via
-            amount = min([need[end], room[steps[-1][0]], *(flow[(p, m, via)] for p, m, _, via in steps if via is not None)])
+            amount = min([need[end], room[steps[-1][0]], *(flow[(p, m, via)] for p, m, _, via in steps if via is not _NONE)])
             for p, m, to, via in steps:
                 flow[(p, m, to)] = flow.get((p, m, to), Fraction(0)) + amount
-                if via is not None:
+                if via is not _NONE:
                     flow[(p, m, via)] -= amount
             need[end] -= amount
             room[steps[-1][0]] -= amount
@@ -98,13 +100,15 @@ def mix_sources(docs: DataFrame, memberships: str = "sources", seed: int = 7, mo
     whatever a source's size. Sizes of 0 are never taken; an empty table gives no rows; repeated rows are taken alike.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "size", memberships, F.xxhash64(F.lit(seed), "doc_id").alias("draw"))
+    # null is a source too: as text, patterns with it are equal like others
+    rows = docs.select("doc_id", "size", memberships, F.to_json(memberships).alias("_pattern"), F.xxhash64(F.lit(seed), "doc_id").alias("draw"))
     rows = stage(rows.withColumn("range", F.shiftrightunsigned("draw", 64 - (RANGES.bit_length() - 1)).cast("int")), "sized")
-    sums = stage(rows.groupBy(memberships, "range").agg(F.sum("size").alias("words")), "ranges")
-    patterns = sums.groupBy(memberships).agg(F.sum("words").alias("words")).limit(max_patterns + 1).collect()
+    sums = stage(rows.groupBy("_pattern", "range").agg(F.sum("size").alias("words"), F.first(memberships).alias(memberships)), "ranges")
+    patterns = sums.groupBy("_pattern").agg(F.sum("words").alias("words"), F.first(memberships).alias(memberships)).limit(max_patterns + 1).collect()
     if len(patterns) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     have = {tuple(r[memberships]): r["words"] for r in patterns}
+    named = {tuple(r[memberships]): r["_pattern"] for r in patterns}
     sources = sorted({s for p in have for s in p}, key=lambda s: (s is None, s))
     own = [sum(v for p, v in have.items() if s in p) for s in sources]
     goal = dict(zip(sources, targets(own, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))], most), strict=True))
@@ -115,22 +119,22 @@ def mix_sources(docs: DataFrame, memberships: str = "sources", seed: int = 7, mo
             at = Fraction(0)
             for s in sources:
                 if v := routed.get((p, n, s)):
-                    cuts.append((list(p), n, s, float(at), float(at + v)))
+                    cuts.append((named[p], n, s, float(at), float(at + v)))
                     at += v
-    kind = docs.schema[memberships].dataType.simpleString()
     element = docs.schema[memberships].dataType.elementType.simpleString()
-    flows = spark.createDataFrame(cuts, f"p {kind}, n int, source {element}, from_word double, to_word double")
+    flows = spark.createDataFrame(cuts, f"p string, n int, source {element}, from_word double, to_word double")
     goals = spark.createDataFrame([(s, o, float(goal[s])) for s, o in zip(sources, own, strict=True)], f"source {element}, source_size long, target double")
     # words before each range within its pattern, then before each document within its range where an edge lies in that range
-    before = sums.withColumn("before", F.sum("words").over(W.partitionBy(memberships).orderBy("range")) - F.col("words"))
-    edges = before.join(F.broadcast(flows), F.col(memberships).eqNullSafe(F.col("p")) & (F.col("to_word") > F.col("before")) & (F.col("from_word") < F.col("before") + F.col("words")))
+    before = sums.withColumn("before", F.sum("words").over(W.partitionBy("_pattern").orderBy("range")) - F.col("words"))
+    edges = before.join(F.broadcast(flows), (F.col("_pattern") == F.col("p")) & (F.col("to_word") > F.col("before")) & (F.col("from_word") < F.col("before") + F.col("words")))
     whole = (F.col("from_word") <= F.col("before")) & (F.col("to_word") >= F.col("before") + F.col("words"))
-    edges = edges.groupBy(memberships, "range").agg(
+    edges = edges.groupBy("_pattern", "range").agg(
         F.first("before").alias("before"), F.bool_or(~whole).alias("cut"), F.collect_list(F.struct("source", "from_word", "to_word", "n")).alias("takes")
     )
-    found = rows.join(edges, ["range", memberships], "left")
+    found = rows.join(edges, ["_pattern", "range"], "left")
     calm = found.filter("cut is null or not cut").withColumn("middle", F.col("before") + 0.5)
-    cut = found.filter("cut").withColumn("middle", F.col("before") + F.sum("size").over(W.partitionBy(memberships, "range").orderBy("draw", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2)
+    within = W.partitionBy("_pattern", "range").orderBy("draw", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    cut = found.filter("cut").withColumn("middle", F.col("before") + F.sum("size").over(within) - F.col("size") / 2)
     both = calm.unionByName(cut)
     takes = F.filter("takes", lambda t: (t["from_word"] < F.col("middle")) & (F.col("middle") <= t["to_word"]))
     return both.select("doc_id", "size", memberships, F.when(F.col("size") > 0, takes).alias("takes")), goals

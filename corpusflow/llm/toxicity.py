@@ -100,6 +100,8 @@ class Model:
         for f in features:
             k = at(self.keys, f)
             found = k >= 0
+            if not found.any():
+                continue
             t, c = np.where(found, self.toxic[k], 0), np.where(found, self.clean[k], 0)
             share = (t + PRIOR * share) / (t + c + PRIOR)
             ratio = 2 * (t * np.log(np.maximum(t, 1) / np.maximum((t + c) * base, 1e-9)) + c * np.log(np.maximum(c, 1) / np.maximum((t + c) * (1 - base), 1e-9)))
