@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents so that sources come near their targets; a document taken n times is n rows."""
     taken, _ = mix_sources(sized(docs))
-    copies = taken.groupBy("doc_id").agg(F.max(F.coalesce(F.size("takes"), F.lit(0))).alias("_copies")).filter("_copies > 0")
-    rows = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    copies = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.coalesce(F.size("takes"), F.lit(0))).alias("_copies")).filter("_copies > 0")
+    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return rows.select(*docs.columns)
 
 
