@@ -67,7 +67,7 @@ def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * down[starts] + mix((ends - starts).astype(np.uint64)))
 
 
-def text_buffers(column, max_bytes: int = 4 << 20):
+def text_buffers(column, max_bytes: int = 1_000_000):
     """Slices of an Arrow string column as (first row, byte buffer, row offsets); null is empty. A text longer than ``max_bytes`` is a slice of its own."""
     import pyarrow as pa
 

@@ -18,10 +18,12 @@ _U = np.uint64
 #: Counters in a document's histogram of shingles; their differences bound how far two sets differ.
 CELLS = 64
 #: Lists longer than this that span components are left to one-deletion neighbourhoods.
-LONG = 128
+LONG = 32
 #: Rounds in which a list's members meet one of them only.
 STARS = 2
 MAX_SEEDS = 64
+#: Ids sent to every task (16 MB) at most, to pick texts where they lie; more ids are joined by a shuffle.
+MAX_SENT = 2_000_000
 
 
 class Plan:
@@ -88,16 +90,17 @@ class Plan:
                 sums = exact_sums(place, h, total)
                 owner = np.repeat(np.flatnonzero(chosen), used[chosen])
                 name = mix((np.arange(total) - base[owner]).astype(np.uint64) + _U(1) + (bands[owner].astype(np.uint64) << _U(40)) + (_U(seed) << _U(56)))
+                whole = members > 0
+                out_rows.append(owner[whole])
+                out_signatures.append(mix(sums[whole] ^ name[whole]))
+                void = members == 0
                 if deletions:
-                    whole, single = members > 1, members[place] > 1
-                    out_rows += [owner[whole], r[single]]
-                    out_signatures += [mix(sums[whole] ^ name[whole]), mix((sums[place] - h)[single] ^ name[place][single])]
-                    void = np.bincount(owner[~whole], minlength=len(sizes))
-                else:
-                    whole = members > 0
-                    out_rows.append(owner[whole])
-                    out_signatures.append(mix(sums[whole] ^ name[whole]))
-                    void = np.bincount(owner[~whole], minlength=len(sizes))
+                    several = members[place] > 1
+                    out_rows.append(r[several])
+                    out_signatures.append(mix((sums[place] - h)[several] ^ name[place][several]))
+                    # one shingle against none differs in one, and has no signature for it; equal sets have no such segments
+                    void |= (members == 1) & (self.most(sizes)[owner] > 0)
+                void = np.bincount(owner[void], minlength=len(sizes))
                 todo = todo[void[todo] > spare[todo]]
             if len(todo):
                 raise RuntimeError("no seed fills the segments of a set")
@@ -194,10 +197,10 @@ class _Join:
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
         apart = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
         total = F.col("n_a") + F.col("n_b")
-        likely = pairs.join(node("a"), "a").join(node("b"), "b").filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (apart * (num + den) <= total * (den - num)))
+        likely = pairs.join(node("a"), "a").join(node("b"), "b").filter(self.fits("n_a", "n_b") & (apart * (num + den) <= total * (den - num)))
         likely = stage(likely.select("a", "b", "n_a", "n_b"), "likely")
         wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-        sets = stage(sketched(self.docs.join(wanted, "doc_id", "left_semi"), self.words, self.plan, "sets"), "sets")
+        sets = stage(sketched(picked(self.docs, wanted), self.words, self.plan, "sets"), "sets")
         of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"s_{x}"))
         shared = F.size(F.array_intersect("s_a", "s_b"))
         found = likely.join(of("a"), "a").join(of("b"), "b").withColumn("shared", shared).filter(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num)
@@ -205,7 +208,7 @@ class _Join:
         self.links = found if self.links is None else self.links.unionByName(found)
 
     def classes(self, posted: DataFrame) -> DataFrame:
-        """``posted`` (signature, node) with each node's component so far, of lists that span several."""
+        """``posted`` (signature, node, n) with each node's component so far, of lists that span several."""
         known = components(self.links).withColumnsRenamed({"component": "class"})
         told = posted.join(known, "node", "left").withColumn("class", F.coalesce("class", "node"))
         span = told.groupBy("signature").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("node").alias("size")).filter("low < high")
@@ -214,13 +217,24 @@ class _Join:
     def star(self, posted: DataFrame, turn: int) -> None:
         """Each list's members meet the one of least hashed priority, so a list costs as many pairs as it has members."""
         draw = F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), F.col("node").alias("hub"))
-        hubs = posted.groupBy("signature").agg(F.min(draw)["hub"].alias("hub"))
-        self.verify(pair(posted.join(hubs, "signature").filter("hub != node").select(F.col("hub").alias("x"), F.col("node").alias("y"))))
+        hubs = posted.withColumn("m", F.col("n")).groupBy("signature").agg(F.min(F.struct(draw.alias("d"), "m")).alias("h"))
+        met = posted.join(hubs, "signature").filter((F.col("h.d.hub") != F.col("node")) & self.fits("n", "h.m"))
+        self.verify(pair(met.select(F.col("h.d.hub").alias("x"), F.col("node").alias("y"))))
+
+    def fits(self, n: str, m: str) -> F.Column:
+        """Whether sets of these sizes can be similar at all."""
+        return F.least(n, m) * self.plan.den >= F.greatest(n, m) * self.plan.num
 
     def across(self, posted: DataFrame) -> None:
         """All pairs of a list whose members lie in different components."""
-        one, two = posted.select("signature", F.col("node").alias("x"), F.col("class").alias("cx")), posted.select("signature", F.col("node").alias("y"), F.col("class").alias("cy"))
-        self.verify(pair(one.join(two, "signature").filter("x < y and cx != cy").select("x", "y")))
+        one, two = posted.select("signature", F.col("node").alias("x"), F.col("class").alias("cx"), F.col("n").alias("nx")), posted.select("signature", F.col("node").alias("y"), F.col("class").alias("cy"), F.col("n").alias("ny"))
+        self.verify(pair(one.join(two, "signature").filter(F.expr("x < y and cx != cy") & self.fits("nx", "ny")).select("x", "y")))
+
+
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of ``ids``. Ids are counted first: few enough are sent to the texts, else both are shuffled."""
+    ids = stage(ids, "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= MAX_SENT else ids, "doc_id", "left_semi")
 
 
 def pair(df: DataFrame) -> DataFrame:
@@ -228,10 +242,10 @@ def pair(df: DataFrame) -> DataFrame:
 
 
 def shared_lists(rows: DataFrame, column: str) -> DataFrame:
-    """(signature, node) of signatures that several nodes have."""
-    flat = rows.select("node", F.explode(column).alias("signature"))
+    """(signature, node, n) of signatures that several nodes have."""
+    flat = rows.select("node", "n", F.explode(column).alias("signature"))
     counted = flat.withColumn("members", F.count("node").over(W.partitionBy("signature")))
-    return stage(counted.filter("members > 1").select("signature", "node"), "lists")
+    return stage(counted.filter("members > 1").select("signature", "node", "n"), "lists")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, long: int = LONG) -> DataFrame:
@@ -261,10 +275,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     join.across(posted.filter(F.col("size") <= long))
     needy = posted.filter(F.col("size") > long).select(F.col("node").alias("doc_id")).distinct()
     if not needy.isEmpty():
-        deletions = sketched(texts.join(needy, "doc_id", "left_semi"), words, plan, "deletions").withColumnRenamed("doc_id", "node")
-        more = join.classes(shared_lists(deletions.dropDuplicates(["node"]), "items"))
-        join.star(more.select("signature", "node"), STARS)
-        join.across(join.classes(more.select("signature", "node")))
+        deletions = sketched(picked(texts, needy), words, plan, "deletions").withColumnRenamed("doc_id", "node")
+        deletions = deletions.dropDuplicates(["node"]).join(nodes.select("node", "n"), "node")
+        more = join.classes(shared_lists(deletions, "items")).select("signature", "node", "n")
+        join.star(more, STARS)
+        join.across(join.classes(more))
     found = components(join.links)
     told = meta.join(heads, ["d1", "d2"], "left").join(found, "node", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id"))
