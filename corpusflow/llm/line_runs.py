@@ -29,7 +29,8 @@ def numbered(keys: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
-    """Prefix doubling over the repeated lines of all documents: the tables (doc_id, seg, pos, rank) for prefixes of 1, 2, 4 ... lines.
+    """Prefix doubling over the repeated lines of all documents: the tables (doc_id, seg, pos, rank) for prefixes of 1, 2, 4 ... lines;
+    from the second on with ``parent``, the rank of the prefix of half the length. Other columns of ``lines`` stay in the first.
 
     A line that occurs once ends every repeat, so documents are cut there into segments (``seg``) and only repeated lines take part.
     A round's rank orders pairs (rank of a prefix, rank of the prefix that follows it); equal ranks are equal prefixes, and the end of a
@@ -38,7 +39,7 @@ def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
     """
     counts = lines.groupBy("h1", "h2").agg(F.count("pos").alias("n")).filter("n > 1").select("h1", "h2")
     ids = numbered(counts, ["h1", "h2"])
-    repeated = stage(lines.join(ids, ["h1", "h2"]).select("doc_id", "pos", "rank"), "repeated-lines")
+    repeated = stage(lines.join(ids, ["h1", "h2"]).drop("h1", "h2"), "repeated-lines")
     by_doc = W.partitionBy("doc_id").orderBy("pos")
     level = stage(repeated.dropDuplicates(["doc_id", "pos"]).withColumn("seg", F.col("pos") - F.row_number().over(by_doc)), "level")
     levels, groups, step = [level], ids.count(), 1
@@ -50,7 +51,7 @@ def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
         if found == groups:
             return levels
         named = pairs.withColumnsRenamed({"rank": "r", "next": "x"}).join(names, ["r", "x"])
-        level = stage(named.select("doc_id", "seg", "pos", "rank"), "level")
+        level = stage(named.select("doc_id", "seg", "pos", "rank", F.col("r").alias("parent")), "level")
         levels.append(level)
         groups, step = found, step * 2
 
@@ -68,14 +69,12 @@ def run_groups(levels: list[DataFrame], lines: int) -> DataFrame:
     return level.withColumn("q", tail).withColumn("last", last).filter("last is not null").select("doc_id", "seg", "pos", F.col("rank").alias("p"), "q")
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per maximal later copy of a run: doc_id, start_line, n_lines, source_doc_id, source_line.
+def paired_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """What OP1_SQL says: doc_id, start_line, n_lines, source_doc_id, source_line of later copies of runs of just ``min_lines`` lines,
+    each from where that run occurs first; copies that go on line by line from one source are one row.
 
-    Every run of ``min_lines`` lines is kept where it occurs first (least doc_id, then line) and is a copy elsewhere; copies that go on
-    line by line from one source are one run. Lines are numbered from 0; lines below ``min_chars`` normalised characters are
-    in no run. Null texts and null doc_ids have no lines; rows with equal doc_id count as one document, the
-    lines of one of them at a position; an empty table gives no rows. No task holds more than a segment of one document or, for a run that
-    very many documents share, one row per task.
+    A copy whose first lines also stand in an earlier document than its source comes as two rows that overlap, and a line below
+    ``min_chars`` ends a run; ``repeated_runs`` has neither limit.
     """
     levels = suffix_ranks(stage(line_table(docs, min_chars), "lines"))
     runs = stage(run_groups(levels, min_lines), "runs")
@@ -92,6 +91,70 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
     ).drop("run")
 
 
+def longest_copies(levels: list[DataFrame]) -> DataFrame:
+    """(doc_id, seg, pos, n, source_doc_id, source_pos): for each place whose line occurs earlier, the most lines from there that do, and
+    where these occur first. Earlier is by document, then line; a copy may overlap its source.
+
+    A place that is first among equal prefixes of 2n lines, but not of n, has its length in between. Only such places, one for each
+    prefix of 2n lines, are refined: a group of equal prefixes is split by the next h lines, for h from n/2 down to 1 by the stored
+    levels. The firsts of its parts go on as they are, and each part goes on h lines longer. This is the descent to the longest common
+    prefix for all suffixes at once; a group's first place and length name it. Places that are equal to the end of their segments are
+    tied in the last level, and copies whole. Groups are summed and joined, so none is one task.
+    """
+    place = F.struct("doc_id", "pos", "seg")
+    items = None
+    for k in range(len(levels) - 1):
+        reps = levels[k + 1].groupBy("rank").agg(F.min(place).alias("at"), F.min("parent").alias("parent"))
+        heads = reps.groupBy("parent").agg(F.min("at").alias("head"), F.count("at").alias("n")).filter("n > 1").drop("n")
+        found = reps.join(heads, "parent").select("at.*", F.col("head.doc_id").alias("source_doc_id"), F.col("head.pos").alias("source_pos"), F.lit(1 << k).alias("n"))
+        items = found if items is None else items.unionByName(found)
+    group = ["source_doc_id", "source_pos", "n"]
+    is_first = F.col("doc_id").eqNullSafe(F.col("source_doc_id")) & (F.col("pos") == F.col("source_pos"))
+    for j in reversed(range(len(levels) - 2)):
+        items = stage(items, "items")
+        if items.filter(F.col("n") >= 2 << j).isEmpty():
+            continue
+        names = levels[j].select(F.col("doc_id").alias("_doc"), F.col("seg").alias("_seg"), F.col("pos").alias("_pos"), F.col("rank").alias("name"))
+        ahead = items.filter(F.col("n") >= 2 << j).join(names, (F.col("doc_id") == F.col("_doc")) & (F.col("seg") == F.col("_seg")) & (F.col("pos") + F.col("n") == F.col("_pos")), "left")
+        ahead = stage(ahead.select(*items.columns, F.coalesce("name", F.lit(-1)).alias("name")), "ahead")
+        parts = ahead.groupBy(*group, "name").agg(F.min(F.struct("doc_id", "pos")).alias("head"), F.count("pos").alias("members"))
+        split = ahead.join(parts, [*group, "name"])
+        heads = split.filter((F.col("doc_id") == F.col("head.doc_id")) & (F.col("pos") == F.col("head.pos"))).select(*items.columns)
+        longer = split.filter("members > 1").withColumns({"source_doc_id": F.col("head.doc_id"), "source_pos": F.col("head.pos"), "n": F.col("n") + (1 << j)}).select(*items.columns)
+        items = items.filter(F.col("n") < 2 << j).unionByName(heads).unionByName(longer)
+    last = levels[-1].select("doc_id", "seg", "pos", "rank")
+    tied = last.groupBy("rank").agg(F.min(F.struct("doc_id", "pos")).alias("head"), F.count("pos").alias("members")).filter("members > 1")
+    rest = (F.max("pos").over(W.partitionBy("doc_id", "seg")) - F.col("pos") + 1).cast("int")
+    tied = last.withColumn("n", rest).join(tied, "rank").select("doc_id", "seg", "pos", "n", F.col("head.doc_id").alias("source_doc_id"), F.col("head.pos").alias("source_pos")).filter(~is_first)
+    if items is None:
+        return tied
+    found = stage(items.filter(~is_first), "items")
+    # the first of the tied may itself be a whole copy of lines that go on elsewhere
+    older = found.select(F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), F.col("n").alias("_n"), F.col("source_doc_id").alias("_source_doc"), F.col("source_pos").alias("_source_pos"))
+    tied = tied.join(older, (F.col("source_doc_id") == F.col("_doc")) & (F.col("source_pos") == F.col("_pos")) & (F.col("n") == F.col("_n")), "left")
+    tied = tied.withColumns({"source_doc_id": F.coalesce("_source_doc", "source_doc_id"), "source_pos": F.coalesce("_source_pos", "source_pos")})
+    return found.unionByName(tied.select(found.columns))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per maximal later copy of a run: doc_id, start_line, n_lines, source_doc_id, source_line.
+
+    A copy is a run of ``min_lines`` lines or more that occurs earlier (least doc_id, then line) and is in no longer such run of its
+    document; the source is where the whole run occurs first. Lines are numbered from 0; lines below ``min_chars`` normalised
+    characters are in no run. Null texts and null doc_ids have no lines; rows with equal doc_id count as one document, the
+    lines of one of them at a position; an empty table gives no rows. No task holds more than a segment of one document or, for a run that
+    very many documents share, one row per task.
+    """
+    levels = suffix_ranks(stage(line_table(docs, min_chars), "lines"))
+    copies = stage(longest_copies(levels), "copies")
+    # where a copy ends never falls from line to line, so a copy lies in a longer one if it ends no later than that of the line before
+    before = W.partitionBy("doc_id", "seg").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    maximal = copies.withColumn("reach", F.max(F.col("pos") + F.col("n")).over(before)).filter("reach is null or reach < pos + n")
+    return maximal.filter(F.col("n") >= min_lines).select(
+        "doc_id", F.col("pos").alias("start_line"), F.col("n").cast("long").alias("n_lines"), "source_doc_id", F.col("source_pos").alias("source_line")
+    )
+
+
 def without_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """``docs`` without the lines of ``runs``; every other column and row stays. A text of which no line is left is empty."""
     gone = runs.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start_line", (F.col("start_line") + F.col("n_lines") - 1).cast("int"))))).alias("_gone"))
@@ -100,10 +163,14 @@ def without_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def op1_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired_runs(documents(spark, sf_dir))
+
+
+def op1_maximal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_runs(documents(spark, sf_dir))
 
 
-#: The same in SQL: runs of two lines, where they occur first, and copies that go on from one source.
+#: op1_line_runs in SQL: runs of two lines, where they occur first, and copies that go on from one source.
 OP1_SQL = r"""
 WITH lines AS (
   SELECT doc_id, u.pos - 1 AS pos, lower(trim(regexp_replace(u.line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import op2_jaccard_join
-from .line_runs import OP1_SQL, op1_line_runs
+from .line_runs import OP1_SQL, op1_line_runs, op1_maximal_runs
 from .mixing import op10_flow_mix
 from .packing import op7_nnls_packing
 from .secrets import op5_linked_secrets
@@ -18,6 +18,7 @@ from .vectors import op6_collision_neighbours, op8_rotated_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_runs": op1_line_runs,
+    "op1_maximal_runs": op1_maximal_runs,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxic_segments": op3_toxic_segments,
     "op4_feistel_shards": op4_feistel_shards,

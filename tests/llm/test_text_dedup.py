@@ -88,6 +88,45 @@ def test_runs_equal_sql(spark):
     assert sorted(map(tuple, op1_line_runs(spark, SMALL).select(*names.split(", ")).collect())) == want
 
 
+def brute_maximal(texts, lines):
+    """Longest earlier copy at each line, by comparing all places; those within the copy of the line before go."""
+    places = [(d, p) for d in sorted(texts) for p in range(len(texts[d]))]
+    rows = []
+    for k, (d, p) in enumerate(places):
+        best, reach = (0, None), 0
+        for e, q in places[:k]:
+            n = 0
+            while p + n < len(texts[d]) and q + n < len(texts[e]) and texts[d][p + n] == texts[e][q + n]:
+                n += 1
+            best = max(best, (n, (e, q)), key=lambda x: x[0])
+        if rows and rows[-1][0] == d:
+            reach = max(r[1] + r[2] for r in rows if r[0] == d)
+        if best[0] and p + best[0] > reach:
+            rows.append((d, p, best[0], *best[1]))
+    return [r for r in rows if r[2] >= lines]
+
+
+def test_runs_are_maximal(spark):
+    a, b, c, x, y = (f"this is line {i}" for i in "abcxy")
+    texts = {1: [x, a, b], 2: [y, a, b, c], 5: [a, b, c]}
+    got = repeated_runs(docs(spark, {d: "\n".join(t) for d, t in texts.items()})).collect()
+    assert sorted(map(tuple, got)) == [(2, 1, 2, 1, 1), (5, 0, 3, 2, 1)] == brute_maximal(texts, 2)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_maximal_runs_equal_brute_force(spark, seed):
+    draw = random.Random(seed)
+    pool = [text_of(draw, 4) for _ in range(4)]
+    texts = {i: [draw.choice(pool) if draw.random() < 0.93 else text_of(draw, 5) for _ in range(draw.randint(1, 25))] for i in range(25)}
+    for i in range(25, 40):
+        t = list(texts[draw.randrange(25)])
+        t[draw.randrange(len(t))] = draw.choice(pool)
+        texts[i] = t[draw.randrange(3) :] + texts[draw.randrange(25)]
+    texts |= {100: ["the same line again"] * 9, 101: texts[30]}
+    got = repeated_runs(docs(spark, {d: "\n".join(t) for d, t in texts.items()})).collect()
+    assert sorted(map(tuple, got)) == brute_maximal(texts, 2)
+
+
 # -- sentences
 def test_units_equal_brute_force(spark):
     draw = random.Random(5)
