@@ -10,6 +10,8 @@ from .common import documents, stage
 
 #: Lines in a run, and characters in a line (normalised), that a repeat must have.
 MIN_LINES, MIN_CHARS = 2, 8
+#: A run of fewer lines is a repeat too if it has as many words, or as many characters (for scripts without spaces).
+RUN_WORDS, RUN_CHARS = 50, 300
 
 
 def normalised(line: Column) -> Column:
@@ -23,6 +25,15 @@ def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return lines.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
+def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """As ``line_table``, but ``pos`` numbers the lines kept, so that blank and short ones are no gap; ``line`` is the place in the text,
+    ``words`` and ``chars`` are the line's sizes."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(normalised(x).alias("text"), i.alias("line")))
+    kept = docs.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.filter(lines, lambda x: F.length(x["text"]) >= min_chars)).alias("pos", "at"))
+    text = F.col("at.text")
+    return kept.select("doc_id", "pos", "at.line", F.size(F.split(text, " ")).alias("words"), F.length(text).alias("chars"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"))
+
+
 def numbered(keys: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``rank``, which orders distinct ``keys`` as ``columns`` do: a distributed sort, no counting."""
     return stage(keys.orderBy(*columns).withColumn("rank", F.monotonically_increasing_id()), "ranks")
@@ -139,26 +150,35 @@ def longest_copies(levels: list[DataFrame]) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per maximal later copy of a run: doc_id, start_line, n_lines, source_doc_id, source_line.
 
-    A copy is a run of ``min_lines`` lines or more that occurs earlier (least doc_id, then line) and is in no longer such run of its
-    document; the source is where the whole run occurs first. Lines are numbered from 0; lines below ``min_chars`` normalised
-    characters are in no run. Null texts and null doc_ids have no lines; rows with equal doc_id count as one document, the
+    A copy is a run that occurs earlier (least doc_id, then line) and is in no longer such run of its document, of ``min_lines`` lines
+    or more, or of RUN_WORDS words or RUN_CHARS characters or more; the source is where the whole run occurs first. Lines are numbered
+    from 0. Lines below ``min_chars`` normalised characters neither belong to a run nor end one; ``n_lines`` counts those between.
+    Null texts and null doc_ids have no lines; rows with equal doc_id count as one document, the
     lines of one of them at a position; an empty table gives no rows. No task holds more than a segment of one document or, for a run that
     very many documents share, one row per task.
     """
-    levels = suffix_ranks(stage(line_table(docs, min_chars), "lines"))
+    levels = suffix_ranks(stage(kept_lines(docs, min_chars), "lines"))
     copies = stage(longest_copies(levels), "copies")
     # where a copy ends never falls from line to line, so a copy lies in a longer one if it ends no later than that of the line before
     before = W.partitionBy("doc_id", "seg").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     maximal = copies.withColumn("reach", F.max(F.col("pos") + F.col("n")).over(before)).filter("reach is null or reach < pos + n")
-    return maximal.filter(F.col("n") >= min_lines).select(
-        "doc_id", F.col("pos").alias("start_line"), F.col("n").cast("long").alias("n_lines"), "source_doc_id", F.col("source_pos").alias("source_line")
-    )
-
-
-def without_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """``docs`` without the lines of ``runs``; every other column and row stays. A text of which no line is left is empty."""
+    so_far = W.partitionBy("doc_id", "seg").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    sized = levels[0].select("doc_id", "pos", "line", "words", "chars", F.sum("words").over(so_far).alias("sum_words"), F.sum("chars").over(so_far).alias("sum_chars"))
+    sized = stage(sized, "sized")
+    start = sized.select("doc_id", "pos", F.col("line").alias("start_line"), (F.col("sum_words") - F.col("words")).alias("words"), (F.col("sum_chars") - F.col("chars")).alias("chars"))
+    end = sized.select("doc_id", F.col("pos").alias("end_pos"), F.col("line").alias("end_line"), "sum_words", "sum_chars")
+    source = sized.select(F.col("doc_id").alias("source_doc_id"), F.col("pos").alias("source_pos"), F.col("line").alias("source_line"))
+    runs = maximal.withColumn("end_pos", F.col("pos") + F.col("n") - 1).join(start, ["doc_id", "pos"]).join(end, ["doc_id", "end_pos"])
+    enough = (F.col("n") >= min_lines) | (F.col("sum_words") - F.col("words") >= RUN_WORDS) | (F.col("sum_chars") - F.col("chars") >= RUN_CHARS)
+    return runs.filter(enough).join(source, ["source_doc_id", "source_pos"]).select("doc_id", "start_line", (F.col("end_line") - F.col("start_line") + 1).cast("long").alias("n_lines"), "source_doc_id", "source_line")
+
+
+def without_runs(docs: DataFrame, runs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` without the lines of ``runs`` and the blank ones between them; short lines between, which may differ from the source's,
+    stay, as does every other column and row. A text of which no line is left is empty."""
     gone = runs.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start_line", (F.col("start_line") + F.col("n_lines") - 1).cast("int"))))).alias("_gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    size = lambda line: F.length(normalised(line))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i) | size(line).between(1, min_chars - 1)), "\n")
     return docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
 
 

@@ -127,6 +127,25 @@ def test_maximal_runs_equal_brute_force(spark, seed):
     assert sorted(map(tuple, got)) == brute_maximal(texts, 2)
 
 
+def test_runs_cross_blank_lines_and_one_long_line_is_a_run(spark):
+    draw = random.Random(9)
+    passage, floor, less = text_of(draw, 60), text_of(draw, 50), " ".join(["word"] * 49)
+    texts = {
+        1: "first paragraph here\n\nsecond paragraph here\nab\nthird paragraph here",
+        2: "opening of the copy\nfirst paragraph here\n\n  \nsecond paragraph here\ncd\nthird paragraph here\nthe end of it",
+        3: f"{passage}\nown text of three\n{less}\n{floor}",
+        4: f"own text of four\n{passage}\nmore own text of four\n{less}",
+        5: floor.upper(),
+        6: "あ" * 300,
+        7: "あ" * 300 + "\n\nsome more text",
+    }
+    df = docs(spark, texts)
+    runs = repeated_runs(df)
+    assert sorted(map(tuple, runs.collect())) == [(2, 1, 6, 1, 0), (4, 1, 1, 3, 0), (5, 0, 1, 3, 3), (7, 0, 1, 6, 0)]
+    left = {r["doc_id"]: r["text"] for r in without_runs(df, runs).collect()}
+    assert left == texts | {2: "opening of the copy\ncd\nthe end of it", 4: f"own text of four\nmore own text of four\n{less}", 5: "", 7: "\nsome more text"}
+
+
 # -- sentences
 def test_units_equal_brute_force(spark):
     draw = random.Random(5)
