@@ -1,4 +1,4 @@
-"""Substring dedup: sentences, lines or paragraphs are hashed, the earliest of equal ones stays, the others go."""
+"""Substring dedup: sentences, lines and paragraphs are hashed, the earliest of equal ones stays, the others go."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from .common import documents, stage
 ENDS = {"sentence": re.compile(r"[.!?][\x20\t]+|\n+"), "line": re.compile(r"\n"), "paragraph": re.compile(r"\n[\x20\t]*\n+")}
 #: Units with fewer words, or shorter when normalised, are too common to call a repeat.
 MIN_WORDS, MIN_CHARS = 5, 24
+#: What the query takes: a repeat of any of these goes, so a line of short sentences counts as a whole.
+ALL = ("line", "paragraph", "sentence")
 UNITS = "doc_id long, start long, end long, h1 long, h2 long"
 
 
@@ -27,9 +29,9 @@ def units_of(text: str, ends: re.Pattern) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
-def hashed_units(docs: DataFrame, unit: str, min_words: int, min_chars: int) -> DataFrame:
+def hashed_units(docs: DataFrame, kinds: tuple[str, ...], min_words: int, min_chars: int) -> DataFrame:
     """Start, end (code points of the original text) and 128-bit digest of each unit long enough, normalised to lower case words
-    with single spaces. Of equal units in one document only the first comes with its own row; later ones come with ``end`` negated."""
+    with single spaces. Units of several kinds that have the same words at one place are one. Of equal units in one document only the first comes with its own row; later ones come with ``end`` negated."""
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -38,19 +40,22 @@ def hashed_units(docs: DataFrame, unit: str, min_words: int, min_chars: int) ->
         for batch in batches:
             ids, starts, stops, digests = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text, seen = text.as_py() or "", set()
-                for s, e in units_of(text, ENDS[unit]):
+                text, found, first = text.as_py() or "", {}, {}
+                for s, e in {x for kind in kinds for x in units_of(text, ENDS[kind])}:
                     if e - s < min_chars:
                         continue
-                    words = text[s:e].lower().split()
+                    words = (piece := text[s:e]).lower().split()
                     if len(words) < min_words or len(norm := " ".join(words)) < min_chars:
                         continue
-                    digest = xxh3_128_digest(norm)
+                    # blanks before the first word are no difference of place
+                    place, digest = e - len(piece.lstrip()), xxh3_128_digest(norm)
+                    old = found.get((place, digest), (s, e))
+                    found[place, digest] = min(s, old[0]), max(e, old[1])
+                for (place, digest), (s, e) in sorted(found.items()):
                     ids.append(doc_id)
                     starts.append(s)
-                    stops.append(-e if digest in seen else e)
+                    stops.append(e if first.setdefault(digest, place) == place else -e)
                     digests.append(digest)
-                    seen.add(digest)
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             columns = [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "h1", "h2"])
@@ -58,15 +63,16 @@ def hashed_units(docs: DataFrame, unit: str, min_words: int, min_chars: int) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, UNITS)
 
 
-def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_units(docs: DataFrame, unit: str | tuple[str, ...] = "sentence", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per unit to remove: doc_id, start, end, kept_doc_id, the document of least doc_id that holds the unit first.
+    With several kinds of ``unit`` rows may nest: what goes is their union.
 
     Offsets are code points of the original text, end exclusive. Digests are summed before they are shuffled, so a unit that a third
     of all documents hold costs a row per task there; only digests of several documents meet the units again, by a join that Spark
     may split where a digest is frequent. Null and empty texts have no units; rows with equal doc_id count as one document; other
     columns are not read.
     """
-    units = stage(hashed_units(docs, unit, min_words, min_chars), "units")
+    units = stage(hashed_units(docs, (unit,) if isinstance(unit, str) else unit, min_words, min_chars), "units")
     keepers = units.groupBy("h1", "h2").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last_doc_id"))
     shared = keepers.filter("last_doc_id > kept_doc_id").drop("last_doc_id")
     across = units.filter("end > 0").join(shared, ["h1", "h2"]).filter("doc_id > kept_doc_id")
@@ -83,7 +89,7 @@ def without_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
         pieces = F.aggregate(
             spans,
             F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("kept")),
-            lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["kept"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))).alias("kept")),
+            lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["kept"], F.substring(text, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))).alias("kept")),
         )
         return F.concat(pieces["kept"], F.substring(text, (pieces["at"] + 1).cast("int"), F.lit(2**31 - 1)))
 
@@ -91,4 +97,4 @@ def without_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def op9_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(documents(spark, sf_dir))
+    return repeated_units(documents(spark, sf_dir), ALL)

@@ -13,7 +13,7 @@ import pytest
 from corpusflow.llm import jaccard
 from corpusflow.llm.jaccard import Plan, jaccard_components
 from corpusflow.llm.line_runs import OP1_SQL, op1_line_runs, repeated_runs, without_runs
-from corpusflow.llm.unit_dedup import repeated_units, without_units
+from corpusflow.llm.unit_dedup import ALL, repeated_units, without_units
 
 from ..conftest import SMALL
 from .helpers import docs, text_of, with_clashes
@@ -175,6 +175,18 @@ def test_units_equal_brute_force(spark):
     assert repeated_units(df.limit(0)).count() == 0
 
 
+def test_units_of_all_kinds(spark):
+    """A line or a paragraph of short sentences goes whole; a place counts once, whatever its kinds."""
+    line = "Go on. Not yet. Be still. Who is it? Come in. Sit down."
+    whole = "Short one.\nShort two.\nShort three here."
+    texts = {1: f"\n{line}\nown words of one", 2: f"own words of two\n{line}\nrest", 3: f"{whole}\n\ntail of three", 4: f"head of four\n\n{whole}", 5: f"\n\n{line.lower()}"}
+    df = docs(spark, texts)
+    removed = repeated_units(df, ALL)
+    assert sorted({(r["doc_id"], r["kept_doc_id"]) for r in removed.collect()}) == [(2, 1), (4, 3), (5, 1)]
+    left = {r["doc_id"]: r["text"] for r in without_units(df, removed).collect()}
+    assert {d: t.strip() for d, t in left.items()} == {1: texts[1].strip(), 2: "own words of two\nrest", 3: texts[3], 4: "head of four", 5: ""}
+
+
 # -- Jaccard
 def shingles(t, words):
     w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
