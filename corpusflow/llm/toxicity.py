@@ -149,11 +149,8 @@ def scored(docs: DataFrame, model) -> DataFrame:
                 starts, ends, rows, features = tokens(buf, offsets)
                 if not len(rows):
                     continue
+                # a repeated token has its weight each time, else a second passage in the same words would be none
                 weights = m.weights(features)
-                # a token counts once in a document, as it did in the counts
-                order = np.lexsort((np.arange(len(rows)), features[-1], rows))
-                again = np.concatenate(([False], (features[-1][order][1:] == features[-1][order][:-1]) & (rows[order][1:] == rows[order][:-1])))
-                weights[order[again]] = np.minimum(weights[order[again]], -DRIFT)
                 points = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
                 bounds = np.searchsorted(rows, np.arange(len(offsets)))
                 hot = np.zeros(len(rows) + 1, np.int64)

@@ -253,6 +253,17 @@ def test_toxicity(spark):
     assert len(blank) == 1 and blank[0]["_predicted"] in (0, 1)
 
 
+def test_a_second_toxic_passage_in_the_same_words(spark):
+    draw = random.Random(3)
+    passage = "vilex grotz snarfel vilex grotz snarfel"
+    texts = {i: " ".join([text_of(draw, 40), *(draw.sample(passage.split()[:3], 3) if i % 6 == 0 else []), text_of(draw, 40)]) for i in range(600)}
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in texts], "doc_id long, quality int, toxic int")
+    once = f"{text_of(draw, 400)} {passage} {text_of(draw, 400)}"
+    texts |= {5000: f"{once} {passage} {text_of(draw, 50)}"}
+    got = next(r for r in toxicity.score_toxicity(docs(spark, texts), labels).collect() if r["doc_id"] == 5000)
+    assert [texts[5000][s["start"] : s["end"]] for s in got["_spans"]] == [passage, passage]
+
+
 # -- vectors
 def test_components(spark):
     draw = random.Random(9)
