@@ -6,9 +6,12 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+#: Rows of a few numbers that may be broadcast (some tens of MB); more are joined by a shuffle.
+MAX_SENT = 500_000
 
 #: Odd multiplier of the polynomial byte hash, and its inverse modulo 2**64.
 _P = 0x9E3779B97F4A7C15
@@ -17,10 +20,12 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary folder, which only a local master shares."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="corpusflow-")
@@ -29,10 +34,59 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder as Parquet and reads it back: cuts the lineage, survives lost executors."""
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Owns the tables that an operator writes between its jobs, and deletes them: each when it is dropped, all that are left at the end.
+
+    An operator's result is a table of its own (``stage``) or reads inputs only, so it outlives the scratch tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths.values():
+            self._delete(path)
+        self.paths.clear()
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = _written(df, name)
+        # the table itself is kept, or its id could be given to another
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more; those it doesn't own stay."""
+        for table in tables:
+            if held := self.paths.pop(id(table), None):
+                self._delete(held)
+
+    def _delete(self, held: tuple[DataFrame, str]) -> None:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(held[1])
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few numbers a row, to be broadcast if it is counted to have no more than MAX_SENT rows."""
+    return F.broadcast(df) if df.count() <= MAX_SENT else df
+
+
+def row_keys(*columns: str) -> list[Column]:
+    """k1, k2: 128 bits that tell rows apart by ``columns``, nulls included, whatever ids repeat."""
+    return [F.xxhash64(F.lit(salt), *[F.col(c).isNull() for c in columns], *columns).alias(f"k{salt}") for salt in (1, 2)]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Scratch, stage
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b): the least node that can be reached.
+def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stage) -> DataFrame:
+    """(node, component) for every node of ``edges`` (a, b): the least node that can be reached; a table written by ``keep``.
 
     Each round, every node joins the neighbour of least hashed priority (or itself), and edges between joined nodes are what is left.
-    Priorities change by round, so chains stay short and the nodes left shrink by a constant factor; each round is a written table.
-    Loops and repeated edges do no harm.
+    Priorities change by round, so chains stay short and the nodes left shrink by a constant factor; each round is a written table,
+    deleted once the next is there. Loops and repeated edges do no harm.
     """
-    left = stage(edges.select("a", "b").filter("a != b").distinct(), "edges")
-    nodes = stage(left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct().withColumn("now", F.col("node")), "nodes")
-    step = 0
-    while not left.isEmpty():
-        both = left.union(left.select("b", "a"))
-        draw = lambda c: F.struct(F.xxhash64(F.lit(step), c).alias("draw"), F.col(c).alias("id"))  # noqa: B023, E731
-        joined = both.groupBy("a").agg(F.min(draw("b")).alias("best"))
-        joined = stage(joined.select(F.col("a").alias("was"), F.least(F.col("best"), draw("a"))["id"].alias("to")), "joined")
-        nodes = stage(nodes.join(joined, F.col("now") == F.col("was"), "left").select("node", F.coalesce("to", "now").alias("now")), "nodes")
-        moved = left.join(joined.select(F.col("was").alias("a"), F.col("to").alias("x")), "a").join(joined.select(F.col("was").alias("b"), F.col("to").alias("y")), "b")
-        left = stage(moved.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        step += 1
-    roots = nodes.groupBy("now").agg(F.min("node").alias("component"))
-    return nodes.join(roots, "now").select("node", "component")
+    with Scratch(edges.sparkSession) as scratch:
+        left = scratch.stage(edges.select("a", "b").filter("a != b").distinct(), "edges")
+        nodes = scratch.stage(left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct().withColumn("now", F.col("node")), "nodes")
+        step = 0
+        while not left.isEmpty():
+            both = left.union(left.select("b", "a"))
+            draw = lambda c: F.struct(F.xxhash64(F.lit(step), c).alias("draw"), F.col(c).alias("id"))  # noqa: B023, E731
+            joined = both.groupBy("a").agg(F.min(draw("b")).alias("best"))
+            joined = scratch.stage(joined.select(F.col("a").alias("was"), F.least(F.col("best"), draw("a"))["id"].alias("to")), "joined")
+            now = scratch.stage(nodes.join(joined, F.col("now") == F.col("was"), "left").select("node", F.coalesce("to", "now").alias("now")), "nodes")
+            moved = left.join(joined.select(F.col("was").alias("a"), F.col("to").alias("x")), "a").join(joined.select(F.col("was").alias("b"), F.col("to").alias("y")), "b")
+            rest = scratch.stage(moved.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+            scratch.drop(nodes, left, joined)
+            nodes, left, step = now, rest, step + 1
+        roots = nodes.groupBy("now").agg(F.min("node").alias("component"))
+        return keep(nodes.join(roots, "now").select("node", "component"), "components")

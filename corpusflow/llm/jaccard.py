@@ -4,75 +4,59 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import ascii_lower, documents, mix, segment_hashes, stage, text_buffers, word_bounds
+from .common import Scratch, ascii_lower, documents, mix, row_keys, segment_hashes, sent, stage, text_buffers, word_bounds
 from .graph import components
 
 _U = np.uint64
 #: Counters in a document's histogram of shingles; their differences bound how far two sets differ.
 CELLS = 64
-#: Lists longer than this that span components are left to one-deletion neighbourhoods.
-LONG = 32
-#: Rounds in which a list's members meet one of them only.
-STARS = 2
+#: What comparing a pair costs, in one-deletion signatures.
+PAIR_COST = 16
 MAX_SEEDS = 64
-#: Ids sent to every task (16 MB) at most, to pick texts where they lie; more ids are joined by a shuffle.
-MAX_SENT = 2_000_000
 
 
 class Plan:
-    """Sizes fall into bands; a band's sets are hashed into segments enough that similar sets agree on some.
+    """Sizes fall into bands; a band's sets are hashed into segments, of which each posts the first few.
 
-    With Jaccard similarity of at least num / den, sets of n and n' >= n shingles differ in at most ``most(n)`` of them. Of ``most(n)`` +
-    1 + spare segments, more than ``spare`` then agree, and at least one of these isn't empty if one of the sets has no more than
-    ``spare`` empty ones. A set with more is hashed again, under the next seed, besides. With one-deletion neighbourhoods a segment
-    may differ in one shingle, so that half as many, larger ones do: they cost a signature for each shingle. The allocation is by cost:
-    each segment once, as a whole, and deletions only for sets whose whole segments lie in long lists.
+    With Jaccard similarity of at least num / den, sets of n and n' >= n shingles differ in at most ``most(n)`` of them. A set posts its
+    segments in order until ``most(n)`` + 1 of them aren't empty; of any two similar sets, the one that stops first has a segment among
+    these that both agree on. With one-deletion neighbourhoods a segment may differ in one shingle, so that half as many, larger
+    ones do: they cost a signature for each shingle. A set that has too few segments to post is hashed again, under the next seed, besides.
+    The allocation is by cost: each segment once, as a whole, and deletions for sets with a segment in a list whose pairs cost more.
     """
 
+    #: Sizes in a band differ by this factor. A set near the upper end posts in the next band too.
+    RATIO = 4
+
     def __init__(self, num: int, den: int):
         if 10 * num < 7 * den:
-            raise ValueError("similarities below 0.7 need wider bands")
+            raise ValueError("similarities below 0.7 are not meant here")
         g = math.gcd(num, den)
         self.num, self.den = num // g, den // g
-        self.edges = [1]
-        while self.edges[-1] < 1 << 40:
-            self.edges.append(max(self.edges[-1] + 1, self.edges[-1] * 3 // 2))
 
     def most(self, n):
         return ((self.den - self.num) * (n + n * self.den // self.num)) // (self.den + self.num)
 
-    @lru_cache(maxsize=4096)  # noqa: B019
-    def segments(self, band: int, deletions: bool) -> tuple[int, int]:
-        """Segments and spare ones of a band."""
-        low, high = max(1, self.edges[band] * self.num // self.den), self.edges[band + 1] - 1
-        need = lambda n: (self.most(n) // 2 if deletions else self.most(n)) + 1
-        spare = 0
-        for _ in range(2 if high >= 24 else 0):
-            m = need(high) + spare
-            # a segment of one shingle is as good as empty where a deletion may empty it
-            void = max((need(n) + spare) * math.exp(-n / m) * (1 + n / m if deletions else 1) for n in (low, high))
-            spare = math.ceil(void + 1.7 * math.sqrt(void))
-        return need(high) + spare, spare
+    def need(self, n, deletions: bool):
+        return (self.most(n) // 2 if deletions else self.most(n)) + 1
 
     def signatures(self, rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, deletions: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(row, signature) of all sets; ``rows`` is sorted and says whose shingle each hash is, ``sizes`` has the sets' sizes."""
-        own = np.searchsorted(self.edges, sizes, "right") - 1
-        reach = np.searchsorted(self.edges, sizes * self.den // self.num, "right") - 1
+        edges = self.RATIO ** np.arange(1, 31, dtype=np.int64)
+        own, reach = np.searchsorted(edges, sizes, "right"), np.searchsorted(edges, sizes * self.den // self.num, "right")
+        need = self.need(sizes, deletions)
         out_rows, out_signatures = [], []
         for shift in (0, 1):
             bands = own + shift
             todo = np.flatnonzero((sizes > 0) & (reach >= bands))
-            shape = np.array([self.segments(int(b), deletions) for b in bands[todo].tolist()], np.int64).reshape(-1, 2)
-            count, spare = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-            count[todo], spare[todo] = shape[:, 0], shape[:, 1]
-            used = (self.most(sizes) // 2 if deletions else self.most(sizes)) + 1 + spare
+            most_needed = self.need(edges[bands] - 1, deletions)
+            segments = most_needed + most_needed // 10 + 2
             for seed in range(MAX_SEEDS):
                 if not len(todo):
                     break
@@ -80,28 +64,30 @@ class Plan:
                 chosen[todo] = True
                 at = np.flatnonzero(chosen[rows])
                 r, h = rows[at], hashes[at]
-                segment = (mix(h + _U(0x51ED27 + seed)) % count[r].astype(np.uint64)).astype(np.int64)
-                inside = segment < used[r]
-                r, h, segment = r[inside], mix(h[inside] ^ _U(0xA5A5A5A5)), segment[inside]
-                base = np.cumsum(np.where(chosen, used, 0)) - np.where(chosen, used, 0)
-                place = base[r] + segment
-                total = int(np.where(chosen, used, 0).sum())
-                members = np.bincount(place, minlength=total)
+                count = np.where(chosen, segments, 0)
+                base = np.cumsum(count) - count
+                place = base[r] + (mix(h + _U(0x51ED27 + seed)) % segments[r].astype(np.uint64)).astype(np.int64)
+                h = mix(h ^ _U(0xA5A5A5A5))
+                total = int(count.sum())
+                members, owner = np.bincount(place, minlength=total), np.repeat(np.arange(len(sizes)), count)
+                fine = members > 0
+                if deletions:
+                    # one shingle against none differs in one, and has no signature for it; equal sets have no such segments
+                    fine &= (members > 1) | (self.most(sizes)[owner] == 0)
+                so_far = np.concatenate(([0], np.cumsum(fine)))
+                so_far = so_far[:-1] - so_far[base[owner]]
+                posted = so_far < need[owner]
                 sums = exact_sums(place, h, total)
-                owner = np.repeat(np.flatnonzero(chosen), used[chosen])
                 name = mix((np.arange(total) - base[owner]).astype(np.uint64) + _U(1) + (bands[owner].astype(np.uint64) << _U(40)) + (_U(seed) << _U(56)))
-                whole = members > 0
+                whole = posted & (members > 0)
                 out_rows.append(owner[whole])
                 out_signatures.append(mix(sums[whole] ^ name[whole]))
-                void = members == 0
                 if deletions:
-                    several = members[place] > 1
+                    several = (posted & (members > 1))[place]
                     out_rows.append(r[several])
                     out_signatures.append(mix((sums[place] - h)[several] ^ name[place][several]))
-                    # one shingle against none differs in one, and has no signature for it; equal sets have no such segments
-                    void |= (members == 1) & (self.most(sizes)[owner] > 0)
-                void = np.bincount(owner[void], minlength=len(sizes))
-                todo = todo[void[todo] > spare[todo]]
+                reached = np.bincount(owner[fine & posted], minlength=len(sizes))
+                todo = todo[reached[todo] < need[todo]]
             if len(todo):
                 raise RuntimeError("no seed fills the segments of a set")
         if not out_rows:
@@ -110,10 +96,13 @@ class Plan:
 
 
 def exact_sums(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of 64-bit values by place, modulo 2**64; halves are summed as doubles, exact below 2**21 values a place."""
-    low = np.bincount(place, (values & _U(0xFFFFFFFF)).astype(np.float64), n).astype(np.uint64)
-    high = np.bincount(place, (values >> _U(32)).astype(np.float64), n).astype(np.uint64)
-    return low + (high << _U(32))
+    """Sums of 64-bit values by place, modulo 2**64. Halves are summed as doubles, exact for up to 2**21 values at a time."""
+    out = np.zeros(n, np.uint64)
+    for at in range(0, len(values), 1 << 21):
+        p, v = place[at : at + (1 << 21)], values[at : at + (1 << 21)]
+        low, high = (np.bincount(p, x.astype(np.float64), n).astype(np.uint64) for x in (v & _U(0xFFFFFFFF), v >> _U(32)))
+        out += low + (high << _U(32))
+    return out
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,12 +115,12 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
     h = segment_hashes(low, starts, ends)
     counts = np.bincount(rows, minlength=len(offsets) - 1)
     first = np.cumsum(counts) - counts
-    acc, factor = np.zeros(n, np.uint64), _U(1)
+    acc, factor = np.zeros(n, np.uint64), 1
     length = np.minimum(counts, words)[rows]
     for j in range(words):
         shifted = np.concatenate((h[j:], np.zeros(min(j, n), np.uint64)))
-        acc = acc + np.where(j < length, mix(shifted) * factor, _U(0))
-        factor = factor * _U(0xD6E8FEB86659FD93)
+        acc = acc + np.where(j < length, mix(shifted) * _U(factor), _U(0))
+        factor = factor * 0xD6E8FEB86659FD93 % 2**64
     acc = mix(acc + length.astype(np.uint64))
     whole = np.arange(n) - first[rows] <= counts[rows] - length
     rows, acc = rows[whole], acc[whole]
@@ -151,41 +140,67 @@ def lists(rows: np.ndarray, values: np.ndarray, n: int):
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
-def sketched(docs: DataFrame, words: int, plan: Plan, kind: str) -> DataFrame:
-    """Of every text, as ``kind`` says: doc_id, n, d1, d2 (digest of the set), cells, signatures ("whole"); or doc_id and signatures of
-    one-deletion neighbourhoods ("deletions"), or the set itself ("sets")."""
-    out = "doc_id long, n long, d1 long, d2 long, cells array<short>, signatures array<long>" if kind == "whole" else "doc_id long, items array<long>"
+def sketched(texts: DataFrame, words: int, plan: Plan, kind: str) -> DataFrame:
+    """``texts`` with the columns that ``kind`` says in place of ``text``: n, d1, d2 (digest of the set), cells, signatures ("whole"); or
+    d1, d2 and as items the signatures of one-deletion neighbourhoods ("deletions") or the set itself ("sets")."""
+    kept = [f for f in texts.schema if f.name != "text"]
+    made = "d1 long, d2 long, " + ("n long, cells array<short>, signatures array<long>" if kind == "whole" else "items array<long>")
+    schema = StructType([*kept, *StructType.fromDDL(made)])
+    text_at = texts.columns.index("text")
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for first, buf, offsets in text_buffers(batch.column(1)):
+            for first, buf, offsets in text_buffers(batch.column(text_at)):
                 m = len(offsets) - 1
-                ids = batch.column(0).slice(first, m)
                 rows, h = shingle_sets(buf, offsets, words)
                 sizes = np.bincount(rows, minlength=m)
+                columns = [batch.column(k).slice(first, m) for k in range(batch.num_columns) if k != text_at]
+                columns += [pa.array(exact_sums(rows, mix(h ^ _U(k)), m).view(np.int64)) for k in (0x1234567, 0x89ABCDE)]
                 if kind == "sets":
-                    yield pa.RecordBatch.from_arrays([ids, lists(rows, h.view(np.int64), m)], names=["doc_id", "items"])
-                    continue
-                r, s = plan.signatures(rows, h, sizes, kind == "deletions")
-                if kind == "deletions":
-                    yield pa.RecordBatch.from_arrays([ids, lists(r, s.view(np.int64), m)], names=["doc_id", "items"])
-                    continue
-                digests = [exact_sums(rows, mix(h ^ _U(k)), m).view(np.int64) for k in (0x1234567, 0x89ABCDE)]
-                cells = np.bincount(rows * CELLS + (h % _U(CELLS)).astype(np.int64), minlength=m * CELLS)
-                cells = pa.ListArray.from_arrays(pa.array(np.arange(0, m * CELLS + 1, CELLS, dtype=np.int32)), pa.array(np.minimum(cells, 32767).astype(np.int16)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), *map(pa.array, digests), cells, lists(r, s.view(np.int64), m)], names=["doc_id", "n", "d1", "d2", "cells", "signatures"])
+                    columns.append(lists(rows, h.view(np.int64), m))
+                else:
+                    r, s = plan.signatures(rows, h, sizes, kind == "deletions")
+                    if kind == "whole":
+                        cells = np.bincount(rows * CELLS + (h % _U(CELLS)).astype(np.int64), minlength=m * CELLS)
+                        columns += [pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.arange(0, m * CELLS + 1, CELLS, dtype=np.int32)), pa.array(np.minimum(cells, 32767).astype(np.int16)))]
+                    columns.append(lists(r, s.view(np.int64), m))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, out)
+    return texts.mapInArrow(scan, schema)
 
 
 class _Join:
-    """State of one join: nodes (one per distinct set) with their sizes and cells, links found, pairs seen."""
+    """State of one join: nodes (one per distinct set) with their sizes and cells, pairs verified, links found, classes so far.
+
+    Tables: ``nodes`` is node, k, n, d1, d2, cells; lists are (signature, node, n, members), ``open`` ones also have each member's
+    ``class`` and the list's hub.
+    """
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, words: int, plan: Plan, scratch: Scratch):
+        self.texts, self.nodes, self.words, self.plan, self.scratch = texts, nodes, words, plan, scratch
+        self.links: DataFrame | None = None
+        self.seen: DataFrame | None = None
+        self.known: DataFrame | None = None
+
+    def fits(self, n: Column, m: Column) -> Column:
+        """Whether sets of these sizes can be similar at all."""
+        return F.least(n, m) * self.plan.den >= F.greatest(n, m) * self.plan.num
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, words: int, plan: Plan):
-        self.docs, self.nodes, self.words, self.plan = docs, nodes, words, plan
-        self.links = self.seen = None
+    def enough(self, n: Column, m: Column, shared: Column) -> Column:
+        """Whether sets of these sizes are similar if they share so many."""
+        return shared * (self.plan.num + self.plan.den) >= (n + m) * self.plan.num
+
+    def fetched(self, wanted: DataFrame, kind: str) -> DataFrame:
+        """(node, items) of the nodes ``wanted``: their texts are picked by row key, and the set is told by its digest."""
+        wanted = self.scratch.stage(self.nodes.join(wanted, "node", "left_semi").select("k", F.col("node"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), "wanted")
+        texts = self.texts.join(sent(wanted), "k").drop("k")
+        found = sketched(texts, self.words, self.plan, kind).filter("d1 = e1 and d2 = e2").select("node", "items")
+        # a row that is repeated has its set fetched as often
+        out = self.scratch.stage(found.dropDuplicates(["node"]), kind)
+        self.scratch.drop(wanted)
+        return out
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds those of ``pairs`` (a < b) that are similar. Sizes and cells rule most others out before any set is fetched."""
@@ -193,97 +208,145 @@ class _Join:
         node = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"c_{x}"))
         if self.seen is not None:
             pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "candidates")
+        pairs = self.scratch.stage(pairs, "candidates")
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
         apart = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
         total = F.col("n_a") + F.col("n_b")
-        likely = pairs.join(node("a"), "a").join(node("b"), "b").filter(self.fits("n_a", "n_b") & (apart * (num + den) <= total * (den - num)))
-        likely = stage(likely.select("a", "b", "n_a", "n_b"), "likely")
-        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-        sets = stage(sketched(picked(self.docs, wanted), self.words, self.plan, "sets"), "sets")
-        of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"s_{x}"))
+        likely = pairs.join(node("a"), "a").join(node("b"), "b").filter(self.fits(F.col("n_a"), F.col("n_b")) & (apart * (num + den) <= total * (den - num)))
+        likely = self.scratch.stage(likely.select("a", "b", "n_a", "n_b"), "likely")
+        sets = self.fetched(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct(), "sets")
+        of = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"s_{x}"))
         shared = F.size(F.array_intersect("s_a", "s_b"))
-        found = likely.join(of("a"), "a").join(of("b"), "b").withColumn("shared", shared).filter(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num)
-        found = stage(found.select("a", "b"), "found")
+        found = likely.join(of("a"), "a").join(of("b"), "b").filter(self.enough(F.col("n_a"), F.col("n_b"), shared))
+        found = self.scratch.stage(found.select("a", "b"), "found")
+        self.scratch.drop(likely, sets)
         self.links = found if self.links is None else self.links.unionByName(found)
 
-    def classes(self, posted: DataFrame) -> DataFrame:
-        """``posted`` (signature, node, n) with each node's component so far, of lists that span several."""
-        known = components(self.links).withColumnsRenamed({"component": "class"})
-        told = posted.join(known, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        span = told.groupBy("signature").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("node").alias("size")).filter("low < high")
-        return stage(told.join(span.select("signature", "size"), "signature"), "open-lists")
-
-    def star(self, posted: DataFrame, turn: int) -> None:
-        """Each list's members meet the one of least hashed priority, so a list costs as many pairs as it has members."""
-        draw = F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), F.col("node").alias("hub"))
-        hubs = posted.withColumn("m", F.col("n")).groupBy("signature").agg(F.min(F.struct(draw.alias("d"), "m")).alias("h"))
-        met = posted.join(hubs, "signature").filter((F.col("h.d.hub") != F.col("node")) & self.fits("n", "h.m"))
-        self.verify(pair(met.select(F.col("h.d.hub").alias("x"), F.col("node").alias("y"))))
-
-    def fits(self, n: str, m: str) -> F.Column:
-        """Whether sets of these sizes can be similar at all."""
-        return F.least(n, m) * self.plan.den >= F.greatest(n, m) * self.plan.num
-
-    def across(self, posted: DataFrame) -> None:
-        """All pairs of a list whose members lie in different components."""
-        one, two = posted.select("signature", F.col("node").alias("x"), F.col("class").alias("cx"), F.col("n").alias("nx")), posted.select("signature", F.col("node").alias("y"), F.col("class").alias("cy"), F.col("n").alias("ny"))
-        self.verify(pair(one.join(two, "signature").filter(F.expr("x < y and cx != cy") & self.fits("nx", "ny")).select("x", "y")))
-
-
-def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of ``ids``. Ids are counted first: few enough are sent to the texts, else both are shuffled."""
-    ids = stage(ids, "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= MAX_SENT else ids, "doc_id", "left_semi")
+    def classes(self) -> DataFrame:
+        """(node, class) of the nodes that have links so far."""
+        old = self.known
+        self.known = components(self.links, self.scratch.stage).withColumnsRenamed({"component": "class"})
+        if old is not None:
+            self.scratch.drop(old)
+        return self.known
+
+    def shared(self, rows: DataFrame, column: str) -> DataFrame:
+        """Lists of the signatures that several nodes have. Signatures are counted first, combined before the shuffle, so that a
+        frequent one is no single task's work; the join that follows may be split."""
+        flat = rows.select("node", "n", F.explode(column).alias("signature"))
+        counts = flat.groupBy("signature").agg(F.count("node").alias("members")).filter("members > 1")
+        return self.scratch.stage(flat.join(counts, "signature").select("signature", "node", "n", "members"), "lists")
+
+    def starred(self, lists: DataFrame) -> DataFrame:
+        """Each list's members meet its hub, the one whose lists are longest in all: it stands closest to the middle of a group of near copies.
+        A list costs as many pairs as it has members. Gives the lists that still span several classes."""
+        weight = lists.groupBy("node").agg(F.sum("members").alias("weight"))
+        told = self.scratch.stage(lists.join(weight, "node"), "weighted")
+        hubs = told.groupBy("signature").agg(F.max(F.struct("weight", "node", "n")).alias("h"))
+        hubs = self.scratch.stage(hubs.select("signature", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+        met = told.join(hubs, "signature").filter((F.col("hub") != F.col("node")) & self.fits(F.col("n"), F.col("hub_n")))
+        self.verify(pair(met.select(F.col("hub").alias("x"), F.col("node").alias("y"))))
+        classed = lists.join(self.classes(), "node", "left").withColumn("class", F.coalesce("class", "node"))
+        classed = self.scratch.stage(classed, "classed")
+        span = classed.groupBy("signature").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.sum("n").alias("total")).filter("low < high")
+        pairs = F.col("members") * (F.col("members") - 1) / 2
+        left = classed.join(span, "signature").join(hubs, "signature")
+        left = self.scratch.stage(left.select("signature", "node", "n", "class", "hub", (pairs * PAIR_COST > F.col("total")).alias("dear")), "open-lists")
+        self.scratch.drop(lists, told, hubs, classed)
+        return left
+
+    def across(self, lists: DataFrame) -> DataFrame:
+        """The pairs of each list whose members lie in different classes."""
+        one, two = (lists.select("signature", F.col("node").alias(x), F.col("class").alias(f"c_{x}"), F.col("n").alias(f"n_{x}")) for x in "xy")
+        met = one.join(two, "signature").filter(F.expr("x < y and c_x != c_y") & self.fits(F.col("n_x"), F.col("n_y")))
+        return self.scratch.stage(pair(met.select("x", "y")), "across")
+
+    def about_hubs(self, lists: DataFrame) -> DataFrame:
+        """Candidates among the members of long lists, from what each member has beyond its list's hub h.
+
+        Two sets x and y share no more than min(|x & h|, |y & h|) within h. If that is enough for their sizes, they meet by size: x, of
+        another class than the hub, looks for the few sizes for which |x & h| suffices. Else they share an item outside h, so they meet
+        in a list of that hub and item, and what they share there, counted exactly, has to make up the rest.
+        """
+        num, den = self.plan.num, self.plan.den
+        member = self.scratch.stage(lists.select("hub", "node", "n", "class").distinct(), "members")
+        sets = self.fetched(member.select("node").union(member.select(F.col("hub").alias("node"))).distinct(), "sets")
+        hub = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items"))
+        own = member.filter("node != hub").join(sets, "node").join(hub, "hub").select("hub", "node", "n", "class", F.array_except("items", "hub_items").alias("own"))
+        own = self.scratch.stage(own.withColumn("within", F.col("n") - F.size("own")), "own")
+        # by size: num * (n + m) <= within * (num + den)
+        most = F.floor(F.col("within") * (num + den) / num).cast("long") - F.col("n")
+        low, high = F.ceil(F.col("n") * num / den).cast("long"), F.least(most, F.floor(F.col("n") * den / num).cast("long"))
+        hub_class = member.filter("node = hub").select("hub", F.col("class").alias("hub_class"))
+        x = own.join(hub_class, "hub").filter((F.col("class") != F.col("hub_class")) & (low <= high))
+        x = x.select("hub", F.col("node").alias("x"), F.col("class").alias("c_x"), F.col("n").alias("n_x"), F.explode(F.sequence(low, high)).alias("n"))
+        y = own.select("hub", "n", F.col("node").alias("y"), F.col("class").alias("c_y"), "within")
+        by_size = x.join(y, ["hub", "n"]).filter((F.col("c_x") != F.col("c_y")) & self.enough(F.col("n_x"), F.col("n"), F.col("within")))
+        posted = own.select("hub", "node", "n", "class", "within", F.explode("own").alias("item"))
+        several = posted.groupBy("hub", "item").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("hub", "item")
+        posted = self.scratch.stage(posted.join(several, ["hub", "item"]), "own-lists")
+        one, two = (posted.select("hub", "item", F.col("node").alias(x), F.col("class").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("within").alias(f"w_{x}")) for x in "xy")
+        met = one.join(two, ["hub", "item"]).filter(F.expr("x < y and c_x != c_y") & self.fits(F.col("n_x"), F.col("n_y")))
+        met = met.groupBy("hub", "x", "y").agg(F.count("item").alias("beyond"), *[F.first(c).alias(c) for c in ("n_x", "n_y", "w_x", "w_y")])
+        by_item = met.filter(self.enough(F.col("n_x"), F.col("n_y"), F.least("w_x", "w_y") + F.col("beyond")))
+        out = self.scratch.stage(pair(by_size.select("x", "y").union(by_item.select("x", "y"))), "about-hubs")
+        self.scratch.drop(member, sets, own, posted)
+        return out
 
 
 def pair(df: DataFrame) -> DataFrame:
-    return df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
+    return df.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-def shared_lists(rows: DataFrame, column: str) -> DataFrame:
-    """(signature, node, n) of signatures that several nodes have."""
-    flat = rows.select("node", "n", F.explode(column).alias("signature"))
-    counted = flat.withColumn("members", F.count("node").over(W.partitionBy("signature")))
-    return stage(counted.filter("members > 1").select("signature", "node", "n"), "lists")
 
+def jaccard_classes(docs: DataFrame, carry: list[Column], words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row per row of ``docs``: the columns ``carry``, n_shingles, and ``class``, a number that linked rows share (null without words).
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, long: int = LONG) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links; the document's own if it has none).
+    Rows link when their sets of ``words``-word shingles have a Jaccard similarity of at least num / den; every such link counts, though
+    only as many are computed as classes need. Equal sets are one node. Lists of nodes with a common signature are first met by
+    their hubs, which joins groups of near copies at the cost of a row per member. Of lists that then span classes, those whose pairs
+    cost less than their members' one-deletion neighbourhoods are compared across classes; the members of the others are posted again
+    under these, met by hubs and compared in the same way, and what lies in long lists even so is compared by what it has beyond its
+    list's hub. Pairs pass exact bounds on size and on histogram distance before sets are fetched and intersected.
 
-    Two documents link when their sets of ``words``-word shingles have a Jaccard similarity of at least num / den; every such link
-    counts, though only as many are computed as components need. Equal sets are one node. Lists of nodes with a common
-    signature are first met by their hubs, which joins large groups of copies at the cost of a row per member; then pairs that span
-    components are compared; lists that are still long are replaced by lists of one-deletion neighbourhoods of the sets in
-    them. Pairs pass exact bounds on size and on histogram distance before sets are fetched and intersected.
-
-    Null and empty texts have no shingles and link with nothing; rows that share a doc_id are one document with the links of each of
-    its texts; null doc_ids link with nothing; an empty table gives no rows; other columns are not read.
+    Null and empty texts have no shingles and no class. Rows, not ids, are what is compared: repeated and null ids are rows like others. An empty
+    table gives no rows. Columns that ``carry`` doesn't read may have any name.
     """
     plan = Plan(num, den)
-    texts = docs.select("doc_id", "text")
-    all_docs = stage(sketched(texts, words, plan, "whole"), "sketches")
-    meta = all_docs.select("doc_id", "n", "d1", "d2")
-    heads = stage(meta.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "heads")
-    chosen = all_docs.join(heads.select(F.col("node").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).withColumnRenamed("doc_id", "node")
-    nodes = stage(chosen.groupBy("node", "d1", "d2").agg(F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("signatures").alias("signatures")), "nodes")
-    join = _Join(texts, nodes.select("node", "n", "cells"), words, plan)
-    posted = shared_lists(nodes, "signatures")
-    for turn in range(STARS):
-        join.star(posted, turn)
-        posted = join.classes(posted).drop("size", "class") if turn + 1 < STARS else join.classes(posted)
-    join.across(posted.filter(F.col("size") <= long))
-    needy = posted.filter(F.col("size") > long).select(F.col("node").alias("doc_id")).distinct()
-    if not needy.isEmpty():
-        deletions = sketched(picked(texts, needy), words, plan, "deletions").withColumnRenamed("doc_id", "node")
-        deletions = deletions.dropDuplicates(["node"]).join(nodes.select("node", "n"), "node")
-        more = join.classes(shared_lists(deletions, "items")).select("signature", "node", "n")
-        join.star(more, STARS)
-        join.across(join.classes(more))
-    found = components(join.links)
-    told = meta.join(heads, ["d1", "d2"], "left").join(found, "node", "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    return told.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        key = F.xxhash64(*row_keys("doc_id", "text")).alias("k")
+        names = [f"carry{i}" for i in range(len(carry))]
+        texts = docs.select(key, "text")
+        told = sketched(docs.select(key, "text", *[c.alias(x) for c, x in zip(carry, names, strict=True)]), words, plan, "whole")
+        rows = scratch.stage(told.withColumn("row", F.monotonically_increasing_id()), "sketches")
+        heads = scratch.stage(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("row")), "heads").select("row")
+        chosen = rows.join(heads, "row", "left_semi").withColumnRenamed("row", "node")
+        nodes = scratch.stage(chosen.select("node", "k", "n", "d1", "d2", "cells"), "nodes")
+        join = _Join(texts, nodes, words, plan, scratch)
+        lists = join.shared(chosen.select("node", "n", "signatures"), "signatures")
+        found = join.starred(lists)
+        candidates = join.across(found.filter("not dear"))
+        dear = scratch.stage(found.filter("dear").select("node").distinct(), "dear")
+        if not dear.isEmpty():
+            deletions = join.fetched(dear, "deletions").join(nodes.select("node", "n"), "node")
+            found = join.starred(join.shared(deletions, "items"))
+            candidates = candidates.union(join.across(found.filter("not dear"))).union(join.about_hubs(found.filter("dear"))).distinct()
+        join.verify(candidates)
+        heads = nodes.select("d1", "d2", "node").join(join.classes(), "node", "left")
+        heads = heads.select("d1", "d2", F.coalesce("class", "node").alias("class"))
+        out = rows.select(*names, "n", "d1", "d2").join(heads, ["d1", "d2"], "left")
+        out = out.select(*[F.col(x).alias(f"{x}") for x in names], F.col("n").alias("n_shingles"), "class")
+        return stage(out, "classes").withColumnsRenamed({x: docs.select(c).columns[0] for c, x in zip(carry, names, strict=True)})
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, the least doc_id reachable by links (its own if it has none).
+
+    A doc_id that several rows have is in the component of each; a null one is none, so a component of null ids alone has no id. See
+    ``jaccard_classes`` for the rest.
+    """
+    told = jaccard_classes(docs, [F.col("doc_id").cast("long").alias("doc_id")], words, num, den)
+    least = told.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return told.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

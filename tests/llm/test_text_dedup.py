@@ -215,13 +215,21 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("words, num, den, long", [(4, 85, 100, 128), (5, 4, 5, 128), (4, 85, 100, 2), (3, 9, 10, 1)])
-def test_components_equal_brute_force(spark, words, num, den, long):
-    texts = corpus(words * den + long)
+@pytest.mark.parametrize("words, num, den, cost", [(4, 85, 100, 16), (5, 4, 5, 16), (4, 85, 100, 1000), (5, 4, 5, 10**6), (3, 9, 10, 0)])
+def test_components_equal_brute_force(spark, monkeypatch, words, num, den, cost):
+    """With a high cost of pairs every open list goes to deletions and hubs, with none every list is compared as it is."""
+    monkeypatch.setattr(jaccard, "PAIR_COST", cost)
+    texts = corpus(words * den + min(cost, 128))
+    # near copies of one text at the edge of the threshold, some of them with words of their own in common
+    draw = random.Random(cost)
+    base, extra = text_of(draw, 90), text_of(draw, 12)
+    for i in range(70):
+        t = near(draw, base, draw.choice([1, 2, 3, 4, 5]))
+        texts[2000 + i] = t + " " + extra if i % 3 == 0 else t
     sets = {d: shingles(t, words) for d, t in texts.items()}
     pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
     want = union(pairs, sets)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(with_clashes(docs(spark, texts)), words, num, den, long).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(with_clashes(docs(spark, texts)), words, num, den).collect()}
     assert got == {d: (len(sets[d]), want[d]) for d in sets}
 
 
@@ -246,7 +254,10 @@ def test_signatures_never_miss(spark):
 
 def test_join_edges(spark):
     assert jaccard_components(docs(spark, {1: "x"}).limit(0)).count() == 0
-    got = jaccard_components(docs(spark, [(3, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")]))
-    assert Counter(map(tuple, got.collect())) == Counter({(3, 2, 2): 2, (2, 2, 2): 1, (None, 2, None): 1})
+    got = jaccard_components(docs(spark, [(3, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "z"), (None, None)]))
+    assert Counter(map(tuple, got.collect())) == Counter({(3, 2, 2): 2, (2, 2, 2): 1, (None, 2, 2): 1, (None, 1, None): 1, (None, 0, None): 1})
+    one, two = "a b c d e f", "u v w x y z"
+    got = jaccard_components(docs(spark, [(3, one), (3, two), (1, one), (5, two)]))
+    assert Counter(map(tuple, got.collect())) == Counter({(3, 2, 1): 1, (1, 2, 1): 1, (3, 2, 3): 1, (5, 2, 3): 1})
     with pytest.raises(ValueError):
         jaccard.Plan(1, 2)
