@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
@@ -68,10 +69,12 @@ class Scratch:
         return table
 
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that nothing reads any more; those it doesn't own stay."""
+        """Deletes tables that nothing reads any more; those it doesn't own stay. The shuffle files of the jobs that wrote them go when the
+        driver collects its garbage, so it is told to: a long operator would else fill the executors' disks."""
         for table in tables:
             if held := self.paths.pop(id(table), None):
                 self._delete(held)
+        self.spark.sparkContext._jvm.System.gc()
 
     def _delete(self, held: tuple[DataFrame, str]) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -89,6 +92,20 @@ def row_keys(*columns: str) -> list[Column]:
     return [F.xxhash64(F.lit(salt), *[F.col(c).isNull() for c in columns], *columns).alias(f"k{salt}") for salt in (1, 2)]
 
 
+def running_totals(df: DataFrame, order: list[str], value: str, name: str, keep=stage) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows before each row in the order of ``order``, which must tell rows apart.
+
+    Rows are ranged into at most 20,000 buckets, each summed by a task of its own; one row per bucket meets in a window and is sent back.
+    """
+    n = df.count()
+    buckets = max(1, min(20_000, -(-n // 20_000)))
+    ranged = keep(df.repartitionByRange(buckets, *order).withColumn("_bucket", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_bucket", (F.sum("_sum").over(W.orderBy("_bucket")) - F.col("_sum")).alias("_before"))
+    within = F.sum(value).over(W.partitionBy("_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col(value)
+    return ranged.withColumn(name, within).join(F.broadcast(before), "_bucket").withColumn(name, F.col(name) + F.col("_before")).drop("_bucket", "_before")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import Scratch, documents, stage
 
 WINDOW, END_ID = 4096, 2
 #: Lengths count in steps of this many tokens, rounded up, where combinations are solved.
@@ -193,8 +193,8 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return sequence, offset
 
 
-def pack(pieces: DataFrame, window: int = WINDOW, step: int = STEP, per_group: int = 20_000) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, start, length, ...).
+def pack(pieces: DataFrame, window: int = WINDOW, step: int = STEP, per_group: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, start, length, ids_crc32, nth, ...); ``nth`` tells equal ones apart, so that no part gets them all.
 
     The driver sees the histogram (``window / step`` counts at most) and the combinations chosen. Pieces of a length are numbered in
     hashed parts whose counts add up, so a length that very many pieces share is no single task's work; each number falls into one
@@ -213,16 +213,16 @@ def pack(pieces: DataFrame, window: int = WINDOW, step: int = STEP, per_group: i
             used[b] += times
         base += times
     parts = max(1, total // 2_000)
-    salted = binned.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int"))
+    salted = binned.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "nth"), F.lit(parts)).cast("int"))
     by_part = salted.groupBy("bin", "part").count()
     before = by_part.withColumn("before", F.sum("count").over(W.partitionBy("bin").orderBy("part")) - F.col("count")).drop("count")
-    numbered = salted.withColumn("nth", F.row_number().over(W.partitionBy("bin", "part").orderBy("doc_id", "start"))).join(before, ["bin", "part"])
-    numbered = stage(numbered.withColumn("nth", F.col("before") + F.col("nth") - 1).drop("before", "part"), "numbered-pieces")
+    numbered = salted.withColumn("at", F.row_number().over(W.partitionBy("bin", "part").orderBy("doc_id", "start", "ids_crc32", "nth"))).join(before, ["bin", "part"])
+    numbered = (scratch.stage if scratch else stage)(numbered.withColumn("at", F.col("before") + F.col("at") - 1).drop("before", "part"), "numbered-pieces")
     ways = spark.createDataFrame(intervals, "way_bin int, from_nth long, to_nth long, shift long, slot int")
     # at most a few intervals per combination and bin: their number doesn't grow with the data
-    placed = numbered.join(F.broadcast(ways), (F.col("bin") == F.col("way_bin")) & (F.col("nth") >= F.col("from_nth")) & (F.col("nth") < F.col("to_nth")), "left")
+    placed = numbered.join(F.broadcast(ways), (F.col("bin") == F.col("way_bin")) & (F.col("at") >= F.col("from_nth")) & (F.col("at") < F.col("to_nth")), "left")
     names = [*pieces.columns, "sequence_id", "offset"]
-    fixed = placed.filter("slot is not null").withColumn("sequence_id", F.col("nth") + F.col("shift"))
+    fixed = placed.filter("slot is not null").withColumn("sequence_id", F.col("at") + F.col("shift"))
     fixed = fixed.withColumn("offset", F.sum("length").over(W.partitionBy("sequence_id").orderBy("slot")) - F.col("length"))
     rest = placed.filter("slot is null").select(*pieces.columns)
     groups = max(1, (total - sum(used.values())) // per_group)
@@ -232,7 +232,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, step: int = STEP, per_group: i
         return frame.drop(columns="group").assign(sequence_id=base + (int(key[0]) << 32) + s, offset=o)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    packed = rest.withColumn("group", F.pmod(F.xxhash64(F.lit("rest"), "doc_id", "start"), F.lit(groups))).groupBy("group").applyInPandas(greedy, schema)
+    packed = rest.withColumn("group", F.pmod(F.xxhash64(F.lit("rest"), "doc_id", "start", "ids_crc32", "nth"), F.lit(groups))).groupBy("group").applyInPandas(greedy, schema)
     return fixed.select(*names).unionByName(packed.select(*names))
 
 
@@ -245,7 +245,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
         import public_tokenizers
 
         tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
-    return pack(stage(tokenized_pieces(docs, tokenizer, window), "pieces"), window)
+    with Scratch(docs.sparkSession) as scratch:
+        pieces = scratch.stage(tokenized_pieces(docs, tokenizer, window).withColumn("nth", F.monotonically_increasing_id()), "pieces")
+        return stage(pack(pieces, window, scratch=scratch).drop("nth"), "packed")
 
 
 def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,26 +5,15 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import Scratch, documents, running_totals, stage
 
 ROUNDS = 6
 #: Walks after which no row number can still lie outside for small tables, nor is likely to (below 2**-300) for large ones.
 MAX_WALKS = 64
 
 
-def global_row_numbers(df: DataFrame, order: list[str], rows_per_bucket: int = 20_000) -> DataFrame:
-    """Adds ``row_no``, 0 to n - 1 in the order of ``order``. Rows are ranged into buckets, each numbered by a task of its own;
-    only the buckets' row counts (n / ``rows_per_bucket`` of them) meet in one task. Rows equal in all of ``order`` are interchangeable."""
-    n = df.count()
-    ranged = stage(df.repartitionByRange(max(1, math.ceil(n / rows_per_bucket)), *order).withColumn("bucket", F.spark_partition_id()), "ranged")
-    before = ranged.groupBy("bucket").count().select("bucket", (F.sum("count").over(W.orderBy("bucket")) - F.col("count")).alias("before"))
-    within = ranged.withColumn("nth", F.row_number().over(W.partitionBy("bucket").orderBy(*order)))
-    return within.join(F.broadcast(before), "bucket").withColumn("row_no", F.col("before") + F.col("nth") - 1).drop("bucket", "before", "nth")
-
-
 def permuted(row_no: Column, n: int, seed: int) -> Column:
     """Where ``row_no`` goes in a keyed permutation of 0 to n - 1. Rounds alternate between the halves of x = a * right + left,
     with left < a and right < b for the least a * b >= n near a square; results outside 0 to n - 1 walk on along their cycle."""
@@ -52,12 +41,16 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 2026) -> DataFrame
     """One row per document: doc_id, size (UTF-8 bytes + 8), text_crc32, row_no, shard, slot.
 
     The permuted row number p gives shard p mod ``shards`` and slot p div ``shards``, so counts differ by one at most, slots have no
-    gaps, and both can be computed from (row_no, row count, seed) alone. Null text counts as empty; null doc_id sorts first; repeated
-    rows are rows of their own; an empty table gives no rows; other columns of ``docs`` are not read.
+    gaps, and both can be computed from (row_no, row count, seed) alone. Row numbers follow doc_id, checksum and size; rows equal in all
+    three are interchangeable, and are ranged by their place in the input so that no task holds them all. Null text counts as empty; null doc_id sorts first;
+    an empty table gives no rows; other columns of ``docs`` are not read. Texts that are equal go to any shards: counts that differ by
+    one at most leave no room to keep groups together.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    numbered = stage(global_row_numbers(rows, ["doc_id", "text_crc32", "size"]), "numbered")
+    with Scratch(docs.sparkSession) as scratch:
+        text = F.coalesce(F.col("text"), F.lit(""))
+        rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+        rows = scratch.stage(rows.withColumn("nth", F.monotonically_increasing_id()).withColumn("one", F.lit(1)), "rows")
+        numbered = stage(running_totals(rows, ["doc_id", "text_crc32", "size", "nth"], "one", "row_no", scratch.stage).drop("nth", "one"), "numbered")
     n = numbered.count()
     placed = numbered.withColumn("p", permuted(F.col("row_no"), n, seed)) if n else numbered.withColumn("p", F.lit(0).cast("long"))
     return placed.select("doc_id", "size", "text_crc32", "row_no", (F.col("p") % shards).cast("int").alias("shard"), F.floor(F.col("p") / shards).cast("long").alias("slot"))

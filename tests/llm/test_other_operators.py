@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm import packing, secrets, toxicity, vectors
 from corpusflow.llm.graph import components
-from corpusflow.llm.mixing import min_cost_flow, mix_sources, sized, targets
+from corpusflow.llm.mixing import min_cost_flow, mix_sources, parts_of as flow_parts, taken_rows, targets, words_of
 from corpusflow.llm.packing import WINDOW, best_fit, combinations, nnls, pack_documents, repeat_counts
 from corpusflow.llm.secrets import link_parts, parts_of, scan_secrets
 from corpusflow.llm.sharding import op4_feistel_shards, permuted, shard_rows
@@ -181,7 +181,8 @@ def test_mix(spark):
     draw = random.Random(4)
     rows = [(i, text_of(draw, draw.randint(0, 40)), "en", None if i % 11 == 0 else f"s{i % 4 if i % 3 else 0}", 0) for i in range(600)] + [(1000, None, "en", "empty", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    taken, goals = mix_sources(sized(with_clashes(df)))
+    mixed = lambda d: mix_sources(d, words_of(d), F.array("source"), ("doc_id",))
+    taken, goals = mixed(with_clashes(df))
     goal = {r["source"]: r for r in goals.collect()}
     size = {i: len(re.findall(r"[^\x20\x09-\x0d]+", t or "")) for i, t, *_ in rows}
     got = {r["doc_id"]: (r["size"], len(r["takes"] or [])) for r in taken.collect()}
@@ -192,15 +193,85 @@ def test_mix(spark):
     for s, o, w in zip(sources, own, want, strict=True):
         words = sum(size[r[0]] * got[r[0]][1] for r in rows if r[3] == s)
         assert goal[s]["source_size"] == o and abs(goal[s]["target"] - float(w)) < 1e-6 and abs(words - float(w)) <= 40
-    again, _ = mix_sources(sized(df))
+    again, _ = mixed(df)
     assert {r["doc_id"]: len(r["takes"] or []) for r in again.collect()} == {d: n for d, (_, n) in got.items()}
-    empty, _ = mix_sources(sized(df.limit(0)))
+    empty, _ = mixed(df.limit(0))
     assert empty.count() == 0
+    # the rows themselves, as often as they are taken; texts without words stay
+    clashing = with_clashes(df)
+    rows_taken = taken_rows(clashing, words_of(clashing), F.array("source"))
+    assert rows_taken.columns == clashing.columns
+    times = Counter(r["doc_id"] for r in rows_taken.collect())
+    assert {d: times[d] for d in size} == {d: n if size[d] else 1 for d, (_, n) in got.items()}
+
+
+def test_mix_of_null_and_repeated_ids_is_the_same_again(spark):
+    draw = random.Random(11)
+    rows = [(None if i % 2 else 7, text_of(draw, draw.randint(1, 60)), "en", f"s{i % 3}", 0) for i in range(900)]
+    rows += [(5, "the same row " * 5, "en", "s0", 0)] * 300
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    one, two = spark.createDataFrame(rows, kind), spark.createDataFrame(draw.sample(rows, len(rows)), kind).repartition(3)
+    found = []
+    for df in (one, two):
+        taken, goals = mix_sources(df, words_of(df), F.array("source"), ("doc_id", "text"))
+        found.append(Counter((r["doc_id"], r["text"], len(r["takes"] or [])) for r in taken.collect()))
+        goal = {r["source"]: r["target"] for r in goals.collect()}
+    assert found[0] == found[1]
+    words = Counter()
+    of = {(i, t): s for i, t, _, s, _ in rows}
+    for (i, t, n), c in found[0].items():
+        words[of[i, t]] += len(t.split()) * n * c
+    assert all(abs(words[s] - goal[s]) <= 80 for s in goal)
+    there = Counter((r["doc_id"], r["text"]) for r in taken_rows(one, words_of(one), F.array("source")).select("doc_id", "text").collect())
+    want = Counter()
+    for (i, t, n), c in found[0].items():
+        want[i, t] += n * c
+    assert there == +want
+
+
+def least_cost(patterns, quotas, most):
+    """The most words that can be routed, and the least cost of that, over all ways to give whole words."""
+    from functools import lru_cache
+
+    units = [(p, n) for p in sorted(patterns) for n in range(most) for _ in range(patterns[p])]
+    names = sorted(quotas)
+
+    @lru_cache(None)
+    def best(i, left):
+        if i == len(units):
+            return 0, 0
+        p, n = units[i]
+        out = best(i + 1, left)
+        for k, s in enumerate(names):
+            if s in p and left[k]:
+                words, cost = best(i + 1, left[:k] + (left[k] - 1,) + left[k + 1 :])
+                out = max(out, (words + 1, cost - n))
+        return out
+
+    words, cost = best(0, tuple(quotas[s] for s in names))
+    return words, -cost
+
+
+def test_flow_equals_brute_force():
+    draw = random.Random(3)
+    for _ in range(60):
+        kinds = draw.sample([("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "b", "c")], draw.randint(1, 4))
+        patterns, quotas = {p: draw.randint(1, 3) for p in kinds}, {s: draw.randint(0, 5) for s in "abc"}
+        flow: dict = {}
+        for part in flow_parts(patterns):
+            flow |= min_cost_flow(part, {s: quotas[s] for p in part for s in p}, 3)
+        given, used = Counter(), Counter()
+        for (p, n, s), v in flow.items():
+            assert s in p
+            given[s] += v
+            used[p, n] += v
+        assert all(given[s] <= quotas[s] for s in given) and all(v <= patterns[p] for (p, _), v in used.items())
+        assert (sum(given.values()), sum(n * v for (_, n), v in used.items())) == least_cost(patterns, quotas, 3)
 
 
 def test_mix_of_overlapping_sources(spark):
     rows = [(i, 10, ["a", "b"] if i % 2 else ["a"]) for i in range(200)]
-    taken, goals = mix_sources(spark.createDataFrame(rows, "doc_id long, size long, sources array<string>"))
+    taken, goals = mix_sources(spark.createDataFrame(rows, "doc_id long, size long, sources array<string>").withColumn("text", F.lit("x")), F.col("size"), F.col("sources"))
     got = Counter()
     for r in taken.collect():
         for t in r["takes"] or []:
