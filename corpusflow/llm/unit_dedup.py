@@ -9,15 +9,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import MAX_SENT, Scratch, documents, row_keys, stage
 
 #: Where units end; a unit keeps its closing mark.
 ENDS = {"sentence": re.compile(r"[.!?][\x20\t]+|\n+"), "line": re.compile(r"\n"), "paragraph": re.compile(r"\n[\x20\t]*\n+")}
-#: Units with fewer words, or shorter when normalised, are too common to call a repeat.
-MIN_WORDS, MIN_CHARS = 5, 24
-#: What the query takes: a repeat of any of these goes, so a line of short sentences counts as a whole.
-ALL = ("line", "paragraph", "sentence")
-UNITS = "doc_id long, start long, end long, h1 long, h2 long"
+#: Units with fewer words, or shorter when normalised, are too common to call a repeat: texts that nothing was copied into share many.
+MIN_WORDS, MIN_CHARS = 15, 24
+#: What the query takes: a repeat of any of these goes. Many texts are one line, in which only sentences show what was copied.
+ALL = ("paragraph", "line", "sentence")
+UNITS = "doc_id long, k1 long, start long, end long, h1 long, h2 long"
 
 
 def units_of(text: str, ends: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -38,8 +38,8 @@ def hashed_units(docs: DataFrame, kinds: tuple[str, ...], min_words: int, min_ch
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            ids, starts, stops, digests = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, keys, starts, stops, digests = [], [], [], [], []
+            for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text, found, first = text.as_py() or "", {}, {}
                 for s, e in {x for kind in kinds for x in units_of(text, ENDS[kind])}:
                     if e - s < min_chars:
@@ -53,37 +53,42 @@ def hashed_units(docs: DataFrame, kinds: tuple[str, ...], min_words: int, min_ch
                     found[place, digest] = min(s, old[0]), max(e, old[1])
                 for (place, digest), (s, e) in sorted(found.items()):
                     ids.append(doc_id)
+                    keys.append(key)
                     starts.append(s)
                     stops.append(e if first.setdefault(digest, place) == place else -e)
                     digests.append(digest)
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            columns = [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "h1", "h2"])
+            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "start", "end", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, UNITS)
+    return docs.select(F.col("doc_id").cast("long"), row_keys("doc_id", "text")[0], "text").mapInArrow(scan, UNITS)
 
 
 def repeated_units(docs: DataFrame, unit: str | tuple[str, ...] = "sentence", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per unit to remove: doc_id, start, end, kept_doc_id, the document of least doc_id that holds the unit first.
+    """One row per unit to remove: doc_id, start, end, kept_doc_id, the id of the first document that holds the unit, and k1, the key of the text.
     With several kinds of ``unit`` rows may nest: what goes is their union.
 
-    Offsets are code points of the original text, end exclusive. Digests are summed before they are shuffled, so a unit that a third
-    of all documents hold costs a row per task there; only digests of several documents meet the units again, by a join that Spark
-    may split where a digest is frequent. Null and empty texts have no units; rows with equal doc_id count as one document; other
-    columns are not read.
+    Offsets are code points of the original text, end exclusive. The first document is that of the least id, null last, then of the least text key.
+    Digests are summed before they are shuffled, so a unit that a third of all documents hold costs a row per task there; only digests of several documents meet the units again, by a join that Spark
+    may split where a digest is frequent. Null and empty texts have no units; texts that share an id are documents of their own, and rows that repeat an id with
+    its text are one, so no text loses a unit that another row does not keep. Other columns are not read.
     """
-    units = stage(hashed_units(docs, (unit,) if isinstance(unit, str) else unit, min_words, min_chars), "units")
-    keepers = units.groupBy("h1", "h2").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    shared = keepers.filter("last_doc_id > kept_doc_id").drop("last_doc_id")
-    across = units.filter("end > 0").join(shared, ["h1", "h2"]).filter("doc_id > kept_doc_id")
-    # later copies within one document go too, whoever keeps the first
-    within = units.filter("end < 0").join(shared, ["h1", "h2"], "left").withColumn("kept_doc_id", F.coalesce("kept_doc_id", "doc_id"))
-    return across.unionByName(within).select("doc_id", "start", F.abs("end").alias("end"), "kept_doc_id")
+    with Scratch(docs.sparkSession) as scratch:
+        found = hashed_units(docs, (unit,) if isinstance(unit, str) else unit, min_words, min_chars)
+        units = scratch.stage(found.withColumn("doc", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1")).drop("doc_id", "k1"), "units")
+        keepers = units.groupBy("h1", "h2").agg(F.min("doc").alias("kept"), F.max("doc").alias("last"))
+        shared = keepers.filter(~F.col("last").eqNullSafe(F.col("kept"))).drop("last")
+        across = units.filter("end > 0").join(shared, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("kept")))
+        # later copies within one document go too, whoever keeps the first
+        within = units.filter("end < 0").join(shared, ["h1", "h2"], "left").withColumn("kept", F.coalesce("kept", "doc"))
+        out = across.unionByName(within).select("doc.doc_id", "start", F.abs("end").alias("end"), F.col("kept.doc_id").alias("kept_doc_id"), "doc.k1")
+        return stage(out, "repeated-units")
 
 
 def without_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` with the removed units cut from ``text``; every other column and row stays."""
-    spans = removed.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    """``docs`` with the removed units (a written table) cut from ``text``; every other column and row stays."""
+    spans = removed.distinct().groupBy("doc_id", "k1").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = F.broadcast(spans) if removed.count() <= MAX_SENT else spans
 
     def rest(text, spans):
         pieces = F.aggregate(
@@ -93,8 +98,11 @@ def without_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
         )
         return F.concat(pieces["kept"], F.substring(text, (pieces["at"] + 1).cast("int"), F.lit(2**31 - 1)))
 
-    return docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest(F.col("text"), F.col("_spans")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_keys("doc_id", "text")[0].alias("k"))
+    told = rows.join(spans, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("k1")), "left")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(rest(F.col("row.text"), F.col("spans")))
+    return told.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op9_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(documents(spark, sf_dir), ALL)
+    return repeated_units(documents(spark, sf_dir), ALL).drop("k1")
