@@ -103,16 +103,7 @@ def report_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(worst(status).alias("status"), F.count("*").alias("n"))
 
 
-def dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The level of every node of the region, nation and customer tree: its depth below a root."""
-    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
-    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.lit(0).cast("long").alias("level"))
-    n = nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.lit(1).cast("long").alias("level"))
-    c = customer.join(F.broadcast(nation), customer["c_nationkey"] == nation["n_nationkey"]).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.lit(2).cast("long").alias("level"))
-    return r.union(n).union(c)
-
-
-QUERIES |= {f.__name__: f for f in (ref_anti, dup_ids, unresolved_refs, rule_findings, set_subset, owner_unique, set_operations, reach_region_to_order, claims_unpivot, claims_grounded, report_status, dag_levels)}
+QUERIES |= {f.__name__: f for f in (ref_anti, dup_ids, unresolved_refs, rule_findings, set_subset, owner_unique, set_operations, reach_region_to_order, claims_unpivot, claims_grounded, report_status)}
 ORACLES |= {
     "ref_anti": """SELECT 'no_order' AS code, c_mktsegment AS target, count(*) AS count FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 2
       UNION ALL SELECT 'no_label', lang, count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 2""",
@@ -136,8 +127,6 @@ ORACLES |= {
     "claims_grounded": """WITH s AS (SELECT l_partkey AS key, count(*) AS n_sold FROM lineitem GROUP BY 1)
       SELECT CASE WHEN p_partkey IS NULL THEN 'unlisted' WHEN n_sold IS NULL THEN 'unsold' ELSE 'matched' END AS kind, count(*) AS n, CAST(coalesce(sum(n_sold), 0) AS BIGINT) AS n_sold FROM part FULL JOIN s ON p_partkey = key GROUP BY 1""",
     "report_status": "SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'FAIL' WHEN bool_or(event_type = 'purchase') THEN 'WARN' ELSE 'PASS' END AS status, count(*) AS n FROM events GROUP BY user_id",
-    "dag_levels": """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
-      f AS (SELECT 'r' || r_regionkey AS node, 0::BIGINT AS level FROM region UNION ALL SELECT e.b, f.level + 1 FROM f JOIN e ON f.node = e.a) SELECT node, level FROM f""",
 }
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.layout import column_counts, first_occurrences, tables_of_captions, unique_aliases, with_reserved
-from ..operators.search import rank_keys, ranked
-from .search_jobs import PRELUDE, docs, rows
+from ..operators.search import ranked
+from .search_jobs import PRELUDE, docs, keys
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,9 +35,9 @@ def box_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reserved_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten of the best fifty candidates, the best of every language among them."""
-    top = ranked(rank_keys(rows(spark, sf_dir)), 50).join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
-    return with_reserved(top, "lang", "rank", 10).select("doc_id", "rank", "protected")
+    """Ten of the best fifty candidates of every query, the best of every language among them."""
+    top = ranked(keys(spark, sf_dir), 50).join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    return with_reserved(top, "query", "lang", "rank", 10).select("query", "doc_id", "rank", "protected")
 
 
 def length_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +88,8 @@ ORACLES |= {
     "two_column_pages": """WITH s AS (SELECT l_orderkey, count(*) FILTER (l_quantity % 7 <> 0 AND l_quantity % 2 = 0) AS n_left, count(*) FILTER (l_quantity % 7 <> 0 AND l_quantity % 2 <> 0) AS n_right, count(*) FILTER (l_quantity % 7 = 0) AS n_span FROM lineitem GROUP BY 1)
       SELECT *, n_left > 0 AND n_right > 0 AND n_left + n_right > n_span AS two_columns FROM s""",
     "box_union": "SELECT l_suppkey, min(l_quantity) AS x0, min(l_extendedprice) AS y0, max(l_quantity) AS x1, max(l_extendedprice) AS y1 FROM lineitem GROUP BY 1",
-    "reserved_topk": PRELUDE + """, t AS (SELECT doc_id, rank, row_number() OVER (PARTITION BY lang ORDER BY rank) = 1 AS protected FROM ranks JOIN documents USING (doc_id) WHERE rank <= 50),
-      o AS (SELECT *, sum((NOT protected)::INT) OVER (ORDER BY rank) AS other, count(*) FILTER (protected) OVER () AS n FROM t) SELECT doc_id, rank, protected FROM o WHERE protected OR other <= 10 - n""",
+    "reserved_topk": PRELUDE + """, t AS (SELECT query, doc_id, rank, row_number() OVER (PARTITION BY query, lang ORDER BY rank) = 1 AS protected FROM ranks JOIN documents USING (doc_id) WHERE rank <= 50),
+      o AS (SELECT *, sum((NOT protected)::INT) OVER (PARTITION BY query ORDER BY rank) AS other, count(*) FILTER (protected) OVER (PARTITION BY query) AS n FROM t) SELECT query, doc_id, rank, protected FROM o WHERE protected OR other <= 10 - n""",
     "length_boost": "SELECT doc_id, 1 + least(length(text), 1200) / 200 AS boost FROM documents",
     "alias_unique": "SELECT CAST(floor(c_acctbal / 10) AS BIGINT) AS alias, min(c_nationkey) AS c_nationkey FROM customer GROUP BY 1 HAVING min(c_nationkey) = max(c_nationkey)",
     "ordered_distinct": "WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS first_at FROM events GROUP BY 1, 2) SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY first_at) AS place FROM f",

@@ -1,4 +1,4 @@
-"""Queries of retrieval, on documents with the first benchmark passage as the query."""
+"""Queries of retrieval, on documents with every benchmark passage as a query."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import RISK, STOPWORDS, TOKEN, caption_kind, caption_number, collapsed, element_type, equation_number, heading_number, heading_title, noise_heading, reference_keys, tokens
-from ..operators.search import bm25, confidence, document_frequencies, matched, neighbours, pack_greedily, query_terms, rank_keys, ranked
+from ..operators.search import MAX_BYTES, bm25, confidence, document_frequencies, downgraded, neighbours, pack_greedily, rank_keys, ranked, term_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,24 +23,47 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_terms(spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("item_id = 0").select(F.col("text").alias("phrase")).limit(1))
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage is a query."""
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query"), F.col("text").alias("phrase"))
 
 
-def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matched(docs(spark, sf_dir), query(spark, sf_dir))
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_counts(docs(spark, sf_dir), queries(spark, sf_dir))
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What queries name outright: here every query the document of its own number times seven."""
+    return queries(spark, sf_dir).select("query", (F.col("query") * 7).alias("doc_id"))
+
+
+#: Documents of this source stand in for noise sections.
+NOISE_SOURCE = "src9"
+
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    explicit = named(spark, sf_dir).join(docs(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
+    return rank_keys(docs(spark, sf_dir), queries(spark, sf_dir), F.col("source") == NOISE_SOURCE, explicit)
 
 
 PRELUDE = f"""
-WITH q AS (SELECT text AS phrase, list_distinct({tokens_sql('text')}) AS terms FROM benchmark WHERE item_id = 0),
-tok AS (SELECT doc_id, text, {tokens_sql('text')} AS tokens FROM documents),
-hit AS (SELECT doc_id, len(tokens) AS n_tokens, u.term, len(list_filter(tokens, lambda x: x = u.term)) AS tf FROM tok, (SELECT unnest(terms) AS term FROM q) u WHERE list_contains(tokens, u.term)),
-df AS (SELECT term, count(*) AS df, ln(1 + ((SELECT count(*) FROM tok) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM hit GROUP BY term),
+WITH q AS (SELECT item_id AS query, text AS phrase, list_distinct({tokens_sql('text')}) AS terms FROM benchmark),
+qt AS (SELECT query, len(terms) AS n_terms, unnest(terms) AS term FROM q),
+tok AS (SELECT doc_id, text, source, {tokens_sql('text')} AS tokens, {tokens_sql("split_part(text, chr(10), 1)")} AS head FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df, ln(1 + ((SELECT count(*) FROM tok) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf GROUP BY term),
 av AS (SELECT sum(len(tokens)) / count(*) AS average FROM tok),
-bm AS (SELECT doc_id, sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n_tokens / average))) AS score FROM hit JOIN df USING (term), av GROUP BY doc_id),
-keys AS (SELECT doc_id, score, CAST(contains(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')), trim(regexp_replace(replace(lower(phrase), 'ß', 'ss'), '\\s+', ' ', 'g'))) AS INTEGER) AS exact,
-  CAST(len(list_intersect(terms, {tokens_sql("split_part(text, chr(10), 1)")})) AS INTEGER) AS overlap, len(list_intersect(terms, tokens)) / len(terms) AS coverage FROM bm JOIN tok USING (doc_id), q WHERE score > 0),
-ranks AS (SELECT *, CAST(row_number() OVER (ORDER BY exact DESC, overlap DESC, round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM keys)
+w AS (SELECT tf.doc_id, term, idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(tokens) / average)) AS w FROM tf JOIN df USING (term) JOIN tok USING (doc_id), av),
+bm AS (SELECT query, doc_id, sum(w) AS score, count(*) AS n_matched, max(n_terms) AS n_terms FROM w JOIN qt USING (term) GROUP BY 1, 2),
+named AS (SELECT query, query * 7 AS doc_id FROM q WHERE query * 7 IN (SELECT doc_id FROM documents)),
+cand AS (SELECT query, doc_id FROM bm UNION SELECT query, doc_id FROM named),
+raw AS (SELECT b.query, b.doc_id, coalesce(score, 0) AS score, coalesce(n_matched, 0) / greatest(coalesce(n_terms, 1), 1) AS coverage, source = 'src9' AS noise,
+  (n.query IS NOT NULL)::INT AS explicit, len(list_intersect(q.terms, tok.head)) AS overlap,
+  contains(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')), trim(regexp_replace(replace(lower(phrase), 'ß', 'ss'), '\\s+', ' ', 'g')))::INT AS exact
+  FROM cand b JOIN tok USING (doc_id) JOIN q ON q.query = b.query LEFT JOIN bm ON bm.query = b.query AND bm.doc_id = b.doc_id LEFT JOIN named n ON n.query = b.query AND n.doc_id = b.doc_id),
+keys AS (SELECT query, doc_id, explicit, CASE WHEN noise THEN 0 ELSE exact END AS exact, CASE WHEN noise THEN 0 ELSE overlap END AS overlap, score * CASE WHEN noise THEN 0.05::DOUBLE ELSE 1 END AS score, coverage
+  FROM raw WHERE explicit = 1 OR score > 0 AND NOT noise),
+ranks AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY explicit DESC, exact DESC, overlap DESC, round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM keys)
 """
 
 
@@ -53,56 +76,71 @@ def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_frequencies(rows(spark, sf_dir)).select("term", "df", F.round("idf", 9).alias("idf"))
+    return document_frequencies(counts(spark, sf_dir)).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25(rows(spark, sf_dir)).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "doc_id").limit(10)
+    """The ten best documents of every query by BM25 alone; a report with a limit."""
+    scores = bm25(counts(spark, sf_dir), queries(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc_id"))
+    return scores.withColumn("rank", rank).filter("rank <= 10").select("query", "doc_id", "score")
 
 
 def rank_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(rank_keys(rows(spark, sf_dir)), 50).select("doc_id", "rank", "exact", "overlap", F.round("coverage", 9).alias("coverage"), F.round("score", 9).alias("score"))
+    """The fifty best candidates of every query; a report with a limit."""
+    top = ranked(keys(spark, sf_dir), 50)
+    return top.select("query", "doc_id", "rank", "explicit", "exact", "overlap", F.round("coverage", 9).alias("coverage"), F.round("score", 9).alias("score"))
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = rank_keys(rows(spark, sf_dir))
-    sums = keys.agg(F.sum("exact").alias("exact"), F.count("*").alias("positive"))
-    top = ranked(keys, 2).agg(
-        F.max(F.when(F.col("rank") == 1, F.col("coverage"))).alias("top_coverage"),
-        ((F.count("*") == 2) & (F.count_distinct("exact", "overlap", F.round("score", 9)) == 1)).alias("tied"),
-    )
-    return sums.crossJoin(top)
+    """Per query: how many candidates are named, phrases and scored, the best one's coverage and size, whether the second ties with it,
+    and how many of the documents named don't exist. The whole comes from one pass over the ranked candidates."""
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("explicit"), F.desc("exact"), F.desc("overlap"), F.desc(F.round("score", 9)), "doc_id"))
+    found = keys(spark, sf_dir).withColumn("rank", rank)
+    place = F.struct("explicit", "exact", "overlap", F.round("score", 9).alias("score"))
+    by = found.groupBy("query").agg(
+        F.sum("explicit").alias("explicit"), F.sum("exact").alias("exact"), F.count_if(F.col("score") > 0).alias("positive"),
+        F.max(F.when(F.col("rank") == 1, F.col("coverage"))).alias("top_coverage"), F.max(F.when(F.col("rank") == 1, F.col("doc_id"))).alias("top"),
+        F.coalesce(F.max(F.when(F.col("rank") == 1, place)) == F.max(F.when(F.col("rank") == 2, place)), F.lit(False)).alias("tied"),
+    )
+    missing = named(spark, sf_dir).join(docs(spark, sf_dir).select("doc_id"), "doc_id", "left_anti").groupBy("query").agg(F.count("doc_id").alias("unresolved"))
+    return queries(spark, sf_dir).select("query").join(by, "query", "left").join(missing, "query", "left").fillna({"explicit": 0, "exact": 0, "positive": 0, "top_coverage": 0.0, "tied": False, "unresolved": 0})
 
 
 def tied_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir).select("positive", F.coalesce("exact", F.lit(0)).alias("exact"), "tied")
+    return _signals(spark, sf_dir).select("query", "positive", "exact", "tied")
 
 
 def confidence_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(0)
-    c = confidence(none, none, F.coalesce("exact", none), F.col("positive"), F.coalesce("top_coverage", F.lit(0.0)), F.col("tied"))
-    return _signals(spark, sf_dir).select(F.round("top_coverage", 9).alias("top_coverage"), c.alias("confidence"))
+    """Per query its class, and the class in the end: lower where something named is missing or the best document doesn't fit the budget."""
+    found = _signals(spark, sf_dir).join(docs(spark, sf_dir).select(F.col("doc_id").alias("top"), F.octet_length("text").alias("bytes")), "top", "left")
+    c = confidence(F.col("explicit"), F.lit(0), F.col("exact"), F.col("positive"), F.col("top_coverage"), F.col("tied"))
+    found = found.withColumn("confidence", c)
+    final = downgraded(F.col("confidence"), F.col("unresolved") > 0, F.coalesce(F.col("bytes") > MAX_BYTES, F.lit(False)))
+    return found.select("query", F.round("top_coverage", 9).alias("top_coverage"), "confidence", final.alias("final"))
 
 
 def phrase_and_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the query as a phrase, and those that cover at least half of its terms."""
-    keys = rank_keys(rows(spark, sf_dir)).filter("exact = 1 or coverage >= 0.5")
-    return keys.select("doc_id", "exact", F.round("coverage", 9).alias("coverage"))
+    """Documents that hold a query as a phrase, and those that cover at least half of its terms."""
+    found = keys(spark, sf_dir).filter("exact = 1 or coverage >= 0.5")
+    return found.select("query", "doc_id", "exact", F.round("coverage", 9).alias("coverage"))
 
 
 QUERIES |= {f.__name__: f for f in (tokens_by_lang, doc_lengths, bm25_df_idf, bm25_topk, tied_top, phrase_and_coverage)} | {"rank_keys": rank_key_rows, "confidence": confidence_class}
+_SIGNALS = PRELUDE + """, s AS (SELECT q.query, coalesce(sum(explicit), 0) AS explicit, coalesce(sum(exact), 0)::BIGINT AS exact, count(*) FILTER (score > 0) AS positive, coalesce(max(coverage) FILTER (rank = 1), 0) AS c, max(doc_id) FILTER (rank = 1) AS top,
+  count(*) FILTER (rank <= 2) = 2 AND count(DISTINCT (explicit, exact, overlap, round(score, 9))) FILTER (rank <= 2) = 1 AS tied FROM q LEFT JOIN ranks ON ranks.query = q.query GROUP BY 1)
+"""
 ORACLES |= {
     "tokens_by_lang": f"SELECT lang, count(*) AS n_docs, CAST(sum(len({tokens_sql('text')})) AS BIGINT) AS n_tokens FROM documents GROUP BY lang",
     "doc_lengths": f"SELECT doc_id, CAST(len({tokens_sql('text')}) AS BIGINT) AS n_tokens FROM documents",
     "bm25_df_idf": PRELUDE + "SELECT term, df, round(idf, 9) AS idf FROM df",
-    "bm25_topk": PRELUDE + "SELECT doc_id, round(score, 9) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 10",
-    "rank_keys": PRELUDE + "SELECT doc_id, rank, exact, overlap, round(coverage, 9) AS coverage, round(score, 9) AS score FROM ranks WHERE rank <= 50",
-    "tied_top": PRELUDE + """SELECT (SELECT count(*) FROM keys) AS positive, CAST((SELECT coalesce(sum(exact), 0) FROM keys) AS BIGINT) AS exact,
-      (SELECT count(*) = 2 AND count(DISTINCT (exact, overlap, round(score, 9))) = 1 FROM ranks WHERE rank <= 2) AS tied""",
-    "confidence": PRELUDE + """, s AS (SELECT (SELECT coalesce(sum(exact), 0) FROM keys) AS e, (SELECT count(*) FROM keys) AS n, (SELECT coverage FROM ranks WHERE rank = 1) AS c,
-      (SELECT count(*) = 2 AND count(DISTINCT (exact, overlap, round(score, 9))) = 1 FROM ranks WHERE rank <= 2) AS tied)
-      SELECT round(c, 9) AS top_coverage, CASE WHEN n = 0 OR coalesce(c, 0) = 0 THEN 'LOW' WHEN e = 1 OR (c = 1 AND NOT tied) THEN 'HIGH' ELSE 'AMBIGUOUS' END AS confidence FROM s""",
-    "phrase_and_coverage": PRELUDE + "SELECT doc_id, exact, round(coverage, 9) AS coverage FROM keys WHERE exact = 1 OR coverage >= 0.5",
+    "bm25_topk": PRELUDE + "SELECT query, doc_id, round(score, 9) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) <= 10",
+    "rank_keys": PRELUDE + "SELECT query, doc_id, rank, explicit, exact, overlap::INT AS overlap, round(coverage, 9) AS coverage, round(score, 9) AS score FROM ranks WHERE rank <= 50",
+    "tied_top": _SIGNALS + "SELECT query, positive, exact, tied FROM s",
+    "confidence": _SIGNALS + """, t AS (SELECT query, round(c, 9) AS top_coverage, top, CASE WHEN explicit > 0 THEN 'HIGH' WHEN positive = 0 OR c = 0 THEN 'LOW' WHEN exact = 1 OR (c = 1 AND NOT tied) THEN 'HIGH' ELSE 'AMBIGUOUS' END AS confidence FROM s)
+      SELECT query, top_coverage, confidence, CASE WHEN query * 7 NOT IN (SELECT doc_id FROM documents) THEN 'LOW' WHEN confidence = 'HIGH' AND coalesce(strlen(text) > 16000, FALSE) THEN 'AMBIGUOUS' ELSE confidence END AS final
+      FROM t LEFT JOIN documents ON doc_id = top""",
+    "phrase_and_coverage": PRELUDE + "SELECT query, doc_id, exact, round(coverage, 9) AS coverage FROM keys WHERE exact = 1 OR coverage >= 0.5",
 }
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 def tables_of_captions(blocks: DataFrame, page: str, y: str, key: str, is_caption: Column, is_table: Column, reach: float) -> DataFrame:
     """Each caption with the nearest table below it on its page, at most ``reach`` away and with no other caption between.
 
-    Both are the next ones in the page's order, so two windows do and no pair of blocks is made. Ties in ``y`` go by ``key``.
+    Both are the next ones in the page's order, so two windows do and no pair of blocks is made: read from below, they are the last
+    seen so far. Ties in ``y`` go by ``key``.
     """
-    after = W.partitionBy(page).orderBy(y, key).rowsBetween(1, W.unboundedFollowing)
-    first = lambda when, what: F.first(F.when(when, F.col(what)), ignorenulls=True).over(after)
+    below = W.partitionBy(page).orderBy(F.desc(y), F.desc(key)).rowsBetween(W.unboundedPreceding, -1)
+    first = lambda when, what: F.last(F.when(when, F.col(what)), ignorenulls=True).over(below)
     near = blocks.withColumns({"_y": first(is_table, y), "_table": first(is_table, key), "_stop": first(is_caption, y), "_caption": is_caption})
     held = (F.col("_y") - F.col(y) <= reach) & (F.col("_stop").isNull() | (F.col("_stop") > F.col("_y")))
     return near.filter("_caption").filter(held).select(page, F.col(key).alias("caption"), F.col("_table").alias("table"))
@@ -27,12 +28,11 @@ def column_counts(blocks: DataFrame, page: str, x0: Column, x1: Column, width: f
     return counts.withColumn("two_columns", (F.col("n_left") > 0) & (F.col("n_right") > 0) & (F.col("n_left") + F.col("n_right") > F.col("n_span")))
 
 
-def with_reserved(ranked: DataFrame, group: str, rank: str, k: int) -> DataFrame:
-    """The best of each group, and of the others as many as make ``k`` together; ``ranked`` is a bounded top list."""
-    best = F.row_number().over(W.partitionBy(group).orderBy(rank)) == 1
-    marked = ranked.withColumn("protected", best)
-    groups = marked.agg(F.count_if("protected").alias("_n"))
-    marked = marked.crossJoin(F.broadcast(groups)).withColumn("_other", F.sum((~F.col("protected")).cast("int")).over(W.orderBy(rank)))
+def with_reserved(ranked: DataFrame, query: str, group: str, rank: str, k: int) -> DataFrame:
+    """Per query the best of each group, and of the others as many as make ``k`` together; ``ranked`` is a bounded top list of each query."""
+    marked = ranked.withColumn("protected", F.row_number().over(W.partitionBy(query, group).orderBy(rank)) == 1)
+    other = F.sum((~F.col("protected")).cast("int")).over(W.partitionBy(query).orderBy(rank))
+    marked = marked.withColumns({"_other": other, "_n": F.sum(F.col("protected").cast("int")).over(W.partitionBy(query))})
     return marked.filter(F.col("protected") | (F.col("_other") <= k - F.col("_n"))).drop("_n", "_other")
 
 

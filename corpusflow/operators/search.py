@@ -8,54 +8,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_phrase, coverage, tokens
+from ..functions.text import collapsed, tokens
 
 #: BM25's parameters, and the packing's limits.
 K1, B = 1.5, 0.75
 MAX_BLOCKS, MAX_BYTES = 12, 16_000
+NOISE_WEIGHT = 0.05
 
 
-def query_terms(phrase: DataFrame) -> DataFrame:
-    """One row: the phrase and its distinct tokens."""
-    return phrase.select("phrase", F.array_sort(F.array_distinct(tokens(F.col("phrase")))).alias("terms"))
+def query_terms(queries: DataFrame) -> DataFrame:
+    """Adds ``term`` rows to queries (query, phrase): their distinct tokens, and how many they are."""
+    terms = queries.select("query", "phrase", F.array_distinct(tokens(F.col("phrase"))).alias("terms"))
+    return terms.select("query", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
-def matched(docs: DataFrame, query: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: n_tokens and an array of (term, tf) for query terms that it has. The one-row query is sent to every task, and
-    a document's tokens never leave theirs."""
-    rows = docs.select(key, F.col(text).alias("text"), tokens(F.col(text)).alias("tokens")).crossJoin(F.broadcast(query.limit(1)))
-    hits = F.transform(F.filter("terms", lambda t: F.array_contains("tokens", t)), lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf")))
-    return rows.select(key, "text", "phrase", "terms", "tokens", F.size("tokens").cast("long").alias("n_tokens"), hits.alias("hits"))
+def term_counts(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, term, tf) for the terms of any query, and a row with a null term for all other tokens of each document.
 
+    Every text is tokenised once, for all queries together: the queries' vocabulary is sent to the tokens, which are counted where they
+    lie, so what is shuffled is a row per document and term matched. All that follows reads this one shuffle.
+    """
+    vocabulary = query_terms(queries).select("term").distinct()
+    flat = docs.select(key, F.explode_outer(tokens(F.col(text))).alias("token"))
+    known = flat.join(F.broadcast(vocabulary), F.col("token") == F.col("term"), "left")
+    return known.groupBy(key, "term").agg(F.count("token").alias("tf"))
 
-def document_frequencies(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """term, df, idf of the query's terms."""
-    df = rows.select(key, F.explode("hits").alias("h")).groupBy(F.col("h.term").alias("term")).agg(F.count(key).alias("df"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
-    return df.crossJoin(F.broadcast(total)).select("term", "df", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
-
-def bm25(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, score) of documents with any query term; terms are summed in a fixed order. The only shuffles are sums by term and by
-    document, of matches alone."""
-    stats = rows.agg((F.sum("n_tokens") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("average"))
-    flat = rows.select(key, "n_tokens", F.inline("hits")).join(F.broadcast(document_frequencies(rows, key)), "term").crossJoin(F.broadcast(stats))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("average")))
-    terms = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", weight.alias("w")))).alias("ws"))
-    return terms.select(key, F.aggregate("ws", F.lit(0.0), lambda s, x: s + x["w"]).alias("score"))
+def document_frequencies(counts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """term, df, idf of the queries' terms, and the average length of a document."""
+    df = counts.filter("term is not null").groupBy("term").agg(F.count(key).alias("df"))
+    total = counts.agg(F.count_distinct(key).alias("n"), F.sum("tf").alias("tokens"))
+    return df.crossJoin(F.broadcast(total)).select("term", "df", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("tokens") / F.greatest("n", F.lit(1))).alias("average"))
 
 
-def rank_keys(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Candidates with what they are ranked by: exact phrase, overlap of the first line with the query, score, and coverage."""
-    first = tokens(F.substring_index("text", "\n", 1))
-    keys = rows.select(key, contains_phrase(F.col("text"), F.col("phrase")).cast("int").alias("exact"), F.size(F.array_intersect("terms", first)).alias("overlap"), coverage(F.col("terms"), F.col("tokens")).alias("coverage"))
-    return bm25(rows, key).join(keys, key).filter("score > 0")
+def bm25(counts: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(query, key, score, n_matched, n_terms) of documents with any term of a query. Term weights don't depend on the query, so each
+    document's terms become one row with their weights first, and meet the queries there."""
+    lengths = counts.groupBy(key).agg(F.sum("tf").alias("n_tokens"))
+    known = counts.filter("term is not null").join(F.broadcast(document_frequencies(counts, key)), "term").join(lengths, key)
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("average")))
+    met = known.select(key, "term", weight.alias("w")).join(F.broadcast(query_terms(queries)), "term")
+    return met.groupBy("query", key).agg(F.sum("w").alias("score"), F.count("term").cast("int").alias("n_matched"), F.max("n_terms").alias("n_terms"))
+
+
+def rank_keys(docs: DataFrame, queries: DataFrame, noise: Column | None = None, explicit: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Candidates of each query with what they are ranked by: explicit, exact, overlap, score and coverage.
+
+    ``noise`` marks documents (references, acknowledgements) whose score is damped and whose exact phrase and overlap don't count;
+    ``explicit`` has the (query, key) pairs that a query names. Eligible is what is named, or has a score and is no noise.
+    """
+    scores = bm25(term_counts(docs, queries, key, text), queries, key)
+    noisy = noise if noise is not None else F.lit(False)
+    lines = docs.select(key, noisy.alias("noise"), F.explode(F.array_distinct(tokens(F.substring_index(text, "\n", 1)))).alias("term"))
+    overlap = lines.join(F.broadcast(query_terms(queries)), "term").groupBy("query", key).agg(F.count("term").cast("int").alias("overlap"))
+    phrases = queries.select("query", collapsed(F.col("phrase")).alias("wanted"))
+    exact = docs.select(key, collapsed(F.col(text)).alias("whole")).join(F.broadcast(phrases), F.contains("whole", "wanted")).select("query", key, F.lit(1).alias("exact"))
+    keys = scores.join(overlap, ["query", key], "left").join(exact, ["query", key], "left")
+    flags = docs.select(key, noisy.alias("noise"))
+    keys = keys.join(flags.filter("noise"), key, "left").withColumn("noise", F.coalesce("noise", F.lit(False)))
+    if explicit is not None:
+        named = explicit.select("query", key).distinct().withColumn("explicit", F.lit(1))
+        keys = keys.join(named, ["query", key], "full").fillna({"score": 0.0, "n_matched": 0, "n_terms": 1, "noise": False})
+    else:
+        keys = keys.withColumn("explicit", F.lit(0))
+    keys = keys.fillna({"overlap": 0, "exact": 0, "explicit": 0})
+    quiet = ~F.col("noise")
+    keys = keys.select(
+        "query", key, "explicit", F.when(quiet, F.col("exact")).otherwise(0).alias("exact"), F.when(quiet, F.col("overlap")).otherwise(0).alias("overlap"),
+        (F.col("score") * F.when(quiet, 1.0).otherwise(NOISE_WEIGHT)).alias("score"), F.when(F.col("n_terms") > 0, F.col("n_matched") / F.col("n_terms")).otherwise(0.0).alias("coverage"), "noise",
+    )
+    return keys.filter((F.col("explicit") == 1) | ((F.col("score") > 0) & ~F.col("noise")))
 
 
 def ranked(keys: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """The best ``k`` by the keys in order, the smaller key first among equals."""
-    order = [F.desc("exact"), F.desc("overlap"), F.desc(F.round("score", 9)), F.asc(key)]
-    return keys.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    """The best ``k`` of each query by the keys in order, the smaller key first among equals. Tasks keep their own best before the shuffle."""
+    order = [F.desc("explicit"), F.desc("exact"), F.desc("overlap"), F.desc(F.round("score", 9)), F.asc(key)]
+    return keys.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def confidence(explicit: Column, unresolved: Column, exact: Column, positive: Column, top_coverage: Column, tied: Column) -> Column:
@@ -68,6 +96,11 @@ def confidence(explicit: Column, unresolved: Column, exact: Column, positive: Co
     )
 
 
+def downgraded(confidence: Column, missing: Column, limited: Column) -> Column:
+    """The class in the end: LOW where something needed is missing, and no HIGH where the budget kept evidence out."""
+    return F.when(missing, "LOW").when((confidence == "HIGH") & limited, "AMBIGUOUS").otherwise(confidence)
+
+
 def neighbours(df: DataFrame, section: str, order: str) -> DataFrame:
     """Each row's neighbours one position before and after in its section, as an equi-join on positions."""
     near = df.select(section, F.col(order).alias("near"), F.explode(F.array(F.col(order) - 1, F.col(order) + 1)).alias(order))
