@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import BOOLEAN, MATRIX, OLDER, SCALAR, VECTOR, Value, scalar, vector
 from ..functions.expressions import column
-from ..operators.programs import array_probes, controlled, dead_controls, in_domain, iterate, machine, one_hot, representative_states, run_program, sweep
+from ..operators.programs import array_probes, controlled, dead_controls, in_domain, iterate, machine_by_block, one_hot, representative_states, run_program, sweep
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -164,25 +164,21 @@ SELECT o_orderkey, step, round(x, 6) AS x, round(y, 6) AS y FROM h"""
 
 
 def fsm_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user and hour, the last state of a machine over that hour's events; an hour of one user is a bounded array."""
+    """Per user and hour, the state that a machine over all of the user's events is in at the end of the hour."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.date_trunc("hour", "ts").alias("hour"), "ts", "event_id", "event_type")
-    of = lambda *kinds: lambda e: e.isin(*kinds)
-    moves = [("idle", "active", of("click", "view", "signup")), ("active", "failed", of("error")), ("active", "bought", of("purchase")), ("failed", "active", of("click", "view"))]
-    grouped = events.groupBy("user_id", "hour").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
-    states = machine(F.transform("e", lambda x: x["event_type"]), "idle", moves)
-    return grouped.withColumn("states", states).select("user_id", "hour", F.size("e").cast("long").alias("n_events"), F.element_at("states", -1).alias("state"))
+    moves = [("idle", "active", ["click", "view", "signup"]), ("active", "failed", ["error"]), ("active", "bought", ["purchase"]), ("failed", "active", ["click", "view"])]
+    return machine_by_block(events, "user_id", "hour", ["ts", "event_id"], "event_type", "idle", moves)
 
 
 QUERIES["fsm_user_state"] = fsm_user_state
 ORACLES["fsm_user_state"] = """
-WITH RECURSIVE e AS (SELECT user_id, date_trunc('hour', ts) AS hour, event_type, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS n,
-  count(*) OVER (PARTITION BY user_id, date_trunc('hour', ts)) AS total FROM events),
-r AS (SELECT user_id, hour, CAST(0 AS BIGINT) AS n, 'idle' AS state FROM e WHERE n = 1
-  UNION ALL SELECT r.user_id, r.hour, e.n, CASE WHEN r.state = 'idle' AND e.event_type IN ('click', 'view', 'signup') THEN 'active'
+WITH RECURSIVE e AS (SELECT user_id, date_trunc('hour', ts) AS hour, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS n, 'idle' AS state FROM e WHERE n = 1
+  UNION ALL SELECT r.user_id, e.n, CASE WHEN r.state = 'idle' AND e.event_type IN ('click', 'view', 'signup') THEN 'active'
     WHEN r.state = 'active' AND e.event_type = 'error' THEN 'failed' WHEN r.state = 'active' AND e.event_type = 'purchase' THEN 'bought'
     WHEN r.state = 'failed' AND e.event_type IN ('click', 'view') THEN 'active' ELSE r.state END
-  FROM r JOIN e ON e.user_id = r.user_id AND e.hour = r.hour AND e.n = r.n + 1)
-SELECT r.user_id, r.hour, e.total AS n_events, r.state FROM r JOIN e ON e.user_id = r.user_id AND e.hour = r.hour AND e.n = r.n AND e.n = e.total"""
+  FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, hour, count(*) AS n_events, arg_max(state, n) AS state FROM r JOIN e USING (user_id, n) GROUP BY 1, 2"""
 
 
 # -- step graphs and sweeps

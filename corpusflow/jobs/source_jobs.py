@@ -47,18 +47,18 @@ def section_parent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_edge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Footers and navigation links that stand on two pages or more; of half of all pages where few pages are one source."""
-    found = pages(spark, sf_dir).select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<li><a href=\"[^\"]*\">([^<]*)</a></li>"))).alias("text"))
-    return repeated_edges(found, "page_id", "text", F.lit(4))
+    """Per host, navigation links that stand on two pages or more and on half of the host's pages."""
+    all_pages = pages(spark, sf_dir).withColumn("host", F.regexp_extract("url", "://([^/:?#]+)", 1))
+    found = all_pages.select("host", "page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<li><a href=\"[^\"]*\">([^<]*)</a></li>"))).alias("text"))
+    return repeated_edges(found, all_pages, "host", "page_id", "text")
 
 
 def reading_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as blocks of their supplier's pages: places from quantity and price."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 1")
-    x0 = F.when(F.col("l_quantity") % 2 == 0, 0.0).otherwise(55.0)
-    blocks = items.select("l_suppkey", "l_orderkey", F.when(F.col("l_quantity") % 7 == 0, 0.0).otherwise(x0).alias("x0"), F.col("l_extendedprice").alias("y0"), F.when(F.col("l_quantity") % 7 == 0, 100.0).otherwise(x0 + 45).alias("x1"))
-    blocks = blocks.dropDuplicates(["l_suppkey", "y0", "x0"])
-    return reading_order(blocks, "l_suppkey", F.lit(100.0)).select("l_suppkey", F.round("y0", 2).alias("y0"), "x0", F.col("reading").cast("long").alias("reading"))
+    """Line items as blocks of their supplier's pages: places from quantity and price, widths from narrow to full."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    x0 = F.when(F.col("l_quantity") % 7 == 0, 30.0).when(F.col("l_quantity") % 2 == 0, 2.0).otherwise(52.0)
+    blocks = items.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", x0.alias("x0"), F.col("l_extendedprice").alias("y0"), (x0 + 40).alias("x1")).distinct()
+    return reading_order(blocks, "l_suppkey", F.lit(100.0), ("l_orderkey", "l_linenumber", "l_partkey")).select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.round("y0", 2).alias("y0"), "x0", F.col("reading").cast("long").alias("reading"))
 
 
 QUERIES |= {"format_sniff": format_sniff, "title_extract": title_extract, "page_elements": page_element_rows, "page_sections": page_sections, "section_parents": section_parent_rows, "repeated_edge_text": repeated_edge_text, "reading_order": reading_order_rows}
@@ -68,13 +68,15 @@ ORACLES |= {
     "title_extract": "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages",
     "section_parents": """WITH s AS (SELECT l_orderkey, l_linenumber, CAST(min(l_partkey) % 4 + 1 AS INTEGER) AS level FROM lineitem GROUP BY 1, 2)
       SELECT a.l_orderkey, a.l_linenumber, a.level, max(b.l_linenumber) AS parent FROM s a LEFT JOIN s b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber < a.l_linenumber AND b.level < a.level GROUP BY 1, 2, 3""",
-    "repeated_edge_text": """SELECT text, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) AS text FROM pages) GROUP BY text HAVING count(DISTINCT page_id) >= 2""",
-    "reading_order": """WITH i AS (SELECT DISTINCT l_suppkey, l_extendedprice AS y0, CASE WHEN l_quantity % 7 = 0 THEN 0.0 WHEN l_quantity % 2 = 0 THEN 0.0 ELSE 55.0 END::DOUBLE AS x0, l_quantity % 7 = 0 AS span FROM lineitem WHERE l_linenumber = 1),
-      b AS (SELECT l_suppkey, y0, x0, bool_or(span) AS span FROM i GROUP BY 1, 2, 3),
-      c AS (SELECT *, NOT span AND x0 >= 50 AS side FROM b),
-      d AS (SELECT *, bool_or(side) OVER (PARTITION BY l_suppkey) AND bool_or(NOT span AND NOT side) OVER (PARTITION BY l_suppkey) AS two FROM c),
-      e AS (SELECT *, CASE WHEN two THEN sum(span::INT) OVER (PARTITION BY l_suppkey ORDER BY y0, x0) ELSE 0 END AS band FROM d)
-      SELECT l_suppkey, round(y0, 2) AS y0, x0, row_number() OVER (PARTITION BY l_suppkey ORDER BY band, CASE WHEN NOT two OR span THEN 0 WHEN side THEN 2 ELSE 1 END, y0, x0) AS reading FROM e""",
+    "repeated_edge_text": """WITH p AS (SELECT *, regexp_extract(url, '://([^/:?#]+)', 1) AS host FROM pages), n AS (SELECT host, count(DISTINCT page_id) AS n FROM p GROUP BY 1)
+      SELECT host, text, count(DISTINCT page_id) AS n_pages FROM (SELECT host, page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) AS text FROM p) JOIN n USING (host) GROUP BY host, text HAVING count(DISTINCT page_id) >= greatest(2, max(n) // 2)""",
+    "reading_order": """WITH b AS (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice AS y0, CASE WHEN l_quantity % 7 = 0 THEN 30.0 WHEN l_quantity % 2 = 0 THEN 2.0 ELSE 52.0 END::DOUBLE AS x0 FROM lineitem),
+      c AS (SELECT *, x0 + 40 <= 54 AS is_left, x0 >= 46 AS is_right FROM b),
+      d AS (SELECT *, NOT is_left AND NOT is_right AS span, bool_or(is_right) OVER p AND bool_or(is_left) OVER p AS two FROM c WINDOW p AS (PARTITION BY l_suppkey)),
+      s AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY y0, x0, l_orderkey, l_linenumber, l_partkey) AS k FROM d WHERE span),
+      e AS (SELECT d.*, CASE WHEN NOT d.two THEN 0 WHEN d.span THEN s.k ELSE coalesce((SELECT max(t.k) FROM s t WHERE t.l_suppkey = d.l_suppkey AND t.y0 <= d.y0), 0) END AS band
+        FROM d LEFT JOIN s USING (l_suppkey, l_orderkey, l_linenumber, l_partkey, y0, x0))
+      SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, round(y0, 2) AS y0, x0, row_number() OVER (PARTITION BY l_suppkey ORDER BY band, CASE WHEN NOT two OR span THEN 0 WHEN is_right THEN 2 ELSE 1 END, y0, x0, l_orderkey, l_linenumber, l_partkey) AS reading FROM e""",
 }
 
 

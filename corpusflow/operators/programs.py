@@ -76,11 +76,38 @@ def machine(events: Column, start: str, moves: list[tuple[str, str, Callable[[Co
     return F.aggregate(events, F.array(F.lit(start)), step)
 
 
-def state_by_event(df: DataFrame, key: str, order: list[str], resets: Column, moves: Column) -> DataFrame:
-    """For machines in which some events set the state whatever it was (``resets``: the state, else null) and the others keep it or
-    step it on (``moves``): the state as a running last value. Any number of events by key spills like every window."""
-    window = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("state", F.coalesce(F.last(F.coalesce(resets, moves), ignorenulls=True).over(window), F.lit("idle")))
+def machine_by_block(df: DataFrame, key: str, block: str, order: list[str], event: str, start: str, moves: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """(key, block, n_events, state): the state that a machine is in after each block of a key's events, whose order goes on over all blocks.
+
+    A move (from, to, events) fires on the events named; none leaves the state as it is. Blocks must follow each other in the order of ``block``, and bound
+    what one array holds. Each block is reduced to what it makes of every state (a map from state to state), all blocks side by
+    side; a key's maps are then composed in order, and only these, one small map for each block, come together.
+    """
+    states = list(dict.fromkeys([start, *[s for a, b, _ in moves for s in (a, b)]]))
+    need(len({(a, e) for a, _, kinds in moves for e in kinds}) == sum(len(kinds) for *_, kinds in moves), "several moves at once")
+    number = {s: i for i, s in enumerate(states)}
+    by_event: dict[str, list[int]] = {}
+    for a, b, kinds in moves:
+        for e in kinds:
+            by_event.setdefault(e, list(range(len(states))))[number[a]] = number[b]
+    same = F.array(*[F.lit(i) for i in range(len(states))])
+
+    def of(e: Column) -> Column:
+        out = same
+        for kind, to in by_event.items():
+            out = F.when(e == kind, F.array(*[F.lit(i) for i in to])).otherwise(out)
+        return out
+
+    then = lambda first, second: F.transform(first, lambda i: F.get(second, i))
+    blocks = df.groupBy(key, block).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_e")))).alias("_events"))
+    # events that change nothing needn't be walked through
+    useful = F.filter(F.transform("_events", lambda x: x["_e"]), lambda e: e.isin(*by_event))
+    maps = blocks.select(key, block, F.size("_events").cast("long").alias("n_events"), F.aggregate(useful, same, lambda m, e: then(m, of(e))).alias("_map"))
+    told = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(block, "n_events", "_map"))).alias("_blocks"))
+    now = lambda history: F.coalesce(F.get(history, F.size(history) - 1), F.lit(number[start]))
+    after = F.aggregate("_blocks", F.expr("cast(array() as array<int>)"), lambda history, b: F.concat(history, F.array(F.get(b["_map"], now(history)))))
+    rows = told.select(key, F.inline(F.arrays_zip(F.col("_blocks").alias("b"), after.alias("s"))))
+    return rows.select(key, f"b.{block}", "b.n_events", F.get(F.array(*[F.lit(s) for s in states]), F.col("s")).alias("state"))
 
 
 def representative_states(low: float, high: float, default: float, integer: bool = False, presets: dict[str, float] | None = None) -> list[tuple[str, float]]:
@@ -145,4 +172,4 @@ def in_domain(value: Column, domain: str) -> Column:
     }[domain]
 
 
-__all__ = ["VECTOR", "array_probes", "controlled", "dead_controls", "in_domain", "iterate", "levels", "machine", "one_hot", "representative_states", "run_program", "state_by_event", "sweep"]
+__all__ = ["VECTOR", "array_probes", "controlled", "dead_controls", "in_domain", "iterate", "levels", "machine", "machine_by_block", "one_hot", "representative_states", "run_program", "sweep"]

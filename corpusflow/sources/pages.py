@@ -126,18 +126,28 @@ def section_parents(sections: DataFrame, key: str, order: str, level: str) -> Da
     return sections.withColumns({f"_last_{k}": c for k, c in last.items()}).withColumn("parent", F.array_max(F.filter(lower, lambda x: x.isNotNull()))).drop(*(f"_last_{k}" for k in range(1, 7)))
 
 
-def repeated_edges(blocks: DataFrame, page: str, text: str, pages: Column) -> DataFrame:
-    """Edge texts that stand on at least 2 pages and half of all: headers and footers."""
-    return blocks.groupBy(text).agg(F.count_distinct(page).alias("n_pages")).filter(F.col("n_pages") >= F.greatest(F.lit(2), F.floor(pages / 2)))
+def repeated_edges(blocks: DataFrame, pages: DataFrame, source: str, page: str, text: str) -> DataFrame:
+    """Edge texts that stand on at least 2 pages of their source and half of all that it has: headers and footers. Pages are counted by source from ``pages``."""
+    found = blocks.groupBy(source, text).agg(F.count_distinct(page).alias("n_pages")).filter("n_pages >= 2")
+    total = pages.groupBy(source).agg(F.count_distinct(page).alias("_all"))
+    return found.join(total, source).filter(F.col("n_pages") >= F.floor(F.col("_all") / 2)).drop("_all")
 
 
-def reading_order(blocks: DataFrame, page: str, width: Column) -> DataFrame:
+def reading_order(blocks: DataFrame, page: str, width: Column, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``reading``: bands between full-width blocks from top to bottom; in a band the left column, then the right. A page without
-    blocks in both columns is read by y, then x. Blocks have x0, y0, x1."""
-    span = (F.col("x1") - F.col("x0")) > 0.6 * width
-    right = ~span & (F.col("x0") >= 0.5 * width)
-    both = F.bool_or(right).over(W.partitionBy(page)) & F.bool_or(~span & ~right).over(W.partitionBy(page))
-    df = blocks.withColumns({"_span": span, "_right": right, "_two": both})
-    df = df.withColumn("_band", F.when(F.col("_two"), F.sum(F.col("_span").cast("int")).over(W.partitionBy(page).orderBy("y0", "x0"))).otherwise(0))
+    blocks in both columns is read by y, then x. Blocks have x0, y0, x1; ``ties`` orders blocks of one place.
+
+    A block is left if it ends before the middle and right if it begins after it, both give or take 4 % of the width; one that is neither
+    spans the page, whatever its own width. A band ends where a spanning block begins.
+    """
+    left, right = F.col("x1") <= 0.54 * width, F.col("x0") >= 0.46 * width
+    both = F.bool_or(right).over(W.partitionBy(page)) & F.bool_or(left).over(W.partitionBy(page))
+    df = blocks.withColumns({"_span": ~left & ~right, "_right": right, "_two": both})
+    # blocks at a spanning block's own height come after it
+    above = W.partitionBy(page).orderBy("y0").rangeBetween(W.unboundedPreceding, W.currentRow)
+    nth = W.partitionBy(page).orderBy("y0", "x0", *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
+    spans = F.count_if("_span")
+    band = F.when(F.col("_span"), spans.over(nth)).otherwise(spans.over(above))
+    df = df.withColumn("_band", F.when(F.col("_two"), band).otherwise(0))
     side = F.when(~F.col("_two") | F.col("_span"), 0).when(F.col("_right"), 2).otherwise(1)
-    return df.withColumn("reading", F.row_number().over(W.partitionBy(page).orderBy("_band", side, "y0", "x0"))).drop("_span", "_right", "_two", "_band")
+    return df.withColumn("reading", F.row_number().over(W.partitionBy(page).orderBy("_band", side, "y0", "x0", *ties))).drop("_span", "_right", "_two", "_band")
