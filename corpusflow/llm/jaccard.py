@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,10 +15,10 @@ from .common import Scratch, ascii_lower, documents, mix, row_keys, segment_hash
 from .graph import components
 
 _U = np.uint64
-#: Counters in a document's histogram of shingles; their differences bound how far two sets differ.
-CELLS = 64
-#: What comparing a pair costs, in one-deletion signatures.
-PAIR_COST = 16
+#: Counters in a set's histogram of shingles, whose differences bound how far two sets differ; four times as many for each step in size.
+CELLS, CELL_STEPS = 64, (512, 2048, 8192, 32768, 131072)
+#: Pairs across classes that a list may cost for each of its members; one that costs more is left to one-deletion neighbourhoods.
+DIRECT = 24
 MAX_SEEDS = 64
 
 
@@ -163,8 +164,10 @@ def sketched(texts: DataFrame, words: int, plan: Plan, kind: str) -> DataFrame:
                 else:
                     r, s = plan.signatures(rows, h, sizes, kind == "deletions")
                     if kind == "whole":
-                        cells = np.bincount(rows * CELLS + (h % _U(CELLS)).astype(np.int64), minlength=m * CELLS)
-                        columns += [pa.array(sizes), pa.ListArray.from_arrays(pa.array(np.arange(0, m * CELLS + 1, CELLS, dtype=np.int32)), pa.array(np.minimum(cells, 32767).astype(np.int16)))]
+                        width = CELLS * 4 ** np.searchsorted(CELL_STEPS, sizes, "right")
+                        base = np.concatenate(([0], np.cumsum(width)))
+                        cells = np.bincount(base[rows] + (h % width[rows].astype(np.uint64)).astype(np.int64), minlength=base[-1])
+                        columns += [pa.array(sizes), pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), pa.array(np.minimum(cells, 32767).astype(np.int16)))]
                     columns.append(lists(r, s.view(np.int64), m))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -175,7 +178,7 @@ class _Join:
     """State of one join: nodes (one per distinct set) with their sizes and cells, pairs verified, links found, classes so far.
 
     Tables: ``nodes`` is node, k, n, d1, d2, cells; lists are (signature, node, n, members), ``open`` ones also have each member's
-    ``class`` and the list's hub.
+    ``class`` and the list's pivot.
     """
 
     def __init__(self, texts: DataFrame, nodes: DataFrame, words: int, plan: Plan, scratch: Scratch):
@@ -197,8 +200,9 @@ class _Join:
         wanted = self.scratch.stage(self.nodes.join(wanted, "node", "left_semi").select("k", F.col("node"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), "wanted")
         texts = self.texts.join(sent(wanted), "k").drop("k")
         found = sketched(texts, self.words, self.plan, kind).filter("d1 = e1 and d2 = e2").select("node", "items")
-        # a row that is repeated has its set fetched as often
-        out = self.scratch.stage(found.dropDuplicates(["node"]), kind)
+        out = self.scratch.stage(found, kind)
+        if out.count() > wanted.count():  # a row that is repeated has its set fetched as often
+            out = self.scratch.stage(out.dropDuplicates(["node"]), kind)
         self.scratch.drop(wanted)
         return out
 
@@ -210,9 +214,13 @@ class _Join:
             pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
         pairs = self.scratch.stage(pairs, "candidates")
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
-        apart = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+        # of sets that fit, one histogram is four times as wide as the other at most: its quarters add up to one of the same width
+        quarter = lambda c: F.size(c) / 4
+        folded = lambda c: F.transform(F.slice(c, 1, quarter(c).cast("int")), lambda x, i: sum((F.get(c, i + (quarter(c) * k).cast("int")).cast("int") for k in (1, 2, 3)), x.cast("int")))
+        like = lambda c, d: F.when(F.size(c) > F.size(d), folded(c)).otherwise(F.transform(c, lambda x: x.cast("int")))
+        apart = F.aggregate(F.zip_with(like("c_a", "c_b"), like("c_b", "c_a"), lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
         total = F.col("n_a") + F.col("n_b")
-        likely = pairs.join(node("a"), "a").join(node("b"), "b").filter(self.fits(F.col("n_a"), F.col("n_b")) & (apart * (num + den) <= total * (den - num)))
+        likely = pairs.join(node("a"), "a").join(node("b"), "b").filter(self.fits(F.col("n_a"), F.col("n_b"))).filter(apart * (num + den) <= total * (den - num))
         likely = self.scratch.stage(likely.select("a", "b", "n_a", "n_b"), "likely")
         sets = self.fetched(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct(), "sets")
         of = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"s_{x}"))
@@ -235,7 +243,8 @@ class _Join:
         frequent one is no single task's work; the join that follows may be split."""
         flat = rows.select("node", "n", F.explode(column).alias("signature"))
         counts = flat.groupBy("signature").agg(F.count("node").alias("members")).filter("members > 1")
-        return self.scratch.stage(flat.join(counts, "signature").select("signature", "node", "n", "members"), "lists")
+        # few signatures are shared, so theirs is the side to hash, and the posts need no sort
+        return self.scratch.stage(flat.join(counts.hint("shuffle_hash"), "signature").select("signature", "node", "n", "members"), "lists")
 
     def starred(self, lists: DataFrame) -> DataFrame:
         """Each list's members meet its hub, the one whose lists are longest in all: it stands closest to the middle of a group of near copies.
@@ -248,10 +257,15 @@ class _Join:
         self.verify(pair(met.select(F.col("hub").alias("x"), F.col("node").alias("y"))))
         classed = lists.join(self.classes(), "node", "left").withColumn("class", F.coalesce("class", "node"))
         classed = self.scratch.stage(classed, "classed")
-        span = classed.groupBy("signature").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.sum("n").alias("total")).filter("low < high")
-        pairs = F.col("members") * (F.col("members") - 1) / 2
-        left = classed.join(span, "signature").join(hubs, "signature")
-        left = self.scratch.stage(left.select("signature", "node", "n", "class", "hub", (pairs * PAIR_COST > F.col("total")).alias("dear")), "open-lists")
+        # the weightiest set of the hub's class stands for the hub from here on, so that the lists of one group have one pivot
+        members = classed.select("node", "class").distinct().join(weight, "node")
+        leaders = members.groupBy("class").agg(F.max(F.struct("weight", "node")).alias("l")).select("class", F.col("l.node").alias("pivot"))
+        pivots = hubs.join(members.select(F.col("node").alias("hub"), "class"), "hub").join(leaders, "class").select("signature", "pivot")
+        span = classed.groupBy("signature", "class").agg(F.count("node").alias("own")).groupBy("signature").agg(F.count("class").alias("classes"), F.sum("own").alias("size"), F.sum(F.col("own") * F.col("own")).alias("squares"))
+        pairs = (F.col("size") * F.col("size") - F.col("squares")) / 2
+        span = span.filter("classes > 1").select("signature", (pairs > DIRECT * F.col("size")).alias("dear"))
+        left = classed.join(span, "signature").join(pivots, "signature")
+        left = self.scratch.stage(left.select("signature", "node", "n", "class", "pivot", "dear"), "open-lists")
         self.scratch.drop(lists, told, hubs, classed)
         return left
 
@@ -261,35 +275,45 @@ class _Join:
         met = one.join(two, "signature").filter(F.expr("x < y and c_x != c_y") & self.fits(F.col("n_x"), F.col("n_y")))
         return self.scratch.stage(pair(met.select("x", "y")), "across")
 
-    def about_hubs(self, lists: DataFrame) -> DataFrame:
-        """Candidates among the members of long lists, from what each member has beyond its list's hub h.
+    def about_pivots(self, lists: DataFrame) -> DataFrame:
+        """Candidates among the members of long lists, from what each member has beyond its list's pivot h.
 
-        Two sets x and y share no more than min(|x & h|, |y & h|) within h. If that is enough for their sizes, they meet by size: x, of
-        another class than the hub, looks for the few sizes for which |x & h| suffices. Else they share an item outside h, so they meet
-        in a list of that hub and item, and what they share there, counted exactly, has to make up the rest.
+        How much a member shares with h is counted exactly, and those that are similar to it are linked at once. Two sets x and y share no more than
+        min(|x & h|, |y & h|) within h. If that is enough for their sizes, they meet by size: x, of
+        another class than the pivot, looks for the few sizes for which |x & h| suffices. Else they share so many items outside h that they
+        have one of their rarest ones in common, and meet in a list of that pivot and item.
         """
         num, den = self.plan.num, self.plan.den
-        member = self.scratch.stage(lists.select("hub", "node", "n", "class").distinct(), "members")
-        sets = self.fetched(member.select("node").union(member.select(F.col("hub").alias("node"))).distinct(), "sets")
-        hub = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items"))
-        own = member.filter("node != hub").join(sets, "node").join(hub, "hub").select("hub", "node", "n", "class", F.array_except("items", "hub_items").alias("own"))
+        member = self.scratch.stage(lists.select("pivot", "node", "n").distinct(), "members")
+        sets = self.fetched(member.select("node").union(member.select(F.col("pivot").alias("node"))).distinct(), "sets")
+        pivot = sets.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items"))
+        own = member.filter("node != pivot").join(sets, "node").join(pivot, "pivot")
+        own = own.select("pivot", F.size("pivot_items").alias("pivot_n"), "node", "n", F.array_except("items", "pivot_items").alias("own"))
         own = self.scratch.stage(own.withColumn("within", F.col("n") - F.size("own")), "own")
+        near = own.filter(self.enough(F.col("n"), F.col("pivot_n"), F.col("within"))).select(F.col("pivot").alias("x"), F.col("node").alias("y"))
+        self.links = self.links.unionByName(self.scratch.stage(pair(near), "near-pivots"))
+        known = self.classes()
+        class_of = lambda c, name: known.select(F.col("node").alias(c), F.col("class").alias(name))
+        own = own.join(class_of("node", "class"), "node", "left").join(class_of("pivot", "pivot_class"), "pivot", "left")
+        own = own.withColumn("class", F.coalesce("class", "node")).withColumn("pivot_class", F.coalesce("pivot_class", "pivot"))
         # by size: num * (n + m) <= within * (num + den)
         most = F.floor(F.col("within") * (num + den) / num).cast("long") - F.col("n")
         low, high = F.ceil(F.col("n") * num / den).cast("long"), F.least(most, F.floor(F.col("n") * den / num).cast("long"))
-        hub_class = member.filter("node = hub").select("hub", F.col("class").alias("hub_class"))
-        x = own.join(hub_class, "hub").filter((F.col("class") != F.col("hub_class")) & (low <= high))
-        x = x.select("hub", F.col("node").alias("x"), F.col("class").alias("c_x"), F.col("n").alias("n_x"), F.explode(F.sequence(low, high)).alias("n"))
-        y = own.select("hub", "n", F.col("node").alias("y"), F.col("class").alias("c_y"), "within")
-        by_size = x.join(y, ["hub", "n"]).filter((F.col("c_x") != F.col("c_y")) & self.enough(F.col("n_x"), F.col("n"), F.col("within")))
-        posted = own.select("hub", "node", "n", "class", "within", F.explode("own").alias("item"))
-        several = posted.groupBy("hub", "item").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("hub", "item")
-        posted = self.scratch.stage(posted.join(several, ["hub", "item"]), "own-lists")
-        one, two = (posted.select("hub", "item", F.col("node").alias(x), F.col("class").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("within").alias(f"w_{x}")) for x in "xy")
-        met = one.join(two, ["hub", "item"]).filter(F.expr("x < y and c_x != c_y") & self.fits(F.col("n_x"), F.col("n_y")))
-        met = met.groupBy("hub", "x", "y").agg(F.count("item").alias("beyond"), *[F.first(c).alias(c) for c in ("n_x", "n_y", "w_x", "w_y")])
-        by_item = met.filter(self.enough(F.col("n_x"), F.col("n_y"), F.least("w_x", "w_y") + F.col("beyond")))
-        out = self.scratch.stage(pair(by_size.select("x", "y").union(by_item.select("x", "y"))), "about-hubs")
+        x = own.filter((F.col("class") != F.col("pivot_class")) & (low <= high))
+        x = x.select("pivot", F.col("node").alias("x"), F.col("class").alias("c_x"), F.col("n").alias("n_x"), F.explode(F.sequence(low, high)).alias("n"))
+        y = own.select("pivot", "n", F.col("node").alias("y"), F.col("class").alias("c_y"), "within")
+        by_size = x.join(y, ["pivot", "n"]).filter((F.col("c_x") != F.col("c_y")) & self.enough(F.col("n_x"), F.col("n"), F.col("within")))
+        # by item: of the least overlap with any set that fits, what is not within the pivot has to be shared outside it
+        need = F.greatest(F.lit(1), F.ceil((F.col("n") + low) * num / (num + den)).cast("long") - F.col("within"))
+        posted = own.select("pivot", "node", "n", "class", (F.size("own") - need + 1).alias("keep"), F.size("own").alias("size"), F.explode("own").alias("item"))
+        several = posted.groupBy("pivot", "item").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("node").alias("often")).filter("low < high").select("pivot", "item", "often")
+        # rarest first: items that no other class has, then by how often they occur
+        by_set = W.partitionBy("pivot", "node")
+        posted = posted.join(several.hint("shuffle_hash"), ["pivot", "item"]).withColumn("known", F.count("item").over(by_set)).withColumn("nth", F.row_number().over(by_set.orderBy("often", "item")))
+        posted = self.scratch.stage(posted.filter("nth <= keep - (size - known)").select("pivot", "item", "node", "n", "class"), "own-lists")
+        one, two = (posted.select("pivot", "item", F.col("node").alias(x), F.col("class").alias(f"c_{x}"), F.col("n").alias(f"n_{x}")) for x in "xy")
+        by_item = one.join(two, ["pivot", "item"]).filter(F.expr("x < y and c_x != c_y") & self.fits(F.col("n_x"), F.col("n_y")))
+        out = self.scratch.stage(pair(by_size.select("x", "y").union(by_item.select("x", "y"))), "about-pivots")
         self.scratch.drop(member, sets, own, posted)
         return out
 
@@ -303,10 +327,10 @@ def jaccard_classes(docs: DataFrame, carry: list[Column], words: int = 5, num: i
 
     Rows link when their sets of ``words``-word shingles have a Jaccard similarity of at least num / den; every such link counts, though
     only as many are computed as classes need. Equal sets are one node. Lists of nodes with a common signature are first met by
-    their hubs, which joins groups of near copies at the cost of a row per member. Of lists that then span classes, those whose pairs
-    cost less than their members' one-deletion neighbourhoods are compared across classes; the members of the others are posted again
+    their hubs, which joins groups of near copies at the cost of a row per member. Of lists that then span classes, those with few
+    pairs across classes for their length have these compared; the members of the others are posted again
     under these, met by hubs and compared in the same way, and what lies in long lists even so is compared by what it has beyond its
-    list's hub. Pairs pass exact bounds on size and on histogram distance before sets are fetched and intersected.
+    list's pivot. Pairs pass exact bounds on size and on histogram distance before sets are fetched and intersected.
 
     Null and empty texts have no shingles and no class. Rows, not ids, are what is compared: repeated and null ids are rows like others. An empty
     table gives no rows. Columns that ``carry`` doesn't read may have any name.
@@ -329,7 +353,7 @@ def jaccard_classes(docs: DataFrame, carry: list[Column], words: int = 5, num: i
         if not dear.isEmpty():
             deletions = join.fetched(dear, "deletions").join(nodes.select("node", "n"), "node")
             found = join.starred(join.shared(deletions, "items"))
-            candidates = candidates.union(join.across(found.filter("not dear"))).union(join.about_hubs(found.filter("dear"))).distinct()
+            candidates = candidates.union(join.across(found.filter("not dear"))).union(join.about_pivots(found.filter("dear"))).distinct()
         join.verify(candidates)
         heads = nodes.select("d1", "d2", "node").join(join.classes(), "node", "left")
         heads = heads.select("d1", "d2", F.coalesce("class", "node").alias("class"))

@@ -71,7 +71,7 @@ def test_runs_equal_brute_force(spark, lines):
 def test_runs_where_no_round_splits(spark):
     """Two copies of one text: each line's rank says already what follows."""
     t = "\n".join(f"line number {i}" for i in range(6))
-    got = repeated_runs(docs(spark, {1: t, 2: t}), min_lines=3).collect()
+    got = repeated_runs(docs(spark, {1: t, 2: t}), min_lines=3).drop("k1").collect()
     assert [tuple(r) for r in got] == [(2, 0, 6, 1, 0)]
 
 
@@ -109,7 +109,7 @@ def brute_maximal(texts, lines):
 def test_runs_are_maximal(spark):
     a, b, c, x, y = (f"this is line {i}" for i in "abcxy")
     texts = {1: [x, a, b], 2: [y, a, b, c], 5: [a, b, c]}
-    got = repeated_runs(docs(spark, {d: "\n".join(t) for d, t in texts.items()})).collect()
+    got = repeated_runs(docs(spark, {d: "\n".join(t) for d, t in texts.items()})).drop("k1").collect()
     assert sorted(map(tuple, got)) == [(2, 1, 2, 1, 1), (5, 0, 3, 2, 1)] == brute_maximal(texts, 2)
 
 
@@ -123,7 +123,7 @@ def test_maximal_runs_equal_brute_force(spark, seed):
         t[draw.randrange(len(t))] = draw.choice(pool)
         texts[i] = t[draw.randrange(3) :] + texts[draw.randrange(25)]
     texts |= {100: ["the same line again"] * 9, 101: texts[30]}
-    got = repeated_runs(docs(spark, {d: "\n".join(t) for d, t in texts.items()})).collect()
+    got = repeated_runs(docs(spark, {d: "\n".join(t) for d, t in texts.items()})).drop("k1").collect()
     assert sorted(map(tuple, got)) == brute_maximal(texts, 2)
 
 
@@ -141,11 +141,22 @@ def test_runs_cross_blank_lines_and_one_long_line_is_a_run(spark):
     }
     df = docs(spark, texts)
     runs = repeated_runs(df)
-    assert sorted(map(tuple, runs.collect())) == [(2, 1, 6, 1, 0), (4, 1, 1, 3, 0), (5, 0, 1, 3, 3), (7, 0, 1, 6, 0)]
+    assert sorted(map(tuple, runs.drop("k1").collect())) == [(2, 1, 6, 1, 0), (4, 1, 1, 3, 0), (5, 0, 1, 3, 3), (7, 0, 1, 6, 0)]
     left = {r["doc_id"]: r["text"] for r in without_runs(df, runs).collect()}
     assert left == texts | {2: "opening of the copy\ncd\nthe end of it", 4: f"own text of four\nmore own text of four\n{less}", 5: "", 7: "\nsome more text"}
 
 
+def test_runs_of_repeated_and_null_ids(spark):
+    """Texts that share an id, and null ids, are documents of their own: unique lines stay whatever id they stand under."""
+    shared, own = "first shared line\nsecond shared line", "lines of its own\nand no one else's"
+    df = with_clashes(docs(spark, [(1, shared), (2, f"head of two\n{shared}"), (2, own), (None, f"null has\n{shared}"), (None, own.upper() + "!"), (2, own)]))
+    runs = repeated_runs(df)
+    assert sorted(map(tuple, runs.drop("k1").collect()), key=str) == [(2, 1, 2, 1, 0), (None, 1, 2, 1, 0)]
+    left = without_runs(df, runs)
+    assert left.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(1, shared), (2, "head of two"), (2, own), (None, "null has"), (None, own.upper() + "!"), (2, own)])
+
+
 # -- sentences
 def test_units_equal_brute_force(spark):
     draw = random.Random(5)
@@ -163,8 +174,8 @@ def test_units_equal_brute_force(spark):
                     want.append((d, s, at, seen[norm]))
                 seen.setdefault(norm, d)
     df = with_clashes(docs(spark, texts))
-    found = repeated_units(df)
-    assert sorted(map(tuple, found.collect())) == sorted(want)
+    found = repeated_units(df, min_words=5)
+    assert sorted(map(tuple, found.drop("k1").collect())) == sorted(want)
     left = {r["doc_id"]: r["text"] for r in without_units(df, found).collect()}
     for d, t in texts.items():
         spans = sorted((s, e) for x, s, e, _ in want if x == d)
@@ -181,12 +192,21 @@ def test_units_of_all_kinds(spark):
     whole = "Short one.\nShort two.\nShort three here."
     texts = {1: f"\n{line}\nown words of one", 2: f"own words of two\n{line}\nrest", 3: f"{whole}\n\ntail of three", 4: f"head of four\n\n{whole}", 5: f"\n\n{line.lower()}"}
     df = docs(spark, texts)
-    removed = repeated_units(df, ALL)
+    removed = repeated_units(df, ALL, min_words=5)
     assert sorted({(r["doc_id"], r["kept_doc_id"]) for r in removed.collect()}) == [(2, 1), (4, 3), (5, 1)]
     left = {r["doc_id"]: r["text"] for r in without_units(df, removed).collect()}
     assert {d: t.strip() for d, t in left.items()} == {1: texts[1].strip(), 2: "own words of two\nrest", 3: texts[3], 4: "head of four", 5: ""}
 
 
+def test_units_of_repeated_and_null_ids(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(16)) + "." for w in ("alpha", "beta", "gamma"))
+    df = docs(spark, [(1, f"{one} {two}"), (2, f"{one} tail"), (2, three), (2, three), (None, f"{two} {three} end"), (None, "its own words " * 6)])
+    removed = repeated_units(df)
+    assert sorted((r["doc_id"] or 0, r["kept_doc_id"]) for r in removed.collect()) == [(0, 1), (0, 2), (2, 1)]
+    left = Counter((r["doc_id"], r["text"].strip()) for r in without_units(df, removed).collect())
+    assert left == Counter([(1, f"{one} {two}"), (2, "tail"), (2, three), (2, three), (None, "end"), (None, ("its own words " * 6).strip())])
+
+
 # -- Jaccard
 def shingles(t, words):
     w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -215,13 +235,14 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("words, num, den, cost", [(4, 85, 100, 16), (5, 4, 5, 16), (4, 85, 100, 1000), (5, 4, 5, 10**6), (3, 9, 10, 0)])
-def test_components_equal_brute_force(spark, monkeypatch, words, num, den, cost):
-    """With a high cost of pairs every open list goes to deletions and hubs, with none every list is compared as it is."""
-    monkeypatch.setattr(jaccard, "PAIR_COST", cost)
-    texts = corpus(words * den + min(cost, 128))
+@pytest.mark.parametrize("words, num, den, direct", [(4, 85, 100, 8), (4, 85, 100, 0), (5, 4, 5, 0), (3, 9, 10, 10**6)])
+def test_components_equal_brute_force(spark, monkeypatch, words, num, den, direct):
+    """With no pairs to spend every open list goes to deletions and hubs, with many every list is compared as it is."""
+    monkeypatch.setattr(jaccard, "DIRECT", direct)
+    monkeypatch.setattr(jaccard, "CELL_STEPS", (100, 400, 1600))
+    texts = corpus(words * den + min(direct, 128))
     # near copies of one text at the edge of the threshold, some of them with words of their own in common
-    draw = random.Random(cost)
+    draw = random.Random(direct)
     base, extra = text_of(draw, 90), text_of(draw, 12)
     for i in range(70):
         t = near(draw, base, draw.choice([1, 2, 3, 4, 5]))
