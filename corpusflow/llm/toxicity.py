@@ -201,11 +201,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     model.clean[at(keys, clean["key"].to_numpy(np.int64).view(np.uint64))] = clean["n"]
     raw = scored(train.filter(F.col("fold") == CALIBRATION).select("text", "toxic"), spark.sparkContext.broadcast(model))
     raw = raw.select("toxic", F.col("_top").alias("top"), F.col("_n_tokens").alias("n_tokens")).persist()
-    # maxima of clean texts less log length are extreme-value distributed: location and scale by moments
-    centred = F.col("top") - F.log(F.greatest("n_tokens", F.lit(1)))
-    clean = raw.filter("toxic = 0 and top > 0").agg(F.avg("top").alias("mean"), F.stddev_pop("top").alias("sd"), F.avg(F.log(F.greatest("n_tokens", F.lit(1)))).alias("length"), F.count(centred).alias("n")).first()
+    # the maximum over n tokens is extreme-value distributed about location + scale * log(n): both by moments of maxima and log lengths. Texts in
+    # which no token has weight have no maximum
+    length = F.log(F.greatest("n_tokens", F.lit(1)))
+    clean = raw.filter("toxic = 0 and top > 0").agg(F.avg("top").alias("mean"), F.var_pop("top").alias("var"), F.avg(length).alias("length"), F.var_pop(length).alias("spread"), F.count("top").alias("n")).first()
     if clean["n"]:
-        model.scale = max(0.05, clean["sd"] * math.sqrt(6) / math.pi)
+        model.scale = max(0.05, math.sqrt(clean["var"] / (math.pi**2 / 6 + clean["spread"])))
         model.location = clean["mean"] - model.scale * (clean["length"] + 0.5772156649)
     x = F.greatest(F.lit(-20.0), F.least(F.lit(60.0), excess(F.col("top"), F.col("n_tokens"), model.location, model.scale)))
     cells = raw.groupBy((F.floor(x * 2.5) / 2.5).alias("x"), "toxic").count().toPandas()

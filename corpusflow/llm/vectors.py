@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix, stage
+from .common import Scratch, mix, stage
 from .graph import components
 
 
 def valid(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Rows whose vector is not null, empty or zero and has no null, NaN or infinite component; the vector as doubles of length 1."""
+    """Rows whose vector is not null, empty or zero and has no null, NaN or infinite component; the vector as doubles."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return df.withColumn("v", v).filter(F.coalesce((F.size("v") > 0) & fine, F.lit(False)))
@@ -31,7 +31,7 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 # -- nearest neighbours ------------------------------------------------------------------------------------------------------------
 
 #: Projections; window half-width over search radius; standard deviations below the expected collisions at which a vector still counts.
-PROJECTIONS, REACH, SLACK = 48, 0.8, 1.9
+PROJECTIONS, REACH, SLACK = 256, 0.8, 0.8
 #: Search radii: a few for close neighbours, then in small steps up to where every unit vector lies.
 RADII = np.array([0.12, 0.3, 0.55, *(0.8 * 1.08 ** np.arange(13))])
 
@@ -94,20 +94,28 @@ def search_block(vectors: np.ndarray, queries: np.ndarray, skip: np.ndarray, k:
 def nearest(df: DataFrame, is_query: Column, k: int = 5, seed: int = 11, per_block: int = 8192, queries_per_block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of ``df`` (vec_id, embedding) by cosine for each row that is a query.
 
-    Rows go into hashed blocks of about ``per_block``, queries into blocks of about ``queries_per_block``; each pair of blocks is one
-    task's index and search, so memory is bounded and the work is that of the stated query set against all rows. Invalid vectors
-    (null, empty, zero, with null or non-finite components) take no part; vectors of another length than a query's are no
-    candidates; a query's own vec_id is none; ties go to the smaller vec_id; repeated rows of a vec_id count once; a table without
-    queries gives no rows.
+    Equal vectors are one point with its least ids, so a group of copies is searched once and found once. Points go into hashed blocks of
+    about ``per_block``, queries into blocks of about ``queries_per_block``; each pair of blocks is one task's index and search, so memory is
+    bounded and the work is that of the stated query set against all rows. Invalid vectors (null, empty, zero, with null or non-finite
+    components) and null ids take no part; vectors of another length than a query's are no candidates; a query's own row is none; ties go to the
+    smaller vec_id; rows equal in id and vector are one row, other rows that share an id are rows of their own; a table without queries gives no rows.
     """
-    rows = valid(df.select("vec_id", "embedding", is_query.alias("is_query"))).filter("vec_id is not null").dropDuplicates(["vec_id"])
-    rows = stage(rows.select("vec_id", "v", F.size("v").alias("dim"), F.coalesce("is_query", F.lit(False)).alias("is_query")), "vectors")
-    n, m = rows.count(), rows.filter("is_query").count()
+    with Scratch(df.sparkSession) as scratch:
+        return _nearest(df, is_query, k, seed, per_block, queries_per_block, scratch)
+
+
+def _nearest(df: DataFrame, is_query: Column, k: int, seed: int, per_block: int, queries_per_block: int, scratch: Scratch) -> DataFrame:
+    rows = valid(df.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query"))).filter("vec_id is not null")
+    rows = scratch.stage(rows.select("vec_id", "v", "is_query").distinct(), "vectors")
+    points = rows.groupBy("v").agg(F.bool_or("is_query").alias("is_query"), F.min("vec_id").alias("least"))
+    points = scratch.stage(points.select("v", F.size("v").alias("dim"), "is_query", "least", F.monotonically_increasing_id().alias("point")), "points")
+    members = scratch.stage(rows.join(points.select("v", "point"), "v").select("vec_id", "is_query", "point"), "members")
+    n, m = points.count(), points.filter("is_query").count()
     blocks, query_blocks = max(1, -(-n // per_block)), max(1, -(-m // queries_per_block))
-    at = lambda salt, parts: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(parts)).cast("int")
+    at = lambda salt, parts: F.pmod(F.xxhash64(F.lit(salt), "point"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    data = rows.select("vec_id", "v", "dim", F.lit(False).alias("asks"), at("rows", blocks).alias("block"), every(query_blocks).alias("query_block"))
-    asks = rows.filter("is_query").select("vec_id", "v", "dim", F.lit(True).alias("asks"), at("queries", query_blocks).alias("query_block"), every(blocks).alias("block"))
+    data = points.select(F.col("point").alias("vec_id"), "v", "dim", F.lit(False).alias("asks"), at("rows", blocks).alias("block"), every(query_blocks).alias("query_block"))
+    asks = points.filter("is_query").select(F.col("point").alias("vec_id"), "v", "dim", F.lit(True).alias("asks"), at("queries", query_blocks).alias("query_block"), every(blocks).alias("block"))
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         asking = frame["asks"].to_numpy(bool)
@@ -122,12 +130,19 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, seed: int = 11, per_blo
         return pd.DataFrame({"query_id": np.repeat(ids[asking], [len(p) for p, _ in found]), "vec_id": np.concatenate([ids[~asking][p] for p, _ in found]), "score": np.concatenate([s for _, s in found])})
 
     near = data.unionByName(asks).groupBy("block", "query_block", "dim").applyInPandas(search, "query_id long, vec_id long, score double")
-    # the exact measure, on the vectors as given, for the few that blocks hand on
-    given = rows.select("vec_id", "v")
-    near = near.select("query_id", "vec_id").join(given, "vec_id").join(given.select(F.col("vec_id").alias("query_id"), F.col("v").alias("w")), "query_id")
-    near = near.withColumn("score", cosine(F.col("v"), F.col("w")))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # the exact measure, on the vectors as given, for the few that blocks hand on; and a query's own point, whose other rows are candidates
+    near = near.select(F.col("query_id").alias("asking"), F.col("vec_id").alias("point")).union(points.filter("is_query").select("point", "point"))
+    given = points.select("point", "v", "least")
+    near = near.join(given, "point").join(points.select(F.col("point").alias("asking"), F.col("v").alias("w")), "asking")
+    near = near.select("asking", "point", "least", cosine(F.col("v"), F.col("w")).alias("score"))
+    best = F.row_number().over(W.partitionBy("asking").orderBy(F.desc("score"), "least"))
+    near = near.withColumn("place", best).filter(F.col("place") <= k + 1).select("asking", "point", "score")
+    # of equal vectors the least ids can be among the nearest, and one more as the query may be one of them
+    some = members.withColumn("place", F.row_number().over(W.partitionBy("point").orderBy("vec_id"))).filter(F.col("place") <= k + 1).select("point", "vec_id")
+    queries = members.filter("is_query").select(F.col("vec_id").alias("query_id"), F.col("point").alias("asking"))
+    pairs = queries.join(near, "asking").join(some, "point").filter("vec_id != query_id or point != asking")
+    rank = F.row_number().over(W.partitionBy("query_id", "asking").orderBy(F.desc("score"), "vec_id"))
+    return stage(pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
 
 
 def cosine(v: Column, w: Column) -> Column:
@@ -145,6 +160,8 @@ def op6_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONFIDENCE = 4.0
 #: Wanted share of pairs exactly at the threshold whose codes meet in some band; pairs above it meet more often.
 BAND_RECALL = 0.97
+#: Largest level of a rotated vector's entries, which are kept as bytes.
+LEVELS = 7
 
 
 def bands_for(n: int, threshold: float) -> tuple[int, int]:
@@ -155,38 +172,44 @@ def bands_for(n: int, threshold: float) -> tuple[int, int]:
 
 
 class Coder:
-    """Binary codes of unit vectors under random rotations, with each code's correction factor."""
+    """Binary codes of unit vectors under random rotations, with what it takes to estimate inner products from them.
 
-    def __init__(self, dim: int, bits: int, bands: int, seed: int):
-        self.bits, self.bands = bits, bands
-        self.turns = [rotation(dim, seed + i) for i in range(-(-bits * bands // dim))]
+    The first rotation's signs are a vector's code c. Against the code of x, a rotated vector y' gives <c, y'> / <c, x'>, an unbiased
+    estimate of <x, y> whose error follows from the factor <c, x'>. Of y', its levels are kept: entries rounded at random to a
+    few steps, so that the estimate stays unbiased. Signs under further rotations make the keys under which vectors meet.
+    """
 
-    def turned(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x @ t.T for t in self.turns], axis=1)
+    def __init__(self, dim: int, bits: int, bands: int, seed: int):
+        self.dim, self.bits, self.bands, self.seed = dim, bits, bands, seed
+        self.turns = [rotation(dim, seed + i) for i in range(1 + -(-bits * bands // dim))]
 
-    def keys(self, turned: np.ndarray) -> np.ndarray:
+    def keys(self, x: np.ndarray) -> np.ndarray:
         """One 64-bit key per band: its bits and its number."""
-        up = (turned[:, : self.bits * self.bands] > 0).reshape(len(turned), self.bands, self.bits)
+        turned = np.concatenate([x @ t.T for t in self.turns[1:]], axis=1)
+        up = (turned[:, : self.bits * self.bands] > 0).reshape(len(x), self.bands, self.bits)
         packed = (up.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
         return mix(packed + np.uint64(1)) ^ mix(np.arange(self.bands, dtype=np.uint64) + np.uint64(77))[None, :]
 
-    def prepared(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, turned rows, codes over correction factors, and the half-width of an estimate's confidence interval."""
-        turned = self.turned(x)
-        d, root = turned.shape[1], math.sqrt(len(self.turns))
-        code = np.where(turned > 0, 1.0, -1.0) / math.sqrt(d)
-        factor = np.maximum((code * turned).sum(axis=1) / root, 1e-9)
-        return x, turned / root, code / factor[:, None], CONFIDENCE * np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / math.sqrt(max(1, d - 1))
+    def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Packed signs, correction factors, levels (bytes) and the size of a level, of unit rows."""
+        turned = x @ self.turns[0].T
+        factor = np.maximum(np.abs(turned).sum(axis=1) / math.sqrt(self.dim), 1e-9)
+        step = np.maximum(np.abs(turned).max(axis=1), 1e-12) / LEVELS
+        # the draw is of the vector's own bits, so that a task that runs again stores the same
+        draw = (mix(turned.view(np.uint64) + np.uint64(self.seed)) >> np.uint64(11)).astype(float) / 2.0**53
+        levels = np.floor(turned / step[:, None] + draw).astype(np.int8)
+        return np.packbits(turned > 0, axis=1), factor, levels, step
 
 
-def links(ready, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (of ``left`` and ``right``) with cosine >= threshold. A row against another's code gives an unbiased estimate
-    of their inner product; pairs whose confidence interval lies below the threshold are out, the others are computed."""
-    x, turned, code, bound = ready
-    i, j = np.nonzero(turned[left] @ code[right].T + bound[right][None, :] >= threshold)
-    i, j = left[i], right[j]
-    linked = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", x[i[k : k + 65536]], x[j[k : k + 65536]]) >= threshold for k in range(0, len(i), 65536))])
-    return i[linked], j[linked]
+def likely(signs: np.ndarray, factor: np.ndarray, levels: np.ndarray, step: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of some vectors (rows) may have an inner product of at least ``threshold`` with which others (columns), by their codes alone."""
+    dim = levels.shape[1]
+    code = np.unpackbits(signs, axis=1, count=dim).astype(np.float32) * 2 - 1
+    estimate = (code @ levels.T.astype(np.float32)) * step[None, :] / math.sqrt(dim) / factor[:, None]
+    # what the code leaves out, and what rounding to levels adds
+    spread = np.maximum(0.0, 1 - factor**2) / factor**2 / max(1, dim - 1)
+    rounding = step**2 / 4
+    return estimate + CONFIDENCE * np.sqrt(spread[:, None] + rounding[None, :] / factor[:, None] ** 2) >= threshold
 
 
 @lru_cache(maxsize=8)
@@ -213,33 +236,57 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def meetings(frame: pd.DataFrame) -> list[tuple[int, int]]:
+    """The row ranges of a sorted frame that belong together: two blocks of one bucket."""
+    named = [frame[c].to_numpy() for c in MEETING]
+    starts = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in named]))))
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(frame)], strict=True))
+
+
+MEETING = ("label", "key", "a", "b")
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.93, seed: int = 5, per_block: int = 512) -> DataFrame:
-    """One row per vec_id: n_links (other vectors of its label with cosine >= threshold found), component_id, kept.
+    """One row per vector: vec_id, n_links (other vectors of its label with cosine >= threshold found), component_id, kept.
+
+    Binary codes, correction factors and levels of all vectors are stored once; keys from further rotations make vectors of a label
+    meet in buckets. A bucket is cut into blocks of at most ``per_block``, and a task compares two blocks by their codes alone. Only
+    vectors that have a partner in doubt there are fetched, and their inner products computed exactly. A pair that meets in several bands counts in
+    the first. Tasks give link counts and a spanning forest, never pairs. Equal vectors of a label are one point with a count.
 
-    Codes of all vectors are cut into bands; vectors of a label that share a band's bits meet. A bucket is cut into blocks of at most
-    ``per_block``, and a task compares two blocks: estimates from codes first, exact products where bounds leave doubt. A pair that
-    meets in several bands counts in the first. Tasks give link counts and a spanning forest, never pairs. Equal vectors of a label
-    are one point with a count. Vectors that are null, zero or hold null or non-finite components, and null labels, link with
-    nothing; of repeated rows of a vec_id one counts; an empty table gives no rows.
+    Vectors that are null, zero or hold null or non-finite components, and null labels, link with nothing. Rows equal in id, label and vector are one
+    vector; other rows that share an id are vectors of their own, and a null id is none: it is ``kept`` if nothing it links to has one. An empty table gives no rows.
     """
-    spark = df.sparkSession
-    everyone = df.select("vec_id", "label", "embedding").filter("vec_id is not null").dropDuplicates(["vec_id"])
-    rows = stage(valid(everyone.filter("label is not null")).select("vec_id", "label", "v", F.size("v").alias("dim")), "labelled-vectors")
-    points = stage(rows.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("point"), F.count("vec_id").alias("copies")), "points")
+    with Scratch(df.sparkSession) as scratch:
+        return _near_duplicates(df, threshold, seed, per_block, scratch)
+
+
+def _near_duplicates(df: DataFrame, threshold: float, seed: int, per_block: int, scratch: Scratch) -> DataFrame:
+    everyone = scratch.stage(df.select("vec_id", "label", "embedding").distinct().withColumn("row", F.monotonically_increasing_id()), "vectors")
+    rows = scratch.stage(valid(everyone.filter("label is not null")).select("vec_id", "row", "label", "v", F.size("v").alias("dim")), "labelled-vectors")
+    points = rows.groupBy("label", "dim", "v").agg(F.min("row").alias("point"), F.min("vec_id").alias("least"), F.count("row").alias("copies"))
+    points = scratch.stage(points, "points")
     sizes = points.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
     bits, bands = bands_for(sizes, threshold)
+    label = df.schema["label"].dataType.simpleString()
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        x = np.stack(vectors.to_numpy())
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def code(batches):
         for frame in batches:
             for dim, part in frame.groupby("dim"):
-                x = np.stack(part["v"].to_numpy())
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                coder = coder_for(int(dim), bits, bands, seed)
-                yield pd.DataFrame({"label": part["label"].to_numpy(), "dim": part["dim"].to_numpy(), "point": part["point"].to_numpy(), "keys": list(coder.keys(coder.turned(x)).view(np.int64))})
-
-    label = df.schema["label"].dataType.simpleString()
-    keyed = points.select("label", "dim", "v", "point").mapInPandas(code, f"label {label}, dim int, point long, keys array<long>")
-    met = stage(keyed.select("label", "dim", "point", F.posexplode("keys").alias("band", "key")), "bands")
+                x, coder = unit(part["v"]), coder_for(int(dim), bits, bands, seed)
+                signs, factor, levels, step = coder.codes(x)
+                yield pd.DataFrame({
+                    "label": part["label"].to_numpy(), "dim": part["dim"].to_numpy(), "point": part["point"].to_numpy(), "signs": [r.tobytes() for r in signs],
+                    "levels": [r.tobytes() for r in levels], "factor": factor, "step": step, "keys": list(coder.keys(x).view(np.int64)),
+                })
+
+    coded = points.select("label", "dim", "v", "point").mapInPandas(code, f"label {label}, dim int, point long, signs binary, levels binary, factor double, step double, keys array<long>")
+    coded = scratch.stage(coded, "codes")
+    met = scratch.stage(coded.select("label", "dim", "point", F.posexplode("keys").alias("band", "key")), "bands")
     buckets = met.groupBy("label", "dim", "key").agg(F.count("point").alias("size")).filter("size > 1")
     # where a bucket is large, its members go to hashed blocks, and each pair of blocks is a group
     wide = F.ceil(F.col("size") / (per_block // 2)).cast("int")
@@ -250,23 +297,41 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, seed: int = 5, per_b
     groups = max(1, met.count() // 4000)
     alone = F.pmod(F.xxhash64("label", "key"), F.lit(groups))
     pairs = pairs.withColumn("task", F.when(F.col("wide") == 1, alone).otherwise(F.xxhash64("label", "key", "a", "b"))).drop("wide")
-    vectors = points.select("point", "v", "copies")
-    grouped = pairs.join(vectors, "point")
+    by_code = pairs.join(coded.select("point", "signs", "levels", "factor", "step"), "point")
+    place = ["dim", "task", "label", "key", "a", "b", "band", "block", "point"]
+
+    def doubt(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(list(MEETING), kind="stable").reset_index(drop=True)
+        dim = int(frame["dim"].iloc[0])
+        signs, levels = (np.frombuffer(b"".join(frame[c]), kind).reshape(len(frame), -1) for c, kind in (("signs", np.uint8), ("levels", np.int8)))
+        factor, step, block = (frame[c].to_numpy() for c in ("factor", "step", "block"))
+        stays = np.zeros(len(frame), bool)
+        for s, e in meetings(frame):
+            a, b = frame["a"].iloc[s], frame["b"].iloc[s]
+            own = np.arange(s, e)
+            left, right = own[block[s:e] == a], own[block[s:e] == b]
+            maybe = likely(signs[left], factor[left], levels[right][:, :dim], step[right], threshold)
+            if a == b:
+                np.fill_diagonal(maybe, False)
+            stays[left] |= maybe.any(axis=1)
+            stays[right] |= maybe.any(axis=0)
+        return frame.loc[stays, place]
+
+    unsure = by_code.groupBy("dim", "task").applyInPandas(doubt, pairs.select(*place).schema)
+    grouped = scratch.stage(unsure, "in-doubt").join(points.select("point", "v", "copies"), "point")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["label", "key", "a", "b"], kind="stable")
-        x = np.stack(frame["v"].to_numpy())
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        coder = coder_for(x.shape[1], bits, bands, seed)
-        ready, keys = coder.prepared(x), coder.keys(coder.turned(x))
+        frame = frame.sort_values(list(MEETING), kind="stable").reset_index(drop=True)
+        x = unit(frame["v"])
+        keys = coder_for(x.shape[1], bits, bands, seed).keys(x)
         ids, copies, block, band = (frame[c].to_numpy() for c in ("point", "copies", "block", "band"))
-        named = [frame[c].to_numpy() for c in ("label", "key", "a", "b")]
-        starts = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in named]))))
         counts, edges = np.zeros(len(ids), np.int64), []
-        for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
-            a, b = named[2][s], named[3][s]
+        for s, e in meetings(frame):
+            a, b = frame["a"].iloc[s], frame["b"].iloc[s]
             own = np.arange(s, e)
-            i, j = links(ready, own[block[s:e] == a], own[block[s:e] == b], threshold)
+            left, right = own[block[s:e] == a], own[block[s:e] == b]
+            i, j = np.nonzero(x[left] @ x[right].T >= threshold)
+            i, j = left[i], right[j]
             one = i < j if a == b else ids[i] != ids[j]
             i, j = i[one], j[one]
             if not len(i):
@@ -276,18 +341,21 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, seed: int = 5, per_b
             np.add.at(counts, i[first], copies[j[first]])
             np.add.at(counts, j[first], copies[i[first]])
             edges += [(s + p, s + q) for p, q in forest(e - s, i - s, j - s)]
-        some, pairs = np.flatnonzero(counts), np.array(edges, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"point": np.concatenate([ids[some], ids[pairs[:, 0]]]), "other": np.concatenate([np.full(len(some), -1), ids[pairs[:, 1]]]), "n": np.concatenate([counts[some], np.zeros(len(pairs), np.int64)])})
+        some, found = np.flatnonzero(counts), np.array(edges, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"point": np.concatenate([ids[some], ids[found[:, 0]]]), "other": np.concatenate([np.full(len(some), -1), ids[found[:, 1]]]), "n": np.concatenate([counts[some], np.zeros(len(found), np.int64)])})
 
-    found = stage(grouped.groupBy("dim", "task").applyInPandas(compare, "point long, other long, n long"), "links")
+    found = scratch.stage(grouped.groupBy("dim", "task").applyInPandas(compare, "point long, other long, n long"), "links")
     counts = found.filter("n > 0").groupBy("point").agg(F.sum("n").alias("n"))
-    classes = components(found.filter("n = 0").select(F.col("point").alias("a"), F.col("other").alias("b")).distinct())
-    same = points.filter("copies > 1").select("label", "dim", "v", "point", "copies")
-    joined = rows.join(same, ["label", "dim", "v"], "left").select("vec_id", F.coalesce("point", "vec_id").alias("point"), F.coalesce("copies", F.lit(1)).alias("copies"))
-    told = joined.join(counts, "point", "left").join(classes.withColumnRenamed("node", "point"), "point", "left")
-    told = told.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "point").alias("component_id"))
-    out = everyone.select("vec_id").join(told, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    classes = components(found.filter("n = 0").select(F.col("point").alias("a"), F.col("other").alias("b")).distinct(), scratch.stage).withColumnRenamed("node", "point")
+    least = points.join(classes, "point").groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = classes.join(least, "component").drop("component")
+    of_point = points.join(counts, "point", "left").join(classes, "point", "left")
+    of_point = of_point.select("label", "dim", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    told = rows.join(of_point, ["label", "dim", "v"]).select("row", "n_links", "component_id")
+    out = everyone.select("vec_id", "row").join(told, "row", "left")
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return stage(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "near-vectors")
 
 
 def op8_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,6 +297,10 @@ def test_segments_equal_brute_force():
         got = toxicity.maximal_segments(w)
         assert abs(max((s for *_, s in got), default=0) - max((s for *_, s in brute(0, len(w))), default=0)) < 1e-9
         assert abs(sum(s for *_, s in got) - sum(s for *_, s in brute(0, len(w)))) < 1e-9
+        # without ties the segments are the same one by one
+        w = np.array([draw.gauss(-0.3, 1) for _ in range(draw.randint(1, 16))])
+        got, want = toxicity.maximal_segments(w), brute(0, len(w))
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
 def test_toxicity(spark):
@@ -391,6 +395,30 @@ def test_near_vectors_equal_brute_force(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_repeated_and_null_ids(spark):
+    one, two, far = [1.0, 0.1, 0.0], [1.0, 0.11, 0.0], [0.0, 0.0, 1.0]
+    df = spark.createDataFrame([(5, 1, one), (5, 1, far), (7, 1, two), (None, 1, two), (None, 2, far), (5, 1, one)], "vec_id long, label int, embedding array<float>")
+    got = Counter(map(tuple, vectors.near_duplicates(df).collect()))
+    assert got == Counter([(5, 2, 5, True), (5, 0, 5, True), (7, 2, 5, False), (None, 2, 5, False), (None, 0, None, True)])
+
+
+def test_codes_estimate_without_bias():
+    draw = np.random.default_rng(8)
+    x = draw.standard_normal((400, 64))
+    x[200:] = x[:200] + draw.standard_normal((200, 64)) * draw.uniform(0, 1, (200, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    errors = []
+    for seed in range(20):
+        signs, factor, levels, step = vectors.Coder(64, 8, 2, seed).codes(x)
+        code = np.unpackbits(signs, axis=1).astype(float) * 2 - 1
+        estimate = (code[:200] @ levels[200:].T) * step[None, 200:] / 8 / factor[:200, None]
+        errors.append(np.diag(estimate) - (x[:200] * x[200:]).sum(axis=1))
+        maybe = vectors.likely(signs, factor, levels, step, 0.93)
+        near = x @ x.T >= 0.93
+        assert (maybe | ~near).mean() > 0.9999 and maybe.mean() < 0.02
+    assert abs(np.mean(errors)) < 0.005
+
+
 def test_nearest_recall_and_edges(spark):
     draw = np.random.default_rng(5)
     rows = [(i, 0, v.tolist()) for i, v in enumerate(draw.standard_normal((3000, 16)))]
@@ -412,6 +440,12 @@ def test_nearest_recall_and_edges(spark):
     few = spark.createDataFrame([(0, 0, [1.0, 0.0]), (1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0])], "vec_id long, label int, embedding array<float>")
     assert [tuple(r) for r in vectors.nearest(few, F.col("vec_id") == 0).orderBy("rank").select("rank", "vec_id", "score").collect()] == [(1, 1, 1.0), (2, 2, 0.0)]
     assert vectors.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    # a third of the rows are one vector: each query gets the least ids of it
+    copies = spark.createDataFrame([(i, 0, [1.0, 2.0]) for i in range(400)] + [(i, 0, [1.0, -float(i)]) for i in range(400, 800)], "vec_id long, label int, embedding array<float>")
+    found = defaultdict(list)
+    for r in vectors.nearest(copies, F.col("vec_id") % 50 == 0).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"]))
+    assert sorted(found[0]) == [(i, i) for i in range(1, 6)] and [v for _, v in sorted(found[350])] == [0, 1, 2, 3, 4] and len(found) == 16
 
 
 def test_pack_encoder_keeps_words_apart():
