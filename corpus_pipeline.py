@@ -20,7 +20,10 @@ from corpusflow.llm.toxicity import score_toxicity
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents predicted toxic."""
-    return score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("_predicted = 0").select(*docs.columns)
+    # columns that may be called like those that scoring adds
+    other = {c: f"kept{i}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+    scored = score_toxicity(docs.withColumnsRenamed(other), spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("_predicted = 0")
+    return scored.select(*[F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
