@@ -21,9 +21,9 @@ KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 
 #: Every access identifier, hex run and bare secret lies in such a run, so one scan finds where to look closer.
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,64}={0,2}(?![A-Za-z0-9+/_=-])")
-WEAK_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_id|tenant)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}""", re.I | re.A)
-ENDPOINT = re.compile(r"\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[^\s\"'<>]{4,256}", re.I | re.A)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
+WEAK_ID = re.compile(r"""\b(?:user(?:name)?|login|account|client_id|tenant)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.I | re.A)
+ENDPOINT = re.compile(r"\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[^\s\"'<>]{4,}", re.I | re.A)
 ROLE = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "id", "weak_id": "id", "endpoint": "endpoint"}
 
 OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, links string"
@@ -50,33 +50,38 @@ def parts_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
 
 
 def link_parts(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], scope: int) -> tuple[list[tuple[int, int, int]], list[str]]:
-    """Weak candidates that have their complement within ``scope`` code points, and the links. An identifier needs a secret, a
-    secret needs an identifier, an endpoint needs both. Each part meets the nearest complement only (sorted starts, bisection), so the
-    work is n log n for any number of parts. A weak span that overlaps a base one is that base one."""
-    covered = sorted((s, e) for s, _, e in base)
-    starts = [s for s, _ in covered]
-    # spans of different kinds may nest, so the furthest end so far is what counts
-    reach, far = [], 0
-    for _, e in covered:
-        far = max(far, e)
-        reach.append(far)
+    """Weak candidates that have their complement within ``scope`` code points (between the nearer ends), and the links. An identifier needs a secret, a
+    secret needs an identifier, an endpoint needs both. A weak span that overlaps a base one is that base one.
+
+    A link says where all partners of an identifier or endpoint lie: from the first one's start to the furthest end. By start, partners are those before the scope's
+    end whose own end reaches the scope; with the furthest end so far beside each start, two bisections find them among any number of
+    parts, nested or not.
+    """
+
+    def sweep(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+        reach, far = [], -1
+        for _, e in spans:
+            far = max(far, e)
+            reach.append(far)
+        return [s for s, _ in spans], reach
+
+    starts, reach = sweep(sorted((s, e) for s, _, e in base))
     loose = [w for w in weak if not ((k := bisect_left(starts, w[2])) and reach[k - 1] > w[0])]
     by_role: dict[str, list[tuple[int, int]]] = {"secret": [], "id": [], "endpoint": []}
     for s, k, e in sorted(base + loose):
         by_role[ROLE[KINDS[k]]].append((s, e))
-    keys = {r: [s for s, _ in v] for r, v in by_role.items()}
+    index = {r: sweep(sorted(v)) for r, v in by_role.items()}
 
-    def near(role: str, s: int, e: int) -> tuple[int, int] | None:
-        lo, hi = bisect_left(keys[role], s - scope), bisect_right(keys[role], e + scope)
-        at = bisect_left(keys[role], s)
-        near_by = [by_role[role][j] for j in (at - 1, at, at + 1) if lo <= j < hi and by_role[role][j] != (s, e)]
-        return min(near_by, key=lambda p: (abs(p[0] - s), p), default=None)
+    def partners(role: str, s: int, e: int) -> tuple[int, int] | None:
+        starts, reach = index[role]
+        last, first = bisect_right(starts, e + scope), bisect_left(reach, s - scope)
+        return (starts[first], reach[last - 1]) if first < last else None
 
     added, links = [], []
     for s, k, e in sorted(base + loose):
         role = ROLE[KINDS[k]]
         others = {"secret": ("id",), "id": ("secret",), "endpoint": ("id", "secret")}[role]
-        found = [near(r, s, e) for r in others]
+        found = [partners(r, s, e) for r in others]
         if all(found):
             if k >= 3:
                 added.append((s, k, e))
