@@ -132,7 +132,11 @@ ORACLES |= {
 
 # -- JSON
 def json_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded, fault = strict(F.col("props"), {"k": "bigint"})
+    """Sound by one in six; else cut short, no object, with another key, without the key, or with a text for a number."""
+    case = F.col("event_id") % 6
+    body = F.expr("left(props, length(props) - 1)")
+    text = F.when(case == 1, body).when(case == 2, "[1, 2]").when(case == 3, F.concat(body, F.lit(', "more": true}'))).when(case == 4, "{}").when(case == 5, '{"k": "seven"}').otherwise(F.col("props"))
+    decoded, fault = strict(text, {"k": "bigint"})
     return table(spark, sf_dir, "events").select("event_id", decoded["k"].alias("k"), fault.alias("fault"))
 
 
@@ -157,7 +161,10 @@ def json_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {f.__name__: f for f in (json_strict, json_keys_extra, json_safe, json_recover)}
 ORACLES |= {
-    "json_strict": "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS fault FROM events",
+    "json_strict": """WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 1 THEN props[:-2] WHEN 2 THEN '[1, 2]' WHEN 3 THEN props[:-2] || ', "more": true}' WHEN 4 THEN '{}' WHEN 5 THEN '{"k": "seven"}' ELSE props END AS j FROM events),
+      f AS (SELECT event_id, CASE WHEN NOT json_valid(j) THEN 'not_json' WHEN json_type(j) <> 'OBJECT' THEN 'not_an_object' WHEN len(list_filter(json_keys(j), lambda x: x <> 'k')) > 0 THEN 'unknown_field'
+        WHEN NOT list_contains(json_keys(j), 'k') THEN 'missing_field' WHEN json_type(j, '$.k') NOT IN ('UBIGINT', 'BIGINT', 'NULL') THEN 'wrong_type' END AS fault, j FROM t)
+      SELECT event_id, CASE WHEN fault IS NULL THEN CAST(j->>'$.k' AS BIGINT) END AS k, fault FROM f""",
     "json_keys_extra": "SELECT event_type, count(*) FILTER (event_id % 3 = 0) AS n_extra, count(*) AS n FROM events GROUP BY event_type",
     "json_safe": """SELECT event_id, replace(replace(replace('<b>' || event_type || ' & ' || props, '<', chr(92) || 'u003c'), '>', chr(92) || 'u003e'), '&', chr(92) || 'u0026') AS safe FROM events""",
     "json_recover": "SELECT event_id, CASE WHEN event_id % 4 = 2 THEN NULL ELSE CAST(props->>'$.k' AS BIGINT) END AS k FROM events",

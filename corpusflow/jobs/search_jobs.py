@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import RISK, STOPWORDS, TOKEN, caption_kind, caption_number, collapsed, element_type, equation_number, heading_number, heading_title, noise_heading, reference_keys, tokens
-from ..operators.search import MAX_BYTES, bm25, confidence, document_frequencies, downgraded, neighbours, pack_greedily, rank_keys, ranked, term_counts
+from ..operators.search import MAX_BYTES, bm25, confidence, document_frequencies, downgraded, exact_medians, neighbours, pack_greedily, rank_keys, ranked, term_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -190,20 +190,39 @@ SELECT source, k - 1 AS place, doc_id FROM f WHERE doc_id IS NOT NULL""",
 
 # -- references, captions, headings: texts made from part columns, as no document has any
 _LINES = {
-    "reference": ["See Figure ", "{size}", " and eq. (", "{key}", ") in Section ", "{size}", ".2"],
-    "caption": ["{kind} ", "{size}", ": ", "{name}"],
-    "heading": ["{size}", ".", "{key}", " ", "{name}"],
-    "equation": ["y = x + ", "{name}", " (", "{size}", "a)"],
+    "reference": ["{see} ", "{size}", " and eq. (", "{key}", ") in Section ", "{size}", ".2"],
+    "caption": ["{kind} ", "{size}", "{mark} ", "{name}"],
+    "heading": ["{number}", "{name}"],
+    "equation": ["{sign}", "{name}", " (", "{size}", "a)", "{tail}"],
+}
+
+
+#: What stands in a line by a part's number: forms that are recognised, and forms that aren't.
+_CHOICES = {
+    "{see}": ("See Figure", "Figures of", "as Table", "see tables"),
+    "{kind} ": ("Fig. ", "Table ", "Figure ", "Tabular "),
+    "{mark}": (":", ".", ",", " -"),
+    "{number}": ("3.1 ", "4) ", "References ", "2.", "7 Acknowledgements to ", "12 3 "),
+    "{sign}": ("y = ", "y ≤ ", "y is "),
+    "{tail}": ("", " ", " ends"),
 }
 
 
 def _line(parts: list[str]) -> F.Column:
-    cols = {"{size}": F.col("p_size").cast("string"), "{key}": (F.col("p_partkey") % 7).cast("string"), "{name}": F.col("p_name"), "{kind} ": F.when(F.col("p_size") % 2 == 0, "Fig. ").otherwise("Table ")}
+    def of(name: str) -> F.Column:
+        options = _CHOICES[name]
+        return F.element_at(F.array(*map(F.lit, options)), (F.col("p_partkey") % len(options) + 1).cast("int"))
+
+    cols = {"{size}": F.col("p_size").cast("string"), "{key}": (F.col("p_partkey") % 7).cast("string"), "{name}": F.col("p_name")} | {n: of(n) for n in _CHOICES}
     return F.concat(*(cols.get(x, F.lit(x)) for x in parts))
 
 
 def _line_sql(parts: list[str]) -> str:
-    cols = {"{size}": "p_size::VARCHAR", "{key}": "(p_partkey % 7)::VARCHAR", "{name}": "p_name", "{kind} ": "CASE WHEN p_size % 2 = 0 THEN 'Fig. ' ELSE 'Table ' END"}
+    def of(name: str) -> str:
+        options = _CHOICES[name]
+        return "list_extract([" + ", ".join(f"'{o}'" for o in options) + f"], CAST(p_partkey % {len(options)} + 1 AS INTEGER))"
+
+    cols = {"{size}": "p_size::VARCHAR", "{key}": "(p_partkey % 7)::VARCHAR", "{name}": "p_name"} | {n: of(n) for n in _CHOICES}
     return "concat(" + ", ".join(cols.get(x) or "'" + x + "'" for x in parts) + ")"
 
 
@@ -248,14 +267,27 @@ def visual_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Families of parts stand in for those of mechanisms.
 VISUALS = {"economy": "bars", "small": "distribution", "medium": "flow", "large": "trajectory"}
+#: The rules in SQL: every reference of a line in its order, captions, and numbered headings.
+_CAPTION_SQL = r"(?is)^\s*(Figure|Fig\.?|Table)\s+(\d+(?:\.\d+)*[a-zA-Z]?)\s*[.:\-]\s*(.*)"
+_HEADING_SQL = r"^\s*(\d+(?:\.\d+)*)(?:[.)]|\s)+\s*([A-Za-z][^\n]{1,100})$"
+_REFERENCE_SQL = r"(?i)\b(section|sec\.?|equation|eq\.?|figure|fig\.?|table)\s*\(?\s*(\d+(?:\.\d+)*[a-zA-Z]?)\)?"
+_REFERENCES = f"""WITH l AS (SELECT p_partkey, {_line_sql(_LINES['reference'])} AS l FROM part),
+m AS (SELECT p_partkey, unnest(regexp_extract_all(l, '{_REFERENCE_SQL}', 1)) AS k, unnest(regexp_extract_all(l, '{_REFERENCE_SQL}', 2)) AS v, generate_subscripts(regexp_extract_all(l, '{_REFERENCE_SQL}', 1), 1) - 1 AS place FROM l),
+keys AS (SELECT p_partkey, place, CASE lower(k[:2]) WHEN 'se' THEN 'section' WHEN 'eq' THEN 'equation' WHEN 'fi' THEN 'figure' ELSE 'table' END AS kind, lower(v) AS number FROM m)
+"""
 QUERIES |= {"reference_keys": reference_key_rows, "reference_links": reference_links, "caption_kind": caption_kinds, "heading_parse": heading_parse, "equation_number": equation_numbers, "visual_dispatch": visual_dispatch}
 ORACLES |= {
-    "reference_keys": """SELECT p_partkey, k.place, k.kind, k.number FROM part, LATERAL (VALUES (0::BIGINT, 'figure', p_size::VARCHAR), (1::BIGINT, 'equation', (p_partkey % 7)::VARCHAR), (2::BIGINT, 'section', p_size::VARCHAR || '.2')) AS k(place, kind, number)""",
-    "reference_links": """SELECT p_partkey AS target, CASE WHEN p_size % 2 = 0 THEN count(*) OVER (PARTITION BY p_size) ELSE 0 END AS n_references FROM part""",
-    "caption_kind": f"""SELECT p_partkey, CASE WHEN lower(regexp_extract(l, '^\\s*(Figure|Fig\\.?|Table)', 1)) = 'Table' OR l LIKE 'Table%' THEN 'table' ELSE 'figure' END AS kind, regexp_extract(l, '(\\d+)\\s*:', 1) AS number, 'caption' AS element_type
-      FROM (SELECT p_partkey, {_line_sql(_LINES['caption'])} AS l FROM part)""",
-    "heading_parse": f"""SELECT p_partkey, regexp_extract(l, '^\\s*(\\d+(?:\\.\\d+)*)', 1) AS number, p_name AS title, FALSE AS noise FROM (SELECT p_partkey, p_name, {_line_sql(_LINES['heading'])} AS l FROM part)""",
-    "equation_number": f"""SELECT p_partkey, regexp_extract(l, '\\((\\d+[a-z]?)\\)\\s*$', 1) AS number, 'equation' AS element_type FROM (SELECT p_partkey, {_line_sql(_LINES['equation'])} AS l FROM part)""",
+    "reference_keys": _REFERENCES + "SELECT p_partkey, place, kind, number FROM keys",
+    "reference_links": _REFERENCES + f""", c AS (SELECT p_partkey AS target, CASE WHEN regexp_extract(l, '{_CAPTION_SQL}', 1) = '' THEN NULL WHEN lower(regexp_extract(l, '{_CAPTION_SQL}', 1)) = 'table' THEN 'table' ELSE 'figure' END AS kind, lower(regexp_extract(l, '{_CAPTION_SQL}', 2)) AS number
+        FROM (SELECT p_partkey, {_line_sql(_LINES['caption'])} AS l FROM part)),
+      n AS (SELECT kind, number, count(*) AS n FROM keys WHERE kind IN ('figure', 'table') GROUP BY 1, 2)
+      SELECT target, coalesce(n, 0) AS n_references FROM c LEFT JOIN n ON n.kind = c.kind AND n.number = c.number""",
+    "caption_kind": f"""SELECT p_partkey, CASE WHEN k = '' THEN NULL WHEN lower(k) = 'table' THEN 'table' ELSE 'figure' END AS kind, CASE WHEN k <> '' THEN lower(regexp_extract(l, '{_CAPTION_SQL}', 2)) END AS number, CASE WHEN k = '' THEN 'paragraph' ELSE 'caption' END AS element_type
+      FROM (SELECT p_partkey, l, regexp_extract(l, '{_CAPTION_SQL}', 1) AS k FROM (SELECT p_partkey, {_line_sql(_LINES['caption'])} AS l FROM part))""",
+    "heading_parse": f"""WITH l AS (SELECT p_partkey, {_line_sql(_LINES['heading'])} AS l FROM part), h AS (SELECT *, nullif(regexp_extract(l, '{_HEADING_SQL}', 1), '') AS number, nullif(regexp_extract(l, '{_HEADING_SQL}', 2), '') AS title FROM l)
+      SELECT p_partkey, number, title, regexp_matches(coalesce(title, l), '(?i)^(references|bibliography|acknowledg(?:e)?ments|contents|table of contents|author affiliations)\\b') AS noise FROM h""",
+    "equation_number": f"""SELECT p_partkey, CASE WHEN regexp_matches(l, '[=∝→∑≤≥]') THEN nullif(regexp_extract(l, '\\((\\d+[a-z]?)\\)\\s*$', 1), '') END AS number, CASE WHEN regexp_matches(l, '[=∝→∑≤≥]') AND regexp_matches(l, '\\(\\d+[a-z]?\\)\\s*$') THEN 'equation' ELSE 'paragraph' END AS element_type
+      FROM (SELECT p_partkey, {_line_sql(_LINES['equation'])} AS l FROM part)""",
     "visual_dispatch": "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'matrix' ELSE CASE lower(p_type) WHEN 'economy' THEN 'bars' WHEN 'small' THEN 'distribution' WHEN 'medium' THEN 'flow' WHEN 'large' THEN 'trajectory' ELSE 'scene' END END AS component FROM part",
 }
 
@@ -271,8 +303,8 @@ def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def median_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per priority, the exact median of prices, and how many exceed 1.2 times it."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    medians = orders.groupBy("o_orderpriority").agg(F.median("o_totalprice").alias("median"))
-    above = orders.join(F.broadcast(medians), "o_orderpriority").groupBy("o_orderpriority").agg(F.count_if(F.col("o_totalprice") > 1.2 * F.col("median")).alias("n_above"), F.max("median").alias("median"))
+    medians = exact_medians(orders, "o_orderpriority", "o_totalprice")
+    above = orders.join(medians, "o_orderpriority").groupBy("o_orderpriority").agg(F.count_if(F.col("o_totalprice") > 1.2 * F.col("median")).alias("n_above"), F.max("median").alias("median"))
     return above.select("o_orderpriority", F.round("median", 6).alias("median"), "n_above")
 
 

@@ -107,9 +107,14 @@ def neighbours(df: DataFrame, section: str, order: str) -> DataFrame:
     return near.join(df.select(section, order), [section, order]).select(section, order, "near")
 
 
-def possible_blocks(df: DataFrame, group: str, rank: str, size: str, most: int = MAX_BLOCKS, limit: int = MAX_BYTES, parts: int = 32) -> DataFrame:
+#: Rows of a group, about, that one task looks through at a time.
+PER_PART = 20_000
+
+
+def possible_blocks(df: DataFrame, group: str, rank: str, size: str, most: int = MAX_BLOCKS, limit: int = MAX_BYTES) -> DataFrame:
     """Rows that greedy packing could take: those that fewer than ``most`` earlier rows of their group equal or undercut in size.
-    Found in hashed parts of a group first, so a group's few survivors (about most * ln n) are all that one task sees."""
+    Groups are counted, and cut into hashed parts of about PER_PART rows; a group's few survivors of these (about most * ln n a part) are cut and
+    looked through again, so that no task sees a large group whole."""
     schema = df.select(group, rank, size).schema
 
     def survivors(frame):
@@ -122,8 +127,12 @@ def possible_blocks(df: DataFrame, group: str, rank: str, size: str, most: int =
         return frame[keep][[group, rank, size]]
 
     some = df.select(group, rank, size).filter(F.col(size) <= limit)
-    some = some.withColumn("part", F.pmod(F.xxhash64(rank), F.lit(parts))).groupBy(group, "part").applyInPandas(survivors, schema)
-    return some.groupBy(group).applyInPandas(survivors, schema)
+    counts = some.groupBy(group).agg(F.count(rank).alias("_n"))
+    parts = some.join(counts, group).withColumn("_part", F.pmod(F.xxhash64(rank), F.ceil(F.col("_n") / PER_PART)))
+    some = parts.groupBy(group, "_part").applyInPandas(survivors, schema)
+    # what is left of a part of PER_PART rows is hundreds of times less
+    again = some.join(counts, group).withColumn("_part", F.pmod(F.xxhash64(rank), F.ceil(F.col("_n") / (PER_PART * 100))))
+    return again.groupBy(group, "_part").applyInPandas(survivors, schema).groupBy(group).applyInPandas(survivors, schema)
 
 
 def pack_greedily(df: DataFrame, group: str, rank: str, size: str, most: int = MAX_BLOCKS, limit: int = MAX_BYTES) -> DataFrame:
@@ -136,3 +145,19 @@ def pack_greedily(df: DataFrame, group: str, rank: str, size: str, most: int = M
         return F.struct(F.when(fits, a["used"] + x["s"]).otherwise(a["used"]).alias("used"), F.when(fits, F.concat(a["kept"], F.array(x["r"].cast("long")))).otherwise(a["kept"]).alias("kept"))
 
     return rows.select(group, F.posexplode(F.aggregate("rows", start, step, lambda a: a["kept"])).alias("place", rank))
+
+
+def exact_medians(df: DataFrame, key: str, value: str, accuracy: int = 1000) -> DataFrame:
+    """(key, median) of non-null values, exactly, without a buffer of a key's values: two approximate quantiles, whose error is bounded, hold the median between
+    them; rows below are counted, and only the few between are ordered."""
+    rows = df.select(key, value).filter(F.col(value).isNotNull())
+    margin = 2.0 / accuracy
+    bounds = rows.groupBy(key).agg(F.percentile_approx(value, [0.5 - margin, 0.5 + margin], accuracy).alias("_b"), F.count(value).alias("_n"))
+    told = rows.join(bounds, key)
+    # a value at the very edge is ordered too, and of few values all are
+    low, high = F.when(F.col("_n") > 4 * accuracy, F.col("_b")[0]), F.when(F.col("_n") > 4 * accuracy, F.col("_b")[1])
+    below = told.groupBy(key).agg(F.count_if(F.col(value) < low).alias("_below"))
+    inside = told.filter((low.isNull() | (F.col(value) >= low)) & (high.isNull() | (F.col(value) <= high))).join(below, key)
+    rank = F.row_number().over(W.partitionBy(key).orderBy(value)) + F.col("_below")
+    middle = inside.withColumn("_rank", rank).filter((F.col("_rank") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_rank") == F.floor(F.col("_n") / 2) + 1))
+    return middle.groupBy(key).agg(F.avg(value).alias("median"))
