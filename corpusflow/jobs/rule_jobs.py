@@ -22,6 +22,7 @@ from ..operators.rules import (
     restored_enum,
     trimmed,
 )
+from ..operators.checks import attribute_rows, evidence_gate, unsafe_attributes
 from .check_jobs import table
 
 QUERIES: dict = {}
@@ -289,3 +290,38 @@ ORACLES |= {
     "trimmed_packs": """WITH s AS (SELECT l_orderkey, l_linenumber, max(l_quantity)::BIGINT AS size FROM lineitem GROUP BY 1, 2), w AS (SELECT *, sum(size) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS total, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM s),
       l AS (SELECT l_orderkey, max(k) AS last FROM w WHERE total + 2 * (n - k) <= 90 GROUP BY 1) SELECT l_orderkey, l_linenumber FROM w JOIN l USING (l_orderkey) WHERE k <= last""",
 }
+
+
+# -- gates
+def source_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as evidence of their orders: findings by code and status, and their first target."""
+    items = table(spark, sf_dir, "lineitem").withColumn("place", F.col("l_linenumber") - 1).withColumn("o_orderkey", F.col("l_orderkey") * F.when(F.col("l_partkey") % 50 == 0, -1).otherwise(1))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    found = evidence_gate(items, orders, "l_orderkey", "l_linenumber", "place", "o_orderkey", F.col("l_shipdate") >= F.col("o_orderdate"), 6)
+    return found.groupBy("code", "status").agg(F.count("*").alias("n"), F.min("target").alias("first"), F.max("details").alias("details"))
+
+
+def artifact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page and code, attributes that a page of its own may not have; every third page has an image with a handler."""
+    more = F.when(F.col("page_id") % 3 == 0, '<img src="a.png" onload="f()"><a href="#x">x</a><img src="data:,x">').otherwise("")
+    rows = attribute_rows(table(spark, sf_dir, "pages").select("page_id", F.concat("html", more).alias("html")), "page_id", "html")
+    return unsafe_attributes(rows).groupBy("page_id", "code").agg(F.count("*").alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (source_gate, artifact_scan)}
+ORACLES |= {
+    "source_gate": """WITH e AS (SELECT *, l_linenumber - 1 AS place, l_orderkey * CASE WHEN l_partkey % 50 = 0 THEN -1 ELSE 1 END AS src FROM lineitem),
+      g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS ids, min(place) AS low, max(place) AS high FROM e GROUP BY 1),
+      f AS (SELECT 'duplicate_evidence' AS code, 'FAIL' AS status, l_orderkey::VARCHAR AS target, (n - ids)::VARCHAR AS details FROM g WHERE n <> ids
+        UNION ALL SELECT 'ranks_not_contiguous', 'FAIL', l_orderkey::VARCHAR, high::VARCHAR FROM g WHERE ids <> n OR low <> 0 OR high <> n - 1
+        UNION ALL SELECT 'size_limited', 'WARN', l_orderkey::VARCHAR, n::VARCHAR FROM g WHERE n > 6
+        UNION ALL SELECT 'absent_source', 'FAIL', src::VARCHAR, count(*)::VARCHAR FROM e WHERE src NOT IN (SELECT o_orderkey FROM orders) GROUP BY src
+        UNION ALL SELECT 'differs_from_source', 'FAIL', l_orderkey::VARCHAR, count(*)::VARCHAR FROM e JOIN orders ON src = o_orderkey WHERE l_shipdate < o_orderdate GROUP BY l_orderkey)
+      SELECT code, status, count(*) AS n, min(target) AS first, max(details) AS details FROM f GROUP BY 1, 2""",
+    "artifact_scan": """WITH h AS (SELECT page_id, regexp_replace(html || CASE WHEN page_id % 3 = 0 THEN '<img src="a.png" onload="f()"><a href="#x">x</a><img src="data:,x">' ELSE '' END, '(?s)(<script\\b[^>]*>).*?</script>', '\\1', 'g') AS h FROM pages),
+      t AS (SELECT page_id, unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)((?:\\s+[a-zA-Z:-]+="[^"]*")+)\\s*/?>', 1)) AS tag, unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)((?:\\s+[a-zA-Z:-]+="[^"]*")+)\\s*/?>', 2)) AS rest FROM h),
+      a AS (SELECT page_id, lower(tag) AS tag, lower(unnest(regexp_extract_all(rest, '([a-zA-Z:-]+)="([^"]*)"', 1))) AS attribute, unnest(regexp_extract_all(rest, '([a-zA-Z:-]+)="([^"]*)"', 2)) AS value FROM t),
+      c AS (SELECT page_id, CASE WHEN attribute LIKE 'on%' THEN 'unsafe_html' WHEN attribute IN ('src', 'srcset', 'poster', 'action') AND value <> '' AND value NOT LIKE 'data:%' THEN 'external_dependency'
+        WHEN tag = 'a' AND attribute = 'href' AND value <> '' AND value NOT LIKE '#%' AND NOT regexp_matches(value, '(?i)^https?:') THEN 'unsafe_link' END AS code FROM a)
+      SELECT page_id, code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1, 2""",
+}
