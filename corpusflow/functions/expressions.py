@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import functions as F
@@ -16,79 +17,97 @@ _BINARY = {ast.Add: "add", ast.Sub: "subtract", ast.Mult: "multiply", ast.Div: "
 _COMPARE = {ast.Lt: "lt", ast.LtE: "le", ast.Gt: "gt", ast.GtE: "ge", ast.Eq: "eq", ast.NotEq: "ne"}
 
 
+#: What a node of each kind holds: whether its value may be so, and the least and most arguments (None: any number).
+KINDS = {
+    "literal": (lambda v: isinstance(v, bool) or isinstance(v, str) and len(v) <= MAX_TEXT or isinstance(v, int | float) and abs(v) <= 1e300, 0, 0),
+    "variable": (lambda v: isinstance(v, str) and v.isidentifier(), 0, 0),
+    "array": (lambda v: v is None, 1, None),
+    "call": (lambda v: isinstance(v, str) and v in OPERATIONS, 0, None),
+    "index": (lambda v: type(v) is int and v >= 0, 1, 1),
+    "compare": (lambda v: v in _COMPARE.values(), 2, 2),
+    "if": (lambda v: v is None, 3, 3),
+    "not": (lambda v: v is None, 1, 1),
+    "and": (lambda v: v is None, 2, None),
+    "or": (lambda v: v is None, 2, None),
+}
+
+
 @dataclass(frozen=True)
 class Node:
+    """A tree of the language; ``Node.of`` accepts nothing that ``KINDS`` doesn't allow, whether it comes from a text or from stored JSON."""
+
     kind: str
     value: object = None
     args: tuple[Node, ...] = ()
 
-    def to_dict(self) -> dict:
-        return {"kind": self.kind, "value": self.value, "args": [a.to_dict() for a in self.args]}
+    @staticmethod
+    def of(kind: object, value: object, args: list[Node]) -> Node:
+        need(isinstance(kind, str) and kind in KINDS, f"no node of kind {kind}")
+        fine, least, most = KINDS[kind]
+        need(fine(value), f"{kind} can't hold {value!r}")
+        need(least <= len(args) and (most is None or len(args) <= most), f"{kind} of {len(args)} arguments")
+        need(kind != "call" or OPERATIONS[value][0] == len(args), f"{value} of {len(args)} arguments")
+        return Node(kind, value, tuple(args))
 
     @staticmethod
     def from_dict(d: dict) -> Node:
-        need(isinstance(d, dict) and set(d) == {"kind", "value", "args"} and isinstance(d["args"], list), "not a node")
-        node = Node(d["kind"], d["value"], tuple(map(Node.from_dict, d["args"])))
-        if node.kind == "call":
-            need(node.value in OPERATIONS and OPERATIONS[node.value][0] == len(node.args), "unknown call")
-        return node
+        need(isinstance(d, dict) and d.keys() == {"kind", "value", "args"} and isinstance(d["args"], list), "not a node")
+        return Node.of(d["kind"], d["value"], [Node.from_dict(x) for x in d["args"]])
 
-    def references(self) -> set[str]:
-        return ({self.value} if self.kind == "variable" else set()).union(*(a.references() for a in self.args))
+    def to_dict(self) -> dict:
+        return {"kind": self.kind, "value": self.value, "args": [a.to_dict() for a in self.args]}
 
     def canonical(self) -> str:
         return json.dumps(self.to_dict(), sort_keys=True)
 
+    def nodes(self) -> Iterator[Node]:
+        yield self
+        for a in self.args:
+            yield from a.nodes()
+
+    def references(self) -> set[str]:
+        return {n.value for n in self.nodes() if n.kind == "variable"}
+
     def renamed(self, names: dict[str, str]) -> Node:
-        return Node(self.kind, names.get(self.value, self.value) if self.kind == "variable" else self.value, tuple(a.renamed(names) for a in self.args))
+        value = names.get(self.value, self.value) if self.kind == "variable" else self.value
+        return Node(self.kind, value, tuple(a.renamed(names) for a in self.args))
+
+
+#: By form of syntax: kind, value and parts of its node. What has no such form gives a value that its kind can't hold.
+_OTHER = object()
+SYNTAX = {
+    ast.Constant: lambda t: ("literal", t.value, []),
+    ast.Name: lambda t: ("variable", t.id, []),
+    ast.List: lambda t: ("array", None, t.elts),
+    ast.Tuple: lambda t: ("array", None, t.elts),
+    ast.Call: lambda t: ("call", t.func.id if isinstance(t.func, ast.Name) and not t.keywords else _OTHER, t.args),
+    ast.BinOp: lambda t: ("call", _BINARY.get(type(t.op), _OTHER), [t.left, t.right]),
+    ast.UnaryOp: lambda t: ("not", None, [t.operand]) if isinstance(t.op, ast.Not) else ("call", "negate" if isinstance(t.op, ast.USub) else _OTHER, [t.operand]),
+    ast.BoolOp: lambda t: ("and" if isinstance(t.op, ast.And) else "or", None, t.values),
+    ast.Compare: lambda t: ("compare", _COMPARE.get(type(t.ops[0]), _OTHER) if len(t.ops) == 1 else _OTHER, [t.left, t.comparators[0]]),
+    ast.IfExp: lambda t: ("if", None, [t.test, t.body, t.orelse]),
+    ast.Subscript: lambda t: ("index", t.slice.value if isinstance(t.slice, ast.Constant) else _OTHER, [t.value]),
+}
 
 
 def parse(text: str) -> Node:
     """The canonical tree of an expression; raises ValueError for anything outside the language."""
-    need(isinstance(text, str) and 0 < len(text.strip()) and len(text) <= MAX_CHARS, "an expression is 1 to 4096 characters")
+    need(isinstance(text, str) and 0 < len(text.strip()) and len(text) <= MAX_CHARS, f"an expression is 1 to {MAX_CHARS} characters")
     try:
-        tree = ast.parse(text.strip(), mode="eval").body
+        top = ast.parse(text.strip(), mode="eval").body
     except (SyntaxError, MemoryError, RecursionError) as e:
         raise ValueError(f"not an expression: {e}") from e
-    count = 0
-
-    def walk(t: ast.AST, depth: int) -> Node:
-        nonlocal count
-        count += 1
-        need(count <= MAX_NODES and depth <= MAX_DEPTH, "the expression is too large")
-        go = lambda x: walk(x, depth + 1)
-        match t:
-            case ast.Constant(value=v) if isinstance(v, bool | int | float | str):
-                need(not isinstance(v, str) or len(v) <= MAX_TEXT, "the text is too long")
-                need(isinstance(v, bool | str) or abs(v) <= 1e300, "the number is too large")
-                return Node("literal", v)
-            case ast.Name(id=name):
-                return Node("variable", name)
-            case ast.List(elts=items) | ast.Tuple(elts=items):
-                need(bool(items), "an array has entries")
-                return Node("array", None, tuple(map(go, items)))
-            case ast.Call(func=ast.Name(id=name), args=args, keywords=[]):
-                need(name in OPERATIONS and OPERATIONS[name][0] == len(args), f"no operation {name} of {len(args)} arguments")
-                return Node("call", name, tuple(map(go, args)))
-            case ast.BinOp(left=a, op=op, right=b) if type(op) in _BINARY:
-                return Node("call", _BINARY[type(op)], (go(a), go(b)))
-            case ast.UnaryOp(op=ast.USub(), operand=a):
-                return Node("call", "negate", (go(a),))
-            case ast.UnaryOp(op=ast.UAdd(), operand=a):
-                return go(a)
-            case ast.UnaryOp(op=ast.Not(), operand=a):
-                return Node("not", None, (go(a),))
-            case ast.BoolOp(op=op, values=items):
-                return Node("and" if isinstance(op, ast.And) else "or", None, tuple(map(go, items)))
-            case ast.Compare(left=a, ops=[op], comparators=[b]) if type(op) in _COMPARE:
-                return Node("compare", _COMPARE[type(op)], (go(a), go(b)))
-            case ast.IfExp(test=c, body=a, orelse=b):
-                return Node("if", None, (go(c), go(a), go(b)))
-            case ast.Subscript(value=a, slice=ast.Constant(value=k)) if type(k) is int and k >= 0:
-                return Node("index", k, (go(a),))
-        raise ValueError(f"{type(t).__name__} is not in the language")
-
-    return walk(tree, 0)
+    room = iter(range(MAX_NODES))
+
+    def node(t: ast.AST, deeper: int) -> Node:
+        need(next(room, None) is not None and deeper >= 0, "the expression is too large")
+        if isinstance(t, ast.UnaryOp) and isinstance(t.op, ast.UAdd):
+            return node(t.operand, deeper - 1)
+        need(type(t) in SYNTAX, f"{type(t).__name__} is not in the language")
+        kind, value, parts = SYNTAX[type(t)](t)
+        return Node.of(kind, value, [node(x, deeper - 1) for x in parts])
+
+    return node(top, MAX_DEPTH)
 
 
 def compiled(node: Node, names: dict[str, Value]) -> Value:

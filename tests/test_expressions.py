@@ -46,6 +46,12 @@ def test_rejected(text):
         column(text, {"x": scalar(F.lit(1)), "y": scalar(F.lit(1))})
 
 
+@pytest.mark.parametrize("d", [{}, {"kind": "sum", "value": None, "args": []}, {"kind": "if", "value": None, "args": []}, {"kind": "call", "value": "eval", "args": []}, {"kind": "index", "value": -1, "args": [{"kind": "variable", "value": "x", "args": []}]}, {"kind": "variable", "value": "a b", "args": []}])
+def test_stored_trees_are_checked(d):
+    with pytest.raises(ValueError):
+        Node.from_dict(d)
+
+
 def test_invalid_values_are_flagged(spark):
     spark.conf.set("spark.sql.ansi.enabled", "true")
     got = spark.range(1).select(*(is_valid(column(e, {})).alias(f"c{i}") for i, e in enumerate(INVALID))).first()
