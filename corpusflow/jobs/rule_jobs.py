@@ -118,10 +118,11 @@ def _lookup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders")
     elements = orders.select(F.col("o_orderkey").alias("element"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("section"), F.when(F.col("o_orderkey") % 3 == 0, "table").otherwise("figure").alias("kind"), (F.col("o_orderkey") % 500).cast("string").alias("number"))
     cases = table(spark, sf_dir, "supplier")
-    region = cases.join(F.broadcast(table(spark, sf_dir, "region")), F.col("s_suppkey") % 7 == F.col("r_regionkey")).select("s_suppkey", F.lit("section").alias("kind"), F.lower("r_name").alias("number"))
-    nation = cases.select("s_suppkey", F.lit("section"), F.concat(F.lit("nation_"), (F.col("s_nationkey") * 2).cast("string")))
+    region = cases.join(F.broadcast(table(spark, sf_dir, "region")), F.col("s_suppkey") % 97 == F.col("r_regionkey")).select("s_suppkey", F.lit("section").alias("kind"), F.lower("r_name").alias("number"))
+    nation = cases.filter("s_suppkey % 10 = 0").select("s_suppkey", F.lit("section"), F.concat(F.lit("nation_"), (F.col("s_nationkey") * 2).cast("string")))
+    customer = cases.select("s_suppkey", F.lit("section"), F.format_string("Customer#%09d", F.col("s_suppkey") * 2))
     figure = cases.select("s_suppkey", F.lit("figure"), (F.col("s_suppkey") * 5 % 800).cast("string"))
-    references = region.union(nation).union(figure).withColumnRenamed("s_suppkey", "case")
+    references = region.union(nation).union(customer).union(figure).withColumnRenamed("s_suppkey", "case")
     return explicit_lookup(references, elements, _sections(spark, sf_dir), 3)
 
 
@@ -177,7 +178,7 @@ _LOOKUP = """
 WITH RECURSIVE s AS (SELECT 'r' || r_regionkey AS section, upper(r_name) AS number, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, c_name, 'n' || c_nationkey FROM customer),
 below AS (SELECT section, lower(number) AS number FROM s UNION SELECT s.section, b.number FROM s JOIN below b ON s.parent = b.section),
 e AS (SELECT o_orderkey AS element, 'c' || o_custkey AS section, CASE WHEN o_orderkey % 3 = 0 THEN 'table' ELSE 'figure' END AS kind, (o_orderkey % 500)::VARCHAR AS number, o_totalprice AS price, o_orderstatus AS status, o_custkey FROM orders),
-refs AS (SELECT s_suppkey AS "case", 'section' AS kind, lower(r_name) AS number FROM supplier JOIN region ON s_suppkey % 7 = r_regionkey UNION SELECT s_suppkey, 'section', 'nation_' || s_nationkey * 2 FROM supplier UNION SELECT s_suppkey, 'figure', (s_suppkey * 5 % 800)::VARCHAR FROM supplier),
+refs AS (SELECT s_suppkey AS "case", 'section' AS kind, lower(r_name) AS number FROM supplier JOIN region ON s_suppkey % 97 = r_regionkey UNION SELECT s_suppkey, 'section', 'nation_' || s_nationkey * 2 FROM supplier WHERE s_suppkey % 10 = 0 UNION SELECT s_suppkey, 'section', 'customer#' || lpad((s_suppkey * 2)::VARCHAR, 9, '0') FROM supplier UNION SELECT s_suppkey, 'figure', (s_suppkey * 5 % 800)::VARCHAR FROM supplier),
 found AS (SELECT DISTINCT "case", refs.kind, refs.number, element FROM refs JOIN below USING (number) JOIN e ON e.section = below.section WHERE refs.kind = 'section'
   UNION SELECT "case", refs.kind, refs.number, element FROM refs JOIN e ON e.kind = refs.kind AND e.number = refs.number WHERE refs.kind <> 'section'),
 own AS (SELECT DISTINCT "case", element, price, status, o_custkey FROM found JOIN e USING (element)),
