@@ -26,12 +26,13 @@ def term_counts(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     """(key, term, tf) for the terms of any query, and a row with a null term for all other tokens of each document.
 
     Every text is tokenised once, for all queries together: the queries' vocabulary is sent to the tokens, which are counted where they
-    lie, so what is shuffled is a row per document and term matched. All that follows reads this one shuffle.
+    lie, so what is shuffled is a row per document and term matched. These rows are kept with the executors, as weights, lengths and
+    scores read them in turn; what a lost executor held is counted again.
     """
     vocabulary = query_terms(queries).select("term").distinct()
     flat = docs.select(key, F.explode_outer(tokens(F.col(text))).alias("token"))
     known = flat.join(F.broadcast(vocabulary), F.col("token") == F.col("term"), "left")
-    return known.groupBy(key, "term").agg(F.count("token").alias("tf"))
+    return known.groupBy(key, "term").agg(F.count("token").alias("tf")).persist()
 
 
 def document_frequencies(counts: DataFrame, key: str = "doc_id") -> DataFrame:
