@@ -29,7 +29,8 @@ class Plan:
     segments in order until ``most(n)`` + 1 of them aren't empty; of any two similar sets, the one that stops first has a segment among
     these that both agree on. With one-deletion neighbourhoods a segment may differ in one shingle, so that half as many, larger
     ones do: they cost a signature for each shingle. A set that has too few segments to post is hashed again, under the next seed, besides.
-    The allocation is by cost: each segment once, as a whole, and deletions for sets with a segment in a list whose pairs cost more.
+    The allocation is by cost: each segment once, as a whole; the cheapest of finer segments for sets with one in a list whose pairs cost more; and
+    deletions where these lists do too.
     """
 
     #: Sizes in a band differ by this factor. A set near the upper end posts in the next band too.
@@ -49,15 +50,26 @@ class Plan:
 
     def signatures(self, rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, deletions: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(row, signature) of all sets; ``rows`` is sorted and says whose shingle each hash is, ``sizes`` has the sets' sizes."""
+        parts = [(r, s) for r, s, _ in self.groups(rows, hashes, sizes, deletions)]
+        return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in ((0, np.int64), (1, np.uint64)))
+
+    def groups(self, rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, deletions: bool = False, fine: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of (row, signature) by band and seed, with how many of a group each set needs, by row.
+
+        With ``fine`` segments are smaller and more, and a set's group has all of them that aren't empty. It needs to post the ``most(n)`` + 1 that are
+        rarest by any one order of all signatures: of the segments that two similar sets agree on, more than the others that either leaves
+        out, the rarest is posted by both (empty segments are the least rare).
+        """
         edges = self.RATIO ** np.arange(1, 31, dtype=np.int64)
         own, reach = np.searchsorted(edges, sizes, "right"), np.searchsorted(edges, sizes * self.den // self.num, "right")
         need = self.need(sizes, deletions)
-        out_rows, out_signatures = [], []
         for shift in (0, 1):
             bands = own + shift
             todo = np.flatnonzero((sizes > 0) & (reach >= bands))
             most_needed = self.need(edges[bands] - 1, deletions)
             segments = most_needed + most_needed // 10 + 2
+            if fine:
+                segments = np.maximum(segments, edges[bands] * 2 // 5)
             for seed in range(MAX_SEEDS):
                 if not len(todo):
                     break
@@ -71,29 +83,24 @@ class Plan:
                 h = mix(h ^ _U(0xA5A5A5A5))
                 total = int(count.sum())
                 members, owner = np.bincount(place, minlength=total), np.repeat(np.arange(len(sizes)), count)
-                fine = members > 0
+                filled = members > 0
                 if deletions:
                     # one shingle against none differs in one, and has no signature for it; equal sets have no such segments
-                    fine &= (members > 1) | (self.most(sizes)[owner] == 0)
-                so_far = np.concatenate(([0], np.cumsum(fine)))
+                    filled &= (members > 1) | (self.most(sizes)[owner] == 0)
+                so_far = np.concatenate(([0], np.cumsum(filled)))
                 so_far = so_far[:-1] - so_far[base[owner]]
-                posted = so_far < need[owner]
+                posted = np.ones(total, bool) if fine else so_far < need[owner]
                 sums = exact_sums(place, h, total)
-                name = mix((np.arange(total) - base[owner]).astype(np.uint64) + _U(1) + (bands[owner].astype(np.uint64) << _U(40)) + (_U(seed) << _U(56)))
+                name = mix((np.arange(total) - base[owner]).astype(np.uint64) + _U(1) + (bands[owner].astype(np.uint64) << _U(40)) + (_U(seed + MAX_SEEDS * fine) << _U(56)))
                 whole = posted & (members > 0)
-                out_rows.append(owner[whole])
-                out_signatures.append(mix(sums[whole] ^ name[whole]))
+                yield owner[whole], mix(sums[whole] ^ name[whole]), need
                 if deletions:
                     several = (posted & (members > 1))[place]
-                    out_rows.append(r[several])
-                    out_signatures.append(mix((sums[place] - h)[several] ^ name[place][several]))
-                reached = np.bincount(owner[fine & posted], minlength=len(sizes))
+                    yield r[several], mix((sums[place] - h)[several] ^ name[place][several]), need
+                reached = np.bincount(owner[filled & posted], minlength=len(sizes))
                 todo = todo[reached[todo] < need[todo]]
             if len(todo):
                 raise RuntimeError("no seed fills the segments of a set")
-        if not out_rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return np.concatenate(out_rows), np.concatenate(out_signatures)
 
 
 def exact_sums(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -143,9 +150,10 @@ def lists(rows: np.ndarray, values: np.ndarray, n: int):
 
 def sketched(texts: DataFrame, words: int, plan: Plan, kind: str) -> DataFrame:
     """``texts`` with the columns that ``kind`` says in place of ``text``: n, d1, d2 (digest of the set), cells, signatures ("whole"); or
-    d1, d2 and as items the signatures of one-deletion neighbourhoods ("deletions") or the set itself ("sets")."""
+    d1, d2 and as items the signatures of one-deletion neighbourhoods ("deletions") or the set itself ("sets"); or a row for each group of fine
+    segments, with how many of its items are needed ("fine")."""
     kept = [f for f in texts.schema if f.name != "text"]
-    made = "d1 long, d2 long, " + ("n long, cells array<short>, signatures array<long>" if kind == "whole" else "items array<long>")
+    made = "d1 long, d2 long, " + ("n long, cells array<short>, signatures array<long>" if kind == "whole" else "need long, grp int, items array<long>" if kind == "fine" else "items array<long>")
     schema = StructType([*kept, *StructType.fromDDL(made)])
     text_at = texts.columns.index("text")
 
@@ -159,6 +167,11 @@ def sketched(texts: DataFrame, words: int, plan: Plan, kind: str) -> DataFrame:
                 sizes = np.bincount(rows, minlength=m)
                 columns = [batch.column(k).slice(first, m) for k in range(batch.num_columns) if k != text_at]
                 columns += [pa.array(exact_sums(rows, mix(h ^ _U(k)), m).view(np.int64)) for k in (0x1234567, 0x89ABCDE)]
+                if kind == "fine":
+                    for g, (r, s, need) in enumerate(plan.groups(rows, h, sizes, fine=True)):
+                        some = pa.array(np.unique(r))
+                        yield pa.RecordBatch.from_arrays([c.take(some) for c in [*columns, pa.array(need), pa.array(np.full(m, g, np.int32)), lists(r, s.view(np.int64), m)]], names=schema.names)
+                    continue
                 if kind == "sets":
                     columns.append(lists(rows, h.view(np.int64), m))
                 else:
@@ -199,10 +212,11 @@ class _Join:
         """(node, items) of the nodes ``wanted``: their texts are picked by row key, and the set is told by its digest."""
         wanted = self.scratch.stage(self.nodes.join(wanted, "node", "left_semi").select("k", F.col("node"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), "wanted")
         texts = self.texts.join(sent(wanted), "k").drop("k")
-        found = sketched(texts, self.words, self.plan, kind).filter("d1 = e1 and d2 = e2").select("node", "items")
-        out = self.scratch.stage(found, kind)
-        if out.count() > wanted.count():  # a row that is repeated has its set fetched as often
-            out = self.scratch.stage(out.dropDuplicates(["node"]), kind)
+        found = sketched(texts, self.words, self.plan, kind).filter("d1 = e1 and d2 = e2").drop("d1", "d2", "e1", "e2")
+        out, own = self.scratch.stage(found, kind), [c for c in ("node", "grp") if c in found.columns]
+        groups = out.groupBy("grp").count().agg(F.max("count")).first()[0] or 0 if kind == "fine" else out.count()
+        if groups > wanted.count():  # a row that is repeated has its set fetched as often
+            out = self.scratch.stage(out.dropDuplicates(own), kind)
         self.scratch.drop(wanted)
         return out
 
@@ -246,6 +260,19 @@ class _Join:
         # few signatures are shared, so theirs is the side to hash, and the posts need no sort
         return self.scratch.stage(flat.join(counts.hint("shuffle_hash"), "signature").select("signature", "node", "n", "members"), "lists")
 
+    def rarest(self, nodes: DataFrame) -> DataFrame:
+        """Lists of the rarest fine segments that each of ``nodes`` needs to post. Rare is what other sets, if any, post least often, so a segment that lies
+        within a passage of many sets costs nothing as long as a set has enough others."""
+        groups = self.fetched(nodes, "fine").join(self.nodes.select("node", "n"), "node")
+        flat = groups.select("node", "n", "grp", "need", F.size("items").alias("size"), F.explode("items").alias("signature"))
+        counts = flat.groupBy("signature").agg(F.count("node").alias("often")).filter("often > 1")
+        by_group = W.partitionBy("node", "grp")
+        known = flat.join(counts.hint("shuffle_hash"), "signature").withColumn("known", F.count("often").over(by_group)).withColumn("nth", F.row_number().over(by_group.orderBy("often", "signature")))
+        # the segments that no other set has are the rarest of all
+        posted = self.scratch.stage(known.filter("nth <= need - (size - known)").select("signature", "node", "n"), "rarest")
+        counts = posted.groupBy("signature").agg(F.count("node").alias("members")).filter("members > 1")
+        return self.scratch.stage(posted.join(counts, "signature").select("signature", "node", "n", "members"), "lists")
+
     def starred(self, lists: DataFrame) -> DataFrame:
         """Each list's members meet its hub, the one whose lists are longest in all: it stands closest to the middle of a group of near copies.
         A list costs as many pairs as it has members. Gives the lists that still span several classes."""
@@ -328,8 +355,8 @@ def jaccard_classes(docs: DataFrame, carry: list[Column], words: int = 5, num: i
     Rows link when their sets of ``words``-word shingles have a Jaccard similarity of at least num / den; every such link counts, though
     only as many are computed as classes need. Equal sets are one node. Lists of nodes with a common signature are first met by
     their hubs, which joins groups of near copies at the cost of a row per member. Of lists that then span classes, those with few
-    pairs across classes for their length have these compared; the members of the others are posted again
-    under these, met by hubs and compared in the same way, and what lies in long lists even so is compared by what it has beyond its
+    pairs across classes for their length have these compared; the members of the others post the rarest of finer
+    segments, then one-deletion neighbourhoods, met by hubs and compared in the same way, and what lies in long lists even so is compared by what it has beyond its
     list's pivot. Pairs pass exact bounds on size and on histogram distance before sets are fetched and intersected.
 
     Null and empty texts have no shingles and no class. Rows, not ids, are what is compared: repeated and null ids are rows like others. An empty
@@ -347,14 +374,17 @@ def jaccard_classes(docs: DataFrame, carry: list[Column], words: int = 5, num: i
         nodes = scratch.stage(chosen.select("node", "k", "n", "d1", "d2", "cells"), "nodes")
         join = _Join(texts, nodes, words, plan, scratch)
         lists = join.shared(chosen.select("node", "n", "signatures"), "signatures")
+        dear_of = lambda found: scratch.stage(found.filter("dear").select("node").distinct(), "dear")
         found = join.starred(lists)
-        candidates = join.across(found.filter("not dear"))
-        dear = scratch.stage(found.filter("dear").select("node").distinct(), "dear")
+        candidates, dear = join.across(found.filter("not dear")), dear_of(found)
+        if not dear.isEmpty():
+            found = join.starred(join.rarest(dear))
+            candidates, dear = candidates.union(join.across(found.filter("not dear"))), dear_of(found)
         if not dear.isEmpty():
             deletions = join.fetched(dear, "deletions").join(nodes.select("node", "n"), "node")
             found = join.starred(join.shared(deletions, "items"))
-            candidates = candidates.union(join.across(found.filter("not dear"))).union(join.about_pivots(found.filter("dear"))).distinct()
-        join.verify(candidates)
+            candidates = candidates.union(join.across(found.filter("not dear"))).union(join.about_pivots(found.filter("dear")))
+        join.verify(candidates.distinct())
         heads = nodes.select("d1", "d2", "node").join(join.classes(), "node", "left")
         heads = heads.select("d1", "d2", F.coalesce("class", "node").alias("class"))
         out = rows.select(*names, "n", "d1", "d2").join(heads, ["d1", "d2"], "left")

@@ -18,7 +18,7 @@ WINDOW, END_ID = 4096, 2
 #: Lengths count in steps of this many tokens, rounded up, where combinations are solved.
 STEP = 16
 #: Words a worker keeps the ids of; later ones are encoded anew each time.
-CACHE = 700_000
+CACHE = 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Python's split() also takes these for white space, the tokenizer doesn't.
 ODD = re.compile("[\x1c-\x1fΣ]")

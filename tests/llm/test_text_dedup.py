@@ -271,6 +271,11 @@ def test_signatures_never_miss(spark):
                 for deletions in (False, True):
                     r, s = plan.signatures(rows, h, np.array([n, m]), deletions)
                     assert set(s[r == 0].tolist()) & set(s[r == 1].tolist()), (n, m, deletions)
+                # of fine segments the rarest that each needs, by an order in which those in common come last if they can
+                groups = list(plan.groups(rows, h, np.array([n, m]), fine=True))
+                both = set.intersection(*({x for r, s, _ in groups for x in s[r == k].tolist()} for k in (0, 1)))
+                posted = [{x for r, s, need in groups for x in sorted(s[r == k].tolist(), key=lambda x: (x in both, x))[: need[k]]} for k in (0, 1)]
+                assert posted[0] & posted[1], (n, m)
 
 
 def test_join_edges(spark):
