@@ -29,8 +29,8 @@ class Plan:
     segments in order until ``most(n)`` + 1 of them aren't empty; of any two similar sets, the one that stops first has a segment among
     these that both agree on. With one-deletion neighbourhoods a segment may differ in one shingle, so that half as many, larger
     ones do: they cost a signature for each shingle. A set that has too few segments to post is hashed again, under the next seed, besides.
-    The allocation is by cost: each segment once, as a whole; the cheapest of finer segments for sets with one in a list whose pairs cost more; and
-    deletions where these lists do too.
+    The allocation is by cost: each segment once, as a whole; the cheapest of finer segments for sets that share one with another class; and
+    deletions for sets with one of these in a list whose pairs cost more.
     """
 
     #: Sizes in a band differ by this factor. A set near the upper end posts in the next band too.
@@ -354,9 +354,9 @@ def jaccard_classes(docs: DataFrame, carry: list[Column], words: int = 5, num: i
 
     Rows link when their sets of ``words``-word shingles have a Jaccard similarity of at least num / den; every such link counts, though
     only as many are computed as classes need. Equal sets are one node. Lists of nodes with a common signature are first met by
-    their hubs, which joins groups of near copies at the cost of a row per member. Of lists that then span classes, those with few
-    pairs across classes for their length have these compared; the members of the others post the rarest of finer
-    segments, then one-deletion neighbourhoods, met by hubs and compared in the same way, and what lies in long lists even so is compared by what it has beyond its
+    their hubs, which joins groups of near copies at the cost of a row per member. Members of lists that then span classes post the rarest
+    of finer segments, met by hubs again. Of these lists, those with few pairs across classes for their length have these compared; the members of the others post
+    one-deletion neighbourhoods, met by hubs and compared in the same way, and what lies in long lists even so is compared by what it has beyond its
     list's pivot. Pairs pass exact bounds on size and on histogram distance before sets are fetched and intersected.
 
     Null and empty texts have no shingles and no class. Rows, not ids, are what is compared: repeated and null ids are rows like others. An empty
@@ -374,12 +374,10 @@ def jaccard_classes(docs: DataFrame, carry: list[Column], words: int = 5, num: i
         nodes = scratch.stage(chosen.select("node", "k", "n", "d1", "d2", "cells"), "nodes")
         join = _Join(texts, nodes, words, plan, scratch)
         lists = join.shared(chosen.select("node", "n", "signatures"), "signatures")
-        dear_of = lambda found: scratch.stage(found.filter("dear").select("node").distinct(), "dear")
-        found = join.starred(lists)
-        candidates, dear = join.across(found.filter("not dear")), dear_of(found)
-        if not dear.isEmpty():
-            found = join.starred(join.rarest(dear))
-            candidates, dear = candidates.union(join.across(found.filter("not dear"))), dear_of(found)
+        open_nodes = lambda found: scratch.stage(found.select("node").distinct(), "open-nodes")
+        # whatever its length, a list that spans classes is replaced by those of its members' rarest segments, so that work grows as the lists do
+        found = join.starred(join.rarest(open_nodes(join.starred(lists))))
+        candidates, dear = join.across(found.filter("not dear")), open_nodes(found.filter("dear"))
         if not dear.isEmpty():
             deletions = join.fetched(dear, "deletions").join(nodes.select("node", "n"), "node")
             found = join.starred(join.shared(deletions, "items"))

@@ -87,6 +87,8 @@ def longest_copies(levels: list[DataFrame], scratch: Scratch) -> DataFrame:
         reps = levels[k + 1].groupBy("rank").agg(F.min(place).alias("at"), F.min("parent").alias("parent"))
         heads = reps.groupBy("parent").agg(F.min("at").alias("head"), F.count("at").alias("n")).filter("n > 1").drop("n")
         found = reps.join(heads, "parent").select("at.*", F.col("head.doc").alias("source_doc"), F.col("head.pos").alias("source_pos"), F.lit(1 << k).alias("n"))
+        # each level is a job of its own: their union as one plan would be more than the driver has room for
+        found = scratch.stage(found, "level-items")
         items = found if items is None else items.unionByName(found)
     group = ["source_doc", "source_pos", "n"]
     is_first = F.col("doc").eqNullSafe(F.col("source_doc")) & (F.col("pos") == F.col("source_pos"))
