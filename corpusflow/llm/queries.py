@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .best_fit import op11_best_fit_packing
 from .jaccard import op2_jaccard_join
 from .line_runs import OP1_SQL, op1_line_runs
 from .mixing import op10_flow_mix
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rotated_codes": op8_rotated_codes,
     "op9_repeated_units": op9_repeated_units,
     "op10_flow_mix": op10_flow_mix,
+    "op11_best_fit_packing": op11_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
