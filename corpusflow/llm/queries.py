@@ -11,6 +11,7 @@ from .jaccard import op2_jaccard_join
 from .line_runs import OP1_SQL, op1_line_runs
 from .mixing import op10_flow_mix
 from .packing import op7_nnls_packing
+from .repair import op13_run_length_repair
 from .secrets import op5_linked_secrets
 from .sharding import op4_feistel_shards
 from .toxicity import op3_toxic_segments
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_units": op9_repeated_units,
     "op10_flow_mix": op10_flow_mix,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op13_run_length_repair": op13_run_length_repair,
 }
 
 ORACLES: dict[str, str] = {
