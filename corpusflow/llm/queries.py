@@ -10,6 +10,7 @@ from .best_fit import op11_best_fit_packing
 from .jaccard import op2_jaccard_join
 from .line_runs import OP1_SQL, op1_line_runs
 from .mixing import op10_flow_mix
+from .negatives import OP12_SQL, op12_split_point_tree
 from .packing import op7_nnls_packing
 from .repair import op13_run_length_repair
 from .secrets import op5_linked_secrets
@@ -30,9 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_units": op9_repeated_units,
     "op10_flow_mix": op10_flow_mix,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_split_point_tree": op12_split_point_tree,
     "op13_run_length_repair": op13_run_length_repair,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_runs": OP1_SQL,
+    "op12_split_point_tree": OP12_SQL,
 }
