@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonx import extra_keys, recovered, strict
 from ..functions.text import safe_json
-from ..operators.checks import duplicates, findings, reachable, same_set, subset, unresolved, violations, worst
+from ..operators.closure import reachable
+from ..operators.checks import duplicates, findings, same_set, subset, unresolved, violations, worst
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,7 +80,7 @@ def reach_region_to_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = edge(table(spark, sf_dir, "nation"), node("r", "n_regionkey"), node("n", "n_nationkey"))
     edges = edges.union(edge(table(spark, sf_dir, "customer"), node("n", "c_nationkey"), node("c", "c_custkey")))
     edges = edges.union(edge(table(spark, sf_dir, "orders"), node("c", "o_custkey"), node("o", "o_orderkey")))
-    found = reachable(edges, table(spark, sf_dir, "region").select(node("r", "r_regionkey").alias("start")), 3)
+    found = reachable(edges, table(spark, sf_dir, "region").select(node("r", "r_regionkey").alias("start")))
     return found.groupBy("start", F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
 
 

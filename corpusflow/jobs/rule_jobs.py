@@ -10,18 +10,18 @@ from ..functions.text import collapsed
 from ..operators.blocks import font_heading, nearest_overlapping, numbered_equations, numbered_heading, relevant_caption, within_caps
 from ..operators.rules import (
     alternative_values,
-    anchors,
     contiguous,
-    explicit_lookup,
     final_order,
-    levels,
     missing_producers,
+    named_elements,
     pack_pruned,
     patched,
     prepared_inputs,
     restored_enum,
+    shared_anchors,
     trimmed,
 )
+from ..operators.closure import ancestors, hierarchy_findings, levels
 from ..operators.checks import attribute_rows, evidence_gate, unsafe_attributes
 from .check_jobs import table
 
@@ -114,45 +114,73 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.union(n).union(c)
 
 
-def _lookup(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """References (case, kind, number) and elements. Many cases share a reference, of which those to regions name a fifth of all elements each."""
     orders = table(spark, sf_dir, "orders")
     elements = orders.select(F.col("o_orderkey").alias("element"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("section"), F.when(F.col("o_orderkey") % 3 == 0, "table").otherwise("figure").alias("kind"), (F.col("o_orderkey") % 500).cast("string").alias("number"))
     cases = table(spark, sf_dir, "supplier")
-    region = cases.join(F.broadcast(table(spark, sf_dir, "region")), F.col("s_suppkey") % 97 == F.col("r_regionkey")).select("s_suppkey", F.lit("section").alias("kind"), F.lower("r_name").alias("number"))
-    nation = cases.filter("s_suppkey % 10 = 0").select("s_suppkey", F.lit("section"), F.concat(F.lit("nation_"), (F.col("s_nationkey") * 2).cast("string")))
+    region = cases.join(F.broadcast(table(spark, sf_dir, "region")), F.col("s_suppkey") % 7 == F.col("r_regionkey")).select("s_suppkey", F.lit("section").alias("kind"), F.lower("r_name").alias("number"))
+    nation = cases.select("s_suppkey", F.lit("section"), F.concat(F.lit("nation_"), (F.col("s_nationkey") * 2).cast("string")))
     customer = cases.select("s_suppkey", F.lit("section"), F.format_string("Customer#%09d", F.col("s_suppkey") * 2))
     figure = cases.select("s_suppkey", F.lit("figure"), (F.col("s_suppkey") * 5 % 800).cast("string"))
     references = region.union(nation).union(customer).union(figure).withColumnRenamed("s_suppkey", "case")
-    return explicit_lookup(references, elements, _sections(spark, sf_dir), 3)
+    return references.withColumn("number", F.lower("number")).distinct(), elements
 
 
 def explicit_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each supplier's references name: elements of a section and all below it, or of a number; and references that name nothing."""
-    found, missing = _lookup(spark, sf_dir)
-    counts = found.groupBy("case", "kind", "number").agg(F.count("element").alias("n"), F.min("element").alias("first"))
-    return counts.unionByName(missing.select("case", "kind", "number", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first")))
+    """What each supplier's references name: elements of a section and all below it, or of a number; and references that name nothing. Counted once a reference, for all cases that share it."""
+    references, elements = _references(spark, sf_dir)
+    found, _ = named_elements(references, elements, _sections(spark, sf_dir))
+    counts = found.groupBy("kind", "number").agg(F.count("element").alias("n"), F.min("element").alias("first"))
+    return references.join(counts, ["kind", "number"], "left").select("case", "kind", "number", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "first")
 
 
-def _ranked_elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found, _ = _lookup(spark, sf_dir)
-    prices = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("element"), "o_totalprice", "o_orderstatus")
-    own = found.select("case", "element").distinct().join(prices, "element")
-    return found, own.withColumn("rank", F.row_number().over(W.partitionBy("case").orderBy(F.desc("o_totalprice"), "element")))
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's place among all, the dearest first, as a value to sort by; and whether it is a last resort as an anchor."""
+    place = F.struct((-F.col("o_totalprice")).alias("price"), F.col("o_orderkey").alias("id")).alias("place")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("element"), place, (F.col("o_orderstatus") == "P").alias("late"), "o_custkey")
 
 
 def protected_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each reference's anchor: its best element, one that is open or finished if there is any."""
-    found, ranked = _ranked_elements(spark, sf_dir)
-    return anchors(found, ranked, F.col("o_orderstatus") == "P").select("case", "kind", "number", "element", F.col("rank").cast("long").alias("rank"))
+    """Each reference's anchor: its best element, one that is open or finished if there is any; with its rank among all that its case's references name."""
+    references, elements = _references(spark, sf_dir)
+    found, places = named_elements(references, elements, _sections(spark, sf_dir))[0], _places(spark, sf_dir)
+    first = shared_anchors(references, found, places)
+    # the union of what the references of a case name, down to its last anchor
+    last = first.join(places.select("element", "place"), "element").groupBy("case").agg(F.max("place").alias("last"))
+    own = references.join(last, "case").join(found.join(places.select("element", "place"), "element"), ["kind", "number"]).filter(F.col("place") <= F.col("last")).select("case", "element", "place").distinct()
+    ranked = own.select("case", "element", F.row_number().over(W.partitionBy("case").orderBy("place")).cast("long").alias("rank"))
+    return first.join(ranked, ["case", "element"]).select("case", "kind", "number", "element", "rank")
 
 
 def final_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors, then the elements of the anchors' customers, then the 30 best; of each case one after another, each element once."""
-    found, ranked = _ranked_elements(spark, sf_dir)
-    first = anchors(found, ranked, F.col("o_orderstatus") == "P").select("case", "element", F.lit(0).alias("stage"), "rank")
-    owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("element"), "o_custkey")
-    near = first.join(owner, "element").select("case", "o_custkey").distinct().join(owner, "o_custkey").join(ranked.select("case", "element", "rank"), ["case", "element"]).select("case", "element", F.lit(1).alias("stage"), "rank")
-    return final_order(first.unionByName(near).unionByName(ranked.filter("rank <= 30").select("case", "element", F.lit(2).alias("stage"), "rank")))
+    references, elements = _references(spark, sf_dir)
+    found, places = named_elements(references, elements, _sections(spark, sf_dir))[0], _places(spark, sf_dir)
+    first = shared_anchors(references, found, places).select("case", "element")
+    owner = places.select("element", "o_custkey")
+    near = first.join(owner, "element").select("case", "o_custkey").distinct().join(owner, "o_custkey").select("case", "element")
+    near = near.join(found, "element").join(references, ["case", "kind", "number"], "left_semi").select("case", "element")
+    # the best 30 of a case are among the best 30 of each of its references
+    by = W.partitionBy("kind", "number").orderBy("place")
+    best = found.join(places, "element").withColumn("k", F.row_number().over(by)).filter("k <= 30").select("kind", "number", "element", "place")
+    best = references.join(best, ["kind", "number"]).select("case", "element", "place").distinct()
+    best = best.withColumn("k", F.row_number().over(W.partitionBy("case").orderBy("place"))).filter("k <= 30").select("case", "element")
+    parts = [df.distinct().withColumn("stage", F.lit(i)) for i, df in enumerate((first, near, best))]
+    return final_order(parts[0].unionByName(parts[1]).unionByName(parts[2]).join(places.select("element", F.col("place").alias("rank")), "element"))
+
+
+def section_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sections below the customer's order before, to any depth; for one customer in 50 the first lies below the last, and for one in 70 below no order:
+    how many sections each lies below (itself too), and the findings."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("section"), "o_custkey", "o_orderkey")
+    own = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    last = F.last("section").over(own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    first = F.when(F.col("o_custkey") % 50 == 0, last).when(F.col("o_custkey") % 70 == 0, F.lit("none"))
+    sections = orders.select("section", F.coalesce(F.lag("section").over(own), first).alias("parent"))
+    pairs = ancestors(sections)
+    counts = pairs.groupBy(F.col("section").alias("target")).agg(F.count("ancestor").alias("n")).select(F.lit("DEPTH").alias("code"), "target", "n")
+    return counts.unionByName(hierarchy_findings(sections, pairs).groupBy("code", "target").agg(F.count(F.lit(1)).alias("n")))
 
 
 def contiguous_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +206,7 @@ _LOOKUP = """
 WITH RECURSIVE s AS (SELECT 'r' || r_regionkey AS section, upper(r_name) AS number, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, c_name, 'n' || c_nationkey FROM customer),
 below AS (SELECT section, lower(number) AS number FROM s UNION SELECT s.section, b.number FROM s JOIN below b ON s.parent = b.section),
 e AS (SELECT o_orderkey AS element, 'c' || o_custkey AS section, CASE WHEN o_orderkey % 3 = 0 THEN 'table' ELSE 'figure' END AS kind, (o_orderkey % 500)::VARCHAR AS number, o_totalprice AS price, o_orderstatus AS status, o_custkey FROM orders),
-refs AS (SELECT s_suppkey AS "case", 'section' AS kind, lower(r_name) AS number FROM supplier JOIN region ON s_suppkey % 97 = r_regionkey UNION SELECT s_suppkey, 'section', 'nation_' || s_nationkey * 2 FROM supplier WHERE s_suppkey % 10 = 0 UNION SELECT s_suppkey, 'section', 'customer#' || lpad((s_suppkey * 2)::VARCHAR, 9, '0') FROM supplier UNION SELECT s_suppkey, 'figure', (s_suppkey * 5 % 800)::VARCHAR FROM supplier),
+refs AS (SELECT s_suppkey AS "case", 'section' AS kind, lower(r_name) AS number FROM supplier JOIN region ON s_suppkey % 7 = r_regionkey UNION SELECT s_suppkey, 'section', 'nation_' || s_nationkey * 2 FROM supplier UNION SELECT s_suppkey, 'section', 'customer#' || lpad((s_suppkey * 2)::VARCHAR, 9, '0') FROM supplier UNION SELECT s_suppkey, 'figure', (s_suppkey * 5 % 800)::VARCHAR FROM supplier),
 found AS (SELECT DISTINCT "case", refs.kind, refs.number, element FROM refs JOIN below USING (number) JOIN e ON e.section = below.section WHERE refs.kind = 'section'
   UNION SELECT "case", refs.kind, refs.number, element FROM refs JOIN e ON e.kind = refs.kind AND e.number = refs.number WHERE refs.kind <> 'section'),
 own AS (SELECT DISTINCT "case", element, price, status, o_custkey FROM found JOIN e USING (element)),
@@ -186,9 +214,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY price DESC,
 best AS (SELECT f."case", f.kind, f.number, element, rank FROM found f JOIN ranked r USING ("case", element) QUALIFY row_number() OVER (PARTITION BY f."case", f.kind, f.number ORDER BY status = 'P', rank) = 1),
 anchor AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY "case", element ORDER BY kind, number) = 1)
 """
-QUERIES |= {f.__name__: f for f in (explicit_sections, protected_anchors, final_places, contiguous_places, member_orders, relation_difference)}
+QUERIES |= {f.__name__: f for f in (explicit_sections, section_chains, protected_anchors, final_places, contiguous_places, member_orders, relation_difference)}
 ORACLES |= {
     "explicit_sections": _LOOKUP + """SELECT r."case", r.kind, r.number, count(element) AS n, min(element) AS first FROM refs r LEFT JOIN found f ON f."case" = r."case" AND f.kind = r.kind AND f.number = r.number GROUP BY 1, 2, 3""",
+    "section_chains": """WITH RECURSIVE o AS (SELECT o_orderkey::VARCHAR AS section, lag(o_orderkey) OVER w::VARCHAR AS up, max(o_orderkey) OVER (PARTITION BY o_custkey)::VARCHAR AS last, o_custkey FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+      s AS (SELECT section, coalesce(up, CASE WHEN o_custkey % 50 = 0 THEN last WHEN o_custkey % 70 = 0 THEN 'none' END) AS parent FROM o),
+      above AS (SELECT section, section AS ancestor, 0 AS step FROM s UNION SELECT a.section, s.parent, 1 FROM above a JOIN s ON s.section = a.ancestor WHERE s.parent IS NOT NULL AND s.parent <> 'none')
+      SELECT 'DEPTH' AS code, section AS target, count(DISTINCT ancestor) AS n FROM above GROUP BY 2 UNION ALL SELECT 'SECTION_CYCLE', section, 1 FROM above WHERE section = ancestor AND step = 1
+      UNION ALL SELECT DISTINCT 'SECTION_PARENT_ABSENT', 'none', 1 FROM s WHERE parent = 'none'""",
     "protected_anchors": _LOOKUP + 'SELECT "case", kind, number, element, rank FROM anchor',
     "final_places": _LOOKUP + """, parts AS (SELECT "case", element, 0 AS stage, rank FROM anchor
       UNION ALL SELECT r."case", r.element, 1, r.rank FROM (SELECT DISTINCT a."case", e.o_custkey FROM anchor a JOIN e USING (element)) c JOIN ranked r ON r."case" = c."case" AND r.o_custkey = c.o_custkey
@@ -210,7 +243,7 @@ def dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = edges.union(customer.select(node("n", "c_nationkey"), node("c", "c_custkey")))
     edges = edges.union(table(spark, sf_dir, "orders").select(node("c", "o_custkey"), node("o", "o_orderkey")))
     short = customer.filter("c_custkey % 3 = 0").select(F.concat(F.lit("r"), (F.col("c_custkey") % 5).cast("string")), node("c", "c_custkey"))
-    return levels(edges.union(short), 4)
+    return levels(edges.union(short))
 
 
 def producer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

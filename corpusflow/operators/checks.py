@@ -1,4 +1,4 @@
-"""Consistency rules as queries that give findings, and reachability by bounded recursion."""
+"""Consistency rules as queries that give findings."""
 
 from __future__ import annotations
 
@@ -45,19 +45,6 @@ def worst(status: Column) -> Column:
     return F.when(F.bool_or(status == "FAIL"), "FAIL").when(F.bool_or(status == "WARN"), "WARN").otherwise("PASS")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """(start, node) pairs: nodes that can be reached from each start (the start itself too) within ``max_depth`` edges (a, b).
-
-    A level's new nodes alone are joined on, and already known ones dropped, so each pair is extended once and circles end.
-    """
-    found = new = starts.select(F.col("start"), F.col("start").alias("node")).distinct()
-    for _ in range(max_depth):
-        step = new.join(edges, new["node"] == edges["a"]).select("start", F.col("b").alias("node")).distinct()
-        new = step.join(found, ["start", "node"], "left_anti")
-        found = found.unionByName(new)
-    return found
-
-
 def with_status(found: DataFrame, status: str) -> DataFrame:
     return found.withColumn("status", F.lit(status))
 

@@ -1,4 +1,4 @@
-"""Rules over plans and packs: section closure, producers, inputs, probes, patches, defaults, levels, order and trimming."""
+"""Rules over plans and packs: explicit lookup, producers, inputs, probes, patches, defaults, order and trimming."""
 
 from __future__ import annotations
 
@@ -6,41 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .closure import ancestors
 
-def section_closure(sections: DataFrame, max_depth: int) -> DataFrame:
-    """(section, ancestor) for every section and each section above it, itself included; ``sections`` has section and parent.
 
-    A row climbs to its parent once a round, so a round joins no more rows than there are sections.
-    """
-    parents = sections.select(F.col("section").alias("_s"), F.col("parent").alias("_p"))
-    now = out = sections.select("section", F.col("section").alias("ancestor"))
-    for _ in range(max_depth):
-        now = now.join(parents, now["ancestor"] == parents["_s"]).filter("_p is not null").select("section", F.col("_p").alias("ancestor"))
-        out = out.unionByName(now)
-    return out.distinct()
-
-
-def explicit_lookup(references: DataFrame, elements: DataFrame, sections: DataFrame, max_depth: int = 8) -> tuple[DataFrame, DataFrame]:
+def explicit_lookup(references: DataFrame, elements: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What references (case, kind, number) name: (case, kind, number, element) and those that name nothing.
 
     A reference to a section names the elements of all sections below it too; any other the elements of its kind and number. ``elements``
     has element, section, kind and number, ``sections`` section, number and parent. Numbers are compared in lower case.
     """
+    found, missing = named_elements(references.select("kind", "number"), elements, sections)
     wanted = references.select("case", "kind", F.lower("number").alias("number")).distinct()
+    return wanted.join(found, ["kind", "number"]).select("case", "kind", "number", "element"), wanted.join(missing, ["kind", "number"]).select("case", "kind", "number")
+
+
+def named_elements(references: DataFrame, elements: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``explicit_lookup`` finds by reference (kind, number) alone, whichever cases share it: (kind, number, element), and those that name nothing."""
+    wanted = references.select("kind", F.lower("number").alias("number")).distinct()
     heads = sections.select(F.col("section").alias("ancestor"), F.lower("number").alias("number"))
-    below = section_closure(sections, max_depth).join(heads, "ancestor").select("number", "section").distinct()
-    by_section = wanted.filter("kind = 'section'").join(below, "number").join(elements.select("element", "section"), "section").select("case", "kind", "number", "element")
-    by_number = wanted.filter("kind != 'section'").join(elements.select("element", "kind", F.lower("number").alias("number")), ["kind", "number"]).select("case", "kind", "number", "element")
+    below = ancestors(sections).join(heads, "ancestor").select("number", "section").distinct()
+    by_section = wanted.filter("kind = 'section'").join(below, "number").join(elements.select("element", "section"), "section").select("kind", "number", "element")
+    by_number = wanted.filter("kind != 'section'").join(elements.select("element", "kind", F.lower("number").alias("number")), ["kind", "number"]).select("kind", "number", "element")
     found = by_section.unionByName(by_number).distinct()
-    return found, wanted.join(found.select("case", "kind", "number").distinct(), ["case", "kind", "number"], "left_anti")
+    return found, wanted.join(found.select("kind", "number").distinct(), ["kind", "number"], "left_anti")
 
 
-def anchors(found: DataFrame, ranked: DataFrame, fallback: Column) -> DataFrame:
-    """Per case and reference the best ranked of its elements, one that is no ``fallback`` if there is any; an element anchors its first reference only."""
-    own = found.join(ranked, ["case", "element"]).withColumn("_late", fallback.cast("int"))
-    best = own.withColumn("_k", F.row_number().over(W.partitionBy("case", "kind", "number").orderBy("_late", "rank"))).filter("_k = 1")
-    first = best.withColumn("_k", F.row_number().over(W.partitionBy("case", "element").orderBy("kind", "number"))).filter("_k = 1")
-    return first.select("case", "kind", "number", "element", "rank")
+def shared_anchors(references: DataFrame, found: DataFrame, places: DataFrame) -> DataFrame:
+    """Per case and reference the best of its elements, one that is not ``late`` if there is any; an element anchors its case's first reference only.
+
+    ``found`` has the elements of a reference (kind, number) once for all cases that share it, ``places`` of each element its place, by which any elements are
+    ordered, and whether it is late. The best of a reference is an aggregate; cases meet one row per reference.
+    """
+    best = found.join(places.select("element", "place", "late"), "element").groupBy("kind", "number").agg(F.min_by("element", F.struct("late", "place")).alias("element"))
+    own = references.select("case", "kind", "number").distinct().join(best, ["kind", "number"])
+    first = own.withColumn("_k", F.row_number().over(W.partitionBy("case", "element").orderBy("kind", "number"))).filter("_k = 1")
+    return first.select("case", "kind", "number", "element")
 
 
 def final_order(parts: DataFrame) -> DataFrame:
@@ -56,23 +56,6 @@ def contiguous(df: DataFrame, group: str, place: str) -> DataFrame:
     return sums.select(group, ((F.col("n") == F.col("d")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)).alias("contiguous"))
 
 
-def levels(edges: DataFrame, max_depth: int) -> DataFrame:
-    """(node, level): the length of the longest way to each node from one without an edge (a, b) into it; a topological order by level.
-
-    A node that is reached again in a later round moves down to it. Nodes still reached after ``max_depth`` rounds lie on or below a circle,
-    or are deeper than allowed: their level is null.
-    """
-    roots = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    now = roots.join(edges.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
-    out = now.withColumn("level", F.lit(0).cast("long"))
-    for depth in range(1, max_depth + 2):
-        now = now.join(edges, now["node"] == edges["a"]).select(F.col("b").alias("node")).distinct()
-        out = out.unionByName(now.withColumn("level", F.lit(depth).cast("long")))
-    deepest = out.groupBy("node").agg(F.max("level").alias("level"))
-    # a node on a circle that no root reaches has no level either
-    return roots.join(deepest, "node", "left").select("node", F.when(F.col("level") <= max_depth, F.col("level")).alias("level"))
-
-
 def missing_producers(bindings: DataFrame, owners: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Variables that a computation binds and another one makes, without an edge to it: (computation, variable, producer)."""
     made = bindings.join(owners, "variable").filter("producer != computation")

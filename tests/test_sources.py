@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.jsonx import recovered, strict
 from corpusflow.functions.text import caption_kind, element_type, equation_number, format_of, heading_title, noise_heading, reference_keys, tokens
-from corpusflow.operators.checks import reachable
+from corpusflow.operators.closure import reachable
 from corpusflow.operators.search import confidence, pack_greedily
 from corpusflow.sources.files import acquired, cases, traces
 from corpusflow.sources.pages import elements_of
