@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed
-from ..operators.blocks import font_heading, nearest_overlapping, numbered_equations, numbered_heading, relevant_caption, within_caps
+from ..operators.blocks import figure_items, font_heading, nearest_overlapping, numbered_equations, numbered_heading, relevant_caption, within_caps
 from ..operators.rules import (
     alternative_values,
     contiguous,
@@ -39,11 +39,12 @@ _BLOCK = "CASE l_partkey % 4 WHEN 0 THEN '(' || l_linenumber || ')' WHEN 1 THEN
 
 
 def equation_association(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isolated equation numbers and their one aligned expression; repeated line items are blocks of one key."""
+    """Isolated equation numbers and the expression that each takes in its turn; repeated line items are blocks of one key. A page is four orders, so numbers compete."""
     x0 = F.when(F.col("l_partkey") % 4 == 0, 90.0).otherwise(10.0)
     y1 = F.floor(F.col("l_quantity") / 4) * 4 + F.col("l_partkey") % 3
-    blocks = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("block"), _text_of_block().alias("text"), x0.alias("x0"), (y1 - 10).alias("y0"), (x0 + 40).alias("x1"), y1.cast("double").alias("y1"))
-    return numbered_equations(blocks.distinct(), "l_orderkey", "block")
+    page = F.floor(F.col("l_orderkey") / 4).alias("page")
+    blocks = table(spark, sf_dir, "lineitem").select(page, F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("block"), _text_of_block().alias("text"), x0.alias("x0"), (y1 - 10).alias("y0"), (x0 + 40).alias("x1"), y1.cast("double").alias("y1"))
+    return numbered_equations(blocks.distinct(), "page", "block")
 
 
 def heading_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +86,30 @@ def caption_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_suppkey", "box", "table", F.round("gap", 4).alias("gap"))
 
 
-QUERIES |= {f.__name__: f for f in (equation_association, heading_acceptance, caption_relevance, searchable_text, element_caps, caption_boxes)}
+def figure_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned items as captions of their supplier's page, the others as labels, shapes and images: how many of each kind lie in the region above a caption, at most 20."""
+    x0, y0 = F.col("l_quantity") * 12.0, (F.col("l_partkey") * 7 % 790).cast("double")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "image").when(F.col("l_linenumber") % 3 == 1, "label").otherwise("shape")
+    box = table(spark, sf_dir, "lineitem").select("l_suppkey", key.alias("box"), kind.alias("kind"), x0.alias("x0"), y0.alias("y0"), (x0 + 50 + F.col("l_linenumber") * 10).alias("x1"), (y0 + 15).alias("y1"), "l_returnflag").distinct()
+    found = figure_items(box.filter("l_returnflag = 'R'"), box.filter("l_returnflag = 'N'").withColumnRenamed("box", "item"), "l_suppkey", "box", "item", 800.0, most=20)
+    return found.groupBy("l_suppkey", "box", "kind").agg(F.count("item").alias("n"), F.min("item").alias("first"), F.max("item").alias("last"))
+
+
+QUERIES |= {f.__name__: f for f in (equation_association, heading_acceptance, caption_relevance, searchable_text, element_caps, caption_boxes, figure_regions)}
 ORACLES |= {
-    "equation_association": f"""WITH b AS (SELECT DISTINCT l_orderkey, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS block, {_BLOCK} AS text, CASE WHEN l_partkey % 4 = 0 THEN 90 ELSE 10 END AS x0, floor(l_quantity / 4) * 4 + l_partkey % 3 AS y1 FROM lineitem),
-      m AS (SELECT n.l_orderkey, n.block AS number, e.block AS expression, count(*) OVER (PARTITION BY n.l_orderkey, n.block) AS k FROM b n JOIN b e ON n.l_orderkey = e.l_orderkey
-        WHERE regexp_matches(n.text, '^\\(\\d+\\)$') AND e.text LIKE 'y = %' AND e.x0 + 40 <= n.x0 AND abs(e.y1 - n.y1) <= 4)
-      SELECT l_orderkey, number, expression FROM m WHERE k = 1 QUALIFY count(*) OVER (PARTITION BY l_orderkey, expression) = 1""",
+    "figure_regions": """WITH b AS (SELECT DISTINCT l_suppkey, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS box, CASE l_linenumber % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'label' ELSE 'shape' END AS kind, l_quantity * 12.0 AS x, (l_partkey * 7 % 790)::DOUBLE AS y, 50 + l_linenumber * 10 AS w, l_returnflag AS f FROM lineitem),
+      m AS (SELECT c.l_suppkey, c.box, i.kind, i.box AS item FROM b c JOIN b i ON c.l_suppkey = i.l_suppkey AND c.f = 'R' AND i.f = 'N' AND i.x < c.x + c.w AND c.x < i.x + i.w AND i.y < c.y AND greatest(0, c.y - 280) < i.y + 15
+        QUALIFY row_number() OVER (PARTITION BY c.l_suppkey, c.box, i.kind ORDER BY i.box) <= 20)
+      SELECT l_suppkey, box, kind, count(*) AS n, min(item) AS first, max(item) AS last FROM m GROUP BY 1, 2, 3""",
+    "equation_association": f"""WITH RECURSIVE b AS (SELECT DISTINCT l_orderkey // 4 AS page, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS block, {_BLOCK} AS text, CASE WHEN l_partkey % 4 = 0 THEN 90 ELSE 10 END AS x0, floor(l_quantity / 4) * 4 + l_partkey % 3 AS y1 FROM lineitem),
+      m AS (SELECT n.page, n.block AS number, list(e.block) AS options FROM b n JOIN b e ON n.page = e.page
+        WHERE regexp_matches(n.text, '^\\(\\d+\\)$') AND e.text LIKE 'y = %' AND e.x0 + 40 <= n.x0 AND abs(e.y1 - n.y1) <= 4 GROUP BY 1, 2),
+      k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY number) AS k FROM m),
+      r AS (SELECT page, 0::BIGINT AS k, []::VARCHAR[] AS taken, NULL::VARCHAR AS number, NULL::VARCHAR AS expression FROM k WHERE k = 1
+        UNION ALL SELECT k.page, k.k, CASE WHEN len(o) = 1 THEN list_concat(taken, o) ELSE taken END, k.number, CASE WHEN len(o) = 1 THEN o[1] END
+        FROM (SELECT k.*, r.taken, list_filter(k.options, lambda x: NOT list_contains(r.taken, x)) AS o FROM r JOIN k ON k.page = r.page AND k.k = r.k + 1) k)
+      SELECT page, number, expression FROM r WHERE expression IS NOT NULL""",
     "heading_acceptance": """WITH t AS (SELECT p_partkey, p_size, p_brand = 'Brand#1' AS bold, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') WHEN 2 THEN p_name || ': see 3' ELSE p_name END AS title FROM part),
       b AS (SELECT median(p_size) AS body FROM part)
       SELECT p_partkey, p_partkey % 7 <> 0 AND (p_partkey % 5 = 0 OR bold OR p_size > 1.05 * body OR p_partkey % 5 = 1) AS numbered, p_partkey % 7 = 0 AND p_size > 1.2 * body AS by_font FROM t, b""",

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import CAPTION, EQUATION, EQUATION_SIGN, NUMBER, heading_title, reference_keys
+from ..shared import Rounds
 
+#: The items of a kind that a figure keeps, and the share of a page's height above a caption that is its figure's.
+MAX_VISUAL_ITEMS, FIGURE_SHARE = 128, 0.35
 #: Words that a title may hold in lower case, and words of a focus that say nothing.
 SMALL_WORDS = "a an the of and or in on for to with".split()
 FOCUS_WORDS = "the in of a shown figure table".split()
@@ -29,11 +32,10 @@ def font_heading(text: Column, size: Column, body: Column) -> Column:
     return (F.length(text) < 100) & ~F.contains(text, F.lit("\n")) & ~text.rlike(CAPTION) & heading_title(text).isNull() & (size > 1.2 * body)
 
 
-def numbered_equations(blocks: DataFrame, page: str, key: str) -> DataFrame:
-    """Pairs of an isolated equation number and the one expression it belongs to: left of it, on its base line, not much taller.
+def equation_candidates(blocks: DataFrame, page: str, key: str) -> DataFrame:
+    """(page, number, expression): for each isolated equation number the expressions it may belong to: left of it, on its base line, not much taller.
 
-    Blocks have text, x0, y0, x1, y1. Base lines are bucketed by the reach, so a number meets the blocks of three buckets of its page only.
-    A number without just one candidate gets none, and an expression that several numbers claim goes to none.
+    Blocks have text, x0, y0, x1, y1. Base lines are bucketed by the reach, so a number meets the blocks of a few buckets of its page only.
     """
     number = F.trim("text").rlike(rf"^\({NUMBER}\)$")
     expression = F.col("text").rlike(EQUATION_SIGN) & ~F.contains("text", F.lit("\n")) & ~F.col("text").rlike(EQUATION) & ~number
@@ -44,8 +46,53 @@ def numbered_equations(blocks: DataFrame, page: str, key: str) -> DataFrame:
     numbers = numbers.withColumn("line", F.explode(F.sequence(low, high)))
     found = blocks.filter(expression).withColumn("line", F.floor(F.col("y1") / 8).cast("long")).join(numbers, [page, "line"])
     found = found.filter((F.col("x1") <= F.col("n_x0")) & (F.abs(F.col("y1") - F.col("n_y1")) <= F.col("reach")) & (height <= F.col("n_height") * 2))
-    one = found.groupBy(page, "number").agg(F.min(key).alias("expression"), F.count(key).alias("n")).filter("n = 1")
-    return one.withColumn("claims", F.count("number").over(W.partitionBy(page, "expression"))).filter("claims = 1").select(page, "number", "expression")
+    return found.select(page, "number", F.col(key).alias("expression")).distinct()
+
+
+def taken_in_order(pairs: DataFrame, page: str) -> DataFrame:
+    """(page, number, expression) of ``pairs`` as numbers taken in their order give: each takes the one expression left to it, and nothing if none or several are.
+
+    What a number gets depends on the earlier ones that share a candidate with it. So a round decides, everywhere at once, the numbers that are first at each of their candidates; those
+    that take one take it from the others. Every page decides one at least, and chains of numbers that compete are short.
+    """
+    with Rounds(pairs.sparkSession) as rounds:
+        left, taken = rounds.keep(pairs.select(page, "number", "expression")), []
+        while not left.isEmpty():
+            first = F.min("number").over(W.partitionBy(page, "expression")) == F.col("number")
+            by = W.partitionBy(page, "number")
+            told = left.withColumn("first", first).withColumns({"ready": F.min("first").over(by), "n": F.count("expression").over(by)})
+            told = rounds.keep(told.select(page, "number", "expression", "ready", "n"))
+            now = told.filter("ready and n = 1").select(page, "number", "expression")
+            taken.append(now)
+            rest = told.filter("not ready").select(page, "number", "expression").join(now.select(page, "expression"), [page, "expression"], "left_anti")
+            fresh = rounds.keep(rest.select(page, "number", "expression"))
+            rounds.drop(left)
+            left = fresh
+        out = pairs.select(page, "number", "expression").limit(0)
+        for part in taken:
+            out = out.unionByName(part)
+        return rounds.result(out)
+
+
+def numbered_equations(blocks: DataFrame, page: str, key: str) -> DataFrame:
+    """Isolated equation numbers and the expression each is joined to: numbers take theirs in the order of ``key``, each the only one that is left to it."""
+    return taken_in_order(equation_candidates(blocks, page, key), page)
+
+
+def figure_items(captions: DataFrame, items: DataFrame, page: str, key: str, item: str, height: float, cell: float = 64.0, most: int = MAX_VISUAL_ITEMS) -> DataFrame:
+    """(page, key, kind, item): what lies in the region above each caption, as wide as it and up to ``FIGURE_SHARE`` of the page's height: labels, shapes, images.
+
+    ``captions`` and ``items`` have x0, y0, x1, y1, items also their kind. Both go into the squares of a grid that they touch and meet there; a pair that meets in several squares
+    counts in that of the upper left corner of what they share, so nothing has to be made distinct. Of each kind the first ``most`` in the order of ``item`` stay.
+    """
+    square = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long"))
+    region = captions.select(page, key, F.col("x0").alias("r_x0"), F.greatest(F.lit(0.0), F.col("y0") - height * FIGURE_SHARE).alias("r_y0"), F.col("x1").alias("r_x1"), F.col("y0").alias("r_y1"))
+    a = region.withColumn("_gx", F.explode(square("r_x0", "r_x1"))).withColumn("_gy", F.explode(square("r_y0", "r_y1")))
+    b = items.select(page, item, "kind", "x0", "y0", "x1", "y1").withColumn("_gx", F.explode(square("x0", "x1"))).withColumn("_gy", F.explode(square("y0", "y1")))
+    left, top = F.greatest("r_x0", "x0"), F.greatest("r_y0", "y0")
+    met = a.join(b, [page, "_gx", "_gy"]).filter((left < F.least("r_x1", "x1")) & (top < F.least("r_y1", "y1")) & (F.col("_gx") == F.floor(left / cell)) & (F.col("_gy") == F.floor(top / cell)))
+    place = F.row_number().over(W.partitionBy(page, key, "kind").orderBy(item))
+    return met.withColumn("_k", place).filter(F.col("_k") <= most).select(page, key, "kind", item)
 
 
 def relevant_caption(text: Column, focus: Column, section_text: Column) -> Column:
