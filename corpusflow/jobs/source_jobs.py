@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import format_of
 from ..sources.pages import page_elements, reading_order, repeated_edges, section_parents, sectioned
 from ..streaming.runlog import rollup, running_budget, sessions, windowed
+from ..streaming.traces import stage_results
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +85,14 @@ def runlog_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup(events(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type", "value")
 
 
+def stage_last_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as runs: of every kind of event how many there are and how the last ended, and all kinds of a user as one text."""
+    ended = F.when(F.col("value") >= 50, "pass").when(F.col("value") >= 10, "warn").otherwise("fail")
+    last = stage_results(events(spark, sf_dir).withColumn("ended", ended), "user_id", "event_type", "ended", ["ts", "event_id"])
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_type", "result"))), lambda x: F.concat_ws("=", x["event_type"], x["result"])), " ")
+    return last.groupBy("user_id").agg(F.sum("n").alias("n"), whole.alias("results"))
+
+
 def budget_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = events(spark, sf_dir).withColumn("cost", F.floor(F.col("value")).cast("long"))
     return running_budget(cost, "user_id", ["ts", "event_id"], "cost", 500).select("event_id", "spent", F.col("calls").cast("long").alias("calls"), "within")
@@ -115,9 +124,11 @@ def asof_last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.filter("event_type = 'purchase'").select("event_id", "view_id")
 
 
-QUERIES |= {f.__name__: f for f in (runlog_rollup, budget_running, observation_text, event_windows, event_sessions, event_cube, asof_last_view)}
+QUERIES |= {f.__name__: f for f in (runlog_rollup, stage_last_results, budget_running, observation_text, event_windows, event_sessions, event_cube, asof_last_view)}
 ORACLES |= {
     "runlog_rollup": "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, round(sum(value), 2) AS amount, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id",
+    "stage_last_results": """WITH k AS (SELECT user_id, event_type, count(*) AS n, arg_max(CASE WHEN value >= 50 THEN 'pass' WHEN value >= 10 THEN 'warn' ELSE 'fail' END, (ts, event_id)) AS r FROM events GROUP BY 1, 2)
+      SELECT user_id, sum(n)::BIGINT AS n, string_agg(event_type || '=' || r, ' ' ORDER BY event_type) AS results FROM k GROUP BY 1""",
     "budget_running": "SELECT event_id, CAST(sum(floor(value)::BIGINT) OVER w AS BIGINT) AS spent, row_number() OVER w AS calls, sum(floor(value)::BIGINT) OVER w <= 500 AS within FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     "observation_text": "SELECT l_returnflag, 'quantity from ' || sum(l_quantity) FILTER (l_linestatus = 'F')::BIGINT || ' to ' || sum(l_quantity) FILTER (l_linestatus <> 'F')::BIGINT AS observation FROM lineitem GROUP BY 1",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
