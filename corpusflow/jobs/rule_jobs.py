@@ -22,7 +22,8 @@ from ..operators.rules import (
     trimmed,
 )
 from ..operators.closure import ancestors, hierarchy_findings, levels
-from ..operators.checks import attribute_rows, evidence_gate, unsafe_attributes
+from ..operators.checks import evidence_gate
+from ..sources.tags import asset_findings, figure_rows, tag_rows, unsafe_rows
 from .check_jobs import table
 
 QUERIES: dict = {}
@@ -354,14 +355,40 @@ def source_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("code", "status").agg(F.count("*").alias("n"), F.min("target").alias("first"), F.max("details").alias("details"))
 
 
+#: What every twelfth page gets beside its own text, and the findings that this is.
+PLANTED = [
+    ("""<img src='http://x' onload='f()'>""", {"external_dependency": 1, "unsafe_html": 1}),
+    ("""<a href=javascript:f()>x</a>""", {"unsafe_link": 1}),
+    ("""<input disabled onclick="f()">""", {"unsafe_html": 1}),
+    ("""<!-- <img src="http://x" onload="f()"> -->""", {}),
+    ("""<script type="application/json" id="manifest">{"t": "<img src='http://x'>"}</script>""", {"manifest_invalid": -1}),
+    ("""<IMG SRC = "data:,x" ONERROR = f()>""", {"unsafe_html": 1}),
+    ("""<a href="  HTTPS://x">x</a><a href=#top>x</a>""", {}),
+    ("""<iframe></iframe><base href="/">""", {"external_dependency": 2}),
+    ("""<meta content="1" http-equiv=Refresh>""", {"external_dependency": 1}),
+    ("""<svg><use href="#a"/><image xlink:href="http://x"/></svg>""", {"external_dependency": 1}),
+    ("""<p style="background: URL('http://x')">x</p><style>@import "x"</style>""", {"external_dependency": 2}),
+    ("""<script>fetch("x")</script>""", {"forbidden_runtime": 1}),
+]
+
+
 def artifact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per page and code, attributes that a page of its own may not have; every third page has an image with a handler."""
-    more = F.when(F.col("page_id") % 3 == 0, '<img src="a.png" onload="f()"><a href="#x">x</a><img src="data:,x">').otherwise("")
-    rows = attribute_rows(table(spark, sf_dir, "pages").select("page_id", F.concat("html", more).alias("html")), "page_id", "html")
-    return unsafe_attributes(rows).groupBy("page_id", "code").agg(F.count("*").alias("n"))
+    """Per page and code, what a page of its own may not have or lacks; every page has one of twelve pieces more."""
+    more = F.get(F.array(*[F.lit(text) for text, _ in PLANTED]), (F.col("page_id") % len(PLANTED)).cast("int"))
+    rows = tag_rows(table(spark, sf_dir, "pages").select("page_id", F.concat("html", more).alias("html")), "page_id", "html")
+    return unsafe_rows(rows).select("page_id", "code").unionByName(asset_findings(rows, "page_id", "manifest")).groupBy("page_id", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with two figures of its own: one with a drawing, images and a caption, one with text alone."""
+    number = F.col("page_id").cast("string")
+    one = F.concat(F.lit("<figure id=a><svg><text x=1>axis "), number, F.lit("</text><text>b  &amp; c</text></svg><img src=x alt='plot "), number, F.lit("'><img><figcaption>Figure "), number, F.lit(": <i>all</i> of it</figcaption></figure>"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", one, F.lit("<p>between</p><figure>only\n text</figure>")).alias("html"))
+    listed = lambda c: F.array_join(c, "|").alias(c)
+    return figure_rows(pages, "page_id", "html").select("page_id", F.col("place").cast("long").alias("place"), "caption", listed("labels"), listed("alts"))
 
 
-QUERIES |= {f.__name__: f for f in (source_gate, artifact_scan)}
+QUERIES |= {f.__name__: f for f in (source_gate, artifact_scan, page_figures)}
 ORACLES |= {
     "source_gate": """WITH e AS (SELECT *, l_linenumber - 1 AS place, l_orderkey * CASE WHEN l_partkey % 50 = 0 THEN -1 ELSE 1 END AS src FROM lineitem),
       g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS ids, min(place) AS low, max(place) AS high FROM e GROUP BY 1),
@@ -371,10 +398,16 @@ ORACLES |= {
         UNION ALL SELECT 'absent_source', 'FAIL', src::VARCHAR, count(*)::VARCHAR FROM e WHERE src NOT IN (SELECT o_orderkey FROM orders) GROUP BY src
         UNION ALL SELECT 'differs_from_source', 'FAIL', l_orderkey::VARCHAR, count(*)::VARCHAR FROM e JOIN orders ON src = o_orderkey WHERE l_shipdate < o_orderdate GROUP BY l_orderkey)
       SELECT code, status, count(*) AS n, min(target) AS first, max(details) AS details FROM f GROUP BY 1, 2""",
-    "artifact_scan": """WITH h AS (SELECT page_id, regexp_replace(html || CASE WHEN page_id % 3 = 0 THEN '<img src="a.png" onload="f()"><a href="#x">x</a><img src="data:,x">' ELSE '' END, '(?s)(<script\\b[^>]*>).*?</script>', '\\1', 'g') AS h FROM pages),
+    # the pages' own tags are plain (attributes in double quotes), so a pattern finds theirs; what is planted is known
+    "artifact_scan": """WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<script\\b[^>]*>).*?</script>', '\\1', 'g') AS h FROM pages),
       t AS (SELECT page_id, unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)((?:\\s+[a-zA-Z:-]+="[^"]*")+)\\s*/?>', 1)) AS tag, unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)((?:\\s+[a-zA-Z:-]+="[^"]*")+)\\s*/?>', 2)) AS rest FROM h),
       a AS (SELECT page_id, lower(tag) AS tag, lower(unnest(regexp_extract_all(rest, '([a-zA-Z:-]+)="([^"]*)"', 1))) AS attribute, unnest(regexp_extract_all(rest, '([a-zA-Z:-]+)="([^"]*)"', 2)) AS value FROM t),
       c AS (SELECT page_id, CASE WHEN attribute LIKE 'on%' THEN 'unsafe_html' WHEN attribute IN ('src', 'srcset', 'poster', 'action') AND value <> '' AND value NOT LIKE 'data:%' THEN 'external_dependency'
-        WHEN tag = 'a' AND attribute = 'href' AND value <> '' AND value NOT LIKE '#%' AND NOT regexp_matches(value, '(?i)^https?:') THEN 'unsafe_link' END AS code FROM a)
-      SELECT page_id, code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1, 2""",
+        WHEN tag = 'a' AND attribute = 'href' AND value <> '' AND value NOT LIKE '#%' AND NOT regexp_matches(value, '(?i)^https?:') THEN 'unsafe_link' END AS code, 1 AS n FROM a
+        UNION ALL SELECT page_id, 'manifest_invalid', 1 FROM pages UNION ALL SELECT page_id, code, k.n FROM pages JOIN (VALUES """
+    + ", ".join(f"({k}, '{code}', {n})" for k, (_, found) in enumerate(PLANTED) for code, n in found.items())
+    + """) k(r, code, n) ON page_id % 12 = r)
+      SELECT page_id, code, sum(n)::BIGINT AS n FROM c WHERE code IS NOT NULL GROUP BY 1, 2 HAVING sum(n) > 0""",
+    "page_figures": """SELECT page_id, 0::BIGINT AS place, 'Figure ' || page_id || ': all of it' AS caption, 'axis ' || page_id || '|b & c' AS labels, 'plot ' || page_id || '|' AS alts FROM pages
+      UNION ALL SELECT page_id, 1, 'only text', '', '' FROM pages""",
 }

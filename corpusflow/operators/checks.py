@@ -66,21 +66,3 @@ def evidence_gate(evidence: DataFrame, sources: DataFrame, group: str, key: str,
         with_status(told(both.filter(~F.coalesce(same, F.lit(False))).groupBy(group).agg(F.count(key).alias("n")), "differs_from_source", F.col("n")), "FAIL"),
     ]
     return findings(*parts)
-
-
-def attribute_rows(pages: DataFrame, page: str, html: str) -> DataFrame:
-    """(page, tag, attribute, value) of every tag with quoted attributes; script bodies don't count as tags."""
-    bare = F.regexp_replace(html, r"(?s)(<script\b[^>]*>).*?</script>", "$1")
-    tag = F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z:-]+=\"[^\"]*\")+)\s*/?>")
-    tags = pages.select(page, F.explode(F.arrays_zip(F.regexp_extract_all(bare, tag, F.lit(1)).alias("tag"), F.regexp_extract_all(bare, tag, F.lit(2)).alias("rest"))).alias("t"))
-    pair = F.lit(r"([a-zA-Z:-]+)=\"([^\"]*)\"")
-    pairs = F.arrays_zip(F.regexp_extract_all("t.rest", pair, F.lit(1)).alias("attribute"), F.regexp_extract_all("t.rest", pair, F.lit(2)).alias("value"))
-    return tags.select(page, F.lower("t.tag").alias("tag"), F.inline(pairs)).withColumn("attribute", F.lower("attribute"))
-
-
-def unsafe_attributes(rows: DataFrame) -> DataFrame:
-    """Rows of ``attribute_rows`` that a page of its own may not have, with a code: handlers, resources from elsewhere, links that are neither web nor inner."""
-    outside = F.col("attribute").isin("src", "srcset", "poster", "action") & (F.col("value") != "") & ~F.col("value").startswith("data:")
-    link = (F.col("tag") == "a") & (F.col("attribute") == "href") & (F.col("value") != "") & ~F.col("value").startswith("#") & ~F.col("value").rlike("(?i)^https?:")
-    code = F.when(F.col("attribute").startswith("on"), "unsafe_html").when(outside, "external_dependency").when(link, "unsafe_link")
-    return rows.withColumn("code", code).filter("code is not null")
