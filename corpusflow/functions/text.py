@@ -29,6 +29,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(folded(text), F.lit(f"({TOKEN})")), lambda t: ~F.array_contains(stop, t))
 
 
+def raw_tokens(text: Column) -> Column:
+    """``tokens`` with the words that say nothing still among them."""
+    return F.regexp_extract_all(folded(text), F.lit(f"({TOKEN})"))
+
+
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(folded(text), r"\s+", " "))
 

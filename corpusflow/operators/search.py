@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import collapsed, tokens
+from ..functions.text import STOPWORDS, collapsed, raw_tokens, tokens
+from ..shared import Rounds
 
 #: BM25's parameters, and the packing's limits.
 K1, B = 1.5, 0.75
@@ -22,17 +23,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return terms.select("query", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
+#: Rows of a few words that may be broadcast (some tens of MB); more meet by a shuffle.
+MAX_SENT = 300_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= MAX_SENT else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as there are cores, where it is read in fewer (a file of one row group): a shuffle of what is small enough to be one split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def term_counts(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf) for the terms of any query, and a row with a null term for all other tokens of each document.
 
-    Every text is tokenised once, for all queries together: the queries' vocabulary is sent to the tokens, which are counted where they
-    lie, so what is shuffled is a row per document and term matched. These rows are kept with the executors, as weights, lengths and
-    scores read them in turn; what a lost executor held is counted again.
+    Every text is tokenised once, for all queries together: the queries' vocabulary meets the tokens, which are counted where they
+    lie, so what is shuffled is a row per document and term matched. The counts are a written table, as weights, lengths and scores read them in turn.
     """
-    vocabulary = query_terms(queries).select("term").distinct()
-    flat = docs.select(key, F.explode_outer(tokens(F.col(text))).alias("token"))
-    known = flat.join(F.broadcast(vocabulary), F.col("token") == F.col("term"), "left")
-    return known.groupBy(key, "term").agg(F.count("token").alias("tf")).persist()
+    vocabulary = sent(query_terms(queries).select("term").distinct())
+    flat = spread(docs.select(key, text)).select(key, F.explode_outer(raw_tokens(F.col(text))).alias("token"))
+    # words that say nothing are no tokens, but a text of these alone is a document
+    said = flat.withColumn("token", F.when(~F.col("token").isin(*STOPWORDS), F.col("token")))
+    known = said.join(vocabulary, F.col("token") == F.col("term"), "left")
+    return Rounds(docs.sparkSession).result(known.groupBy(key, "term").agg(F.count("token").alias("tf")))
 
 
 def document_frequencies(counts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -46,9 +63,9 @@ def bm25(counts: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFram
     """(query, key, score, n_matched, n_terms) of documents with any term of a query. Term weights don't depend on the query, so each
     document's terms become one row with their weights first, and meet the queries there."""
     lengths = counts.groupBy(key).agg(F.sum("tf").alias("n_tokens"))
-    known = counts.filter("term is not null").join(F.broadcast(document_frequencies(counts, key)), "term").join(lengths, key)
+    known = counts.filter("term is not null").join(sent(document_frequencies(counts, key)), "term").join(lengths, key)
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("average")))
-    met = known.select(key, "term", weight.alias("w")).join(F.broadcast(query_terms(queries)), "term")
+    met = known.select(key, "term", weight.alias("w")).join(sent(query_terms(queries)), "term")
     return met.groupBy("query", key).agg(F.sum("w").alias("score"), F.count("term").cast("int").alias("n_matched"), F.max("n_terms").alias("n_terms"))
 
 
@@ -58,12 +75,11 @@ def rank_keys(docs: DataFrame, queries: DataFrame, noise: Column | None = None,
     ``noise`` marks documents (references, acknowledgements) whose score is damped and whose exact phrase and overlap don't count;
     ``explicit`` has the (query, key) pairs that a query names. Eligible is what is named, or has a score and is no noise.
     """
-    scores = bm25(term_counts(docs, queries, key, text), queries, key)
+    scores = Rounds(docs.sparkSession).result(bm25(term_counts(docs, queries, key, text), queries, key))
     noisy = noise if noise is not None else F.lit(False)
-    lines = docs.select(key, noisy.alias("noise"), F.explode(F.array_distinct(tokens(F.substring_index(text, "\n", 1)))).alias("term"))
-    overlap = lines.join(F.broadcast(query_terms(queries)), "term").groupBy("query", key).agg(F.count("term").cast("int").alias("overlap"))
-    phrases = queries.select("query", collapsed(F.col("phrase")).alias("wanted"))
-    exact = docs.select(key, collapsed(F.col(text)).alias("whole")).join(F.broadcast(phrases), F.contains("whole", "wanted")).select("query", key, F.lit(1).alias("exact"))
+    lines = spread(docs.select(key, F.substring_index(text, "\n", 1).alias("line"))).select(key, F.explode(F.array_distinct(tokens(F.col("line")))).alias("term"))
+    overlap = lines.join(sent(query_terms(queries)), "term").groupBy("query", key).agg(F.count("term").cast("int").alias("overlap"))
+    exact = holding_phrase(scores, docs, queries, key, text)
     keys = scores.join(overlap, ["query", key], "left").join(exact, ["query", key], "left")
     flags = docs.select(key, noisy.alias("noise"))
     keys = keys.join(flags.filter("noise"), key, "left").withColumn("noise", F.coalesce("noise", F.lit(False)))
@@ -81,6 +97,19 @@ def rank_keys(docs: DataFrame, queries: DataFrame, noise: Column | None = None,
     return keys.filter((F.col("explicit") == 1) | ((F.col("score") > 0) & ~F.col("noise")))
 
 
+def holding_phrase(scores: DataFrame, docs: DataFrame, queries: DataFrame, key: str, text: str) -> DataFrame:
+    """(query, key, exact = 1) where a scored document holds the query's phrase.
+
+    Within a phrase all terms but the first and the last stand alone, so a document that holds it matches all but two of them at least. Only such pairs are looked at:
+    the texts that have any meet their phrases, and each pair is one search.
+    """
+    likely = Rounds(docs.sparkSession).result(scores.filter("n_matched >= n_terms - 2").select("query", key))
+    wanted = likely.join(sent(queries.select("query", collapsed(F.col("phrase")).alias("wanted"))), "query")
+    wanted = Rounds(docs.sparkSession).result(wanted.groupBy(key).agg(F.collect_list(F.struct("query", "wanted")).alias("phrases")) if likely.count() <= MAX_SENT else wanted.select(key, F.array(F.struct("query", "wanted")).alias("phrases")))
+    whole = spread(docs.select(key, text)).join(sent(wanted), key).select(key, collapsed(F.col(text)).alias("whole"), "phrases")
+    return whole.select(key, "whole", F.explode("phrases").alias("p")).filter(F.contains("whole", F.col("p.wanted"))).select("p.query", key, F.lit(1).alias("exact"))
+
+
 def ranked(keys: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """The best ``k`` of each query by the keys in order, the smaller key first among equals. Tasks keep their own best before the shuffle."""
     order = [F.desc("explicit"), F.desc("exact"), F.desc("overlap"), F.desc(F.round("score", 9)), F.asc(key)]
