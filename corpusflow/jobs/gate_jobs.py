@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.coverage import Coverage, coverage_findings
 from ..operators.grounding import Grounding, claim_lineage, grounding_findings
+from ..operators.recovery import Limits, evidence_packs
 from .check_jobs import table
 
 QUERIES: dict = {}
@@ -103,6 +104,29 @@ def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage_findings(_coverage(spark, sf_dir)).groupBy("case", "code", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+def recovered_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as cases with their line items as the elements of a document: packs of at most 9 blocks, planned again with 14 where a reference or needed prose is missing."""
+    found, ranked, elements = recovery_tables(spark, sf_dir)
+    packs, report = evidence_packs(elements.select("case").distinct(), ranked, found, elements, RECOVERY)
+    return packs.join(report, "case").select("case", "block", "element", "round", "blocks", "missing_references", "missing_context", "limited")
+
+
+RECOVERY = (Limits(3, 9, 2500), Limits(5, 14, 4000))
+
+
+def recovery_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What references name, candidates and elements. A section is an order; equations have a number from 0 to 39, of which each case names two."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("case"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax").distinct()
+    order = W.partitionBy("case").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax")
+    kind = F.when(F.col("l_partkey") % 3 == 0, "equation").otherwise("paragraph")
+    section = F.floor(F.col("l_orderkey") / 2000).alias("section")
+    own = lines.select("case", F.row_number().over(order).cast("long").alias("position"), section, kind.alias("kind"), (F.col("l_tax") < 0.01).alias("noise"), (F.col("l_quantity") * 10).cast("long").alias("size"), "l_extendedprice", (F.col("l_partkey") % 40).alias("number"))
+    elements = own.withColumns({"element": F.col("position"), "page": F.when(F.col("position") % 5 > 0, F.floor(F.col("position") / 10))})
+    named = [own.filter(F.col("kind") == "equation").filter(F.col("number") == n).select("case", F.lit(k).alias("reference"), F.col("position").alias("element")) for k, n in enumerate((F.col("case") % 40, F.col("case") * 7 % 40))]
+    rank = F.row_number().over(W.partitionBy("case").orderBy(F.desc("l_extendedprice"), "position"))
+    return named[0].union(named[1]), own.withColumn("rank", rank).select("case", F.col("position").alias("element"), "rank"), elements.select("case", "element", "position", "section", "page", "kind", "noise", "size")
+
+
 _GROUNDING = """
 WITH RECURSIVE l AS (SELECT o_custkey AS "case", lineitem.*, 'p' || l_partkey AS part, 's' || l_suppkey AS supp FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 o AS (SELECT o_custkey AS "case", o_orderkey AS k, 'o' || o_orderkey AS claim_id, o_orderstatus || ' ' || o_orderpriority AS claim FROM orders),
@@ -110,7 +134,7 @@ rec AS (SELECT "case", k * 2 AS record, claim_id, CASE WHEN k % 11 = 0 THEN 'old
     CASE WHEN k % 17 = 0 THEN 'UNSUPPORTED' WHEN k % 19 = 0 THEN 'PARTIAL' ELSE 'SUPPORTED' END AS status FROM o WHERE k % 9 <> 0 UNION ALL SELECT "case", k * 2 + 1, claim_id, claim, 'DERIVED', 'SUPPORTED' FROM o WHERE k % 13 = 0),
 ref AS (SELECT DISTINCT "case", l_orderkey * 2 AS record, 'evidence' AS kind, part AS ref FROM l WHERE l_linenumber <= 3 UNION SELECT "case", l_orderkey * 2, 'computation', supp FROM l WHERE l_linenumber >= 4)
 """
-QUERIES |= {f.__name__: f for f in (claim_grounding, derived_lineage, coverage_gate)}
+QUERIES |= {f.__name__: f for f in (claim_grounding, derived_lineage, coverage_gate, recovered_packs)}
 ORACLES |= {
     "claim_grounding": _GROUNDING + """,
     obj AS (SELECT "case", claim_id AS id, CASE WHEN k % 3 = 0 THEN 'PEDAGOGICAL' ELSE 'SOURCE_GROUNDED' END AS class FROM o WHERE k % 2 = 0),

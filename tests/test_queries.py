@@ -38,4 +38,4 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"page_elements", "page_sections"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"page_elements", "page_sections", "recovered_packs"}
