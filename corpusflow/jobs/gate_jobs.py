@@ -105,13 +105,13 @@ def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recovered_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as cases with their line items as the elements of a document: packs of at most 9 blocks, planned again with 14 where a reference or needed prose is missing."""
+    """Suppliers as cases with their line items as the elements of a document: packs of at most 6 blocks, planned again with 14 where a reference or needed prose is missing."""
     found, ranked, elements = recovery_tables(spark, sf_dir)
     packs, report = evidence_packs(elements.select("case").distinct(), ranked, found, elements, RECOVERY)
     return packs.join(report, "case").select("case", "block", "element", "round", "blocks", "missing_references", "missing_context", "limited")
 
 
-RECOVERY = (Limits(3, 9, 2500), Limits(5, 14, 4000))
+RECOVERY = (Limits(3, 6, 1500), Limits(5, 14, 4000))
 
 
 def recovery_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
