@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ CELLS, CELL_STEPS = 64, (512, 2048, 8192, 32768, 131072)
 #: Pairs across classes that a list may cost for each of its members; one that costs more is left to one-deletion neighbourhoods.
 DIRECT = 24
 MAX_SEEDS = 64
+#: Counters of fine segments by hash, and the pieces in which tasks hand them on.
+COUNTERS, PIECES = 1 << 18, 64
 
 
 class Plan:
@@ -148,12 +151,49 @@ def lists(rows: np.ndarray, values: np.ndarray, n: int):
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
-def sketched(texts: DataFrame, words: int, plan: Plan, kind: str) -> DataFrame:
+def segment_counts(texts: DataFrame, words: int, plan: Plan) -> np.ndarray:
+    """How often the fine segments of ``texts`` fall on each of COUNTERS counters. A task counts what it reads and hands on its counters in pieces, which are summed piece by piece, so what is
+    shuffled is a fixed size a task, and what the driver gets doesn't grow."""
+
+    def scan(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, buf, offsets in text_buffers(batch.column(0)):
+                rows, h = shingle_sets(buf, offsets, words)
+                for _, s, _ in plan.groups(rows, h, np.bincount(rows, minlength=len(offsets) - 1), fine=True):
+                    counts += np.bincount((s % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        pieces = [x.astype("<i4").tobytes() for x in np.minimum(counts, 2**31 - 1).reshape(PIECES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "counts"])
+
+    def summed(key, frame):
+        total = np.zeros(COUNTERS // PIECES, np.int64)
+        for x in frame["counts"]:
+            total += np.frombuffer(x, "<i4")
+        return pd.DataFrame({"piece": [key[0]], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
+
+    found = texts.select("text").mapInArrow(scan, "piece int, counts binary").groupBy("piece").applyInPandas(summed, "piece int, counts binary").collect()
+    out = np.zeros((PIECES, COUNTERS // PIECES), np.int32)
+    for r in found:
+        out[r["piece"]] = np.frombuffer(r["counts"], "<i4")
+    return out.reshape(-1)
+
+
+def first_of_each(rows: np.ndarray, signatures: np.ndarray, need: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``need[row]`` signatures of each row that come first by their counter, then by themselves: one order for all sets."""
+    order = np.lexsort((signatures, often[(signatures % _U(COUNTERS)).astype(np.int64)], rows))
+    rows, signatures = rows[order], signatures[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[nth < need[rows]], signatures[nth < need[rows]]
+
+
+def sketched(texts: DataFrame, words: int, plan: Plan, kind: str, often: np.ndarray | None = None) -> DataFrame:
     """``texts`` with the columns that ``kind`` says in place of ``text``: n, d1, d2 (digest of the set), cells, signatures ("whole"); or
     d1, d2 and as items the signatures of one-deletion neighbourhoods ("deletions") or the set itself ("sets"); or a row for each group of fine
-    segments, with how many of its items are needed ("fine")."""
+    segments, with the rarest by ``often`` that it needs to post ("fine")."""
     kept = [f for f in texts.schema if f.name != "text"]
-    made = "d1 long, d2 long, " + ("n long, cells array<short>, signatures array<long>" if kind == "whole" else "need long, grp int, items array<long>" if kind == "fine" else "items array<long>")
+    made = "d1 long, d2 long, " + ("n long, cells array<short>, signatures array<long>" if kind == "whole" else "grp int, items array<long>" if kind == "fine" else "items array<long>")
     schema = StructType([*kept, *StructType.fromDDL(made)])
     text_at = texts.columns.index("text")
 
@@ -169,8 +209,9 @@ def sketched(texts: DataFrame, words: int, plan: Plan, kind: str) -> DataFrame:
                 columns += [pa.array(exact_sums(rows, mix(h ^ _U(k)), m).view(np.int64)) for k in (0x1234567, 0x89ABCDE)]
                 if kind == "fine":
                     for g, (r, s, need) in enumerate(plan.groups(rows, h, sizes, fine=True)):
+                        r, s = first_of_each(r, s, need, often)
                         some = pa.array(np.unique(r))
-                        yield pa.RecordBatch.from_arrays([c.take(some) for c in [*columns, pa.array(need), pa.array(np.full(m, g, np.int32)), lists(r, s.view(np.int64), m)]], names=schema.names)
+                        yield pa.RecordBatch.from_arrays([c.take(some) for c in [*columns, pa.array(np.full(m, g, np.int32)), lists(r, s.view(np.int64), m)]], names=schema.names)
                     continue
                 if kind == "sets":
                     columns.append(lists(rows, h.view(np.int64), m))
@@ -212,7 +253,8 @@ class _Join:
         """(node, items) of the nodes ``wanted``: their texts are picked by row key, and the set is told by its digest."""
         wanted = self.scratch.stage(self.nodes.join(wanted, "node", "left_semi").select("k", F.col("node"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), "wanted")
         texts = self.texts.join(sent(wanted), "k").drop("k")
-        found = sketched(texts, self.words, self.plan, kind).filter("d1 = e1 and d2 = e2").drop("d1", "d2", "e1", "e2")
+        often = segment_counts(texts, self.words, self.plan) if kind == "fine" else None
+        found = sketched(texts, self.words, self.plan, kind, often).filter("d1 = e1 and d2 = e2").drop("d1", "d2", "e1", "e2")
         out, own = self.scratch.stage(found, kind), [c for c in ("node", "grp") if c in found.columns]
         groups = out.groupBy("grp").count().agg(F.max("count")).first()[0] or 0 if kind == "fine" else out.count()
         if groups > wanted.count():  # a row that is repeated has its set fetched as often
@@ -261,17 +303,11 @@ class _Join:
         return self.scratch.stage(flat.join(counts.hint("shuffle_hash"), "signature").select("signature", "node", "n", "members"), "lists")
 
     def rarest(self, nodes: DataFrame) -> DataFrame:
-        """Lists of the rarest fine segments that each of ``nodes`` needs to post. Rare is what other sets, if any, post least often, so a segment that lies
-        within a passage of many sets costs nothing as long as a set has enough others."""
-        groups = self.fetched(nodes, "fine").join(self.nodes.select("node", "n"), "node")
-        flat = groups.select("node", "n", "grp", "need", F.size("items").alias("size"), F.explode("items").alias("signature"))
-        counts = flat.groupBy("signature").agg(F.count("node").alias("often")).filter("often > 1")
-        by_group = W.partitionBy("node", "grp")
-        known = flat.join(counts.hint("shuffle_hash"), "signature").withColumn("known", F.count("often").over(by_group)).withColumn("nth", F.row_number().over(by_group.orderBy("often", "signature")))
-        # the segments that no other set has are the rarest of all
-        posted = self.scratch.stage(known.filter("nth <= need - (size - known)").select("signature", "node", "n"), "rarest")
-        counts = posted.groupBy("signature").agg(F.count("node").alias("members")).filter("members > 1")
-        return self.scratch.stage(posted.join(counts, "signature").select("signature", "node", "n", "members"), "lists")
+        """Lists of the rarest fine segments that each of ``nodes`` needs to post. Rare is what falls on a counter of few, so a segment that lies
+        within a passage of many sets costs nothing as long as a set has enough others; any one order gives the same pairs."""
+        # chosen where the texts are read, so that only what is posted is shuffled
+        posted = self.fetched(nodes, "fine").join(self.nodes.select("node", "n"), "node")
+        return self.shared(posted, "items")
 
     def starred(self, lists: DataFrame) -> DataFrame:
         """Each list's members meet its hub, the one whose lists are longest in all: it stands closest to the middle of a group of near copies.
