@@ -108,3 +108,21 @@ def safe_json(text: Column) -> Column:
     for sign, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
         text = F.replace(text, F.lit(sign), F.lit(code))
     return text
+
+
+def eight_digits(x: Column) -> Column:
+    """A number with eight significant digits as C's ``%.8g`` writes it: no trailing zeros, with an exponent below 1e-4 and from 1e8 on. Null stays null.
+
+    The digits are Java's, which round halves of the shortest decimal up; C rounds halves of the exact binary value to even, so the last digit of such a half may differ,
+    as may digits of numbers below the normal range (under 1e-307), of which Java knows fewer.
+    """
+    x = x.cast("double")
+    whole = F.format_string("%.7e", x)
+    power = F.substring_index(whole, "e", -1).try_cast("int")
+    bare = lambda t: F.regexp_replace(t, r"(\.\d*?)0+$", "$1")
+    short = lambda t: F.regexp_replace(bare(t), r"\.$", "")
+    wide = F.concat(short(F.substring_index(whole, "e", 1)), F.lit("e"), F.substring_index(whole, "e", -1))
+    places = F.concat(F.lit("%."), F.greatest(F.lit(0), F.lit(7) - power).cast("string"), F.lit("f"))
+    plain = short(F.call_function("format_string", places, x))
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0, F.when(whole.startswith("-"), "-0").otherwise("0"))
+    return F.when(x.isNotNull(), F.coalesce(odd, F.when((power < -4) | (power >= 8), wide).otherwise(plain)))

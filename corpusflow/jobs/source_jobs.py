@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import format_of
+from ..functions.text import eight_digits, format_of
 from ..sources.pages import page_elements, reading_order, repeated_edges, section_parents, sectioned
 from ..streaming.runlog import rollup, running_budget, sessions, windowed
 from ..streaming.traces import stage_results
@@ -93,6 +93,14 @@ def stage_last_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("user_id").agg(F.sum("n").alias("n"), whole.alias("results"))
 
 
+def number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items' prices at scales from 1e-7 to 1e11 as texts of eight digits."""
+    scale = F.pow(F.lit(10.0), F.col("l_linenumber") * 3 - 12)
+    value = F.col("l_extendedprice") / 7 * scale * F.when(F.col("l_partkey") % 2 == 0, -1).otherwise(1)
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return items.select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 50 == 0, F.lit(0.0)).when(F.col("l_partkey") % 10 == 0, F.floor(F.col("l_extendedprice")).cast("double")).otherwise(value).alias("v")).groupBy(eight_digits(F.col("v")).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def budget_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = events(spark, sf_dir).withColumn("cost", F.floor(F.col("value")).cast("long"))
     return running_budget(cost, "user_id", ["ts", "event_id"], "cost", 500).select("event_id", "spent", F.col("calls").cast("long").alias("calls"), "within")
@@ -124,11 +132,12 @@ def asof_last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.filter("event_type = 'purchase'").select("event_id", "view_id")
 
 
-QUERIES |= {f.__name__: f for f in (runlog_rollup, stage_last_results, budget_running, observation_text, event_windows, event_sessions, event_cube, asof_last_view)}
+QUERIES |= {f.__name__: f for f in (runlog_rollup, stage_last_results, number_text, budget_running, observation_text, event_windows, event_sessions, event_cube, asof_last_view)}
 ORACLES |= {
     "runlog_rollup": "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, round(sum(value), 2) AS amount, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY user_id",
     "stage_last_results": """WITH k AS (SELECT user_id, event_type, count(*) AS n, arg_max(CASE WHEN value >= 50 THEN 'pass' WHEN value >= 10 THEN 'warn' ELSE 'fail' END, (ts, event_id)) AS r FROM events GROUP BY 1, 2)
       SELECT user_id, sum(n)::BIGINT AS n, string_agg(event_type || '=' || r, ' ' ORDER BY event_type) AS results FROM k GROUP BY 1""",
+    "number_text": """SELECT printf('%.8g', CASE WHEN l_partkey % 50 = 0 THEN 0::DOUBLE WHEN l_partkey % 10 = 0 THEN floor(l_extendedprice)::DOUBLE ELSE l_extendedprice / 7 * pow(10::DOUBLE, l_linenumber * 3 - 12) * CASE WHEN l_partkey % 2 = 0 THEN -1 ELSE 1 END END) AS text, count(*) AS n FROM lineitem GROUP BY 1""",
     "budget_running": "SELECT event_id, CAST(sum(floor(value)::BIGINT) OVER w AS BIGINT) AS spent, row_number() OVER w AS calls, sum(floor(value)::BIGINT) OVER w <= 500 AS within FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     "observation_text": "SELECT l_returnflag, 'quantity from ' || sum(l_quantity) FILTER (l_linestatus = 'F')::BIGINT || ' to ' || sum(l_quantity) FILTER (l_linestatus <> 'F')::BIGINT AS observation FROM lineitem GROUP BY 1",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import json
 
 from pyspark.sql import functions as F
@@ -103,3 +105,12 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     want = windowed(events).groupBy("event_type").agg(F.sum("n")).collect()
     assert sorted(map(tuple, spark.table("windows").groupBy("event_type").agg(F.sum("n")).collect())) == sorted(map(tuple, want))
+
+
+def test_eight_digits(spark):
+    from corpusflow.functions.text import eight_digits
+
+    draw = random.Random(3)
+    values = [0.0, -0.0, 1.0, 100.0, 12345678.0, 123456789.0, 99999999.6, 0.0001, 0.00009999, 1e-5, 1.5e300, 1e-300, -2.5, 1 / 3, float("inf"), float("-inf"), *[draw.uniform(-1, 1) * 10.0 ** draw.randint(-12, 20) for _ in range(300)]]
+    got = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").select(eight_digits(F.col("v"))).collect()
+    assert [r[0] for r in got] == ["%.8g" % v for v in values] + [None, "nan"]
