@@ -15,12 +15,18 @@ TRACE = "elapsed_seconds double, stage string, action string, result string, det
 
 
 def acquired(spark: SparkSession, path: str) -> DataFrame:
-    """path, source_id, format and content of files up to the cap; larger ones are never read."""
+    """path, source_id, format and content of files up to the cap; larger ones are never read, and are findings of ``refused``."""
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_BYTES)
     head = F.decode(F.substring("content", 1, HEAD), "ISO-8859-1")
     return files.select("path", F.concat(F.lit("paper-"), F.sha2("content", 256)).alias("source_id"), format_of(F.regexp_replace(head, "^ï»¿", "")).alias("format"), "content")
 
 
+def refused(spark: SparkSession, path: str) -> DataFrame:
+    """A finding (code, path, length) for every file above the cap, which ``acquired`` doesn't read: its content isn't read here either."""
+    files = spark.read.format("binaryFile").load(path).filter(F.col("length") > MAX_BYTES)
+    return files.select(F.lit("SOURCE_TOO_LARGE").alias("code"), "path", "length")
+
+
 def cases(spark: SparkSession, path: str) -> DataFrame:
     """Cases of exactly the three keys, none blank, with the fault of those that aren't."""
     text = spark.read.text(path, wholetext=True)

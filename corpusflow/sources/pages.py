@@ -110,6 +110,12 @@ def page_elements(pages: DataFrame) -> DataFrame:
     return pages.filter(F.octet_length("html") <= MAX_BYTES).select(F.col("page_id").cast("long"), "html").mapInArrow(scan, ELEMENTS)
 
 
+def oversized_pages(pages: DataFrame) -> DataFrame:
+    """A finding (code, page_id, length) for every page above the size cap, which ``page_elements`` leaves out."""
+    size = F.octet_length("html")
+    return pages.filter(size > MAX_BYTES).select(F.lit("SOURCE_TOO_LARGE").alias("code"), "page_id", size.cast("long").alias("length"))
+
+
 def sectioned(elements: DataFrame, key: str = "page_id", order: str = "source_order") -> DataFrame:
     """Elements that aren't headings, each with the latest heading before it and whether that is a noise section."""
     heading = F.col("tag").rlike("^h[1-6]$")

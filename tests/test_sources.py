@@ -114,3 +114,17 @@ def test_eight_digits(spark):
     values = [0.0, -0.0, 1.0, 100.0, 12345678.0, 123456789.0, 99999999.6, 0.0001, 0.00009999, 1e-5, 1.5e300, 1e-300, -2.5, 1 / 3, float("inf"), float("-inf"), *[draw.uniform(-1, 1) * 10.0 ** draw.randint(-12, 20) for _ in range(300)]]
     got = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").select(eight_digits(F.col("v"))).collect()
     assert [r[0] for r in got] == ["%.8g" % v for v in values] + [None, "nan"]
+
+
+def test_sources_above_the_cap_are_findings(spark, tmp_path, monkeypatch):
+    from corpusflow.sources import files, pages
+
+    (tmp_path / "small.html").write_bytes(b"<p>x</p>")
+    (tmp_path / "large.html").write_bytes(b"<p>" + b"x" * 100 + b"</p>")
+    monkeypatch.setattr(files, "MAX_BYTES", 50)
+    monkeypatch.setattr(pages, "MAX_BYTES", 50)
+    assert [r["path"].rsplit("/", 1)[1] for r in files.acquired(spark, str(tmp_path)).collect()] == ["small.html"]
+    assert [(r["code"], r["path"].rsplit("/", 1)[1], r["length"]) for r in files.refused(spark, str(tmp_path)).collect()] == [("SOURCE_TOO_LARGE", "large.html", 107)]
+    frame = spark.createDataFrame([(1, "<p>x</p>"), (2, "<p>" + "é" * 30 + "</p>"), (3, None)], "page_id long, html string")
+    assert [tuple(r) for r in pages.oversized_pages(frame).collect()] == [("SOURCE_TOO_LARGE", 2, 67)]
+    assert {r["page_id"] for r in pages.page_elements(frame).collect()} == {1}
