@@ -124,11 +124,15 @@ def sweep(df: DataFrame, control: str, states: list[tuple[str, float]]) -> DataF
 
 
 def dead_controls(swept: DataFrame, key: list[str], targets: list[str], tolerance: float = 1e-8) -> DataFrame:
-    """By target: in how many rows some state changes it from the default beyond the tolerance; 0 means that the control is dead."""
-    base = swept.filter("state = 'default'").select(*key, *(F.col(t).alias(f"base_{t}") for t in targets))
-    both = swept.filter("state != 'default'").join(base, key)
-    moved = both.groupBy(*key).agg(*(F.max((F.abs(F.col(t) - F.col(f"base_{t}")) > tolerance).cast("int")).alias(t) for t in targets))
-    sums = moved.agg(*(F.sum(t).alias(t) for t in targets))
+    """By target: in how many rows some state changes it from the default beyond the tolerance; 0 means that the control is dead.
+
+    ``key`` are the columns of a row before the sweep; rows equal in all of them move alike, and each counts. One aggregate has the default and the extremes of the other states.
+    """
+    default = F.col("state") == "default"
+    ends = {"base": lambda t: F.max(F.when(default, F.col(t))), "high": lambda t: F.max(F.when(~default, F.col(t))), "low": lambda t: F.min(F.when(~default, F.col(t)))}
+    rows = swept.groupBy(*key).agg(F.count_if(default).alias("n"), *[f(t).alias(f"{name}_{t}") for t in targets for name, f in ends.items()])
+    moved = lambda t: F.coalesce((F.col(f"high_{t}") - F.col(f"base_{t}") > tolerance) | (F.col(f"base_{t}") - F.col(f"low_{t}") > tolerance), F.lit(False))
+    sums = rows.agg(*(F.sum(F.when(moved(t), F.col("n")).otherwise(0)).alias(t) for t in targets))
     return sums.select(F.inline(F.array(*(F.struct(F.lit(t).alias("target"), F.coalesce(F.col(t), F.lit(0)).alias("rows_moved")) for t in targets))))
 
 
