@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Words that make a line prose, and the share of a page's width by which a column may reach over the middle.
+PROSE_WORDS, COLUMN_SLACK = 3, 0.04
+
 
 def tables_of_captions(blocks: DataFrame, page: str, y: str, key: str, is_caption: Column, is_table: Column, reach: float) -> DataFrame:
     """Each caption with the nearest table below it on its page, at most ``reach`` away and with no other caption between.
@@ -28,6 +31,18 @@ def column_counts(blocks: DataFrame, page: str, x0: Column, x1: Column, width: f
     return counts.withColumn("two_columns", (F.col("n_left") > 0) & (F.col("n_right") > 0) & (F.col("n_left") + F.col("n_right") > F.col("n_span")))
 
 
+def prose_columns(lines: DataFrame, page: str, text: Column, x0: Column, x1: Column, width: Column) -> DataFrame:
+    """Per page, lines of prose (PROSE_WORDS words of letters or more) on the left, on the right and across, and whether the page has two columns.
+
+    Formulas and labels are no prose, so fragments on both sides make no columns. A line may reach over the middle by COLUMN_SLACK of the width; a page without lines of prose has one column.
+    """
+    slack = width * COLUMN_SLACK
+    prose = F.regexp_count(text, F.lit("[A-Za-z]{2,}")) >= PROSE_WORDS
+    side = F.when(~F.coalesce(prose, F.lit(False)), None).when(x1 <= width / 2 + slack, "left").when(x0 >= width / 2 - slack, "right").otherwise("span")
+    counts = lines.groupBy(page).agg(*(F.count_if(side == s).alias(f"n_{s}") for s in ("left", "right", "span")))
+    return counts.withColumn("two_columns", (F.col("n_left") > 0) & (F.col("n_right") > 0) & (F.col("n_left") + F.col("n_right") > F.col("n_span")))
+
+
 def with_reserved(ranked: DataFrame, query: str, group: str, rank: str, k: int) -> DataFrame:
     """Per query the best of each group, and of the others as many as make ``k`` together; ``ranked`` is a bounded top list of each query."""
     marked = ranked.withColumn("protected", F.row_number().over(W.partitionBy(query, group).orderBy(rank)) == 1)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusflow.operators.blocks import figure_items, numbered_equations, taken_in_order
+from corpusflow.operators.layout import prose_columns
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -48,3 +50,12 @@ def test_figure_items(spark):
     got = figure_items(spark.createDataFrame(captions, f"page int, key string, {schema}"), spark.createDataFrame(items, f"page int, item string, kind string, {schema}"), "page", "key", "item", 800.0, most=10)
     rows = [tuple(r) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want) and len(want) > 100
+
+
+def test_prose_makes_columns_and_formulas_do_not(spark):
+    lines = [(1, "words of prose here", 2.0, 53.0), (1, "words of prose there", 49.0, 98.0), (2, "x = y + 1", 2.0, 40.0), (2, "words of prose there", 55.0, 98.0)]
+    lines += [(3, "words of prose here", 2.0, 54.5), (3, "words of prose there", 46.5, 98.0), (4, None, 2.0, 40.0)]
+    lines += [(5, "left side of prose", 2.0, 40.0), (5, "right side of prose", 60.0, 98.0), *[(5, "prose across the page", 2.0, 98.0)] * 2]
+    df = spark.createDataFrame(lines, "page int, text string, x0 double, x1 double")
+    got = {r["page"]: tuple(r)[1:] for r in prose_columns(df, "page", F.col("text"), F.col("x0"), F.col("x1"), F.lit(100.0)).collect()}
+    assert got == {1: (1, 1, 0, True), 2: (0, 1, 0, False), 3: (0, 0, 2, False), 4: (0, 0, 0, False), 5: (1, 1, 2, False)}
