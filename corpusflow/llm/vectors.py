@@ -236,6 +236,13 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def inner_products(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of rows i with rows j, some at a time."""
+    some = max(1, 2**21 // x.shape[1])
+    parts = [np.einsum("ij,ij->i", x[i[k : k + some]], x[j[k : k + some]]) for k in range(0, len(i), some)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def meetings(frame: pd.DataFrame) -> list[tuple[int, int]]:
     """The row ranges of a sorted frame that belong together: two blocks of one bucket."""
     named = [frame[c].to_numpy() for c in MEETING]
@@ -250,8 +257,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, seed: int = 5, per_b
     """One row per vector: vec_id, n_links (other vectors of its label with cosine >= threshold found), component_id, kept.
 
     Binary codes, correction factors and levels of all vectors are stored once; keys from further rotations make vectors of a label
-    meet in buckets. A bucket is cut into blocks of at most ``per_block``, and a task compares two blocks by their codes alone. Only
-    vectors that have a partner in doubt there are fetched, and their inner products computed exactly. A pair that meets in several bands counts in
+    meet in buckets. A bucket is cut into blocks of at most ``per_block``, and a task compares two blocks by their codes alone, which
+    gives the pairs in doubt, one bit each. Only their vectors are fetched, and only their inner products computed exactly. A pair that meets in several bands counts in
     the first. Tasks give link counts and a spanning forest, never pairs. Equal vectors of a label are one point with a count.
 
     Vectors that are null, zero or hold null or non-finite components, and null labels, link with nothing. Rows equal in id, label and vector are one
@@ -301,43 +308,53 @@ def _near_duplicates(df: DataFrame, threshold: float, seed: int, per_block: int,
     place = ["dim", "task", "label", "key", "a", "b", "band", "block", "point"]
 
     def doubt(frame: pd.DataFrame) -> pd.DataFrame:
+        """Members that have a partner in doubt, with their place in their block, and for those of the first block one bit for each place of the second."""
         frame = frame.sort_values(list(MEETING), kind="stable").reset_index(drop=True)
         dim = int(frame["dim"].iloc[0])
         signs, levels = (np.frombuffer(b"".join(frame[c]), kind).reshape(len(frame), -1) for c, kind in (("signs", np.uint8), ("levels", np.int8)))
         factor, step, block = (frame[c].to_numpy() for c in ("factor", "step", "block"))
-        stays = np.zeros(len(frame), bool)
+        stays, at, bits = np.zeros(len(frame), bool), np.zeros(len(frame), np.int32), np.full(len(frame), b"", object)
         for s, e in meetings(frame):
             a, b = frame["a"].iloc[s], frame["b"].iloc[s]
             own = np.arange(s, e)
             left, right = own[block[s:e] == a], own[block[s:e] == b]
             maybe = likely(signs[left], factor[left], levels[right][:, :dim], step[right], threshold)
             if a == b:
-                np.fill_diagonal(maybe, False)
+                maybe = np.triu(maybe | maybe.T, 1)
+            at[left], at[right] = np.arange(len(left)), np.arange(len(right))
             stays[left] |= maybe.any(axis=1)
             stays[right] |= maybe.any(axis=0)
-        return frame.loc[stays, place]
+            for i in np.flatnonzero(maybe.any(axis=1)):
+                bits[left[i]] = np.packbits(maybe[i]).tobytes()
+        return frame.assign(at=at, doubts=bits).loc[stays, [*place, "at", "doubts"]]
 
-    unsure = by_code.groupBy("dim", "task").applyInPandas(doubt, pairs.select(*place).schema)
-    grouped = scratch.stage(unsure, "in-doubt").join(points.select("point", "v", "copies"), "point")
+    unsure = by_code.groupBy("dim", "task").applyInPandas(doubt, pairs.select(*place).schema.add("at", "integer").add("doubts", "binary"))
+    grouped = scratch.stage(unsure, "in-doubt").join(points.select("point", "v", "copies"), "point").join(coded.select("point", "keys"), "point")
+    grouped = grouped.withColumn("keys", F.slice("keys", F.lit(1), F.col("band")))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(MEETING), kind="stable").reset_index(drop=True)
+        """Exact inner products of the pairs in doubt, and of no others."""
+        frame = frame.sort_values([*MEETING, "block", "at"], kind="stable").reset_index(drop=True)
         x = unit(frame["v"])
-        keys = coder_for(x.shape[1], bits, bands, seed).keys(x)
-        ids, copies, block, band = (frame[c].to_numpy() for c in ("point", "copies", "block", "band"))
+        ids, copies, block, at, doubts, keys = (frame[c].to_numpy() for c in ("point", "copies", "block", "at", "doubts", "keys"))
         counts, edges = np.zeros(len(ids), np.int64), []
         for s, e in meetings(frame):
-            a, b = frame["a"].iloc[s], frame["b"].iloc[s]
             own = np.arange(s, e)
-            left, right = own[block[s:e] == a], own[block[s:e] == b]
-            i, j = np.nonzero(x[left] @ x[right].T >= threshold)
-            i, j = left[i], right[j]
-            one = i < j if a == b else ids[i] != ids[j]
-            i, j = i[one], j[one]
+            right = own[block[s:e] == frame["b"].iloc[s]]
+            row_at = np.zeros(at[right].max() + 1, np.int64)
+            row_at[at[right]] = right
+            asks = [k for k in range(s, e) if doubts[k]]
+            partners = [row_at[np.flatnonzero(np.unpackbits(np.frombuffer(doubts[k], np.uint8)))] for k in asks]
+            i, j = np.repeat(asks, [len(p) for p in partners]), np.concatenate(partners)
+            near = inner_products(x, i, j) >= threshold
+            i, j = i[near], j[near]
             if not len(i):
                 continue
-            k = int(band[s])
-            first = ~(keys[i, :k] == keys[j, :k]).any(axis=1)
+            if len(keys[s]):  # a pair counts in the first band in which it meets
+                earlier = np.stack(keys[s:e])
+                first = ~(earlier[i - s] == earlier[j - s]).any(axis=1)
+            else:
+                first = np.ones(len(i), bool)
             np.add.at(counts, i[first], copies[j[first]])
             np.add.at(counts, j[first], copies[i[first]])
             edges += [(s + p, s + q) for p, q in forest(e - s, i - s, j - s)]

@@ -6,8 +6,10 @@ import hashlib
 import random
 import re
 import struct
+import uuid
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -424,6 +426,34 @@ def test_near_vectors_of_repeated_and_null_ids(spark):
     assert got == Counter([(5, 2, 5, True), (5, 0, 5, True), (7, 2, 5, False), (None, 2, 5, False), (None, 0, None, True)])
 
 
+def test_only_pairs_in_doubt_are_multiplied(spark, monkeypatch, tmp_path):
+    """Pairs of close vectors among many far ones, all in one bucket of several blocks: about as many exact products as pairs, whatever the vectors in doubt."""
+    draw = np.random.default_rng(21)
+    one = draw.standard_normal((150, 64))
+    rows = np.concatenate([one, one + draw.standard_normal((150, 64)) * 0.2])
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(rows)], "vec_id long, label int, embedding array<double>")
+    log = str(tmp_path)
+
+    def one_band(n, threshold):
+        return 1, 1
+
+    def counted(x, i, j):
+        (Path(log) / uuid.uuid4().hex).write_text(str(len(i)))
+        return np.einsum("ij,ij->i", x[i], x[j])
+
+    monkeypatch.setattr(vectors, "bands_for", one_band)
+    monkeypatch.setattr(vectors, "inner_products", counted)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df, per_block=64).collect()}
+    x = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    # those of a pair that fall on one side of the only plane meet
+    up = (x @ vectors.Coder(64, 1, 1, 5).turns[1].T)[:, 0] > 0
+    linked = (x @ x.T >= 0.93) & (up[:, None] == up[None, :])
+    np.fill_diagonal(linked, False)
+    assert {i: (int(linked[i].sum()), min([i, *np.flatnonzero(linked[i]).tolist()])) for i in range(300)} == got
+    done = sum(int(f.read_text()) for f in tmp_path.iterdir())
+    assert linked.sum() / 2 <= done < 4 * linked.sum()
+
+
 def test_codes_estimate_without_bias():
     draw = np.random.default_rng(8)
     x = draw.standard_normal((400, 64))
