@@ -58,4 +58,4 @@ def test_prose_makes_columns_and_formulas_do_not(spark):
     lines += [(5, "left side of prose", 2.0, 40.0), (5, "right side of prose", 60.0, 98.0), *[(5, "prose across the page", 2.0, 98.0)] * 2]
     df = spark.createDataFrame(lines, "page int, text string, x0 double, x1 double")
     got = {r["page"]: tuple(r)[1:] for r in prose_columns(df, "page", F.col("text"), F.col("x0"), F.col("x1"), F.lit(100.0)).collect()}
-    assert got == {1: (1, 1, 0, True), 2: (0, 1, 0, False), 3: (0, 0, 2, False), 4: (0, 0, 0, False), 5: (1, 1, 2, False)}
+    assert got == {1: (1, 1, 0, True), 2: (0, 1, 0, False), 3: (0, 1, 1, False), 4: (0, 0, 0, False), 5: (1, 1, 2, False)}
