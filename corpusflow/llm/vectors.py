@@ -79,8 +79,7 @@ def search_block(vectors: np.ndarray, queries: np.ndarray, skip: np.ndarray, k:
             found = np.flatnonzero(new & (counts >= threshold)) if radius < 2 else np.flatnonzero(new)
             if len(found):
                 new[found] = False
-                # many rows are cheaper to multiply where they lie than to gather
-                value = (narrow @ short)[found] if 16 * len(found) > n else narrow[found] @ short
+                value = narrow[found] @ short
                 best, scores = np.concatenate((best, found)), np.concatenate((scores, value))
                 if len(best) > k:  # what single precision can't tell from the k-th stays, for the exact measure to rank
                     stay = scores >= np.partition(scores, -k)[-k] - 1e-5
