@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ CELLS, CELL_STEPS = 64, (512, 2048, 8192, 32768, 131072)
 DIRECT = 24
 MAX_SEEDS = 64
 #: Counters of fine segments by hash, and the pieces in which tasks hand them on.
-COUNTERS, PIECES = 1 << 18, 64
+COUNTERS, PIECES = 1 << 20, 256
 
 
 class Plan:
@@ -32,8 +33,7 @@ class Plan:
     segments in order until ``most(n)`` + 1 of them aren't empty; of any two similar sets, the one that stops first has a segment among
     these that both agree on. With one-deletion neighbourhoods a segment may differ in one shingle, so that half as many, larger
     ones do: they cost a signature for each shingle. A set that has too few segments to post is hashed again, under the next seed, besides.
-    The allocation is by cost: each segment once, as a whole; the cheapest of finer segments for sets with one in a list whose pairs cost more; and
-    deletions where these lists do too.
+    The allocation is by cost: of fine segments each set posts the cheapest; and deletions where their lists cost too many pairs still.
     """
 
     #: Sizes in a band differ by this factor. A set near the upper end posts in the next band too.
@@ -164,13 +164,13 @@ def segment_counts(texts: DataFrame, words: int, plan: Plan) -> np.ndarray:
                 rows, h = shingle_sets(buf, offsets, words)
                 for _, s, _ in plan.groups(rows, h, np.bincount(rows, minlength=len(offsets) - 1), fine=True):
                     counts += np.bincount((s % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        pieces = [x.astype("<i4").tobytes() for x in np.minimum(counts, 2**31 - 1).reshape(PIECES, -1)]
+        pieces = [zlib.compress(x.astype("<i4").tobytes(), 1) for x in np.minimum(counts, 2**31 - 1).reshape(PIECES, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "counts"])
 
     def summed(key, frame):
         total = np.zeros(COUNTERS // PIECES, np.int64)
         for x in frame["counts"]:
-            total += np.frombuffer(x, "<i4")
+            total += np.frombuffer(zlib.decompress(x), "<i4")
         return pd.DataFrame({"piece": [key[0]], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
 
     found = texts.select("text").mapInArrow(scan, "piece int, counts binary").groupBy("piece").applyInPandas(summed, "piece int, counts binary").collect()
@@ -189,11 +189,11 @@ def first_of_each(rows: np.ndarray, signatures: np.ndarray, need: np.ndarray, of
 
 
 def sketched(texts: DataFrame, words: int, plan: Plan, kind: str, often: np.ndarray | None = None) -> DataFrame:
-    """``texts`` with the columns that ``kind`` says in place of ``text``: n, d1, d2 (digest of the set), cells, signatures ("whole"); or
-    d1, d2 and as items the signatures of one-deletion neighbourhoods ("deletions") or the set itself ("sets"); or a row for each group of fine
-    segments, with the rarest by ``often`` that it needs to post ("fine")."""
+    """``texts`` with the columns that ``kind`` says in place of ``text``: n, d1, d2 (digest of the set), cells, and as signatures the rarest fine
+    segments by ``often`` that each group of them needs to post ("whole"); or d1, d2 and as items the signatures of one-deletion neighbourhoods
+    ("deletions") or the set itself ("sets")."""
     kept = [f for f in texts.schema if f.name != "text"]
-    made = "d1 long, d2 long, " + ("n long, cells array<short>, signatures array<long>" if kind == "whole" else "grp int, items array<long>" if kind == "fine" else "items array<long>")
+    made = "d1 long, d2 long, " + ("n long, cells array<short>, signatures array<long>" if kind == "whole" else "items array<long>")
     schema = StructType([*kept, *StructType.fromDDL(made)])
     text_at = texts.columns.index("text")
 
@@ -207,21 +207,18 @@ def sketched(texts: DataFrame, words: int, plan: Plan, kind: str, often: np.ndar
                 sizes = np.bincount(rows, minlength=m)
                 columns = [batch.column(k).slice(first, m) for k in range(batch.num_columns) if k != text_at]
                 columns += [pa.array(exact_sums(rows, mix(h ^ _U(k)), m).view(np.int64)) for k in (0x1234567, 0x89ABCDE)]
-                if kind == "fine":
-                    for g, (r, s, need) in enumerate(plan.groups(rows, h, sizes, fine=True)):
-                        r, s = first_of_each(r, s, need, often)
-                        some = pa.array(np.unique(r))
-                        yield pa.RecordBatch.from_arrays([c.take(some) for c in [*columns, pa.array(np.full(m, g, np.int32)), lists(r, s.view(np.int64), m)]], names=schema.names)
-                    continue
                 if kind == "sets":
                     columns.append(lists(rows, h.view(np.int64), m))
+                elif kind == "deletions":
+                    r, s = plan.signatures(rows, h, sizes, True)
+                    columns.append(lists(r, s.view(np.int64), m))
                 else:
-                    r, s = plan.signatures(rows, h, sizes, kind == "deletions")
-                    if kind == "whole":
-                        width = CELLS * 4 ** np.searchsorted(CELL_STEPS, sizes, "right")
-                        base = np.concatenate(([0], np.cumsum(width)))
-                        cells = np.bincount(base[rows] + (h % width[rows].astype(np.uint64)).astype(np.int64), minlength=base[-1])
-                        columns += [pa.array(sizes), pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), pa.array(np.minimum(cells, 32767).astype(np.int16)))]
+                    width = CELLS * 4 ** np.searchsorted(CELL_STEPS, sizes, "right")
+                    base = np.concatenate(([0], np.cumsum(width)))
+                    cells = np.bincount(base[rows] + (h % width[rows].astype(np.uint64)).astype(np.int64), minlength=base[-1])
+                    columns += [pa.array(sizes), pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), pa.array(np.minimum(cells, 32767).astype(np.int16)))]
+                    posted = [first_of_each(*group, often) for group in plan.groups(rows, h, sizes, fine=True)]
+                    r, s = (np.concatenate([np.zeros(0, t), *[p[k] for p in posted]]) for k, t in ((0, np.int64), (1, np.uint64)))
                     columns.append(lists(r, s.view(np.int64), m))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -253,12 +250,10 @@ class _Join:
         """(node, items) of the nodes ``wanted``: their texts are picked by row key, and the set is told by its digest."""
         wanted = self.scratch.stage(self.nodes.join(wanted, "node", "left_semi").select("k", F.col("node"), F.col("d1").alias("e1"), F.col("d2").alias("e2")), "wanted")
         texts = self.texts.join(sent(wanted), "k").drop("k")
-        often = segment_counts(texts, self.words, self.plan) if kind == "fine" else None
-        found = sketched(texts, self.words, self.plan, kind, often).filter("d1 = e1 and d2 = e2").drop("d1", "d2", "e1", "e2")
-        out, own = self.scratch.stage(found, kind), [c for c in ("node", "grp") if c in found.columns]
-        groups = out.groupBy("grp").count().agg(F.max("count")).first()[0] or 0 if kind == "fine" else out.count()
-        if groups > wanted.count():  # a row that is repeated has its set fetched as often
-            out = self.scratch.stage(out.dropDuplicates(own), kind)
+        found = sketched(texts, self.words, self.plan, kind).filter("d1 = e1 and d2 = e2").drop("d1", "d2", "e1", "e2")
+        out = self.scratch.stage(found, kind)
+        if out.count() > wanted.count():  # a row that is repeated has its set fetched as often
+            out = self.scratch.stage(out.dropDuplicates(["node"]), kind)
         self.scratch.drop(wanted)
         return out
 
@@ -302,13 +297,6 @@ class _Join:
         # few signatures are shared, so theirs is the side to hash, and the posts need no sort
         return self.scratch.stage(flat.join(counts.hint("shuffle_hash"), "signature").select("signature", "node", "n", "members"), "lists")
 
-    def rarest(self, nodes: DataFrame) -> DataFrame:
-        """Lists of the rarest fine segments that each of ``nodes`` needs to post. Rare is what falls on a counter of few, so a segment that lies
-        within a passage of many sets costs nothing as long as a set has enough others; any one order gives the same pairs."""
-        # chosen where the texts are read, so that only what is posted is shuffled
-        posted = self.fetched(nodes, "fine").join(self.nodes.select("node", "n"), "node")
-        return self.shared(posted, "items")
-
     def starred(self, lists: DataFrame) -> DataFrame:
         """Each list's members meet its hub, the one whose lists are longest in all: it stands closest to the middle of a group of near copies.
         A list costs as many pairs as it has members. Gives the lists that still span several classes."""
@@ -390,9 +378,10 @@ def jaccard_classes(docs: DataFrame, carry: list[Column], words: int = 5, num: i
 
     Rows link when their sets of ``words``-word shingles have a Jaccard similarity of at least num / den; every such link counts, though
     only as many are computed as classes need. Equal sets are one node. Lists of nodes with a common signature are first met by
-    their hubs, which joins groups of near copies at the cost of a row per member. Of lists that then span classes, those with few
-    pairs across classes for their length have these compared; the members of the others post the rarest of finer
-    segments, then one-deletion neighbourhoods, met by hubs and compared in the same way, and what lies in long lists even so is compared by what it has beyond its
+    their hubs, which joins groups of near copies at the cost of a row per member. A set posts its rarest segments, by counters that a
+    first pass over the texts fills, so a passage that many sets share makes no lists as long as they have enough else. Of lists that then span classes, those with few
+    pairs across classes for their length have these compared; the members of the others post
+    one-deletion neighbourhoods, met by hubs and compared in the same way, and what lies in long lists even so is compared by what it has beyond its
     list's pivot. Pairs pass exact bounds on size and on histogram distance before sets are fetched and intersected.
 
     Null and empty texts have no shingles and no class. Rows, not ids, are what is compared: repeated and null ids are rows like others. An empty
@@ -403,19 +392,21 @@ def jaccard_classes(docs: DataFrame, carry: list[Column], words: int = 5, num: i
         key = F.xxhash64(*row_keys("doc_id", "text")).alias("k")
         names = [f"carry{i}" for i in range(len(carry))]
         texts = docs.select(key, "text")
-        told = sketched(docs.select(key, "text", *[c.alias(x) for c, x in zip(carry, names, strict=True)]), words, plan, "whole")
-        rows = scratch.stage(told.withColumn("row", F.monotonically_increasing_id()), "sketches")
-        heads = scratch.stage(rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("row")), "heads").select("row")
-        chosen = rows.join(heads, "row", "left_semi").withColumnRenamed("row", "node")
+        often = segment_counts(texts, words, plan)
+        told = sketched(docs.select(key, "text", *[c.alias(x) for c, x in zip(carry, names, strict=True)]), words, plan, "whole", often)
+        sketches = scratch.stage(told.withColumn("row", F.monotonically_increasing_id()), "sketches")
+        rows = scratch.stage(sketches.drop("cells", "signatures"), "rows")
+        # copies beyond the first of each set are fewer than sets, and are what is left out, so that signatures needn't be shuffled to choose nodes
+        heads = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("head"), F.count("row").alias("times")).filter("times > 1").drop("times")
+        copies = scratch.stage(rows.join(heads, ["d1", "d2"]).filter("row != head").select("row"), "copies")
+        chosen = sketches.filter("n > 0").join(sent(copies), "row", "left_anti").withColumnRenamed("row", "node")
         nodes = scratch.stage(chosen.select("node", "k", "n", "d1", "d2", "cells"), "nodes")
         join = _Join(texts, nodes, words, plan, scratch)
         lists = join.shared(chosen.select("node", "n", "signatures"), "signatures")
+        scratch.drop(sketches, copies)
         dear_of = lambda found: scratch.stage(found.filter("dear").select("node").distinct(), "dear")
         found = join.starred(lists)
         candidates, dear = join.across(found.filter("not dear")), dear_of(found)
-        if not dear.isEmpty():
-            found = join.starred(join.rarest(dear))
-            candidates, dear = candidates.union(join.across(found.filter("not dear"))), dear_of(found)
         if not dear.isEmpty():
             deletions = join.fetched(dear, "deletions").join(nodes.select("node", "n"), "node")
             found = join.starred(join.shared(deletions, "items"))

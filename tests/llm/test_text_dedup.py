@@ -287,3 +287,14 @@ def test_join_edges(spark):
     assert Counter(map(tuple, got.collect())) == Counter({(3, 2, 1): 1, (1, 2, 1): 1, (3, 2, 3): 1, (5, 2, 3): 1})
     with pytest.raises(ValueError):
         jaccard.Plan(1, 2)
+
+
+def test_a_passage_of_many_texts_makes_no_lists(spark, monkeypatch):
+    """Texts of which a third is the same passage have enough segments of their own, and post these from the start."""
+    draw = random.Random(8)
+    passage, made = text_of(draw, 50), []
+    starred = jaccard._Join.starred
+    monkeypatch.setattr(jaccard._Join, "starred", lambda self, lists: made.append(lists.count()) or starred(self, lists))
+    got = jaccard_components(docs(spark, {i: f"{passage} {text_of(draw, 100)}" for i in range(60)}), words=4, num=85, den=100).collect()
+    assert {r["component_id"] for r in got} == set(range(60))
+    assert sum(made) == 0
