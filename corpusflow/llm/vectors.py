@@ -32,6 +32,8 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 
 #: Projections; window half-width over search radius; standard deviations below the expected collisions at which a vector still counts.
 PROJECTIONS, REACH, SLACK = 256, 0.8, 0.8
+#: Steps of a unit in which projections are kept.
+STEPS = 2048
 #: Search radii: a few for close neighbours, then in small steps up to where every unit vector lies.
 RADII = np.array([0.12, 0.3, 0.55, *(0.8 * 1.08 ** np.arange(13))])
 
@@ -44,38 +46,31 @@ def within(x: float) -> float:
 def search_block(vectors: np.ndarray, queries: np.ndarray, skip: np.ndarray, k: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the positions and scores of the k nearest vectors found (unit rows; ``skip`` is the query's own position or -1).
 
-    Each projection keeps the vectors in sorted order. A query's windows, centred on its own projections, widen from radius to radius,
-    and only what newly enters them is counted (virtual rehashing). Vectors in at least so many windows as one at that radius
+    A query's windows, centred on its own projections, widen from radius to radius (virtual rehashing). How far each vector lies from the query
+    is told once for each projection, in whole steps, and a radius counts who lies within its window: all vectors at once, without
+    gathering what windows newly hold. Vectors in at least so many windows as one at that radius
     reaches with near certainty are verified exactly; the search ends when the k-th nearest verified lies within the radius.
     """
     n, dim = vectors.shape
     lines = np.random.default_rng([seed, dim]).standard_normal((dim, PROJECTIONS))
-    projected, asked = vectors @ lines, queries @ lines
-    order = np.ascontiguousarray(np.argsort(projected, axis=0).T)
-    # where each window of each query begins and ends in each projection's order
-    begins, ends = (np.empty((len(queries), len(RADII), PROJECTIONS), np.int32) for _ in range(2))
-    for j in range(PROJECTIONS):
-        keys = projected[order[j], j]
-        begins[:, :, j] = np.searchsorted(keys, asked[:, j, None] - REACH * RADII)
-        ends[:, :, j] = np.searchsorted(keys, asked[:, j, None] + REACH * RADII, "right")
+    steps = lambda x: np.ascontiguousarray(np.rint(np.clip(x @ lines, -7.9, 7.9) * STEPS).astype(np.int16).T)
+    projected, asked = steps(vectors), steps(queries)
+    windows = np.rint(REACH * RADII * STEPS).astype(np.int16)
+    apart, inside = np.empty_like(projected), np.empty(projected.shape, bool)
     share = within(REACH)
     threshold = PROJECTIONS * share - SLACK * math.sqrt(PROJECTIONS * share * (1 - share))
     out = []
     narrow = vectors.astype(np.float32)
     for i, (short, own) in enumerate(zip(queries.astype(np.float32), skip, strict=True)):
-        counts, new = np.zeros(n, np.int64), np.ones(n, bool)
+        new = np.ones(n, bool)
         if own >= 0:
             new[own] = False
+        np.abs(np.subtract(projected, asked[:, i, None], out=apart), out=apart)
         best, scores = np.zeros(0, np.int64), np.zeros(0)
-        for level, radius in enumerate(RADII):
-            left, right = begins[i, level].tolist(), ends[i, level].tolist()
-            if level:
-                fresh = [row[a:b] for row, a, b in zip(order, left, begins[i, level - 1].tolist(), strict=True) if a < b]
-                fresh += [row[a:b] for row, a, b in zip(order, ends[i, level - 1].tolist(), right, strict=True) if a < b]
-            else:
-                fresh = [row[a:b] for row, a, b in zip(order, left, right, strict=True) if a < b]
-            if fresh:
-                counts += np.bincount(np.concatenate(fresh), minlength=n)
+        for window, radius in zip(windows, RADII, strict=True):
+            np.less_equal(apart, window, out=inside)
+            # bytes hold the counts of 128 projections
+            counts = sum(np.add.reduce(inside[j : j + 128].view(np.uint8), axis=0, dtype=np.uint8).astype(np.int32) for j in range(0, PROJECTIONS, 128))
             found = np.flatnonzero(new & (counts >= threshold)) if radius < 2 else np.flatnonzero(new)
             if len(found):
                 new[found] = False

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -505,3 +506,22 @@ def test_pack_encoder_keeps_words_apart():
 
     one = packing.WordEncoder(str(public_tokenizers.path("word_bpe_49k.json")))
     assert one("hello, hello world.") == one("hello, hello world.") and len(one("")) == 0
+
+
+def test_windows_count_collisions_in_steps():
+    """What is found is what a plain count of windows finds, each distance told once for all radii."""
+    draw = np.random.default_rng(6)
+    x = draw.standard_normal((300, 32))
+    x[150:160] = x[:10] + draw.standard_normal((10, 32)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lines = np.rint(x @ np.random.default_rng([3, 32]).standard_normal((32, vectors.PROJECTIONS)) * vectors.STEPS)
+    share, k = vectors.within(vectors.REACH), 4
+    threshold = vectors.PROJECTIONS * share - vectors.SLACK * math.sqrt(vectors.PROJECTIONS * share * (1 - share))
+    for q, (found, _) in zip((0, 5, 77), vectors.search_block(x, x[[0, 5, 77]], np.array([0, 5, 77]), k, 3), strict=True):
+        for radius in vectors.RADII:
+            met = (np.abs(lines - lines[q]) <= np.rint(vectors.REACH * radius * vectors.STEPS)).sum(axis=1) >= threshold
+            met[q] = False
+            near = sorted(np.flatnonzero(met), key=lambda v: -(x[v] @ x[q]))[:k]
+            if len(near) == k and math.sqrt(2 - 2 * x[near[-1]] @ x[q]) <= radius:
+                break
+        assert sorted(found.tolist()) == sorted(near)
