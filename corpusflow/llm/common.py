@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,6 +84,18 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Texts go to Python so many at a time while jobs run within: at Spark's own 10,000, buffers of some tens of MB on both sides are held in each task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sent(df: DataFrame) -> DataFrame:
     """``df``, a written table of a few numbers a row, to be broadcast if it is counted to have no more than MAX_SENT rows."""
     return F.broadcast(df) if df.count() <= MAX_SENT else df
@@ -138,7 +152,7 @@ def segment_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * down[starts] + mix((ends - starts).astype(np.uint64)))
 
 
-def text_buffers(column, max_bytes: int = 1_000_000):
+def text_buffers(column, max_bytes: int = 250_000):
     """Slices of an Arrow string column as (first row, byte buffer, row offsets); null is empty. A text longer than ``max_bytes`` is a slice of its own."""
     import pyarrow as pa
 

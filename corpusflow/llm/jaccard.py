@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, ascii_lower, documents, mix, row_keys, segment_hashes, sent, stage, text_buffers, word_bounds
+from .common import Scratch, ascii_lower, documents, mix, row_keys, segment_hashes, sent, small_batches, stage, text_buffers, word_bounds
 from .graph import components
 
 _U = np.uint64
@@ -388,7 +388,7 @@ def jaccard_classes(docs: DataFrame, carry: list[Column], words: int = 5, num: i
     table gives no rows. Columns that ``carry`` doesn't read may have any name.
     """
     plan = Plan(num, den)
-    with Scratch(docs.sparkSession) as scratch:
+    with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession):
         key = F.xxhash64(*row_keys("doc_id", "text")).alias("k")
         names = [f"carry{i}" for i in range(len(carry))]
         texts = docs.select(key, "text")

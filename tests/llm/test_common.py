@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
 from corpusflow.llm import common
-from corpusflow.llm.common import Scratch, running_totals, shared_dir
+from corpusflow.llm.common import Scratch, running_totals, shared_dir, small_batches, text_buffers
 from corpusflow.llm.jaccard import jaccard_components
 from corpusflow.llm.line_runs import repeated_runs
 
@@ -60,3 +61,18 @@ def test_running_totals(spark, monkeypatch):
         want[a, b] = total
         total += v
     assert {(r["a"], r["b"]): r["before"] for r in got} == want and common.MAX_SENT > 0
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """A caller's own smaller setting holds, and the session has its own again afterwards, whatever happens within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(3000, numPartitions=1)
+    sizes = lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches)
+    with pytest.raises(ValueError), small_batches(spark, 1000):
+        assert {r["n"] for r in rows.mapInArrow(sizes, "n long").collect()} == {1000}
+        with small_batches(spark, 5000):
+            assert spark.conf.get(name) == "1000"
+        raise ValueError
+    assert spark.conf.get(name) == before
+    assert max(len(buf) for _, buf, _ in text_buffers(pa.array(["x" * 1000] * 2000))) <= 250_000
