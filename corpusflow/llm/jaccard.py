@@ -21,6 +21,8 @@ _U = np.uint64
 CELLS, CELL_STEPS = 64, (512, 2048, 8192, 32768, 131072)
 #: Pairs across classes that a list may cost for each of its members; one that costs more is left to one-deletion neighbourhoods.
 DIRECT = 24
+#: Lists of a set that its rows carry, so that a pair that meets in one of them isn't made again.
+FIRSTS = 16
 MAX_SEEDS = 64
 #: Counters of fine segments by hash, and the pieces in which tasks hand them on.
 COUNTERS, PIECES = 1 << 20, 256
@@ -322,12 +324,35 @@ class _Join:
 
     def across(self, lists: DataFrame) -> DataFrame:
         """The pairs of each list whose members lie in different classes."""
-        one, two = (lists.select("signature", F.col("node").alias(x), F.col("class").alias(f"c_{x}"), F.col("n").alias(f"n_{x}")) for x in "xy")
-        met = one.join(two, "signature").filter(F.expr("x < y and c_x != c_y") & self.fits(F.col("n_x"), F.col("n_y")))
+        # lists of the same members give the same pairs: two sets that share much share many lists, of which one is enough
+        alike = lists.groupBy("signature").agg(F.count("node").alias("size"), *[F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(f"e{salt}") for salt in (1, 2)])
+        unlike = self.scratch.stage(lists.join(alike.groupBy("size", "e1", "e2").agg(F.min("signature").alias("signature")).select("signature"), "signature"), "unlike-lists")
+        # and of lists that aren't the same, the first is enough, as far as a set's first few are known to its rows
+        firsts = unlike.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("signature")), 1, FIRSTS).alias("firsts"))
+        unlike = self.scratch.stage(unlike.join(firsts, "node"), "unlike-lists")
+        one, two = (unlike.select("signature", F.col("node").alias(x), F.col("class").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("firsts").alias(f"f_{x}")) for x in "xy")
+        met_before = F.arrays_overlap(F.filter("f_x", lambda s: s < F.col("signature")), F.col("f_y"))
+        met = one.join(two, "signature").filter(F.expr("x < y and c_x != c_y") & self.fits(F.col("n_x"), F.col("n_y")) & ~met_before)
         return self.scratch.stage(pair(met.select("x", "y")), "across")
 
+    def centred(self, member: DataFrame, sets: DataFrame) -> DataFrame:
+        """``member`` (pivot, node, n) with the group's middle as its pivot: of its members the one from which the others differ in the fewest items in all.
+
+        Of a group of g sets, the one with the largest sum of 2 * (sets that have the item) - g over its items. Occurrences are counted before any shuffle, so the cost is a row per member and item.
+        """
+        items = self.scratch.stage(member.join(sets, "node").select("pivot", "node", F.explode("items").alias("item")), "items")
+        often = items.groupBy("pivot", "item").agg(F.count("node").alias("often"))
+        of_all = member.groupBy("pivot").agg(F.count("node").alias("of"))
+        total = items.join(often, ["pivot", "item"]).groupBy("pivot", "node").agg(F.sum("often").alias("often"), F.count("item").alias("size"))
+        score = F.struct((2 * F.col("often") - F.col("of") * F.col("size")).alias("score"), "node")
+        middle = total.join(of_all, "pivot").groupBy("pivot").agg(F.max(score).alias("m")).select("pivot", F.col("m.node").alias("middle"))
+        out = self.scratch.stage(member.join(middle, "pivot").select(F.col("middle").alias("pivot"), "node", "n").distinct(), "centred")
+        self.scratch.drop(items)
+        return out
+
     def about_pivots(self, lists: DataFrame) -> DataFrame:
-        """Candidates among the members of long lists, from what each member has beyond its list's pivot h.
+        """Candidates among the members of long lists, from what each member has beyond the pivot h of its group, which is the members of all lists with one pivot.
+        The group's own middle takes that pivot's place, as what the pivot lacks and most others have would make lists of the whole group.
 
         How much a member shares with h is counted exactly, and those that are similar to it are linked at once. Two sets x and y share no more than
         min(|x & h|, |y & h|) within h. If that is enough for their sizes, they meet by size: x, of
@@ -336,7 +361,8 @@ class _Join:
         """
         num, den = self.plan.num, self.plan.den
         member = self.scratch.stage(lists.select("pivot", "node", "n").distinct(), "members")
-        sets = self.fetched(member.select("node").union(member.select(F.col("pivot").alias("node"))).distinct(), "sets")
+        sets = self.fetched(member.select("node").distinct(), "sets")
+        member = self.centred(member, sets)
         pivot = sets.select(F.col("node").alias("pivot"), F.col("items").alias("pivot_items"))
         own = member.filter("node != pivot").join(sets, "node").join(pivot, "pivot")
         own = own.select("pivot", F.size("pivot_items").alias("pivot_n"), "node", "n", F.array_except("items", "pivot_items").alias("own"))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from corpusflow.llm import jaccard
+from corpusflow.llm.common import Scratch
 from corpusflow.llm.jaccard import Plan, jaccard_components
 from corpusflow.llm.line_runs import OP1_SQL, op1_line_runs, repeated_runs, without_runs
 from corpusflow.llm.unit_dedup import ALL, repeated_units, without_units
@@ -301,6 +302,26 @@ def test_join_edges(spark):
         jaccard.Plan(1, 2)
 
 
+def test_a_pair_in_many_lists_is_made_once(spark, monkeypatch):
+    """Nodes 1 and 2 share ten lists, with 3 and 4 besides in some; a class's own pairs are none."""
+    lists = [(s, x, 100, c) for s in range(10) for x, c in ((1, 1), (2, 2), *((3, 3), (4, 3)) * (s > 6))]
+    pair, made = jaccard.pair, []
+    monkeypatch.setattr(jaccard, "pair", lambda df: made.append(df.count()) or pair(df))
+    with Scratch(spark) as scratch:
+        found = jaccard._Join(None, None, 4, Plan(85, 100), scratch).across(spark.createDataFrame(lists, "signature long, node long, n long, class long"))
+        assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
+    assert made == [5]
+
+
+def test_a_groups_middle_is_its_pivot(spark):
+    """Of two groups each, the member nearest to the others, whatever the pivot was."""
+    sets = {1: range(100), 2: [*range(10, 100), *range(200, 210)], 3: [*range(90), *range(300, 310)], 4: range(50, 150), 5: range(1000, 1100), 6: range(1010, 1110), 7: range(1020, 1120)}
+    member = spark.createDataFrame([(4 if x < 5 else 7, x, 100) for x in sets], "pivot long, node long, n long")
+    with Scratch(spark) as scratch:
+        found = jaccard._Join(None, None, 4, Plan(85, 100), scratch).centred(member, spark.createDataFrame([(x, [*i]) for x, i in sets.items()], "node long, items array<long>"))
+        assert {r["node"]: r["pivot"] for r in found.collect()} == {x: 1 if x < 5 else 6 for x in sets}
+
+
 def test_a_passage_of_many_texts_makes_no_lists(spark, monkeypatch):
     """Texts of which a third is the same passage have enough segments of their own, and post these from the start."""
     draw = random.Random(8)
