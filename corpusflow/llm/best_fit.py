@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, running_totals, stage
+from .common import Scratch, documents, running_totals, small_batches, stage
 from .packing import WINDOW, tokenized_pieces
 
 END_ID = 1
@@ -118,7 +118,8 @@ def pack_tightly(docs: DataFrame, tokenizer: str | None = None, window: int = WI
 
         tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
     with Scratch(docs.sparkSession) as scratch:
-        pieces = scratch.stage(tokenized_pieces(docs, tokenizer, window, end_id).withColumn("nth", F.monotonically_increasing_id()), "pieces")
+        with small_batches(docs.sparkSession):
+            pieces = scratch.stage(tokenized_pieces(docs, tokenizer, window, end_id).withColumn("nth", F.monotonically_increasing_id()), "pieces")
         packed = pack_best_fit(pieces, window, scratch)
         piece = (F.col("start") / window).cast("int").alias("piece")
         return stage(packed.select("doc_id", piece, "start", "length", "ids_crc32", "sequence_id", "offset"), "best-fit")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, stage
+from .common import Scratch, documents, small_batches, stage
 
 WINDOW, END_ID = 4096, 2
 #: Lengths count in steps of this many tokens, rounded up, where combinations are solved.
@@ -246,7 +246,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
 
         tokenizer = str(public_tokenizers.path("word_bpe_49k.json"))
     with Scratch(docs.sparkSession) as scratch:
-        pieces = scratch.stage(tokenized_pieces(docs, tokenizer, window).withColumn("nth", F.monotonically_increasing_id()), "pieces")
+        with small_batches(docs.sparkSession):
+            pieces = scratch.stage(tokenized_pieces(docs, tokenizer, window).withColumn("nth", F.monotonically_increasing_id()), "pieces")
         return stage(pack(pieces, window, scratch=scratch).drop("nth"), "packed")
 
 

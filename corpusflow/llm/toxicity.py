@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ascii_lower, documents, mix, segment_hashes, text_buffers, word_bounds
+from .common import ascii_lower, documents, mix, segment_hashes, small_batches, text_buffers, word_bounds
 
 #: Labelled documents that the model is fitted on at most, drawn by a hash of doc_id: the bound of what is sent to every executor.
 MAX_LABELLED = 60_000
@@ -238,7 +238,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     Scores read the text alone. Without labels of a kind every score stays at the prior's level. Null and empty texts, and texts
     without a token of weight, score 0; repeated rows are scored each; columns of other names pass through.
     """
-    model = fit(docs, labels, max_labelled)
+    with small_batches(docs.sparkSession):
+        model = fit(docs, labels, max_labelled)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     x = excess(F.col("_top"), F.col("_n_tokens"), model.location, model.scale)
     z = F.least(F.lit(30.0), F.greatest(F.lit(-30.0), x * model.slope + model.shift))

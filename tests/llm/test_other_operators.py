@@ -508,6 +508,18 @@ def test_pack_encoder_keeps_words_apart():
     assert one("hello, hello world.") == one("hello, hello world.") and len(one("")) == 0
 
 
+@pytest.mark.parametrize("name", ["packing", "best_fit"])
+def test_texts_to_pack_go_to_python_some_at_a_time(spark, monkeypatch, name):
+    from corpusflow.llm import best_fit
+
+    module, seen, conf = {"packing": packing, "best_fit": best_fit}[name], [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, cut = spark.conf.get(conf), module.tokenized_pieces
+    monkeypatch.setattr(module, "tokenized_pieces", lambda *a: seen.append(int(spark.conf.get(conf))) or cut(*a))
+    pack_any = packing.pack_documents if name == "packing" else best_fit.pack_tightly
+    assert pack_any(docs(spark, {1: "x", 2: None})).count() == 2
+    assert max(seen) <= 1000 and spark.conf.get(conf) == before
+
+
 def test_windows_count_collisions_in_steps():
     """What is found is what a plain count of windows finds, each distance told once for all radii."""
     draw = np.random.default_rng(6)
