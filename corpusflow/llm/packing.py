@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,15 @@ from .common import Scratch, documents, small_batches, stage
 WINDOW, END_ID = 4096, 2
 #: Lengths count in steps of this many tokens, rounded up, where combinations are solved.
 STEP = 16
-#: Words a worker keeps the ids of; later ones are encoded anew each time.
-CACHE = 300_000
+#: Words a worker keeps the ids of, without the punctuation after them; later ones are encoded anew each time.
+CACHE = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Python's split() also takes these for white space, the tokenizer doesn't.
-ODD = re.compile("[\x1c-\x1fΣ]")
+ODD = "\x1c\x1d\x1e\x1fΣ"
+#: Words that the tokenizer's normalizer leaves as they are.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Punctuation between such a word and white space: a piece of its own.
+TAIL = re.compile(r"([!-/:-@\[-`{-~](?<=[a-zß-öø-ÿ].)[!-/:-@\[-`{-~]*)(?=\s|$)")
 
 
 class WordEncoder:
@@ -31,6 +36,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = self.tokenizer.pre_tokenizer
         self.kept: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -39,37 +46,45 @@ class WordEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
+    def _encode_letters(self, words: list[str], tokenizer) -> list[bytes]:
         """Of words of letters alone: each is one run of ids, and only its last id ends a word, so one call does for all."""
         if not words:
             return []
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        ids = np.asarray(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
         if len(ends) != len(words):
             return self._encode(words)
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _core(self, word: str) -> tuple[str, str]:
-        core = word.rstrip(".,")
-        return (core, word[len(core) :]) if core and core.isalpha() else (word, "")
+        core = word.rstrip(punctuation)
+        return (core, word[len(core) :]) if core.isalpha() else (word, "")
+
+    def _learnt(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of words that aren't kept; keeps them while there is room."""
+        kept = self.kept
+        parts = {w: self._core(w) for w in missing}
+        new = {p for pair in parts.values() for p in pair if p and p not in kept}
+        kinds = [[], [], []]
+        for p in new:
+            kinds[0 if PLAIN.fullmatch(p) else 1 if p.isalpha() else 2].append(p)
+        plain, letters, others = kinds
+        found = dict(zip(plain + letters + others, self._encode_letters(plain, self.bare) + self._encode_letters(letters, self.tokenizer) + self._encode(others), strict=True))
+        whole = {w: b"".join(found[p] if p in found else kept[p] for p in pair if p) for w, pair in parts.items()}
+        if len(kept) < CACHE:
+            kept |= found
+            kept |= whole
+        return whole
 
     def __call__(self, text: str) -> bytes:
-        if ODD.search(text):
+        if any(c in text for c in ODD):
             return self._encode([text])[0]
-        words, kept = text.lower().split() if "<|" not in text else text.split(), self.kept
-        ids = list(map(kept.get, words))
+        words = TAIL.sub(r" \1", text.lower()).split() if "<|" not in text else text.split()
+        ids = list(map(self.kept.get, words))
         if None in ids:
-            missing = {w for w, x in zip(words, ids, strict=True) if x is None}
-            parts = {w: self._core(w) for w in missing}
-            new = {p for pair in parts.values() for p in pair if p and p not in kept}
-            letters, others = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
-            found = dict(zip(letters + others, self._encode_letters(letters) + self._encode(others), strict=True))
-            whole = {w: b"".join(kept[p] if p in kept else found[p] for p in pair if p) for w, pair in parts.items()}
+            whole = self._learnt({w for w, x in zip(words, ids, strict=True) if x is None})
             ids = [whole[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-            if len(kept) < CACHE:
-                kept |= found
-                kept |= whole
         return b"".join(ids)
 
 

@@ -508,6 +508,16 @@ def test_pack_encoder_keeps_words_apart():
     assert one("hello, hello world.") == one("hello, hello world.") and len(one("")) == 0
 
 
+def test_pack_encoder_keeps_words_without_their_punctuation():
+    import public_tokenizers
+
+    one = packing.WordEncoder(str(public_tokenizers.path("word_bpe_49k.json")))
+    texts = ["hello. hello, Hello!? hello.,%%%\nhello", "it's x's' 'tis dogs'. a.b. 5. 5.. _a_. ((b))", "naïve. cafe\u0301. ÉTÉ... straße, ΑΣ. Слово. 漢字。 漢字.", "a.\x1cb. c.\x85d.\u00a0e.\u2028f.", "x. <|endoftext|>. Y.<|endoftext|>y. <|", ". . .. ,", ""]
+    for t in texts * 2:
+        assert one(t) == np.asarray(one.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert "hello" in one.kept and not {"hello.", "hello,", "hello!?", "hello.,%%%"} & one.kept.keys()
+
+
 @pytest.mark.parametrize("name", ["packing", "best_fit"])
 def test_texts_to_pack_go_to_python_some_at_a_time(spark, monkeypatch, name):
     from corpusflow.llm import best_fit
