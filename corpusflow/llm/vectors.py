@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -11,15 +11,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, stage
+from .common import Scratch, mix, sent, stage
 from .graph import components
 
 
 def valid(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """Rows whose vector is not null, empty or zero and has no null, NaN or infinite component; the vector as doubles."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return df.withColumn("v", v).filter(F.coalesce((F.size("v") > 0) & fine, F.lit(False)))
+    return df.withColumn("v", doubles(vector)).filter(usable())
+
+
+def doubles(vector: str) -> Column:
+    return F.transform(F.col(vector), lambda x: x.cast("double"))
+
+
+def usable(v: str = "v") -> Column:
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return F.coalesce((F.size(v) > 0) & fine, F.lit(False))
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -156,6 +163,10 @@ CONFIDENCE = 4.0
 BAND_RECALL = 0.97
 #: Largest level of a rotated vector's entries, which are kept as bytes.
 LEVELS = 7
+#: Bands whose keys are dealt out at once; members up to which a bucket's pairs are told column by column; entries of a group of buckets, about.
+TURN, FEW, GROUP = 8, 32, 40_000
+#: What a vector has in a band: the bucket's key, its point, up to 64 signs under the first rotation, the band.
+ENTRY = np.dtype([("key", "<u8"), ("point", "<i8"), ("short", "<u8"), ("band", "<u2")])
 
 
 def bands_for(n: int, threshold: float) -> tuple[int, int]:
@@ -177,12 +188,10 @@ class Coder:
         self.dim, self.bits, self.bands, self.seed = dim, bits, bands, seed
         self.turns = [rotation(dim, seed + i) for i in range(1 + -(-bits * bands // dim))]
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        """One 64-bit key per band: its bits and its number."""
-        turned = np.concatenate([x @ t.T for t in self.turns[1:]], axis=1)
-        up = (turned[:, : self.bits * self.bands] > 0).reshape(len(x), self.bands, self.bits)
-        packed = (up.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
-        return mix(packed + np.uint64(1)) ^ mix(np.arange(self.bands, dtype=np.uint64) + np.uint64(77))[None, :]
+    def sides(self, x: np.ndarray) -> np.ndarray:
+        """Packed signs under the further rotations, ``bits`` of them for each band."""
+        turned = np.concatenate([x @ t.T > 0 for t in self.turns[1:]], axis=1)
+        return np.packbits(turned[:, : self.bits * self.bands], axis=1)
 
     def codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Packed signs, correction factors, levels (bytes) and the size of a level, of unit rows."""
@@ -195,15 +204,86 @@ class Coder:
         return np.packbits(turned > 0, axis=1), factor, levels, step
 
 
+def band_keys(sides: np.ndarray, bits: int, first: int, last: int) -> np.ndarray:
+    """A 64-bit key for each band from ``first`` to before ``last``: its signs and its number."""
+    a, b = first * bits, last * bits
+    up = np.unpackbits(sides[:, a // 8 : -(-b // 8)], axis=1)[:, a % 8 : a % 8 + b - a].reshape(len(sides), last - first, bits)
+    packed = (up.astype(np.float64) @ 2.0 ** np.arange(bits)).astype(np.uint64)  # exact, as bits are 48 at most
+    return mix(packed + np.uint64(1)) ^ mix(np.arange(first, last, dtype=np.uint64) + np.uint64(77))[None, :]
+
+
+def may_reach(product: np.ndarray, factor: np.ndarray, step: np.ndarray, dim: int, threshold: float) -> np.ndarray:
+    """Whether inner products may be at least ``threshold``, by the products of codes with levels."""
+    estimate = product * step / math.sqrt(dim) / factor
+    # what the code leaves out, and what rounding to levels adds
+    spread = np.maximum(0.0, 1 - factor**2) / factor**2 / max(1, dim - 1)
+    return estimate + CONFIDENCE * np.sqrt(spread + step**2 / 4 / factor**2) >= threshold
+
+
+def as_signs(signs: np.ndarray, dim: int) -> np.ndarray:
+    return np.unpackbits(signs, axis=1, count=dim).astype(np.float32) * 2 - 1
+
+
 def likely(signs: np.ndarray, factor: np.ndarray, levels: np.ndarray, step: np.ndarray, threshold: float) -> np.ndarray:
     """Which of some vectors (rows) may have an inner product of at least ``threshold`` with which others (columns), by their codes alone."""
     dim = levels.shape[1]
-    code = np.unpackbits(signs, axis=1, count=dim).astype(np.float32) * 2 - 1
-    estimate = (code @ levels.T.astype(np.float32)) * step[None, :] / math.sqrt(dim) / factor[:, None]
-    # what the code leaves out, and what rounding to levels adds
-    spread = np.maximum(0.0, 1 - factor**2) / factor**2 / max(1, dim - 1)
-    rounding = step**2 / 4
-    return estimate + CONFIDENCE * np.sqrt(spread[:, None] + rounding[None, :] / factor[:, None] ** 2) >= threshold
+    return may_reach(as_signs(signs, dim) @ levels.T.astype(np.float32), factor[:, None], step[None, :], dim, threshold)
+
+
+def likely_pairs(signs: np.ndarray, factor: np.ndarray, levels: np.ndarray, step: np.ndarray, threshold: float) -> np.ndarray:
+    """The same of the vectors of each row with one another."""
+    dim = levels.shape[1]
+    return may_reach(np.einsum("ij,ij->i", as_signs(signs, dim), levels.astype(np.float32)), factor, step, dim, threshold)
+
+
+def most_unlike(n: int, threshold: float) -> int:
+    """How many of n signs differ at most, within CONFIDENCE, for vectors at the threshold."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(n * p + CONFIDENCE * math.sqrt(n * p * (1 - p))) + 1
+
+
+def dealt(point: np.ndarray, kind: np.ndarray, short: np.ndarray, sides: np.ndarray, bits: int, first: int, last: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of some vectors in the bands from ``first`` to before ``last``, sorted by group of buckets, and each one's group. ``kind`` tells what never meets."""
+    entries = np.zeros((last - first, len(point)), ENTRY)
+    entries["key"] = mix(band_keys(sides, bits, first, last) ^ mix(kind)[:, None]).T
+    entries["point"], entries["short"], entries["band"] = point, short, np.arange(first, last)[:, None]
+    entries = entries.reshape(-1)
+    group = (entries["key"] % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    return entries[order], group[order]
+
+
+def bucket_pairs(entries: np.ndarray, unlike: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of buckets of up to FEW: which entries (i, j) have signs that differ in ``unlike`` at most, all buckets at once. Of larger ones: which entries, and of how many."""
+    order = np.argsort(entries["key"], kind="stable")
+    key, short = entries["key"][order], entries["short"][order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(key)])))
+    size = np.repeat(sizes, sizes)
+    large = size > FEW
+    some = (size > 1) & ~large
+    own, key, short = order[some], key[some], short[some]
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for apart in range(1, FEW):
+        at = np.flatnonzero(key[apart:] == key[:-apart])
+        if not len(at):
+            break
+        at = at[np.bitwise_count(short[at] ^ short[at + apart]) <= unlike]
+        i.append(own[at])
+        j.append(own[at + apart])
+    return np.concatenate(i), np.concatenate(j), order[large], size[large]
+
+
+def binary_rows(raw: np.ndarray, ends: np.ndarray):
+    """An Arrow column of bytes that end at ``ends``."""
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw).tobytes())])
+
+
+def stacked(column, kind=np.uint8) -> np.ndarray:
+    """Byte strings of one length as the rows of an array."""
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
 
 
 @lru_cache(maxsize=8)
@@ -245,15 +325,18 @@ def meetings(frame: pd.DataFrame) -> list[tuple[int, int]]:
 
 
 MEETING = ("label", "key", "a", "b")
+#: The table of codes; the label has its own type.
+CODES = "point long, label ?, dim int, short long, signs binary, levels binary, sides binary, factor double, step double"
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.93, seed: int = 5, per_block: int = 512) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors of its label with cosine >= threshold found), component_id, kept.
 
-    Binary codes, correction factors and levels of all vectors are stored once; keys from further rotations make vectors of a label
-    meet in buckets. A bucket is cut into blocks of at most ``per_block``, and a task compares two blocks by their codes alone, which
-    gives the pairs in doubt, one bit each. Only their vectors are fetched, and only their inner products computed exactly. A pair that meets in several bands counts in
-    the first. Tasks give link counts and a spanning forest, never pairs. Equal vectors of a label are one point with a count.
+    Binary codes, correction factors and levels of all vectors are stored once, with the signs under further rotations that make vectors of a label meet in buckets.
+    Bands take turns: the entries of a few bands are dealt to groups of buckets in packed form. Small buckets of a group are told at once, by some signs, and the pairs
+    left are estimated from their codes. A larger bucket is cut into blocks of at most ``per_block``, and a task compares two blocks by their codes alone, which
+    gives the pairs in doubt, one bit each. Only the vectors of pairs in doubt are fetched, and only their inner products computed exactly. A pair that meets in several bands counts in
+    the first. Large buckets give link counts and a spanning forest, never pairs. Equal vectors of a label are one point with a count; vectors are read from ``df`` when needed, not kept.
 
     Vectors that are null, zero or hold null or non-finite components, and null labels, link with nothing. Rows equal in id, label and vector are one
     vector; other rows that share an id are vectors of their own, and a null id is none: it is ``kept`` if nothing it links to has one. An empty table gives no rows.
@@ -263,49 +346,127 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, seed: int = 5, per_b
 
 
 def _near_duplicates(df: DataFrame, threshold: float, seed: int, per_block: int, scratch: Scratch) -> DataFrame:
-    everyone = scratch.stage(df.select("vec_id", "label", "embedding").distinct().withColumn("row", F.monotonically_increasing_id()), "vectors")
-    rows = scratch.stage(valid(everyone.filter("label is not null")).select("vec_id", "row", "label", "v", F.size("v").alias("dim")), "labelled-vectors")
-    points = rows.groupBy("label", "dim", "v").agg(F.min("row").alias("point"), F.min("vec_id").alias("least"), F.count("row").alias("copies"))
-    points = scratch.stage(points, "points")
-    sizes = points.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
-    bits, bands = bands_for(sizes, threshold)
+    given = df.select("vec_id", "label", "embedding").withColumn("v", doubles("embedding"))
+    takes_part = F.col("label").isNotNull() & usable()
+    for salt in range(64):  # vectors are told apart by 192 bits, and named by 64 of them, under a salt that gives no two the same
+        point = F.xxhash64(F.lit(salt), "label", F.size("v"), "v")
+        holes = F.when(F.exists("v", lambda x: x.isNull()), F.xxhash64(F.transform("v", lambda x: x.isNull()))).otherwise(F.lit(0))
+        told = given.select("vec_id", "label", F.coalesce(F.size("v"), F.lit(-1)).alias("dim"), F.when(takes_part, point).alias("point"), F.xxhash64(F.lit(-1), "v").alias("k1"), F.xxhash64(F.lit(-2), "v").alias("k2"), holes.alias("holes"))
+        everyone = scratch.stage(told.groupBy(*told.columns).agg(F.count(F.lit(1)).alias("times")), "vectors")
+        points = everyone.filter("point is not null").groupBy("point", "label", "dim", "k1", "k2")
+        points = scratch.stage(points.agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.sum("times").alias("times")).drop("k1", "k2"), "points")
+        if points.groupBy("point").count().filter("count > 1").isEmpty():
+            break
+        scratch.drop(everyone, points)
+    else:
+        raise RuntimeError("no salt names all vectors")
+    n = points.count()
+    largest = points.groupBy("label", "dim").count().agg(F.max("count").alias("count"), F.max("dim").alias("dim")).first()
+    bits, bands = bands_for(largest["count"] or 1, threshold)
+    unlike = most_unlike(min(64, largest["dim"] or 1), threshold)
     label = df.schema["label"].dataType.simpleString()
+    repeated = scratch.stage(points.filter("times > 1").select("point"), "repeated")
+    repeats = not repeated.isEmpty()
+
+    def vectors_of(wanted: DataFrame | None = None) -> DataFrame:
+        """(point, label, dim, v) of all points, or of those in ``wanted``, from the table as given; of rows equal in label and vector one."""
+        found = given.filter(takes_part).select(point.alias("point"), "label", F.size("v").alias("dim"), "v")
+        if wanted is not None:
+            found = found.join(sent(wanted), "point", "left_semi")
+        if repeats:
+            found = found.join(sent(repeated), "point", "left_anti").unionByName(found.join(sent(repeated), "point", "left_semi").dropDuplicates(["point"]))
+        return found
 
     def unit(vectors: pd.Series) -> np.ndarray:
         x = np.stack(vectors.to_numpy())
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def code(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                column = batch.column(3)
+                offsets = column.offsets.to_numpy()
+                flat, at, dims = column.flatten().to_numpy(), offsets[:-1] - offsets[0], np.diff(offsets)
+                for dim in np.unique(dims).tolist():
+                    own = np.flatnonzero(dims == dim)
+                    x = flat[at[own][:, None] + np.arange(dim)]
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    coder, m = coder_for(dim, bits, bands, seed), len(own)
+                    signs, factor, levels, step = coder.codes(x)
+                    short = np.zeros((m, 8), np.uint8)
+                    short[:, : signs.shape[1]] = signs[:, :8]
+                    made = [binary_rows(r, np.arange(1, m + 1) * r.shape[1]) for r in (signs, levels, coder.sides(x))]
+                    columns = [c.take(pa.array(own)) for c in batch.columns[:3]]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(short.view(np.int64)[:, 0]), *made, pa.array(factor), pa.array(step)], names=[x.split()[0] for x in CODES.split(", ")])
+
+    coded = vectors_of().mapInArrow(code, CODES.replace("?", label))
+    coded = scratch.stage(coded, "codes")
+    groups = max(1, n * min(TURN, bands) // GROUP)
+
+    def deal(first: int, last: int):
+        def scan(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                if batch.num_rows:
+                    named = [batch.column(k).to_numpy() for k in range(3)]
+                    entries, group = dealt(named[0], *[x.view(np.uint64) for x in named[1:]], stacked(batch.column(3).to_pylist()), bits, first, last, groups)
+                    ends = np.flatnonzero(np.concatenate((group[1:] != group[:-1], [True]))) + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(group[ends - 1]), binary_rows(entries, ends * ENTRY.itemsize)], names=["group", "entries"])
+
+        return scan
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        entries = np.frombuffer(b"".join(frame["entries"]), ENTRY)
+        i, j, large, size = bucket_pairs(entries, unlike)
+        p, q, none = entries["point"][i], entries["point"][j], np.zeros(len(i), np.int64)
+        return pd.DataFrame({
+            "a": np.concatenate([np.minimum(p, q), entries["point"][large]]), "b": np.concatenate([np.maximum(p, q), np.zeros(len(large), np.int64)]),
+            "band": np.concatenate([entries["band"][i], entries["band"][large]]).astype(np.int32), "key": np.concatenate([none, entries["key"][large].view(np.int64)]), "size": np.concatenate([none, size]),
+        })
+
+    turns = []
+    for first in range(0, bands, TURN):
+        sources = coded.select("point", F.xxhash64("label", "dim").alias("kind"), "short", "sides")
+        entries = sources.mapInArrow(deal(first, min(bands, first + TURN)), "group long, entries binary")
+        turns.append(scratch.stage(entries.groupBy("group").applyInPandas(meet, "a long, b long, band int, key long, size long"), "met"))
+        del entries
+        scratch.drop()  # a turn's shuffle files go before the next
+    met = reduce(DataFrame.unionByName, turns)
+
+    # pairs of small buckets: estimated one by one
+    side = lambda x, *cs: coded.select(F.col("point").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "dim", "sides", *cs)])
+    pairs = scratch.stage(met.filter("size = 0").groupBy("a", "b").agg(F.min("band").alias("band")), "pairs")
+
+    def estimate(batches):
         for frame in batches:
-            for dim, part in frame.groupby("dim"):
-                x, coder = unit(part["v"]), coder_for(int(dim), bits, bands, seed)
-                signs, factor, levels, step = coder.codes(x)
-                yield pd.DataFrame({
-                    "label": part["label"].to_numpy(), "dim": part["dim"].to_numpy(), "point": part["point"].to_numpy(), "signs": [r.tobytes() for r in signs],
-                    "levels": [r.tobytes() for r in levels], "factor": factor, "step": step, "keys": list(coder.keys(x).view(np.int64)),
-                })
+            for dim, part in frame.groupby("dim_a"):
+                signs, levels = stacked(part["signs_a"]), stacked(part["levels_b"], np.int8)
+                part = part[likely_pairs(signs, part["factor_a"].to_numpy(), levels[:, : int(dim)], part["step_b"].to_numpy(), threshold)]
+                if len(part):
+                    keys = [band_keys(stacked(part[c]), bits, 0, bands) for c in ("sides_a", "sides_b")]
+                    earlier = (keys[0] == keys[1]) & (np.arange(bands)[None, :] < part["band"].to_numpy()[:, None])
+                    yield part[["a", "b"]].assign(first=~earlier.any(axis=1))
+
+    both = pairs.join(side("a", "signs", "factor"), "a").join(side("b", "levels", "step"), "b").filter("label_a = label_b and dim_a = dim_b")
+    few = scratch.stage(both.mapInPandas(estimate, "a long, b long, first boolean"), "pairs-in-doubt")
 
-    coded = points.select("label", "dim", "v", "point").mapInPandas(code, f"label {label}, dim int, point long, signs binary, levels binary, factor double, step double, keys array<long>")
-    coded = scratch.stage(coded, "codes")
-    met = scratch.stage(coded.select("label", "dim", "point", F.posexplode("keys").alias("band", "key")), "bands")
-    buckets = met.groupBy("label", "dim", "key").agg(F.count("point").alias("size")).filter("size > 1")
     # where a bucket is large, its members go to hashed blocks, and each pair of blocks is a group
-    wide = F.ceil(F.col("size") / (per_block // 2)).cast("int")
-    inside = met.join(buckets, ["label", "dim", "key"]).withColumn("wide", wide).withColumn("block", F.pmod(F.xxhash64("point"), F.col("wide")).cast("int"))
-    pairs = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
-    pairs = pairs.select("dim", "key", "label", "band", "point", "block", "wide", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    # buckets of one block share a group with others like them, so that groups are neither many nor large
-    groups = max(1, met.count() // 4000)
-    alone = F.pmod(F.xxhash64("label", "key"), F.lit(groups))
-    pairs = pairs.withColumn("task", F.when(F.col("wide") == 1, alone).otherwise(F.xxhash64("label", "key", "a", "b"))).drop("wide")
-    by_code = pairs.join(coded.select("point", "signs", "levels", "factor", "step"), "point")
+    inside = met.filter("size > 0").select(F.col("a").alias("point"), "band", "key", F.ceil(F.col("size") / (per_block // 2)).cast("int").alias("wide"))
+    inside = inside.withColumn("block", F.pmod(F.xxhash64("point"), F.col("wide")).cast("int"))
+    blocks = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    blocks = blocks.select("key", "band", "point", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    by_code = blocks.withColumn("task", F.xxhash64("key", "a", "b")).join(coded.select("point", "label", "dim", "signs", "levels", "factor", "step"), "point")
     place = ["dim", "task", "label", "key", "a", "b", "band", "block", "point"]
 
     def doubt(frame: pd.DataFrame) -> pd.DataFrame:
         """Members that have a partner in doubt, with their place in their block, and for those of the first block one bit for each place of the second."""
         frame = frame.sort_values(list(MEETING), kind="stable").reset_index(drop=True)
         dim = int(frame["dim"].iloc[0])
-        signs, levels = (np.frombuffer(b"".join(frame[c]), kind).reshape(len(frame), -1) for c, kind in (("signs", np.uint8), ("levels", np.int8)))
+        signs, levels = stacked(frame["signs"]), stacked(frame["levels"], np.int8)
         factor, step, block = (frame[c].to_numpy() for c in ("factor", "step", "block"))
         stays, at, bits = np.zeros(len(frame), bool), np.zeros(len(frame), np.int32), np.full(len(frame), b"", object)
         for s, e in meetings(frame):
@@ -322,15 +483,18 @@ def _near_duplicates(df: DataFrame, threshold: float, seed: int, per_block: int,
                 bits[left[i]] = np.packbits(maybe[i]).tobytes()
         return frame.assign(at=at, doubts=bits).loc[stays, [*place, "at", "doubts"]]
 
-    unsure = by_code.groupBy("dim", "task").applyInPandas(doubt, pairs.select(*place).schema.add("at", "integer").add("doubts", "binary"))
-    grouped = scratch.stage(unsure, "in-doubt").join(points.select("point", "v", "copies"), "point").join(coded.select("point", "keys"), "point")
-    grouped = grouped.withColumn("keys", F.slice("keys", F.lit(1), F.col("band")))
+    unsure = scratch.stage(by_code.groupBy("dim", "task").applyInPandas(doubt, by_code.select(*place).schema.add("at", "integer").add("doubts", "binary")), "in-doubt")
+    wanted = few.select(F.col("a").alias("point")).union(few.select("b")).union(unsure.select("point")).distinct()
+    fetched = vectors_of(scratch.stage(wanted, "wanted")).select("point", "v").join(points.select("point", "dim", "copies"), "point")
+    fetched = scratch.stage(fetched, "fetched")
+    sides = coded.select("point", "sides")
+    grouped = unsure.join(fetched.drop("dim"), "point").join(sides, "point")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         """Exact inner products of the pairs in doubt, and of no others."""
         frame = frame.sort_values([*MEETING, "block", "at"], kind="stable").reset_index(drop=True)
-        x = unit(frame["v"])
-        ids, copies, block, at, doubts, keys = (frame[c].to_numpy() for c in ("point", "copies", "block", "at", "doubts", "keys"))
+        x, keys = unit(frame["v"]), stacked(frame["sides"])
+        ids, copies, block, at, doubts, band = (frame[c].to_numpy() for c in ("point", "copies", "block", "at", "doubts", "band"))
         counts, edges = np.zeros(len(ids), np.int64), []
         for s, e in meetings(frame):
             own = np.arange(s, e)
@@ -344,26 +508,39 @@ def _near_duplicates(df: DataFrame, threshold: float, seed: int, per_block: int,
             i, j = i[near], j[near]
             if not len(i):
                 continue
-            if len(keys[s]):  # a pair counts in the first band in which it meets
-                earlier = np.stack(keys[s:e])
-                first = ~(earlier[i - s] == earlier[j - s]).any(axis=1)
-            else:
-                first = np.ones(len(i), bool)
+            # a pair counts in the first band in which it meets
+            earlier = band_keys(keys[s:e], bits, 0, int(band[s]))
+            first = ~np.logical_or.reduce([k[i - s] == k[j - s] for k in earlier.T]) if band[s] else np.ones(len(i), bool)
             np.add.at(counts, i[first], copies[j[first]])
             np.add.at(counts, j[first], copies[i[first]])
             edges += [(s + p, s + q) for p, q in forest(e - s, i - s, j - s)]
         some, found = np.flatnonzero(counts), np.array(edges, np.int64).reshape(-1, 2)
         return pd.DataFrame({"point": np.concatenate([ids[some], ids[found[:, 0]]]), "other": np.concatenate([np.full(len(some), -1), ids[found[:, 1]]]), "n": np.concatenate([counts[some], np.zeros(len(found), np.int64)])})
 
-    found = scratch.stage(grouped.groupBy("dim", "task").applyInPandas(compare, "point long, other long, n long"), "links")
+    def multiply(batches):
+        for frame in batches:
+            for _, part in frame.groupby("dim_a"):
+                m = len(part)
+                near = inner_products(np.concatenate([unit(part["v_a"]), unit(part["v_b"])]), np.arange(m), np.arange(m) + m) >= threshold
+                part = part[near]
+                counted = part[part["first"]]
+                yield pd.DataFrame({
+                    "point": np.concatenate([part["a"], counted["a"], counted["b"]]), "other": np.concatenate([part["b"], np.full(2 * len(counted), -1)]),
+                    "n": np.concatenate([np.zeros(len(part), np.int64), counted["copies_b"], counted["copies_a"]]),
+                })
+
+    large = scratch.stage(grouped.groupBy("dim", "task").applyInPandas(compare, "point long, other long, n long"), "links")
+    of = lambda x: fetched.select(F.col("point").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("v", "dim", "copies")])
+    small = scratch.stage(few.join(of("a"), "a").join(of("b"), "b").mapInPandas(multiply, "point long, other long, n long"), "links")
+    found = large.unionByName(small)
+    scratch.drop(coded, *turns, pairs, few, unsure, fetched)
     counts = found.filter("n > 0").groupBy("point").agg(F.sum("n").alias("n"))
     classes = components(found.filter("n = 0").select(F.col("point").alias("a"), F.col("other").alias("b")).distinct(), scratch.stage).withColumnRenamed("node", "point")
     least = points.join(classes, "point").groupBy("component").agg(F.min("least").alias("component_id"))
     classes = classes.join(least, "component").drop("component")
     of_point = points.join(counts, "point", "left").join(classes, "point", "left")
-    of_point = of_point.select("label", "dim", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    told = rows.join(of_point, ["label", "dim", "v"]).select("row", "n_links", "component_id")
-    out = everyone.select("vec_id", "row").join(told, "row", "left")
+    of_point = of_point.select("point", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    out = everyone.select("vec_id", "point").join(of_point, "point", "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return stage(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "near-vectors")

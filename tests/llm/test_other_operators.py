@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusflow.llm import packing, secrets, toxicity, vectors
+from corpusflow.llm import common, packing, secrets, toxicity, vectors
 from corpusflow.llm.graph import components
 from corpusflow.llm.mixing import min_cost_flow, mix_sources, parts_of as flow_parts, taken_rows, targets, words_of
 from corpusflow.llm.packing import WINDOW, best_fit, combinations, nnls, pack_documents, repeat_counts
@@ -426,6 +426,39 @@ def test_near_vectors_of_repeated_and_null_ids(spark):
     got = Counter(map(tuple, vectors.near_duplicates(df).collect()))
     assert got == Counter([(5, 2, 5, True), (5, 0, 5, True), (7, 2, 5, False), (None, 2, 5, False), (None, 0, None, True)])
 
+def test_near_vectors_write_little_between_jobs(spark, monkeypatch, tmp_path):
+    """What is written between the jobs is codes, not vectors and not a row per vector and band: below three times the table, whatever the number of bands."""
+    draw = np.random.default_rng(31)
+    rows = draw.standard_normal((3000, 64)).astype(np.float32)
+    rows[1500:1600] = rows[:100] + draw.standard_normal((100, 64)).astype(np.float32) * 0.1
+    spark.createDataFrame([(i, i % 1500 % 3, v.tolist()) for i, v in enumerate(rows)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings"))
+    bytes_of = lambda path: sum(f.stat().st_size for f in Path(path).rglob("*.parquet"))
+    written, write = [], common._written
+
+    def counted(df, name):
+        table, path = write(df, name)
+        written.append(bytes_of(path.removeprefix("file://")))
+        return table, path
+
+    monkeypatch.setattr(common, "_written", counted)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.read.parquet(str(tmp_path / "embeddings"))).collect()}
+    assert sum(written) < 3 * bytes_of(tmp_path / "embeddings")
+    x = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    linked = [i for i in range(100) if x[i] @ x[1500 + i] >= 0.93]
+    found = [i for i in linked if got[1500 + i] == (1, i)]
+    assert len(found) >= 0.97 * len(linked) and len(linked) > 90
+    assert sum(n for n, _ in got.values()) == 2 * len(found)
+
+
+def test_small_and_large_buckets_tell_the_same_pairs(spark, monkeypatch):
+    rows = clustered(seed=4)
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    got = []
+    for few in (2, 32):
+        monkeypatch.setattr(vectors, "FEW", few)
+        got.append({tuple(r) for r in vectors.near_duplicates(df, per_block=64).select("vec_id", "component_id").collect()})
+    assert len(got[0] & got[1]) >= 0.99 * len(rows)
+
 
 def test_only_pairs_in_doubt_are_multiplied(spark, monkeypatch, tmp_path):
     """Pairs of close vectors among many far ones, all in one bucket of several blocks: about as many exact products as pairs, whatever the vectors in doubt."""
