@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+#: Rows that go to Python at a time.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of a few numbers that may be broadcast (some tens of MB); more are joined by a shuffle.
 MAX_SENT = 500_000
 
@@ -87,13 +89,18 @@ class Scratch:
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Texts go to Python so many at a time while jobs run within: at Spark's own 10,000, buffers of some tens of MB on both sides are held in each task."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    before = spark.conf.get(BATCH)
+    batches_at_most(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH, before)
+
+
+def batches_at_most(spark: SparkSession, rows: int = 1000) -> None:
+    """The same from here on, for a job that owns its session: a result that goes through Python is made when its caller writes it."""
+    before = int(spark.conf.get(BATCH))
+    spark.conf.set(BATCH, str(min(rows, before) if before > 0 else rows))
 
 
 def sent(df: DataFrame) -> DataFrame:

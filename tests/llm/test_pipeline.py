@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import uuid
 
 import corpus_pipeline
+from corpusflow.llm import toxicity
 from corpusflow.llm.common import stage
 
 from .helpers import text_of, with_clashes
@@ -70,3 +72,25 @@ def test_pipeline(spark, tmp_path):
     empty = docs.limit(0)
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_scoring_takes_small_batches_when_the_caller_writes(spark, monkeypatch, tmp_path):
+    log, buffers = tmp_path / "sizes", toxicity.text_buffers
+    log.mkdir()
+
+    def counted(column):
+        (log / uuid.uuid4().hex).write_text(str(len(column)))
+        return buffers(column)
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(toxicity, "text_buffers", counted)
+    spark.createDataFrame([(i, f"some text {i}") for i in range(2500)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents"))
+    spark.createDataFrame([(i, 0) for i in range(50)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    try:
+        out = corpus_pipeline.toxicity(spark, spark.read.parquet(str(tmp_path / "documents")), str(tmp_path))
+        out.write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2500
+    sizes = [int(f.read_text()) for f in log.iterdir()]
+    assert sum(sizes) >= 2500 and max(sizes) <= 1000
