@@ -381,6 +381,16 @@ def test_components(spark):
     assert got == {n: root(n) for e in edges if e[0] != e[1] for n in e}
 
 
+def test_groups_about_hubs_take_few_rounds(spark, monkeypatch):
+    """Two hubs a group that all others link to, as the lists of near copies give them."""
+    edges = [(1000 * g + h, 1000 * g + i) for g in range(3) for h in (400, 500) for i in range(900) if i not in (400, 500)]
+    names, write = [], common.Scratch.stage
+    monkeypatch.setattr(common.Scratch, "stage", lambda self, df, name: names.append(name) or write(self, df, name))
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1000 * g + i: 1000 * g for g in range(3) for i in range(900)}
+    assert names.count("joined") <= 3
+
+
 def odd_vectors():
     nan, inf = float("nan"), float("inf")
     return [(9000, 1, None), (9001, 1, [0.0] * 8), (9002, 1, [nan] + [1.0] * 7), (9003, 1, [inf] + [1.0] * 7), (9004, 1, [None] + [1.0] * 7), (9005, 1, []), (9006, None, [1.0] * 8), (9007, 1, [1.0] * 4)]
