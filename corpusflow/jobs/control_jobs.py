@@ -27,8 +27,8 @@ def _presets(spark: SparkSession, sf_dir: str) -> Presets:
         "t": F.when(F.col("l_discount") == 0, "1").when(F.col("l_tax") == 0, "null").otherwise("true"),
         "u": F.when(q % 11 == 0, "0"),
     }
-    set_to = F.explode(F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(k).alias("variable"), v.alias("value"))) for k, v in given.items()))))
-    settings = lines.select(F.col("l_partkey").alias("case"), F.struct("l_orderkey", "l_linenumber").alias("preset"), set_to.alias("s")).select("case", "preset", "s.*")
+    set_to = F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(k).alias("variable"), v.alias("value"))) for k, v in given.items())))
+    settings = lines.select(F.col("l_partkey").alias("case"), F.struct("l_orderkey", "l_linenumber").alias("preset"), set_to.alias("settings"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("case"), (F.col("p_size") % 2 == 0).alias("even"))
     scaled = F.when(F.col("even"), "normalize").otherwise("clamp")
     row = lambda *values: F.struct(*(F.lit(v).alias(c) if not hasattr(v, "alias") else v.alias(c) for c, v in zip(("variable", "kind", "rule", "low", "high", "options", "type", "dims"), values, strict=True)))

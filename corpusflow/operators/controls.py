@@ -9,11 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import need
+from ..shared import Rounds
 from .pointers import nodes
 
 #: Policies, kinds of controls, the step of a probe and its share of an entry, the least positive probe.
 RULES, KINDS = ("clamp", "reject", "normalize", "warn"), ("slider", "number", "select", "toggle", "vector", "matrix")
 STEP, STEP_SHARE, LEAST_POSITIVE = 0.25, 0.25, 1e-6
+#: What a setting goes by.
+KEY = ("case", "preset", "variable")
 #: JSON texts of numbers.
 NUMBER = "^-?[0-9]"
 
@@ -72,8 +75,9 @@ def under_policy(value: Column, kind: str, rule: str, low: Column, high: Column,
 
 @dataclass
 class Presets:
-    """Tables of what presets set. ``settings``: case, preset, variable, value (JSON text), one row for each variable that a preset sets. ``controls``: case, variable, kind, rule, low, high, options (JSON texts).
-    ``variables``: case, variable, type, dims (texts: numbers, or variables whose values they are). ``initial``: case, variable, value (JSON text)."""
+    """Tables of what presets set. ``settings``: case, preset, variable, value (JSON text), one row for each variable that a preset sets; or case, preset and an array ``settings`` of variable and value, one or more
+    rows a preset. ``controls``: case, variable, kind, rule, low, high, options (JSON texts). ``variables``: case, variable, type, dims (texts: numbers, or variables whose values they are).
+    ``initial``: case, variable, value (JSON text)."""
 
     settings: DataFrame
     controls: DataFrame
@@ -81,6 +85,31 @@ class Presets:
     initial: DataFrame
 
 
+def _as_json(c: Column) -> Column:
+    return F.to_json(F.try_parse_json(c))
+
+
+def _whole_presets(settings: DataFrame) -> DataFrame:
+    """(case, preset, settings): one row for each preset, its settings ordered by variable. Only presets that come in several rows are shuffled with their values; a digest finds these, and their own keys group them."""
+    if "settings" not in settings.columns:
+        return settings.groupBy("case", "preset").agg(F.array_sort(F.collect_list(F.struct("variable", "value"))).alias("settings"))
+    rows = settings.select("case", "preset", "settings")
+    key = F.xxhash64("case", "preset").alias("_key")
+    with Rounds(settings.sparkSession) as rounds:  # a table, so its size is known before the join
+        several = rounds.result(rows.select(key).groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key"))
+    keyed = rows.withColumn("_key", key)
+    single = keyed.join(several, "_key", "left_anti").drop("_key")
+    more = keyed.join(several, "_key", "left_semi").groupBy("case", "preset").agg(F.flatten(F.collect_list("settings")).alias("settings"))
+    return single.unionByName(more).withColumn("settings", F.array_sort("settings"))
+
+
+def _value_shapes(values: DataFrame) -> DataFrame:
+    """(value, text, and what ``_shapes`` tells, lengths as doubles): each JSON text of ``values`` once, however many settings have it, with its normal form; other texts are left out."""
+    with Rounds(values.sparkSession) as rounds:
+        own = rounds.keep(values.filter("value is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
+        return rounds.result(own.join(_shapes(nodes(own, "id", "value")), "id").drop("id").withColumns({"text": _as_json(F.col("value")), "shape": F.transform("shape", lambda n: n.cast("double"))}))
+
+
 def _shapes(leaves: DataFrame) -> DataFrame:
     """Per id of ``nodes``: its shape (lengths by level), whether all its arrays are full and alike, and sums over its leaves.
 
@@ -101,6 +130,37 @@ def _shapes(leaves: DataFrame) -> DataFrame:
     return told.withColumn("even", F.coalesce((F.col("n") == places) & (F.col("at") == F.col("deepest")), F.lit(False)))
 
 
+def _by_case(df: DataFrame, name: str, *columns: Column | str) -> DataFrame:
+    """(case, name): a map of ``columns`` by variable. Its size is seldom guessed well, so it is never broadcast."""
+    rows = F.array_sort(F.collect_list(F.struct("variable", F.struct(*columns).alias("it"))))
+    first = lambda r, i: (i == 0) | (r["variable"] != F.get("_rows", i - 1)["variable"])
+    return df.filter("variable is not null").groupBy("case").agg(rows.alias("_rows")).select("case", F.map_from_entries(F.filter("_rows", first)).alias(name)).hint("merge")
+
+
+def _number(c: Column) -> Column:
+    return F.when(F.trim(c).rlike(NUMBER), c.try_cast("double"))
+
+
+def _with_controls(s: Column, i: Column) -> Column:
+    """A setting of a preset with what is declared of its variable. ``once``: nothing else sets it; ``again``: one before it in the array does."""
+    same = lambda at: s["variable"].eqNullSafe(F.get("settings", at)["variable"])
+    again = (i > 0) & same(i - 1)
+    once = ~again & ~((i + 1 < F.size("settings")) & same(i + 1))
+    of = [F.try_element_at(f"_{name}", s["variable"]).alias(name) for name in ("control", "declared")]
+    return F.struct(s["variable"].alias("variable"), s["value"].alias("value"), again.alias("again"), once.alias("once"), *of)
+
+
+def _with_sizes(s: Column) -> Column:
+    """A setting with the sizes of its dimensions: a number, or what the preset or else the case sets the variable of that name to (null: neither)."""
+
+    def named(dim: Column) -> Column:
+        own = F.get(F.filter("settings", lambda o: (o["variable"] == dim["name"]) & o["once"]), F.lit(0))["value"]
+        first = F.try_element_at("_initial", dim["name"])["value"]
+        return F.struct(*(dim[c].alias(c) for c in ("fixed", "size")), F.when(~dim["fixed"], F.coalesce(F.when(F.col("case").isNotNull() & F.col("preset").isNotNull(), own), first)).alias("value"))
+
+    return F.struct(*(s[c].alias(c) for c in ("variable", "value", "again", "once", "control")), s["declared"]["type"].alias("type"), F.transform(s["declared"]["dims"], named).alias("dims"))
+
+
 def preset_findings(t: Presets, tolerance: float = 1e-6, canonical: bool = False) -> DataFrame:
     """(case, preset, variable, code): the first rule, in the order below, that a setting breaks; settings that break none give no row.
 
@@ -110,47 +170,41 @@ def preset_findings(t: Presets, tolerance: float = 1e-6, canonical: bool = False
     neither is there, and any shape where none is declared. Controls, variables and initial values are unique by case and variable; columns beside those named are left alone.
     A number beyond a double's range is read as a text, so it isn't numeric.
     """
-    key = ["case", "preset", "variable"]
-    settings = t.settings.select(*key, "value").withColumns({"id": F.struct(*key), "times": F.count(F.lit(1)).over(W.partitionBy(*key))})
-    twice = settings.filter("times > 1").select(*key, F.lit("TWICE").alias("code")).distinct()
-    once = settings.filter("times = 1").drop("times")
-    shapes = _shapes(nodes(once, "id", "value"))
-    # dimensions, of which those with names are looked up among the preset's settings and initial values
-    number = lambda c: F.when(F.trim(c).rlike(NUMBER), c.try_cast("double"))
-    declared = t.variables.select("case", "variable", F.col("type").alias("type"), F.coalesce("dims", F.array().cast("array<string>")).alias("dims"))
-    dims = once.select("id", *key).join(declared.select("case", "variable", F.posexplode("dims").alias("place", "dim")), ["case", "variable"])
-    dims = dims.join(once.select("case", "preset", F.col("variable").alias("dim"), F.col("value").alias("set")), ["case", "preset", "dim"], "left")
-    dims = dims.join(t.initial.select("case", F.col("variable").alias("dim"), F.col("value").alias("first")), ["case", "dim"], "left")
-    fixed = F.col("dim").rlike(NUMBER)
-    named = F.coalesce("set", "first")
-    size = F.when(fixed, number(F.col("dim"))).otherwise(number(named))
-    dims = dims.select("id", F.struct("place", size.alias("size"), (~fixed & named.isNull()).alias("open")).alias("d"))
-    dims = dims.groupBy("id").agg(F.array_sort(F.collect_list("d")).alias("wanted"))
-
-    controls = t.controls.select("case", "variable", F.col("kind").alias("control"), "rule", F.col("low").cast("double").alias("from"), F.col("high").cast("double").alias("to"), "options")
-    told = once.join(shapes, "id", "left").join(dims, "id", "left").join(controls, ["case", "variable"], "left").join(declared, ["case", "variable"], "left")
-    sizes = F.coalesce(F.transform("wanted", lambda d: F.when(d["open"] & F.lit(canonical), F.get("shape", d["place"]).cast("double")).otherwise(d["size"])), F.array().cast("array<double>"))
+    bounds = F.col("low").cast("double").alias("from"), F.col("high").cast("double").alias("to")
+    controls = _by_case(t.controls, "_control", F.col("kind").alias("control"), "rule", *bounds, F.transform("options", _as_json).alias("options"))
+    dims = F.transform(F.coalesce("dims", F.array().cast("array<string>")), lambda d: F.struct(d.alias("name"), d.rlike(NUMBER).alias("fixed"), _number(d).alias("size")))
+    declared = _by_case(t.variables, "_declared", F.col("type").alias("type"), dims.alias("dims"))
+    values = t.settings.select(F.explode(F.col("settings")["value"]).alias("value")) if "settings" in t.settings.columns else t.settings.select("value")
+    shapes = _value_shapes(values)
+    # a preset meets what its case declares as one row; its settings meet the shapes of values
+    whole = _whole_presets(t.settings).join(controls, "case", "left").join(declared, "case", "left").join(_by_case(t.initial, "_initial", "value"), "case", "left")
+    whole = whole.withColumn("settings", F.transform("settings", _with_controls))
+    told = whole.select("case", "preset", F.inline(F.transform("settings", _with_sizes))).join(shapes, "value", "left")
+    told = told.select(*KEY, "again", "once", *(c for c in shapes.columns if c != "value"), *(f"control.{c}" for c in ("control", "rule", "from", "to", "options")), "type", "dims")
+
+    size = lambda d, i: F.when(d["fixed"], d["size"]).when(F.lit(canonical) & d["value"].isNull(), F.get("shape", i)).otherwise(_number(d["value"]))
+    sizes = F.transform("dims", size)
     if canonical:
-        sizes = F.when(F.size("dims") == 0, F.transform("shape", lambda n: n.cast("double"))).otherwise(sizes)
+        sizes = F.when(F.size("dims") == 0, F.col("shape")).otherwise(sizes)
     told = told.withColumn("sizes", sizes)
-    as_json = lambda c: F.to_json(F.try_parse_json(c))
     distribution = F.coalesce(F.col("type") == "distribution", F.lit(False))
     measure = F.when(distribution | F.lit(not canonical), F.col("total")).otherwise(F.sqrt("squares"))
     one = (F.size("shape") == 1) & ~(distribution & (F.col("least") < 0)) & (F.abs(measure - 1) <= tolerance)
     code = (
-        F.when(F.col("control").isNull(), "UNCONTROLLED")
+        F.when(~F.col("once"), F.when(~F.col("again"), "TWICE"))
+        .when(F.col("control").isNull(), "UNCONTROLLED")
         .when(F.col("dims").isNull(), "UNDECLARED")
         .when(F.col("n").isNull() | (F.col("objects") > 0) | (F.col("unknown") > 0), "NOT_A_VALUE")
         .when(~F.col("even"), "RAGGED")
         .when(F.exists("sizes", lambda s: ~F.coalesce((s > 0) & (s == F.floor(s)), F.lit(False))), "DIMENSION")
-        .when(F.col("sizes") != F.transform("shape", lambda n: n.cast("double")), "SHAPE")
-        .when(F.col("control") == "select", F.when(~F.coalesce(F.exists("options", lambda o: as_json(o) == as_json(F.col("value"))), F.lit(False)), "OPTION"))
+        .when(F.col("sizes") != F.col("shape"), "SHAPE")
+        .when(F.col("control") == "select", F.when(~F.coalesce(F.exists("options", lambda o: o == F.col("text")), F.lit(False)), "OPTION"))
         .when(F.col("control") == "toggle", F.when((F.size("shape") > 0) | (F.col("booleans") != 1), "TOGGLE"))
         .when(F.col("numbers") != F.col("n"), "NOT_NUMERIC")
         .when(_outside(F.col("least"), F.col("from"), F.col("to")) | _outside(F.col("most"), F.col("from"), F.col("to")), "RANGE")
         .when((F.col("rule") == "normalize") & ~F.coalesce(one, F.lit(False)), "NORMALIZED")
     )
-    return told.select(*key, code.alias("code")).filter("code is not null").unionByName(twice)
+    return told.select(*KEY, code.alias("code")).filter("code is not null")
 
 
 # -- probes -----------------------------------------------------------------------------------------------------------------------

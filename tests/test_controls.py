@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.operators import controls
 from corpusflow.operators.controls import Presets, matrix_probes, preset_findings, probes, under_policy
 
 
@@ -119,6 +121,21 @@ def test_settings_made_twice_and_empty_tables(spark):
     assert preset_findings(presets(spark, [], [])).count() == 0
 
 
+def test_presets_as_rows_of_arrays(spark, monkeypatch):
+    """Presets whose settings come as arrays, one of them in two rows, give what their rows give; however many settings share a value, it is unfolded once."""
+    cases = CASES + [({"n": "3"}, {})] * 20
+    t = presets(spark, cases, [(1, 0, "n", "4")])
+    want = {p: {**w, **({"n": "TWICE"} if p == 0 and "n" in cases[0][0] else {})} for p, (_, w) in enumerate(cases)}
+    rows = t.settings.withColumn("half", F.col("preset") == 0).withColumn("half", F.col("half") & (F.col("variable") < "n"))
+    arrays = rows.groupBy("case", "preset", "half").agg(F.collect_list(F.struct("variable", "value")).alias("settings")).drop("half")
+    unfolded = []
+    plain = controls.nodes
+    monkeypatch.setattr(controls, "nodes", lambda df, *more: unfolded.append(df.count()) or plain(df, *more))
+    of_rows, of_arrays = found(preset_findings(t)), found(preset_findings(dataclasses.replace(t, settings=arrays)))
+    assert of_rows == of_arrays and {p: of_rows.get(p, {}) for p in range(1, len(cases))} == {p: w for p, w in want.items() if p}
+    assert unfolded == [t.settings.select("value").filter("value is not null").distinct().count()] * 2
+
+
 def test_canonical_values_bring_their_shape(spark):
     cases = [({"lost": "[1, 2]", "open": "[0.6, 0.8]"}, {}), ({"open": "[0.5, 0.5]"}, {"open": "NORMALIZED"}), ({"open": "[[1]]"}, {"open": "NORMALIZED"}), ({"w": "[0, 1, 1]"}, {"w": "SHAPE"})]
     assert found(preset_findings(presets(spark, cases), canonical=True)) == {p: want for p, (_, want) in enumerate(cases) if want}
