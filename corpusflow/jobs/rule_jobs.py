@@ -10,6 +10,7 @@ from ..functions.text import collapsed
 from ..operators.blocks import figure_items, font_heading, nearest_overlapping, numbered_equations, numbered_heading, relevant_caption, within_caps
 from ..operators.rules import (
     alternative_values,
+    anchor_ranks,
     contiguous,
     final_order,
     missing_producers,
@@ -137,7 +138,7 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """References (case, kind, number) and elements. Many cases share a reference, of which those to regions name a fifth of all elements each."""
     orders = table(spark, sf_dir, "orders")
-    elements = orders.select(F.col("o_orderkey").alias("element"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("section"), F.when(F.col("o_orderkey") % 3 == 0, "table").otherwise("figure").alias("kind"), (F.col("o_orderkey") % 500).cast("string").alias("number"))
+    elements = orders.select("*", F.col("o_orderkey").alias("element"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("section"), F.when(F.col("o_orderkey") % 3 == 0, "table").otherwise("figure").alias("kind"), (F.col("o_orderkey") % 500).cast("string").alias("number"))
     cases = table(spark, sf_dir, "supplier")
     region = cases.join(F.broadcast(table(spark, sf_dir, "region")), F.col("s_suppkey") % 7 == F.col("r_regionkey")).select("s_suppkey", F.lit("section").alias("kind"), F.lower("r_name").alias("number"))
     nation = cases.select("s_suppkey", F.lit("section"), F.concat(F.lit("nation_"), (F.col("s_nationkey") * 2).cast("string")))
@@ -155,22 +156,20 @@ def explicit_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.join(counts, ["kind", "number"], "left").select("case", "kind", "number", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "first")
 
 
-def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _placed(orders: DataFrame) -> DataFrame:
     """Each order's place among all, the dearest first, as a value to sort by; and whether it is a last resort as an anchor."""
-    place = F.struct((-F.col("o_totalprice")).alias("price"), F.col("o_orderkey").alias("id")).alias("place")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("element"), place, (F.col("o_orderstatus") == "P").alias("late"), "o_custkey")
+    place = F.struct((-F.col("o_totalprice")).alias("price"), F.col("o_orderkey").alias("id"))
+    return orders.withColumns({"place": place, "late": F.col("o_orderstatus") == "P"})
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("element"), "place", "late", "o_custkey")
 
 
 def protected_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reference's anchor: its best element, one that is open or finished if there is any; with its rank among all that its case's references name."""
     references, elements = _references(spark, sf_dir)
-    found, places = named_elements(references, elements, _sections(spark, sf_dir))[0], _places(spark, sf_dir)
-    first = shared_anchors(references, found, places)
-    # the union of what the references of a case name, down to its last anchor
-    last = first.join(places.select("element", "place"), "element").groupBy("case").agg(F.max("place").alias("last"))
-    own = references.join(last, "case").join(found.join(places.select("element", "place"), "element"), ["kind", "number"]).filter(F.col("place") <= F.col("last")).select("case", "element", "place").distinct()
-    ranked = own.select("case", "element", F.row_number().over(W.partitionBy("case").orderBy("place")).cast("long").alias("rank"))
-    return first.join(ranked, ["case", "element"]).select("case", "kind", "number", "element", "rank")
+    return anchor_ranks(references, _placed(elements), _sections(spark, sf_dir))
 
 
 def final_places(spark: SparkSession, sf_dir: str) -> DataFrame:

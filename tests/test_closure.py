@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 
 from corpusflow.operators.closure import ancestors, hierarchy_findings, levels, reachable
-from corpusflow.operators.rules import explicit_lookup
+from corpusflow.operators.rules import anchor_ranks, explicit_lookup
 
 SECTIONS = "section string, parent string"
 
@@ -78,3 +78,36 @@ def test_levels_at_any_depth_and_below_circles(spark):
     edges = [(f"n{i}", f"n{i + 1}") for i in range(12)] + [("n0", "n9"), ("x", "y"), ("y", "x"), ("y", "z"), ("r", "z"), ("n0", "n1")]
     got = dict(told(levels(spark.createDataFrame(edges, "a string, b string"))))
     assert got == {f"n{i}": i for i in range(13)} | {"r": 0, "x": None, "y": None, "z": None}
+
+
+def test_ranks_of_anchors_among_all_that_a_case_names(spark):
+    """Counted by patterns of references; plain sets must give the same."""
+    draw = random.Random(3)
+    tree = [("r0", "Top", None), ("r1", "Other", None)] + [(f"n{i}", f"N{i}", f"r{i % 2}") for i in range(4)] + [(f"c{i}", f"C{i}", f"n{i % 4}") for i in range(12)]
+    elements = [(i, f"c{draw.randrange(12)}", draw.choice(["figure", "table"]), str(i % 5), draw.random(), draw.random() < 0.3) for i in range(300)]
+    names = [("section", n.upper()) for _, n, _ in tree] + [(k, str(n)) for k in ("figure", "table") for n in range(6)]
+    references = [(case, *ref) for case in range(40) for ref in draw.sample(names, draw.randrange(1, 6))]
+    got = anchor_ranks(
+        spark.createDataFrame(references, "case int, kind string, number string"),
+        spark.createDataFrame(elements, "element int, section string, kind string, number string, place double, late boolean"),
+        spark.createDataFrame(tree, "section string, number string, parent string"),
+    )
+    up = {s: p for s, _, p in tree}
+    numbers = {s: n.lower() for s, n, _ in tree}
+
+    def above(s):
+        return [] if s is None else [numbers[s], *above(up[s])]
+
+    want = set()
+    for case in range(40):
+        own = sorted({(k, n.lower()) for c, k, n in references if c == case})
+        found = {r: [e for e in elements if (r[1] in above(e[1]) if r[0] == "section" else (e[2], e[3]) == r)] for r in own}
+        order = sorted({(e[4], e[0]) for es in found.values() for e in es})
+        taken = set()
+        for r in own:
+            if found[r]:
+                best = min(found[r], key=lambda e: (e[5], e[4]))
+                if best[0] not in taken:
+                    taken.add(best[0])
+                    want.add((case, *r, best[0], order.index((best[4], best[0])) + 1))
+    assert {tuple(r) for r in got.collect()} == want
