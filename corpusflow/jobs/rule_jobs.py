@@ -93,7 +93,8 @@ def figure_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0, y0 = F.col("l_quantity") * 12.0, (F.col("l_partkey") * 7 % 790).cast("double")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
     kind = F.when(F.col("l_linenumber") % 3 == 0, "image").when(F.col("l_linenumber") % 3 == 1, "label").otherwise("shape")
-    box = table(spark, sf_dir, "lineitem").select("l_suppkey", key.alias("box"), kind.alias("kind"), x0.alias("x0"), y0.alias("y0"), (x0 + 50 + F.col("l_linenumber") * 10).alias("x1"), (y0 + 15).alias("y1"), "l_returnflag").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag").distinct()  # these say all of a box
+    box = lines.select("l_suppkey", key.alias("box"), kind.alias("kind"), x0.alias("x0"), y0.alias("y0"), (x0 + 50 + F.col("l_linenumber") * 10).alias("x1"), (y0 + 15).alias("y1"), "l_returnflag")
     found = figure_items(box.filter("l_returnflag = 'R'"), box.filter("l_returnflag = 'N'").withColumnRenamed("box", "item"), "l_suppkey", "box", "item", 800.0, most=20)
     return found.groupBy("l_suppkey", "box", "kind").agg(F.count("item").alias("n"), F.min("item").alias("first"), F.max("item").alias("last"))
 

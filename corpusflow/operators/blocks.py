@@ -79,20 +79,17 @@ def numbered_equations(blocks: DataFrame, page: str, key: str) -> DataFrame:
     return taken_in_order(equation_candidates(blocks, page, key), page)
 
 
-def figure_items(captions: DataFrame, items: DataFrame, page: str, key: str, item: str, height: float, cell: float = 64.0, most: int = MAX_VISUAL_ITEMS) -> DataFrame:
+def figure_items(captions: DataFrame, items: DataFrame, page: str, key: str, item: str, height: float, most: int = MAX_VISUAL_ITEMS) -> DataFrame:
     """(page, key, kind, item): what lies in the region above each caption, as wide as it and up to ``FIGURE_SHARE`` of the page's height: labels, shapes, images.
 
-    ``captions`` and ``items`` have x0, y0, x1, y1, items also their kind. Both go into the squares of a grid that they touch and meet there; a pair that meets in several squares
-    counts in that of the upper left corner of what they share, so nothing has to be made distinct. Of each kind the first ``most`` in the order of ``item`` stay.
+    ``captions`` and ``items`` have x0, y0, x1, y1, items also their kind. A region is a fixed share of its page, so captions meet the items of their page: each box is shuffled once, by page, and what
+    follows by page and caption stays where it is. Of each kind the first ``most`` in the order of ``item`` stay. A page is one task's work.
     """
-    square = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long"))
-    region = captions.select(page, key, F.col("x0").alias("r_x0"), F.greatest(F.lit(0.0), F.col("y0") - height * FIGURE_SHARE).alias("r_y0"), F.col("x1").alias("r_x1"), F.col("y0").alias("r_y1"))
-    a = region.withColumn("_gx", F.explode(square("r_x0", "r_x1"))).withColumn("_gy", F.explode(square("r_y0", "r_y1")))
-    b = items.select(page, item, "kind", "x0", "y0", "x1", "y1").withColumn("_gx", F.explode(square("x0", "x1"))).withColumn("_gy", F.explode(square("y0", "y1")))
-    left, top = F.greatest("r_x0", "x0"), F.greatest("r_y0", "y0")
-    met = a.join(b, [page, "_gx", "_gy"]).filter((left < F.least("r_x1", "x1")) & (top < F.least("r_y1", "y1")) & (F.col("_gx") == F.floor(left / cell)) & (F.col("_gy") == F.floor(top / cell)))
+    a = captions.select(page, key, F.col("x0").alias("r_x0"), F.greatest(F.lit(0.0), F.col("y0") - height * FIGURE_SHARE).alias("r_y0"), F.col("x1").alias("r_x1"), F.col("y0").alias("r_y1"))
+    b = items.select(page, item, "kind", "x0", "y0", "x1", "y1")
+    met = a.join(b, page).filter((F.greatest("r_x0", "x0") < F.least("r_x1", "x1")) & (F.greatest("r_y0", "y0") < F.least("r_y1", "y1"))).select(page, key, "kind", item)
     place = F.row_number().over(W.partitionBy(page, key, "kind").orderBy(item))
-    return met.withColumn("_k", place).filter(F.col("_k") <= most).select(page, key, "kind", item)
+    return met.withColumn("_k", place).filter(F.col("_k") <= most).drop("_k")
 
 
 def relevant_caption(text: Column, focus: Column, section_text: Column) -> Column:

@@ -52,6 +52,22 @@ def test_figure_items(spark):
     assert set(rows) == want and len(rows) == len(want) and len(want) > 100
 
 
+def test_boxes_of_figures_are_shuffled_once(spark):
+    """Once by page, not once for each square of a grid, and no pair is."""
+    box = "page int, x0 double, y0 double, x1 double, y1 double"
+    captions, items = spark.createDataFrame([(1, 0.0, 500.0, 400.0, 510.0)], box).withColumn("key", F.lit("c")), spark.createDataFrame([(1, 10.0 * i, 400.0, 10.0 * i + 5, 420.0) for i in range(9)], box)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = figure_items(captions, items.withColumns({"item": F.col("x0").cast("string"), "kind": F.lit("label")}), "page", "key", "item", 800.0)
+        counts = found.groupBy("page", "key", "kind").agg(F.count("item").alias("n"))
+        assert counts.first()["n"] == 9
+        plan = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2 and "Generate" not in plan
+
+
 def test_prose_makes_columns_and_formulas_do_not(spark):
     lines = [(1, "words of prose here", 2.0, 53.0), (1, "words of prose there", 49.0, 98.0), (2, "x = y + 1", 2.0, 40.0), (2, "words of prose there", 55.0, 98.0)]
     lines += [(3, "words of prose here", 2.0, 54.5), (3, "words of prose there", 46.5, 98.0), (4, None, 2.0, 40.0)]
