@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.coverage import Coverage, coverage_findings
 from ..operators.grounding import Grounding, claim_lineage, grounding_findings
 from ..operators.recovery import Limits, evidence_packs
+from ..shared import Rounds
 from .check_jobs import table
 
 QUERIES: dict = {}
@@ -24,7 +25,13 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag").join(orders, "l_orderkey")
 
 
-def _grounding(spark: SparkSession, sf_dir: str) -> Grounding:
+def _kept_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``_lines`` as a table, for those that read them often."""
+    with Rounds(spark) as rounds:
+        return rounds.result(_lines(spark, sf_dir).select("case", "l_orderkey", "l_linenumber", "l_partkey", *columns))
+
+
+def _grounding(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> Grounding:
     key = F.col("o_orderkey")
     text = F.concat_ws(" ", "o_orderstatus", "o_orderpriority")
     own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case"), "o_orderkey", _named("o", "o_orderkey").alias("claim_id"), text.alias("claim"))
@@ -33,8 +40,8 @@ def _grounding(spark: SparkSession, sf_dir: str) -> Grounding:
     said = F.when(key % 11 == 0, F.concat(F.lit("old "), "claim")).otherwise(F.col("claim"))
     records = own.filter(key % 9 != 0).select("case", (key * 2).alias("record"), "claim_id", said.alias("claim"), kind.alias("class"), state.alias("status"))
     again = own.filter(key % 13 == 0).select("case", key * 2 + 1, "claim_id", "claim", F.lit("DERIVED"), F.lit("SUPPORTED"))
-    lines = _lines(spark, sf_dir)
-    refs = lambda when, kind, c: lines.filter(when).select("case", (F.col("l_orderkey") * 2).alias("record"), F.lit(kind).alias("kind"), c.alias("ref"))
+    kept, lines = lines, _lines(spark, sf_dir)
+    refs = lambda when, kind, c: (lines if kept is None else kept).filter(when).select("case", (F.col("l_orderkey") * 2).alias("record"), F.lit(kind).alias("kind"), c.alias("ref"))
     part, supplier = _named("p", "l_partkey"), _named("s", "l_suppkey")
     thing = F.when(key % 3 == 0, "PEDAGOGICAL").otherwise("SOURCE_GROUNDED")
     known = lambda when, kind, c: lines.filter(when).select("case", F.lit(kind).alias("kind"), c.alias("ref"))
@@ -60,17 +67,17 @@ def claim_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derived_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much evidence stands behind each derived claim: suppliers as computations rest on the parts that they sold the customer, and on the supplier of half their number."""
-    lines = _lines(spark, sf_dir)
+    lines = _kept_lines(spark, sf_dir, "l_suppkey")
     parts = lines.select("case", F.lit("computation").alias("kind"), _named("s", "l_suppkey").alias("id"), F.lit("evidence").alias("to_kind"), _named("p", "l_partkey").alias("to"))
     half = F.concat(F.lit("s"), F.floor(F.col("l_suppkey") / 2).cast("string"))
     chain = lines.filter("l_suppkey > 1").select("case", F.lit("computation"), _named("s", "l_suppkey"), F.lit("computation"), half)
-    found = claim_lineage(_grounding(spark, sf_dir), parts.union(chain))
+    found = claim_lineage(_grounding(spark, sf_dir, lines), parts.union(chain))
     return found.groupBy("case", "claim_id").agg(F.count("ref").alias("n"), F.min("ref").alias("first"))
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> Coverage:
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case"), "o_orderkey", "o_totalprice")
-    lines = _lines(spark, sf_dir).withColumn("v", F.concat(F.lit("v"), (F.col("l_partkey") % 30).cast("string")))
+    lines = _kept_lines(spark, sf_dir).withColumn("v", F.concat(F.lit("v"), (F.col("l_partkey") % 30).cast("string")))
     of = lambda when, kind: lines.filter(when).select("case", _named(kind, "l_orderkey").alias("id"), F.col("v").alias("ref"))
     before = F.lag("o_orderkey").over(W.partitionBy("case").orderBy("o_orderkey"))
     chain = orders.withColumn("before", before).filter("o_orderkey % 4 = 0 and before is not null").select("case", _named("o", "o_orderkey"), _named("o", "before"))

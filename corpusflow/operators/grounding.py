@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .closure import reachable
+from .within import by_case, reached, split_by_size
 
 #: Classes and states of a record.
 SOURCE_GROUNDED, DERIVED, UNSUPPORTED, PARTIAL = "SOURCE_GROUNDED", "DERIVED", "UNSUPPORTED", "PARTIAL"
@@ -97,14 +98,35 @@ def grounding_findings(t: Grounding) -> DataFrame:
     return by_record.unionByName(by_object).unionByName(by_claim).unionByName(by_id).unionByName(by_case)
 
 
-def claim_lineage(t: Grounding, edges: DataFrame) -> DataFrame:
+def claim_lineage(t: Grounding, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(case, claim_id, ref): the evidence that stands behind each derived claim, through whatever its computations rest on.
 
-    ``edges`` (case, kind, id, to_kind, to) lead from a computation or object to what it rests on. Pairs are extended to the fixpoint, those found last alone.
+    ``edges`` (case, kind, id, to_kind, to) lead from a computation or object to what it rests on. Claims lead to their records and these to their references, so all is one relation, which is shuffled once,
+    by case: a task takes whole cases. Cases with more than ``most`` edges, or that aren't numbers, are extended by new pairs to the fixpoint, all at once.
     """
-    node = lambda kind, ref: F.struct(F.col("case").alias("case"), kind.alias("kind"), F.col(ref).cast("string").alias("ref"))
-    derived = t.records.filter(F.col("class") == DERIVED).select("case", "record", "claim_id").join(t.record_refs, ["case", "record"])
-    first = derived.select(node(F.lit("claim"), "claim_id").alias("a"), node(F.col("kind"), "ref").alias("b"))
-    rest = edges.select(node(F.col("kind"), "id").alias("a"), node(F.col("to_kind"), "to").alias("b"))
-    pairs = reachable(first.unionByName(rest), first.select(F.col("a").alias("start")))
-    return pairs.filter("node.kind = 'evidence'").select("start.case", F.col("start.ref").alias("claim_id"), "node.ref")
+    node = lambda kind, ref: F.concat_ws("\0", kind, F.col(ref).cast("string"))
+    record = node(F.lit("\1record"), "record")
+    link = lambda df, a, b, first=False: df.select("case", a.alias("a"), b.alias("b"), F.lit(first).alias("first"))
+    derived = t.records.filter((F.col("class") == DERIVED) & F.col("record").isNotNull() & F.col("claim_id").isNotNull())
+    parts = [
+        link(derived, node(F.lit("\1claim"), "claim_id"), record, True),
+        link(t.record_refs.filter("record is not null and kind is not null and ref is not null"), record, node(F.col("kind"), "ref")),
+        link(edges.filter("kind is not null and id is not null and to_kind is not null and to is not null"), node(F.col("kind"), "id"), node(F.col("to_kind"), "to")),
+    ]
+    links = parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("case is not null")
+    case = dict(links.dtypes)["case"]
+
+    def at_once(links: DataFrame) -> DataFrame:
+        of = lambda c: F.struct("case", F.col(c).alias("node"))
+        pairs = reachable(links.select(of("a").alias("a"), of("b").alias("b")), links.filter("first").select(of("a").alias("start")))
+        return pairs.select("start.case", F.col("start.node").alias("start"), F.col("node.node").alias("node"))
+
+    schema = f"case {case}, start string, node string"
+    if case not in ("int", "bigint"):
+        pairs = at_once(links)
+    elif (large := split_by_size(edges, most)) is None:
+        pairs = by_case(links, reached, schema)
+    else:
+        pairs = by_case(links.join(large, "case", "left_anti"), reached, schema).unionByName(at_once(links.join(large, "case", "left_semi")))
+    text = lambda c: F.element_at(F.split(c, "\0", 2), 2)
+    return pairs.filter(F.col("node").startswith("evidence\0")).select("case", text("start").alias("claim_id"), text("node").alias("ref"))

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from corpusflow.operators import coverage, grounding
 from corpusflow.operators.coverage import Coverage, coverage_findings, downstream, editable_requests, numbered
 from corpusflow.operators.grounding import Grounding, claim_lineage, grounding_findings
 
@@ -76,6 +77,38 @@ def test_lineage_to_the_end_of_a_circle(spark):
     assert {tuple(r) for r in got.collect()} == {(1, "b", "E1"), (1, "b", "E2")}
 
 
+def test_lineage_of_whole_cases_makes_no_rounds(spark, monkeypatch):
+    """Cases that a task takes whole are not joined round by round; large ones are, and give the same."""
+    draw = random.Random(8)
+    records = [(c, r, f"cl{r % 7}", "", draw.choice(["DERIVED", "DERIVED", "PEDAGOGICAL"]), "SUPPORTED") for c in (1, 2, 3) for r in range(9)]
+    refs = [(c, r, draw.choice(["evidence", "computation"]), f"x{draw.randrange(12)}") for c in (1, 2, 3) for r in range(9) for _ in range(2)]
+    edges = [(c, "computation", f"x{draw.randrange(12)}", draw.choice(["evidence", "computation"]), f"x{draw.randrange(12)}") for c in (1, 2, 3) for _ in range(5 * c)]
+    want = set()
+    for c, r, claim, _, kind, _ in records:
+        todo, seen = [x[2:] for x in refs if x[:2] == (c, r)] if kind == "DERIVED" else [], set()
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += [e[3:] for e in edges if e[:3] == (c, *x)]
+        want |= {(c, claim, ref) for k, ref in seen if k == "evidence"}
+    t = tables(spark, Grounding, GROUNDING, records=records, record_refs=refs)
+    rows = spark.createDataFrame(edges, "case int, kind string, id string, to_kind string, to string")
+    assert {tuple(r) for r in claim_lineage(t, rows, most=6).collect()} == want
+    monkeypatch.setattr(grounding, "reachable", None)
+    assert {tuple(r) for r in claim_lineage(t, rows).collect()} == want and want
+
+
+def test_bitmaps_of_whole_cases_make_no_rounds(spark, monkeypatch):
+    draw = random.Random(6)
+    edges = spark.createDataFrame([(c, f"n{draw.randrange(80)}", f"n{draw.randrange(80)}") for c in range(6) for _ in range(20 * c + 5)], "case int, a string, b string")
+    bits = numbered(spark.createDataFrame([(c, f"n{i}") for c in range(6) for i in range(80)], "case int, node string"))
+    rows = lambda df: {(r["case"], r["node"], r["word"], r["bits"]) for r in df.filter("bits != 0").collect()}
+    want = rows(coverage._by_rounds(edges, bits))
+    assert rows(downstream(edges, bits, most=40)) == want
+    monkeypatch.setattr(coverage, "_by_rounds", None)
+    assert rows(downstream(edges, bits)) == want and want
+
+
 def test_bitmaps_equal_walks(spark):
     draw = random.Random(5)
     edges = [(c, f"n{draw.randrange(90)}", f"n{draw.randrange(90)}") for c in (1, 2) for _ in range(110)] + [(1, "hub", f"n{i}") for i in range(90)]
