@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shared import Rounds
+from .within import by_case, led_to, split_by_size
 
 #: A request for editable inputs in a focus, and a name in it.
 EDITABLE = r"(?i)\beditable\s+([A-Za-z][A-Za-z0-9_]*(?:\s*,\s*[A-Za-z][A-Za-z0-9_]*)*(?:\s*,?\s+and\s+[A-Za-z][A-Za-z0-9_]*)?)\s+(?:inputs|values|vectors|matrices|parameters)\b"
@@ -31,12 +32,33 @@ def numbered(marks: DataFrame) -> DataFrame:
     return marks.select("case", "node").distinct().withColumn("at", at).select("case", "node", F.floor(F.col("at") / WORD).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(at % {WORD} AS INT))").alias("bits"))
 
 
-def downstream(edges: DataFrame, marks: DataFrame) -> DataFrame:
+def downstream(edges: DataFrame, marks: DataFrame, most: int | None = None) -> DataFrame:
     """(case, node, word, bits): which marked nodes (``numbered``) each node leads to over edges (case, a, b), itself included; nodes that lead to none have no row.
 
-    Bits travel from a node to those that lead to it, level by level: a round sends on the words that the last one changed, and an aggregate merges what arrives by ``bit_or``, so
-    descendants that are reached on many ways are counted once and a set of 64 is one number. Circles end when no word changes.
+    Edges stay within a case, so a task takes many whole cases and sends bits from each node to those that lead to it until none changes. Cases with more than ``most`` edges, and those that aren't
+    numbers, go level by level over all of them at once (``_by_rounds``); so does nothing else.
     """
+    kinds = dict(edges.dtypes), dict(marks.dtypes)
+    edges, marks = edges.select("case", "a", "b"), marks.select("case", "node", "word", "bits")
+    if not all(k["case"] in ("int", "bigint") for k in kinds) or kinds[0]["a"] != "string" or kinds[1]["node"] != "string":
+        return _by_rounds(edges, marks)
+    apart = []
+    if (large := split_by_size(edges, most)) is not None:
+        apart = [_by_rounds(edges.join(large, "case", "left_semi"), marks.join(large, "case", "left_semi"))]
+        edges, marks = edges.join(large, "case", "left_anti"), marks.join(large, "case", "left_anti")
+    nameless = marks.filter("case is null or node is null")
+    told = edges.filter("case is not null and a is not null and b is not null").select("case", "a", "b", F.lit(None).cast("int").alias("word"), F.lit(None).cast("bigint").alias("bits"))
+    told = told.unionByName(marks.filter("case is not null and node is not null").select("case", F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), "word", "bits"))
+    out = by_case(told, led_to, f"case {kinds[0]['case']}, node string, word int, bits bigint").unionByName(nameless)
+    for part in apart:
+        out = out.unionByName(part)
+    with Rounds(edges.sparkSession) as rounds:
+        return rounds.result(out)
+
+
+def _by_rounds(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """``downstream`` level by level: a round sends on the words that the last one changed, and an aggregate merges what arrives by ``bit_or``, so descendants that are reached on many ways are counted
+    once and a set of 64 is one number. Circles end when no word changes."""
     with Rounds(edges.sparkSession) as rounds:
         back = rounds.keep(edges.select("case", F.col("b").alias("node"), F.col("a").alias("to")).distinct())
         known = changed = rounds.keep(marks.select("case", "node", "word", "bits"))
