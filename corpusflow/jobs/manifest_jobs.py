@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.manifest import Manifest, manifest_findings, manifests
+from ..shared import Rounds
 from .check_jobs import table
 
 QUERIES: dict = {}
@@ -13,7 +14,9 @@ ORACLES: dict[str, str] = {}
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> Manifest:
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("long").alias("q"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("long").alias("q"))
+    with Rounds(spark) as rounds:  # all parts are made of these
+        lines = rounds.result(lines)
     cases = lines.groupBy("case").agg(F.max("n").alias("last"))
     name = lambda kind, n=F.col("n"): F.concat(F.lit(kind), n.cast("string"))
     text = F.col("q").cast("string")

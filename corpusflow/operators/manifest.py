@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..shared import Rounds
 from .closure import levels
 from .coverage import downstream, numbered
+from .within import by_case, peeled, split_by_size
 
 #: The least controls and the explorations of a lesson.
 LEAST_CONTROLS, EXPLORATIONS = 2, 2
@@ -104,11 +105,25 @@ def _sources(t: Manifest) -> DataFrame:
 
 def computation_rounds(t: Manifest) -> DataFrame:
     """(case, id, level): the round in which all that a computation reads is there; null on a circle or behind one."""
-    key = lambda c: F.struct("case", F.col(c).alias("id"))
-    told = levels(_sources(t).select(key("before").alias("a"), key("id").alias("b"))).select("node.case", "node.id", "level", F.lit(True).alias("waits"))
+    told = case_levels(_sources(t).select("case", F.col("before").alias("a"), F.col("id").alias("b"))).select("case", F.col("node").alias("id"), "level", F.lit(True).alias("waits"))
     return t.computations.select("case", "id").distinct().join(told, ["case", "id"], "left").select("case", "id", F.when(F.col("waits").isNull(), 0).otherwise(F.col("level")).alias("level"))
 
 
+def case_levels(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """``levels`` of edges (case, a, b) within cases: (case, node, level). A task takes whole cases; those with more than ``most`` edges are peeled all at once."""
+    key = lambda c: F.struct("case", F.col(c).alias("id"))
+    large = lambda df: levels(df.select(key("a").alias("a"), key("b").alias("b"))).select("node.case", F.col("node.id").alias("node"), "level")
+    kinds = dict(edges.dtypes)
+    edges = edges.filter("case is not null and a is not null and b is not null")
+    if kinds["case"] not in ("int", "bigint") or kinds["a"] != "string" or kinds["b"] != "string":
+        return large(edges)
+    with Rounds(edges.sparkSession) as rounds:
+        edges = rounds.result(edges)
+    if (cases := split_by_size(edges, most)) is None:
+        return by_case(edges, peeled, f"case {kinds['case']}, node string, level bigint")
+    return by_case(edges.join(cases, "case", "left_anti"), peeled, f"case {kinds['case']}, node string, level bigint").unionByName(large(edges.join(cases, "case", "left_semi")))
+
+
 def order_findings(t: Manifest) -> DataFrame:
     """CIRCLE, and OUT_OF_ORDER for a computation that stands after one of a later round."""
     at = t.computations.select("case", "id", "place").join(computation_rounds(t), ["case", "id"])

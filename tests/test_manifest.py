@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
 
-from corpusflow.operators.manifest import Manifest, manifest_findings, manifests
+from pyspark.sql import functions as F
+
+from corpusflow.operators.closure import levels
+from corpusflow.operators.manifest import Manifest, case_levels, manifest_findings, manifests
 
 from .test_gates import broken, by_case, tables
 
@@ -68,3 +72,13 @@ def test_documents_hold_computations_in_the_order_of_their_rounds(spark):
     doc = json.loads(manifests(made).first()["json"])
     assert [c["id"] for c in doc["computations"]] == ["f", "g"] and doc["computations"][1]["reads"] == ["s", "y"]
     assert doc["outputs"] == ["s", "z"] and doc["controls"][1] == {"id": "cy", "variable": "y", "first": "[2,3]", "effects": ["view"]} and doc["visuals"] == [{"id": "view", "data": ["z"]}]
+
+
+def test_levels_of_whole_cases(spark):
+    """Peeled in tasks or all at once, with circles; a case above the limit goes the other way."""
+    draw = random.Random(2)
+    edges = spark.createDataFrame([(c, f"n{a}", f"n{b}") for c in range(6) for a, b in (sorted(draw.sample(range(14), 2)) for _ in range(6 * c + 3))] + [(9, "a", "b"), (9, "b", "a"), (9, "b", "c"), (9, "d", "c")], "case int, a string, b string")
+    rows = lambda df: {tuple(r) for r in df.select("case", "node", "level").collect()}
+    key = lambda c: F.struct("case", F.col(c).alias("id"))
+    want = rows(levels(edges.select(key("a").alias("a"), key("b").alias("b"))).select("node.case", F.col("node.id").alias("node"), "level"))
+    assert rows(case_levels(edges)) == want and rows(case_levels(edges, most=15)) == want
